@@ -37,58 +37,79 @@ def targets(totals: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeat: int
     return t.select("source", "source_size", target.alias("target"))
 
 
-def mix(documents: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (1, 2, 3), repeat: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per document: doc_id, text_hash, size (words), source_size, target (of its source), copies, taken (size * copies).
+def words_and_hash(documents: DataFrame, seed: str, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """documents with size, source_ (the source) and h (60 bits of a hash of the id; null: of the empty text)."""
+    key = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":" + seed)).cast("binary")
+    return documents.withColumns({"size": word_count(text_col), "source_": F.col(source_col), "h": F.conv(F.substring(F.md5(key), 1, BITS // 4), 16, 10).cast("long")})
 
-    A source of size S and target T takes every document floor(T / S) times, and once more those below a threshold of the
-    document's 60-bit hash, chosen so that the words come nearest to T (a tie: the larger threshold). The threshold is found
-    from histograms of words by source and hash bucket: whole buckets fit or don't, and only the bucket in which the rest runs
-    out is refined, by the next 10 bits, until it holds one hash; documents are then filtered by their hash, never sorted.
-    Joins are on source and bucket together, so a source with a third of all rows is spread over 1024 keys.
-
-    The hash is of the id, so reruns agree, and the share at a smaller target is part of that at a larger one. Rows with the
-    same id (or null ids) in a source share a fate. Null text: size 0. Null source: a source of its own, last in the order.
-    Empty documents are taken with 0 words. Empty table: no rows. Other columns are not read.
-    """
-    space = Workspace(documents.sparkSession)
-    d = documents.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(source_col).alias("source"))
-    d = d.select("i", "source", word_count("t").alias("size"), F.xxhash64("t").alias("th"), F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("i").cast("string"), F.lit("")), F.lit(":" + seed)).cast("binary")), 1, BITS // 4), 16, 10).cast("long").alias("h"))
-    d = space.write(d.withColumn("b", F.shiftright("h", BITS - STEP)), "sizes")
 
-    first = d.groupBy("source", "b").agg(F.sum("size").alias("words"), F.min("h").alias("lo"), F.max("h").alias("hi"))
-    first = space.write(first, "level0")
-    goal = targets(first.groupBy("source").agg(F.sum("words").alias("source_size")), weights, repeat)
+def limits(d: DataFrame, space: Workspace, weights: tuple[int, ...] = (1, 2, 3), repeat: int = 3) -> DataFrame:
+    """d (source_, size, h) -> one row for each source: source_, source_size, target, times, below. A document is taken
+    times + (h < below) times."""
+    d = d.withColumn("b", F.shiftright("h", BITS - STEP))
+    first = space.write(d.groupBy("source_", "b").agg(F.sum("size").alias("words"), F.min("h").alias("lo"), F.max("h").alias("hi")), "level0")
+    goal = targets(first.groupBy(F.col("source_").alias("source")).agg(F.sum("words").alias("source_size")), weights, repeat).withColumnRenamed("source", "source_")
     goal = goal.withColumn("times", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     goal = space.write(goal.withColumn("rest", F.col("target") - F.col("times") * F.col("source_size")), "goal")
 
     def boundary(histogram: DataFrame) -> DataFrame:
         """The bucket of each source in which its rest runs out, and what is left of the rest there."""
-        w = Window.partitionBy("source").orderBy("b")
+        w = Window.partitionBy("source_").orderBy("b")
         h = histogram.withColumn("to", F.sum("words").over(w))
         h = h.withColumn("from", F.col("to") - F.col("words"))
-        return h.where((F.col("from") < F.col("rest")) & (F.col("to") >= F.col("rest")) & (F.col("words") > 0)).withColumn("left", F.col("rest") - F.col("from"))
+        h = h.where((F.col("from") < F.col("rest")) & (F.col("to") >= F.col("rest")) & (F.col("words") > 0))
+        return h.select("source_", "b", "lo", "hi", "words", (F.col("rest") - F.col("from")).alias("left"))
 
-    same = lambda a, b: F.col(f"a.{a}").eqNullSafe(F.col(f"b.{b}"))
-    edge = boundary(first.alias("a").join(goal.alias("b"), same("source", "source")).select("a.source", "a.b", "words", "lo", "hi", "rest"))
-    edge = space.write(edge.select("source", "b", "lo", "hi", "words", "left"), "edge0")
+    same = lambda x: F.col(f"a.{x}").eqNullSafe(F.col(f"b.{x}"))
+    edge = space.write(boundary(first.alias("a").join(goal.alias("b"), same("source_")).select("a.*", "rest")), "edge0")
     found, rows = [], d
     for level in range(1, BITS // STEP + 1):
-        done = (F.col("lo") == F.col("hi"))
+        done = F.col("lo") == F.col("hi")
         # A single hash is left: it is taken if that comes nearer to the target than leaving it.
-        found.append(edge.where(done).select("source", F.when(F.col("words") - F.col("left") <= F.col("left"), F.col("hi") + 1).otherwise(F.col("lo")).alias("below")))
-        open_ = edge.where(~done)
-        if level == BITS // STEP or open_.isEmpty():
+        found.append(edge.where(done).select("source_", F.when(F.col("words") - F.col("left") <= F.col("left"), F.col("hi") + 1).otherwise(F.col("lo")).alias("below")))
+        left = edge.where(~done)
+        if level == BITS // STEP or left.isEmpty():
             break
-        rows = rows.alias("a").join(open_.alias("b"), same("source", "source") & same("b", "b")).select("a.source", "a.size", "a.h", F.shiftright("a.h", BITS - STEP * (level + 1)).alias("b"), F.col("b.left").alias("rest"))
+        rows = rows.alias("a").join(left.alias("b"), same("source_") & same("b")).select("a.source_", "a.size", "a.h", F.shiftright("a.h", BITS - STEP * (level + 1)).alias("b"), F.col("b.left").alias("rest"))
         rows = space.write(rows, f"rows{level}")
-        edge = boundary(rows.groupBy("source", "b", "rest").agg(F.sum("size").alias("words"), F.min("h").alias("lo"), F.max("h").alias("hi")))
-        edge = space.write(edge.select("source", "b", "lo", "hi", "words", "left"), f"edge{level}")
+        edge = space.write(boundary(rows.groupBy("source_", "b", "rest").agg(F.sum("size").alias("words"), F.min("h").alias("lo"), F.max("h").alias("hi"))), f"edge{level}")
     limit = found[0]
     for x in found[1:]:
         limit = limit.unionByName(x)
     # No rest: no threshold, and nothing is below 0.
-    goal = goal.alias("a").join(limit.alias("b"), same("source", "source"), "left").select("a.source", "source_size", "target", "times", F.coalesce("below", F.lit(0)).alias("below"))
-    spread = first.select("source", "b").alias("a").join(goal.alias("b"), same("source", "source")).select(F.col("a.source").alias("source"), F.col("a.b").alias("b"), "source_size", "target", "times", "below")
-    out = d.alias("a").join(spread.alias("b"), same("source", "source") & same("b", "b"))
+    out = goal.alias("a").join(limit.alias("b"), same("source_"), "left").select("a.source_", "source_size", "target", "times", F.coalesce("below", F.lit(0)).alias("below"))
+    return space.write(out, "limits")
+
+
+def mix(documents: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (1, 2, 3), repeat: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row per document: doc_id, size (words), source_size, target (of its source), copies, taken (size * copies).
+
+    A source of size S and target T takes every document floor(T / S) times, and once more those below a threshold of the
+    document's 60-bit hash, chosen so that the words come nearest to T (a tie: the larger threshold). The threshold is found
+    from histograms of words by source and hash bucket: whole buckets fit or don't, and only the bucket in which the rest runs
+    out is refined, by the next 10 bits, until it holds one hash; documents are then filtered by their hash, never sorted.
+    Refining joins on source and bucket, so a source with a third of all rows is spread over 1024 keys; documents meet one row for
+    each source, which Spark broadcasts if its written size is below the session's limit, and splits a hot source's rows otherwise.
+
+    The hash is of the id, so reruns agree, and the share at a smaller target is part of that at a larger one. Rows with the
+    same id (or null ids) in a source share a fate. Null text: size 0. Null source: a source of its own, last in the order.
+    Empty documents are taken with 0 words. Empty table: no rows. Other columns are not read.
+    """
+    space = Workspace(documents.sparkSession)
+    d = documents.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(source_col).alias("s"))
+    d = space.write(words_and_hash(d, seed, "i", "t", "s").select("i", "source_", "size", "h"), "sizes")
+    out = d.alias("a").join(limits(d, space, weights, repeat).alias("b"), F.col("a.source_").eqNullSafe(F.col("b.source_")))
     copies = (F.col("times") + (F.col("h") < F.col("below")).cast("long")).alias("copies")
-    return out.select(F.col("i").alias("doc_id"), F.col("th").alias("text_hash"), "size", "source_size", "target", copies).withColumn("taken", F.col("size") * F.col("copies"))
+    return out.select(F.col("i").alias("doc_id"), "size", "source_size", "target", copies).withColumn("taken", F.col("size") * F.col("copies"))
+
+
+def take(documents: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (1, 2, 3), repeat: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: the rows of documents, each as often as mix() takes it. Cases are as there; a row's other columns go with it."""
+    space = Workspace(documents.sparkSession)
+    d = documents.select(F.struct("*").alias("row"), F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(source_col).alias("s"))
+    small = space.write(words_and_hash(d.select("i", "t", "s"), seed, "i", "t", "s").select("source_", "size", "h"), "sizes")
+    table = limits(small, space, weights, repeat)
+    out = words_and_hash(d, seed, "i", "t", "s").alias("a").join(table.alias("b"), F.col("a.source_").eqNullSafe(F.col("b.source_")))
+    copies = F.col("times") + (F.col("h") < F.col("below")).cast("long")
+    out = out.where(copies > 0).select("row", F.explode(F.array_repeat(F.lit(1), copies.cast("int"))).alias("_"))
+    return out.select("row.*")
