@@ -1,15 +1,594 @@
-"""Named queries over the driver's tables, and the SQL they are held against."""
+"""Named queries over the driver's tables, and the SQL they are held against.
+
+A document stands for a chapter (id = doc_id + 1) and its source for a book; `labels` says which are saved; `events` is the request log.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quire.functions import html as H
+from quire.functions import numbers as N
+from quire.functions import text as X
+from quire.operators import blocks, corpus, library, quality, stats, terms
+from quire.plans import fixtures, streams
+from quire.sources import registry
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def toc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("source").alias("book"), (F.col("doc_id") + 1).alias("id"), "doc_id")
+
+
+def saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapters of labelled documents, by the document's book."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("book"), F.col("text").alias("body"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return d.join(labels, "doc_id").select("book", (F.col("doc_id") + 1).alias("id"), "body", "quality")
+
+
+def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.lines(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+LINES = r"""
+l AS (
+  SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
+n AS (SELECT id, line, text, row_number() OVER (PARTITION BY id ORDER BY line) AS pos FROM l WHERE regexp_matches(text, '\S'))"""
+
+
+# ------------------------------------------------------------------ lines, paragraphs, chunks
+
+
+@query(f"WITH {LINES} SELECT id, line, length(text) AS chars FROM n")
+def lines_nonblank(spark, sf_dir):
+    return doc_lines(spark, sf_dir).select("id", "line", F.length("text").alias("chars"))
+
+
+@query(
+    f"""WITH {LINES} SELECT id, line, pos, printf('P%04d_%04d', id, pos) AS pid, length(lag(text) OVER w) AS before, length(lead(text) OVER w) AS after
+FROM n WINDOW w AS (PARTITION BY id ORDER BY line)"""
+)
+def paragraph_numbering(spark, sf_dir):
+    p = corpus.paragraphs(doc_lines(spark, sf_dir))
+    return p.select("id", "line", "pos", "pid", F.length("previous").alias("before"), F.length("following").alias("after"))
+
+
+@query(f"WITH {LINES} SELECT id, pos FROM (SELECT id, pos, line, lead(line) OVER (PARTITION BY id ORDER BY line) AS next FROM n) WHERE next > line + 1")
+def section_breaks(spark, sf_dir):
+    return corpus.section_after(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query(
+    """SELECT ((doc_id // 100) * 100 + 1)::BIGINT AS chunk_start, printf('%04d-%04d', (doc_id // 100) * 100 + 1, (doc_id // 100) * 100 + 100) AS label,
+  count(*) AS chapters, sum(length(text))::BIGINT AS chars FROM documents GROUP BY 1, 2"""
+)
+def chunk_rollup(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").withColumn("id", F.col("doc_id") + 1)
+    return d.groupBy(X.chunk_start(F.col("id")).alias("chunk_start"), X.chunk_label(F.col("id")).alias("label")).agg(F.count("*").alias("chapters"), F.sum(F.length("text")).alias("chars"))
+
+
+@query(
+    """WITH c AS (SELECT source AS book, doc_id + 1 AS id, (doc_id // 20) * 20 + 1 AS chunk FROM documents),
+f AS (SELECT *, CASE WHEN chunk IS DISTINCT FROM lag(chunk) OVER (PARTITION BY book ORDER BY id) THEN 1 ELSE 0 END AS new FROM c),
+g AS (SELECT *, sum(new) OVER (PARTITION BY book ORDER BY id) AS grp FROM f)
+SELECT book, grp::BIGINT AS "group", min(chunk)::BIGINT AS chunk_start, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM g GROUP BY book, grp"""
+)
+def chunk_islands(spark, sf_dir):
+    g = corpus.chunk_groups(toc(spark, sf_dir), ["book"], ["id"], "id", 20)
+    return g.groupBy("book", "group").agg(F.min("chunk_start").alias("chunk_start"), F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+
+
+@query(f"WITH {LINES} SELECT id, pos, (sum(length(text)) OVER (PARTITION BY id ORDER BY line))::BIGINT AS chars FROM n")
+def running_chars(spark, sf_dir):
+    w = Window.partitionBy("id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    return corpus.paragraphs(doc_lines(spark, sf_dir)).select("id", "pos", F.sum(F.length("text")).over(w).alias("chars"))
+
+
+@query(
+    f"""WITH {LINES}, s AS (
+  SELECT id, line, sum((length(text) - length(replace(text, '(', ''))) - (length(text) - length(replace(text, ')', '')))) OVER (PARTITION BY id ORDER BY line) AS s FROM n)
+SELECT id, line, (s - least(0, min(s) OVER (PARTITION BY id ORDER BY line)))::BIGINT AS depth FROM s"""
+)
+def clamped_depth(spark, sf_dir):
+    step = X.count_of(F.col("text"), "(") - X.count_of(F.col("text"), ")")
+    return corpus.clamped_depth(doc_lines(spark, sf_dir), ["id"], ["line"], step).select("id", "line", "depth")
+
+
+@query(
+    f"""WITH {LINES} SELECT id, pos,
+  floor(1.9 * 0 + length(text) * 0.6::DOUBLE + 5 * (length(text) - length(replace(replace(replace(text, '"', ''), chr(8220), ''), chr(8221), ''))))::INTEGER AS tokens FROM n"""
+)
+def est_tokens(spark, sf_dir):
+    return corpus.paragraphs(doc_lines(spark, sf_dir)).select("id", "pos", X.estimated_tokens(F.col("text")).alias("tokens"))
+
+
+@query(
+    f"""WITH RECURSIVE {LINES},
+t AS (SELECT id, pos, length(text) AS c, floor(length(text) * 0.6::DOUBLE + 5 * (length(text) - length(replace(replace(replace(text, '"', ''), chr(8220), ''), chr(8221), ''))))::INTEGER AS k FROM n),
+w AS (SELECT id, sum(c) <= 9000 AND sum(k) <= 12000 AS whole FROM t GROUP BY id),
+g AS (
+  SELECT id, pos, 0 AS grp, 1 AS m, c::BIGINT AS c, k::BIGINT AS k FROM t WHERE pos = 1
+  UNION ALL
+  SELECT t.id, t.pos, CASE WHEN g.c + t.c > 9000 OR g.k + t.k > 12000 OR g.m >= 40 THEN g.grp + 1 ELSE g.grp END,
+    CASE WHEN g.c + t.c > 9000 OR g.k + t.k > 12000 OR g.m >= 40 THEN 1 ELSE g.m + 1 END,
+    CASE WHEN g.c + t.c > 9000 OR g.k + t.k > 12000 OR g.m >= 40 THEN t.c ELSE g.c + t.c END,
+    CASE WHEN g.c + t.c > 9000 OR g.k + t.k > 12000 OR g.m >= 40 THEN t.k ELSE g.k + t.k END
+  FROM g JOIN t ON t.id = g.id AND t.pos = g.pos + 1)
+SELECT id, CASE WHEN whole THEN 0 ELSE grp END AS "group", count(*) AS n, min(pos) AS first_pos FROM g JOIN w USING (id) GROUP BY 1, 2"""
+)
+def next_fit_groups(spark, sf_dir):
+    p = corpus.paragraphs(doc_lines(spark, sf_dir)).select("id", "pos", "text")
+    g = corpus.groups_of(p, ["id"], "pos", "text")
+    return g.groupBy("id", "group").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
+
+
+@query(
+    """SELECT conv_id, turn, coalesce(list_sum(list(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)), 0)::BIGINT AS before_chars,
+  length(lead(text) OVER (PARTITION BY conv_id ORDER BY turn)) AS lookahead_chars FROM conversations"""
+)
+def prev4_context(spark, sf_dir):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    before = F.collect_list(F.length("text")).over(w.rowsBetween(-4, -1))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.aggregate(before, F.lit(0).cast("long"), lambda a, x: a + x).alias("before_chars"), F.length(F.lead("text").over(w)).alias("lookahead_chars"))
+
+
+@query(
+    """WITH c AS (SELECT source AS book, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS id FROM documents)
+SELECT book, ((id - 1) // 100 + 1)::BIGINT AS volume, 'Volume ' || ((id - 1) // 100 + 1) AS title, count(*) AS chapters FROM c GROUP BY 1, 2, 3"""
+)
+def volume_rollup(spark, sf_dir):
+    c = toc(spark, sf_dir).select("book", "id", F.lit("").alias("title"), F.lit(None).cast("int").alias("volume"))
+    none = spark.createDataFrame([], "book string, id int, title string")
+    return corpus.format_novel(c, none, ["book"])[1]
+
+
+# ------------------------------------------------------------------ library
+
+
+@query("SELECT source AS book, d.doc_id + 1 AS id, l.doc_id IS NOT NULL AS saved FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def toc_saved_flag(spark, sf_dir):
+    return library.toc_with_saved(toc(spark, sf_dir), saved(spark, sf_dir)).select("book", "id", "saved")
+
+
+@query("SELECT source AS book, doc_id + 1 AS id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def missing_ids(spark, sf_dir):
+    return library.missing(toc(spark, sf_dir), saved(spark, sf_dir)).select("book", "id")
+
+
+@query("SELECT source AS book, count(*) AS total_chapters, count(l.doc_id) AS saved_count, max(d.doc_id)::DOUBLE AS saved_at FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY source")
+def library_summary(spark, sf_dir):
+    t = toc(spark, sf_dir)
+    books = t.groupBy("book").agg(F.max("doc_id").cast("double").alias("saved_at"))
+    return library.summary(books, t, saved(spark, sf_dir)).select("book", "total_chapters", "saved_count", "saved_at")
+
+
+@query("SELECT source AS book, d.doc_id + 1 AS id, quality, md5(text) AS body FROM documents d JOIN labels l ON d.doc_id = l.doc_id")
+def saved_in_order(spark, sf_dir):
+    return library.saved_in_order(toc(spark, sf_dir), saved(spark, sf_dir)).select("book", "id", "quality", F.md5("body").alias("body"))
+
+
+def _versions(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    row = lambda x, at: x.select(F.col("source").alias("book"), (F.col("doc_id") + 1).alias("id"), F.md5("text").alias("body"), F.lit(float(at)).alias("fetched_at"))
+    old = row(d.join(table(spark, sf_dir, "labels"), "doc_id", "left_semi"), 1)
+    new = row(d.where("n_chars > 1000").withColumn("text", F.concat("text", F.lit("!"))), 2)
+    return old, new
+
+
+@query(
+    """SELECT source AS book, d.doc_id + 1 AS id, CASE WHEN n_chars > 1000 THEN md5(text || '!') ELSE md5(text) END AS body, CASE WHEN n_chars > 1000 THEN 2.0 ELSE 1.0 END::DOUBLE AS fetched_at
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE n_chars > 1000 OR l.doc_id IS NOT NULL"""
+)
+def upsert_prefer_new(spark, sf_dir):
+    return library.upsert(*_versions(spark, sf_dir))
+
+
+@query(
+    """SELECT source AS book, d.doc_id + 1 AS id, CASE WHEN l.doc_id IS NULL THEN md5(text || '!') ELSE md5(text) END AS body, CASE WHEN l.doc_id IS NULL THEN 2.0 ELSE 1.0 END::DOUBLE AS fetched_at
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE n_chars > 1000 OR l.doc_id IS NOT NULL"""
+)
+def insert_if_absent(spark, sf_dir):
+    return library.insert_if_absent(*_versions(spark, sf_dir))
+
+
+@query("SELECT source AS book, d.doc_id + 1 AS id FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE toxic <> 1")
+def delete_chapters(spark, sf_dir):
+    bad = table(spark, sf_dir, "labels").where("toxic = 1")
+    gone = toc(spark, sf_dir).join(bad, "doc_id", "left_semi").select("book", "id")
+    return library.delete(saved(spark, sf_dir), gone).select("book", "id")
+
+
+@query("SELECT source AS book, d.doc_id + 1 AS id, CASE WHEN quality = 1 THEN 'good ' || d.doc_id ELSE lang END AS title FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def update_titles(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("book"), (F.col("doc_id") + 1).alias("id"), F.col("lang").alias("title"))
+    good = saved(spark, sf_dir).where("quality = 1").select("book", "id", F.concat(F.lit("good "), (F.col("id") - 1).cast("string")).alias("title"))
+    return library.update_titles(rows, good)
+
+
+@query("SELECT 'src' || (label + 15) AS book, vec_id AS id FROM embeddings e WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.source = 'src' || (label + 15) AND d.doc_id + 1 = vec_id)")
+def unknown_title_ids(spark, sf_dir):
+    changes = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("src"), (F.col("label") + 15).cast("string")).alias("book"), F.col("vec_id").alias("id"))
+    return library.unknown_ids(toc(spark, sf_dir), changes)
+
+
+@query(
+    """WITH c AS (SELECT source AS book, doc_id + 1 AS id, (doc_id // 50) * 50 + 1 AS s FROM documents)
+SELECT book, printf('%04d-%04d', s, s + 49) AS file, count(*) AS chapters, s = min(s) OVER (PARTITION BY book) AS first_file FROM c GROUP BY book, s"""
+)
+def export_chunks(spark, sf_dir):
+    return library.export_chunks(toc(spark, sf_dir), 50).groupBy("book", "file", "first_file").agg(F.count("*").alias("chapters"))
+
+
+@query()
+def export_text(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").withColumn("id", F.col("doc_id") + 1)
+    t = blocks.chapter_text(F.col("text"), F.col("id"), True)
+    return d.select(F.col("source").alias("book"), "id", F.length(t).alias("chars"), F.sha2(t, 256).alias("sha256"))
+
+
+@query(
+    """WITH s AS (SELECT source AS book, d.doc_id + 1 AS id, l.quality, l.toxic, d.n_chars FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)
+SELECT book, id, CASE WHEN id % 97 = 0 THEN 'running' WHEN toxic = 1 THEN 'failed' WHEN quality IS NULL THEN 'none' WHEN quality = 0 THEN 'stale' ELSE 'done' END AS status FROM s"""
+)
+def chapter_status(spark, sf_dir):
+    t = toc(spark, sf_dir)
+    s = t.join(table(spark, sf_dir, "labels"), "doc_id")
+    jobs = t.where("id % 97 = 0").select("book", "id", F.lit("running").alias("job_status"))
+    done = s.select("book", "id", F.lit("a").alias("raw_hash"), F.lit("t").alias("terms_hash"))
+    now = s.select("book", "id", F.when(F.col("quality") == 0, "b").otherwise("a").alias("raw_hash"), F.lit("t").alias("terms_hash"))
+    return library.chapter_status(t, jobs, s.where("toxic = 1"), done, now).select("book", "id", "status")
+
+
+@query("SELECT source, count(*) AS n, max(doc_id) AS newest FROM documents GROUP BY source ORDER BY newest DESC LIMIT 3")
+def top3_recent(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.max("doc_id").alias("newest")).orderBy(F.col("newest").desc()).limit(3)
+
+
+@query("SELECT c_custkey AS book FROM customer WHERE contains(lower(c_name || ' ' || c_mktsegment), 'building')")
+def search_contains(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("book"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("author"))
+    return library.search(c, " Building ").select("book")
+
+
+# ------------------------------------------------------------------ sources and pages
+
+
+@query(
+    r"""WITH u AS (SELECT page_id, lower(rtrim(url, '/')) || '/' AS u, regexp_extract(lower(url), '^([a-z]+://[^/]+/)', 1) AS host, regexp_extract(lower(url), '^([a-z]+://[^/]+/[a-z]+/)', 1) AS lang FROM pages),
+p AS (SELECT DISTINCT host AS prefix, 'host ' || host AS name FROM u WHERE length(host) % 2 = 0 UNION SELECT DISTINCT lang, 'lang ' || lang FROM u WHERE lang <> '' AND length(lang) % 3 = 0),
+m AS (SELECT page_id, name, row_number() OVER (PARTITION BY page_id ORDER BY length(prefix) DESC) AS r FROM u JOIN p ON starts_with(u.u, p.prefix))
+SELECT u.page_id, m.name AS source_name FROM u LEFT JOIN m ON u.page_id = m.page_id AND r = 1"""
+)
+def longest_prefix_source(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    part = lambda p: F.regexp_extract(F.lower("url"), p, 1).alias("prefix")
+    hosts = pages.select(part("^([a-z]+://[^/]+/)")).distinct().where("length(prefix) % 2 = 0").withColumn("name", F.concat(F.lit("host "), "prefix"))
+    langs = pages.select(part("^([a-z]+://[^/]+/[a-z]+/)")).distinct().where("prefix <> '' and length(prefix) % 3 = 0").withColumn("name", F.concat(F.lit("lang "), "prefix"))
+    return registry.bind(pages, "url", hosts.unionByName(langs)).select("page_id", "source_name")
+
+
+@query(
+    r"""SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/a/b' AS rooted, regexp_replace(url, '/+$', '') || '/next' AS below, regexp_extract(url, '^([a-z]+):', 1) || '://cdn.example.org/x' AS other,
+  regexp_replace(regexp_replace(url, '/+$', ''), '/[^/]*$', '') || '/up' AS up FROM pages"""
+)
+def absolute_urls(spark, sf_dir):
+    of = lambda link: X.absolute_url(F.lit(link), F.col("url"), F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", of("/a/b/").alias("rooted"), of("next").alias("below"), of("//cdn.example.org/x").alias("other"), of("./../up").alias("up"))
+
+
+@query(
+    r"""SELECT page_id, nullif(trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '\s+', ' ', 'g')), '') AS title FROM pages"""
+)
+def page_title(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", H.metadata_udf("html")["title"].alias("title"))
+
+
+@query()
+def page_metadata(spark, sf_dir):
+    m = table(spark, sf_dir, "pages").select("page_id", H.metadata_udf("html").alias("m"))
+    return m.select("page_id", "m.title", "m.heading", "m.author", F.size("m.tags").alias("tags"), F.size("m.links").alias("links"))
+
+
+@query()
+def html_contents(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", H.contents_udf("html").alias("body")).select("page_id", F.length("body").alias("chars"), F.sha2("body", 256).alias("sha256"))
+
+
+@query()
+def html_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", H.text_udf("html").alias("t")).select("page_id", F.size(F.split("t", "\n")).alias("lines"), F.sha2("t", 256).alias("sha256"))
+
+
+@query()
+def html_sanitized(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", H.sanitize_udf("html").alias("t")).select("page_id", F.length("t").alias("chars"), F.contains("t", F.lit("<script")).alias("has_script"))
+
+
+@query()
+def html_images(spark, sf_dir):
+    i = table(spark, sf_dir, "pages").select("page_id", H.images_udf("html", "url").alias("i"))
+    return i.select("page_id", F.size("i.images").alias("images"), F.sha2("i.body", 256).alias("sha256"))
+
+
+# ------------------------------------------------------------------ blocks
+
+
+@query()
+def block_audit(spark, sf_dir):
+    return blocks.block_audit(table(spark, sf_dir, "documents"), "text", ["doc_id"])
+
+
+@query()
+def block_audit_by_source(spark, sf_dir):
+    return blocks.block_audit(table(spark, sf_dir, "documents"), "text", ["source"])
+
+
+@query("SELECT source, count(*) FILTER (regexp_matches(text, '\\S')) AS without_heading, 0::BIGINT AS repeated_heading FROM documents GROUP BY source")
+def heading_report(spark, sf_dir):
+    return blocks.heading_report(table(spark, sf_dir, "documents"), "doc_id", "text", ["source"]).select("source", "without_heading", "repeated_heading")
+
+
+@query("SELECT 0 AS problems WHERE FALSE")
+def export_problems(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").withColumn("id", F.col("doc_id") + 1)
+    d = d.withColumn("written", blocks.chapter_text(F.col("text"), F.col("id")))
+    return blocks.export_problems(d, "id", "text", "written").groupBy().agg(F.count("*").cast("int").alias("problems")).where("problems > 0")
+
+
+# ------------------------------------------------------------------ terms
+
+CAPITALS = {"capital": r"(?:^|[^\p{L}])([A-Z][a-z]{4,})"}
+
+
+def _terms(spark, sf_dir):
+    p = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("pos"), "text")
+    return p, terms.candidates(p, "doc_id", "pos", "text", CAPITALS, gate=False)
+
+
+TERMS = r"""
+f AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '(?:^|[^\p{L}])([A-Z][a-z]{4,})', 1)) AS source FROM documents),
+o AS (SELECT f.source, f.doc_id, ((length(text) - length(replace(text, f.source, ''))) // length(f.source))::BIGINT AS n FROM f JOIN documents d ON f.doc_id = d.doc_id)"""
+
+
+@query(f"WITH {TERMS} SELECT source, sum(n)::BIGINT AS occurrences, count(*) AS docs, min(doc_id) AS first_seen, max(doc_id) AS last_seen FROM o GROUP BY source")
+def term_counts(spark, sf_dir):
+    p, found = _terms(spark, sf_dir)
+    o = terms.occurrences(found, p, "doc_id", "pos", "text")
+    return o.groupBy("source").agg(F.sum("n").alias("occurrences"), F.count("*").alias("docs"), F.min("chapter").alias("first_seen"), F.max("chapter").alias("last_seen"))
+
+
+@query(f"WITH {TERMS} SELECT source, doc_id AS chapter, n FROM o")
+def occurrences_by_doc(spark, sf_dir):
+    p, found = _terms(spark, sf_dir)
+    return terms.occurrences(found, p, "doc_id", "pos", "text").select("source", "chapter", F.col("n").cast("long").alias("n"))
+
+
+@query(
+    r"""WITH f AS (SELECT DISTINCT unnest(regexp_extract_all(text, '(?:^|[^\p{L}])([A-Z][a-z]{4,})', 1)) AS source FROM documents),
+w AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS surface FROM benchmark)
+SELECT source FROM f WHERE NOT EXISTS (SELECT 1 FROM w WHERE contains(w.surface, f.source))"""
+)
+def anti_substring_terms(spark, sf_dir):
+    _, found = _terms(spark, sf_dir)
+    owned = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ")).alias("surface")).distinct()
+    return terms.not_owned(found.select("source").distinct(), owned)
+
+
+@query()
+def top_evidence(spark, sf_dir):
+    p, found = _terms(spark, sf_dir)
+    e = terms.best_evidence(terms.occurrences(found, p, "doc_id", "pos", "text"), markers=["The", "and"])
+    return e.groupBy("source").agg(F.count("*").alias("n"), F.sum("score").alias("score"), F.min("chapter").alias("first"), F.max("chapter").alias("last"))
+
+
+@query()
+def locked_terms(spark, sf_dir):
+    """Each benchmark item's first two words are a locked surface."""
+    words = F.split("text", r"\s+")
+    surfaces = table(spark, sf_dir, "benchmark").select(F.concat_ws(" ", words[0], words[1]).alias("surface")).distinct()
+    m = terms.locked_matches(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], "text", surfaces)
+    return m.groupBy("surface").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+
+
+@query(
+    """WITH o AS (SELECT user_id AS source, (event_id % 7)::INTEGER AS chapter, count(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY 1, 2),
+w AS (SELECT user_id AS source, (event_id % 7)::INTEGER AS chapter, count(*) AS n FROM events WHERE event_id % 2 = 1 GROUP BY 1, 2)
+SELECT source, chapter, max(n) AS n FROM (SELECT * FROM o UNION ALL SELECT * FROM w) GROUP BY source, chapter"""
+)
+def merged_counts(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("source"), (F.col("event_id") % 7).cast("int").alias("chapter"), "event_id")
+    side = lambda k: e.where(F.col("event_id") % 2 == k).groupBy("source", "chapter").agg(F.count("*").alias("n"))
+    return terms.merge_counts(side(0), side(1))
+
+
+# ------------------------------------------------------------------ quality
+
+
+@query(
+    r"""WITH b AS (SELECT doc_id, (length(text) - length(replace(text, '(', ''))) = (length(text) - length(replace(text, ')', ''))) AND (length(text) - length(replace(text, '[', ''))) = (length(text) - length(replace(text, ']', '')))
+  AND (length(text) - length(replace(text, '"', ''))) % 2 = 0 AND list_bool_and(list_transform([['“','”'],['‘','’'],['「','」'],['『','』'],['（','）'],['【','】'],['«','»']], lambda p: length(replace(text, p[1], '')) = length(replace(text, p[2], '')))) AS ok,
+  regexp_matches(text, '\*{2,}') AS stars FROM documents)
+SELECT doc_id, 'unbalanced_source_punctuation' AS kind FROM b WHERE NOT ok UNION ALL SELECT doc_id, 'asterisk_censorship' FROM b WHERE stars"""
+)
+def source_quality(spark, sf_dir):
+    return quality.source_quality(table(spark, sf_dir, "documents"), "text", ["doc_id"])
+
+
+@query(r"SELECT doc_id, len(n) AS numbers, array_to_string(n, '|') AS literals FROM (SELECT doc_id, list_filter(regexp_extract_all(text, '[0-9A-Za-z]*\d+(?:[.,]\d+)*[0-9A-Za-z]*'), lambda x: regexp_full_match(x, '\d+([.,]\d+)*')) AS n FROM documents) WHERE len(n) > 0")
+def numbers_extract(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", N.literals(F.col("text")).alias("n")).where(F.size("n") > 0)
+    return d.select("doc_id", F.size("n").cast("long").alias("numbers"), F.array_join("n", "|").alias("literals"))
+
+
+def _replies(spark, sf_dir):
+    """Each turn of a conversation and the next: a source and its translation."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("chapter"), F.col("turn").alias("pos"), F.format_string("P%04d_%04d", "conv_id", "turn").alias("id"), F.col("text").alias("raw"), F.lead("text").over(w).alias("text"))
+    return c.where("text is not null")
+
+
+REPLIES = """p AS (SELECT conv_id AS chapter, turn AS pos, printf('P%04d_%04d', conv_id, turn) AS id, text AS raw, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS text FROM conversations),
+q AS (SELECT * FROM p WHERE text IS NOT NULL)"""
+
+
+@query(
+    rf"""WITH {REPLIES}, s AS (SELECT chapter, id, length(raw) AS r, length(text) AS t,
+  length(regexp_replace(raw, '[^，,；;：:。.!！？?]', '', 'g')) + 1 AS rc, length(regexp_replace(text, '[^，,；;：:。.!！？?]', '', 'g')) + 1 AS tc FROM q)
+SELECT chapter, id, r >= 24 AND t::DOUBLE / greatest(r, 1) < 0.34 AS low_ratio, r >= 45 AND tc < greatest(2.0, rc * 0.4) AS clause_loss FROM s"""
+)
+def truncation_signals(spark, sf_dir):
+    p = _replies(spark, sf_dir).select("chapter", "id", quality.truncation_signals(F.col("raw"), F.col("text")).alias("s"))
+    return p.select("chapter", "id", F.array_contains("s", "very_low_length_ratio").alias("low_ratio"), F.array_contains("s", "clause_loss").alias("clause_loss"))
+
+
+@query()
+def pair_findings(spark, sf_dir):
+    p = _replies(spark, sf_dir)
+    out = quality.prioritized(quality.segment_findings(p).unionByName(quality.length_findings(p)).unionByName(quality.duplicate_outputs(p)))
+    return out.groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("chapter").alias("chapters"))
+
+
+@query(
+    rf"""WITH {REPLIES}, c AS (SELECT chapter, sum(length(text))::DOUBLE / greatest(1, sum(length(raw))) AS ratio FROM q GROUP BY chapter)
+SELECT count(*) AS n, round(list_sort(list(ratio))[len(list(ratio)) // 2 + 1], 6) AS upper_median FROM c"""
+)
+def upper_median_ratio(spark, sf_dir):
+    c = _replies(spark, sf_dir).groupBy("chapter").agg((F.sum(F.length("text")) / F.greatest(F.lit(1), F.sum(F.length("raw")))).alias("ratio"))
+    return stats.upper_median_ratio(c, [], "ratio", 5, 0.45).select("n", F.round("upper_median", 6).alias("upper_median"))
+
+
+@query(
+    """WITH e AS (SELECT conv_id AS chapter, printf('P%04d_%04d', conv_id, turn) AS id, turn FROM conversations),
+a AS (SELECT chapter, CASE WHEN turn % 7 = 3 THEN id || 'x' ELSE id END AS id FROM e WHERE turn % 5 <> 4 OR chapter % 2 = 0)
+SELECT chapter, id, 'missing_id' AS kind FROM (SELECT chapter, id FROM e EXCEPT SELECT chapter, id FROM a) UNION ALL SELECT chapter, id, 'unexpected_id' FROM (SELECT chapter, id FROM a EXCEPT SELECT chapter, id FROM e)"""
+)
+def structural_findings(spark, sf_dir):
+    e = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("chapter"), F.col("turn").alias("pos"), F.format_string("P%04d_%04d", "conv_id", "turn").alias("id"), "text")
+    a = e.where("pos % 5 <> 4 or chapter % 2 = 0").withColumn("id", F.when(F.col("pos") % 7 == 3, F.concat("id", F.lit("x"))).otherwise(F.col("id")))
+    return quality.structural(e, a)
+
+
+@query(
+    """WITH a AS (SELECT doc_id, unnest(string_split(text, ' ')) AS word FROM documents WHERE lang = 'en'), b AS (SELECT unnest(string_split(text, ' ')) AS word FROM benchmark)
+SELECT word, count(*) AS n FROM (SELECT word FROM b EXCEPT ALL SELECT word FROM a) GROUP BY word"""
+)
+def multiset_difference(spark, sf_dir):
+    words = lambda d: d.select(F.explode(F.split("text", " ")).alias("word"))
+    return words(table(spark, sf_dir, "benchmark")).exceptAll(words(table(spark, sf_dir, "documents").where("lang = 'en'"))).groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query("SELECT conv_id AS chapter, printf('P%04d', conv_id) AS id, md5(string_agg(trim(text, chr(10) || ' '), ' ' ORDER BY turn)) AS text FROM conversations GROUP BY conv_id")
+def reassembled(spark, sf_dir):
+    f = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("chapter"), F.format_string("P%04d.F%04d", "conv_id", "turn").alias("id"), "text")
+    return quality.reassemble(f).select("chapter", "id", F.md5("text").alias("text"))
+
+
+# ------------------------------------------------------------------ statistics
+
+
+@query("SELECT md5(text) AS text, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
+def dup_texts(spark, sf_dir):
+    return stats.repeated(table(spark, sf_dir, "documents").select(F.md5("text").alias("text")), ["text"])
+
+
+@query(f"WITH {LINES} SELECT md5(text) AS line, count(*) AS n FROM n GROUP BY 1 HAVING count(*) > 1")
+def dup_lines(spark, sf_dir):
+    return stats.repeated(doc_lines(spark, sf_dir).select(F.md5("text").alias("line")), ["line"])
+
+
+@query("WITH m AS (SELECT source, median(n_chars) AS median FROM documents GROUP BY source) SELECT doc_id, source, n_chars, median FROM documents JOIN m USING (source) WHERE n_chars < 0.3 * median OR n_chars < 100")
+def short_body_outliers(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    return stats.short_bodies(d, ["source"], "n_chars", 0.3, 100)
+
+
+EVENT_KINDS = {"click": "logical", "view": "attempt", "error": "technical_retry", "signup": "fallback", "purchase": "cache_hit"}
+
+
+@query(
+    """SELECT operation, count(*) FILTER (event_type = 'click') AS logical_calls, count(*) FILTER (event_type = 'view') AS api_attempts, count(*) FILTER (event_type = 'error') AS technical_retries,
+  count(*) FILTER (event_type = 'signup') AS fallbacks, count(*) FILTER (event_type = 'purchase') AS cache_hits FROM (SELECT *, 'op' || (user_id % 5) AS operation FROM events) GROUP BY ROLLUP (operation)"""
+)
+def request_stats_rollup(spark, sf_dir):
+    kind = F.create_map(*[F.lit(x) for p in EVENT_KINDS.items() for x in p])[F.col("event_type")]
+    e = table(spark, sf_dir, "events").select(F.concat(F.lit("op"), (F.col("user_id") % 5).cast("string")).alias("operation"), kind.alias("event"))
+    return stats.request_statistics(e, ["operation"])
+
+
+@query("SELECT event_type AS operation, array_to_string(list_sort(list(DISTINCT 'm' || (user_id % 4))), ',') AS models FROM events GROUP BY event_type")
+def models_used(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("operation"), F.concat(F.lit("m"), (F.col("user_id") % 4).cast("string")).alias("model"))
+    return stats.models_used(e, ["operation"]).select("operation", F.array_join("models", ",").alias("models"))
+
+
+@query("SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 100")
+def tail_100_logs(spark, sf_dir):
+    return table(spark, sf_dir, "events").orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(100).select("event_id", "event_type")
+
+
+@query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 5")
+def last_n_per_user(spark, sf_dir):
+    return stats.last_n(table(spark, sf_dir, "events"), ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()], 5).select("user_id", "event_id")
+
+
+@query("SELECT user_id AS chapter, event_type AS kind, min(event_id) AS event_id FROM events GROUP BY 1, 2")
+def findings_priority_dedupe(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("chapter"), F.col("event_type").alias("kind"), "event_id")
+    return stats.keep_first(e, ["chapter", "kind"], ["event_id"])
+
+
+@query("SELECT doc_id, md5(source || lang) AS key, sha256(text) AS fingerprint FROM documents")
+def fingerprints(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.md5_of(F.col("source"), F.col("lang")).alias("key"), F.sha2("text", 256).alias("fingerprint"))
+
+
+@query(
+    """WITH c AS (SELECT DISTINCT sha256(text) AS f FROM documents d JOIN labels l ON d.doc_id = l.doc_id) SELECT doc_id, c.f IS NOT NULL AS hit FROM documents LEFT JOIN c ON sha256(text) = c.f"""
+)
+def cache_hits(spark, sf_dir):
+    from quire.sources import store
+
+    d = table(spark, sf_dir, "documents")
+    work = d.select("doc_id", F.sha2("text", 256).alias("fingerprint"))
+    cache = work.join(table(spark, sf_dir, "labels"), "doc_id", "left_semi").select("fingerprint").distinct()
+    hit, todo = store.cached(work, cache)
+    return hit.select("doc_id", F.lit(True).alias("hit")).unionByName(todo.select("doc_id", F.lit(False).alias("hit")))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_totalprice < 1024 THEN printf('%.1f B', o_totalprice) WHEN o_totalprice < 1048576 THEN printf('%.1f KB', o_totalprice / 1024) ELSE printf('%.1f MB', o_totalprice / 1048576) END AS size FROM orders")
+def format_sizes(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", X.format_size(F.col("o_totalprice")).alias("size"))
+
+
+for _name, (_query, _sql) in {**fixtures.QUERIES, **streams.QUERIES}.items():
+    _QUERIES[_name] = _query
+    if _sql:
+        _SQL[_name] = _sql
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
