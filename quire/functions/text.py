@@ -115,11 +115,12 @@ def strip_title_wrapper(c: Column) -> Column:
 
 
 def format_size(c: Column) -> Column:
-    """Bytes as 1.5 KB and the like: powers of 1024, one decimal."""
+    """A whole number of bytes as 1.5 KB and the like: powers of 1024, one decimal, half to even."""
     units = ["B", "KB", "MB", "GB", "TB", "PB", "EB", "ZB"]
-    out = F.format_string("%.1f YB", c / F.lit(float(1024**8)))
+    one = lambda k, unit: F.format_string(f"%.1f {unit}", F.bround(c / F.lit(float(1024**k)), 1))
+    out = one(8, "YB")
     for k in range(len(units) - 1, -1, -1):
-        out = F.when(F.abs(c.cast("double")) < float(1024 ** (k + 1)), F.format_string(f"%.1f {units[k]}", c / F.lit(float(1024**k)))).otherwise(out)
+        out = F.when(F.abs(c.cast("double")) < float(1024 ** (k + 1)), one(k, units[k])).otherwise(out)
     return out
 
 

@@ -203,18 +203,18 @@ def groups_of(paragraphs_: DataFrame, keys: list[str], order: str, text: str, ch
 
     The state is a fold over a chapter's ordered sizes (never its texts), JVM-side.
     """
-    s = paragraphs_.select(*keys, order, F.length(text).alias("c"), X.estimated_tokens(F.col(text)).alias("k"))
-    a = s.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, "c", "k"))).alias("s"))
+    s = paragraphs_.select(*keys, order, F.length(text).alias("c_"), X.estimated_tokens(F.col(text)).alias("k_"))
+    a = s.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, "c_", "k_"))).alias("s"))
     zero = F.struct(F.lit(0).alias("g"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("c"), F.lit(0).cast("long").alias("k"), F.array().cast("array<int>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        full = (acc["n"] > 0) & ((acc["c"] + x["c"] > chars) | (acc["k"] + x["k"] > tokens) | (acc["n"] >= most))
+        full = (acc["n"] > 0) & ((acc["c"] + x["c_"] > chars) | (acc["k"] + x["k_"] > tokens) | (acc["n"] >= most))
         g = acc["g"] + full.cast("int")
         keep = lambda f, v: F.when(full, v.cast("long")).otherwise(acc[f] + v)
-        return F.struct(g.alias("g"), F.when(full, 1).otherwise(acc["n"] + 1).alias("n"), keep("c", x["c"]).alias("c"), keep("k", x["k"]).alias("k"), F.concat(acc["out"], F.array(g)).alias("out"))
+        return F.struct(g.alias("g"), F.when(full, 1).otherwise(acc["n"] + 1).alias("n"), keep("c", x["c_"]).alias("c"), keep("k", x["k_"]).alias("k"), F.concat(acc["out"], F.array(g)).alias("out"))
 
     total = lambda f: F.aggregate("s", F.lit(0).cast("long"), lambda acc, x: acc + x[f])
-    whole = (total("c") <= chars) & (total("k") <= tokens)
+    whole = (total("c_") <= chars) & (total("k_") <= tokens)
     g = F.when(whole, F.transform("s", lambda x: F.lit(0))).otherwise(F.aggregate("s", zero, step)["out"])
     found = a.select(*keys, F.explode(F.arrays_zip(F.transform("s", lambda x: x[order]).alias(order), g.alias("group"))).alias("z")).select(*keys, f"z.{order}", "z.group")
     return paragraphs_.join(found, [*keys, order])

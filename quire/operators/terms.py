@@ -313,13 +313,13 @@ def contradictory(outcomes: DataFrame) -> DataFrame:
 
 def batches(ordered: DataFrame, keys: list[str], order: str, payload: str, limit: int = 32_000) -> DataFrame:
     """Next-fit batches of candidates by the length of their JSON; one that is too long stands alone. A fold over sizes, JVM-side."""
-    a = ordered.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, F.length(payload).cast("long").alias("c")))).alias("s"))
+    a = ordered.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, F.length(payload).cast("long").alias("c_")))).alias("s"))
     zero = F.struct(F.lit(0).alias("g"), F.lit(0).cast("long").alias("c"), F.array().cast("array<int>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        full = (acc["c"] > 0) & (acc["c"] + x["c"] > limit)
+        full = (acc["c"] > 0) & (acc["c"] + x["c_"] > limit)
         g = acc["g"] + full.cast("int")
-        return F.struct(g.alias("g"), F.when(full, x["c"]).otherwise(acc["c"] + x["c"]).alias("c"), F.concat(acc["out"], F.array(g)).alias("out"))
+        return F.struct(g.alias("g"), F.when(full, x["c_"]).otherwise(acc["c"] + x["c_"]).alias("c"), F.concat(acc["out"], F.array(g)).alias("out"))
 
     z = F.arrays_zip(F.transform("s", lambda x: x[order]).alias(order), F.aggregate("s", zero, step)["out"].alias("batch"))
     return ordered.join(a.select(*keys, F.explode(z).alias("z")).select(*keys, f"z.{order}", "z.batch"), [*keys, order])

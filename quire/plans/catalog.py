@@ -575,9 +575,9 @@ def cache_hits(spark, sf_dir):
     return hit.select("doc_id", F.lit(True).alias("hit")).unionByName(todo.select("doc_id", F.lit(False).alias("hit")))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_totalprice < 1024 THEN printf('%.1f B', o_totalprice) WHEN o_totalprice < 1048576 THEN printf('%.1f KB', o_totalprice / 1024) ELSE printf('%.1f MB', o_totalprice / 1048576) END AS size FROM orders")
+@query("SELECT o_orderkey, CASE WHEN b < 1024 THEN printf('%.1f B', b) WHEN b < 1048576 THEN printf('%.1f KB', b / 1024) ELSE printf('%.1f MB', b / 1048576) END AS size FROM (SELECT o_orderkey, trunc(o_totalprice) AS b FROM orders)")
 def format_sizes(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", X.format_size(F.col("o_totalprice")).alias("size"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", X.format_size(F.col("o_totalprice").cast("long")).alias("size"))
 
 
 for _name, (_query, _sql) in {**fixtures.QUERIES, **streams.QUERIES}.items():

@@ -16,9 +16,12 @@ EVENT = "id string, timestamp string, operation string, event string, chapter lo
 
 
 def _json(spark: SparkSession, path: str, schema: str, multiline: bool) -> tuple[DataFrame, DataFrame]:
-    raw = spark.read.schema(schema + ", _corrupt_record string").option("multiLine", multiline).option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    raw = raw.withColumn("file", F.col("_metadata.file_path"))
-    return raw.where("_corrupt_record is null").drop("_corrupt_record"), raw.where("_corrupt_record is not null").select("file", "_corrupt_record")
+    """(rows, records that don't fit the schema) of JSON files, each a record, or of JSON lines."""
+    raw = spark.read.option("wholetext", multiline).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    raw = raw.where(X.has_text(F.col("value"))).withColumn("j", F.from_json("value", schema + ", _corrupt_record string", options))
+    bad = F.col("j").isNull() | F.col("j._corrupt_record").isNotNull()
+    return raw.where(~bad).select("j.*", "file").drop("_corrupt_record"), raw.where(bad).select("file", F.col("value").alias("_corrupt_record"))
 
 
 def read_books(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
