@@ -9,28 +9,32 @@ from pyspark.sql import functions as F
 from quire.llm.common import Workspace, word_count
 
 
+#: What bytes, tokens and rows count in the dot product: the law is on bytes.
+WEIGHTS = (4.0, 1.0, 1.0)
+
+
 def place(vectors: np.ndarray, shards: int) -> np.ndarray:
-    """Shard of each vector (bytes, tokens, rows), largest first, where its dot product with the residual capacity is highest.
+    """Shard of each vector (bytes, tokens, rows), largest first, where its weighted dot product with the residual capacity is highest.
 
-    Capacities are equal shares of the totals; a tie goes to the lowest shard. A shard without room for any dimension counts
-    with what it lacks, so the fullest is never chosen before an emptier one.
+    Capacities are equal shares of the totals; a tie goes to the lowest shard. A shard without room in a dimension counts
+    with what it lacks, so a fuller one is not chosen before an emptier one.
     """
     total = vectors.sum(axis=0)
     scaled = vectors / np.where(total > 0, total, 1) * shards
-    left = np.ones((shards, vectors.shape[1]))
+    left, weights = np.ones((shards, vectors.shape[1])), np.array(WEIGHTS)
     out = np.zeros(len(vectors), np.int64)
     for i in np.lexsort((np.arange(len(vectors)), -scaled.sum(axis=1))):
-        out[i] = k = int(np.argmax(left @ scaled[i]))
+        out[i] = k = int(np.argmax(left @ (scaled[i] * weights)))
         left[k] -= scaled[i]
     return out
 
 
-def shard(documents: DataFrame, shards: int = 8, bundles: int = 4096, split_share: float = 1 / 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard(documents: DataFrame, shards: int = 8, bundles: int = 4096, split_share: float = 1 / 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Put every document into a shard, balancing bytes, tokens and rows jointly (law `bytes`: sizes near equal).
 
-    A group is all rows of an equal text and goes to one shard whole, except a group above split_share of all bytes or rows:
-    there are at most 2 / split_share of those, each dealt in parts by a hash of the id, since a third of the rows can't be one
-    shard's eighth. Groups below it are bundled by text hash first, so that the sequential placing sees at most
+    A group is all rows of an equal text and goes to one shard whole, except a group above split_share of all bytes or rows (half a
+    shard): there are at most 2 / split_share of those, each dealt in parts by a hash of the id, since a third of the rows can't be
+    one shard's eighth. Groups below it are bundled by text hash first, so that the sequential placing sees at most
     bundles * (1 + 2) vectors, a fixed number, whatever the input. Slots number a shard's rows from 0: each bundle's first
     slot is the sum of the bundles before it, so rows are sorted by bundle and never by shard.
 
