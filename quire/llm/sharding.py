@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from quire.llm.common import Workspace, word_count
 
 
+#: Parts of which a split group gets its share.
+PARTS = 1024
 #: What bytes, tokens and rows count in the dot product: the law is on bytes.
 WEIGHTS = (4.0, 1.0, 1.0)
 
@@ -35,7 +37,7 @@ def shard(documents: DataFrame, shards: int = 8, bundles: int = 4096, split_shar
     A group is all rows of an equal text and goes to one shard whole, except a group above split_share of all bytes or rows (half a
     shard): there are at most 2 / split_share of those, each dealt in parts by a hash of the id, since a third of the rows can't be
     one shard's eighth. Groups below it are bundled by text hash first, so that the sequential placing sees at most
-    bundles * (1 + 2) vectors, a fixed number, whatever the input. Slots number a shard's rows from 0: each bundle's first
+    bundles + 2 * PARTS + 2 / split_share vectors, a fixed number, whatever the input. Slots number a shard's rows from 0: each bundle's first
     slot is the sum of the bundles before it, so rows are sorted by bundle and never by shard.
 
     Null text: size 1 (no bytes, plus 1), CRC of nothing, one group of its own. Null ids are allowed; repeated rows are
@@ -57,14 +59,14 @@ def shard(documents: DataFrame, shards: int = 8, bundles: int = 4096, split_shar
     groups = rows.groupBy("h").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
     most = F.greatest(F.col("bytes") / F.lit(max(1, size)), F.col("n") / F.lit(max(1, n)))
     # At most 2 / split_share rows by what a share is, so this side has a proven bound.
-    heavy = groups.where(most > split_share).select("h", F.ceil(most / F.lit(split_share) * 4).cast("int").alias("parts"))
+    heavy = groups.where(most > split_share).select("h", F.ceil(most * F.lit(float(PARTS))).cast("int").alias("parts"))
     rows = rows.join(F.broadcast(heavy), "h", "left").withColumn(
         "bundle",
         F.when(F.col("parts").isNull(), F.pmod("h", F.lit(bundles)).cast("string")).otherwise(
             F.concat_ws(":", F.col("h").cast("string"), F.pmod(F.xxhash64("i", F.lit(7)), F.col("parts")).cast("string"))
         ),
     )
-    # One row for each bundle and part: bounded by bundles + 2 * 4 / split_share + 2 / split_share.
+    # One row for each bundle and part: bounded by bundles + 2 * PARTS + 2 / split_share.
     sums = rows.groupBy("bundle").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("n")).toPandas().sort_values("bundle")
     vectors = sums[["bytes", "tokens", "n"]].to_numpy(float)
     sums["shard"] = place(vectors, shards) if len(sums) else np.zeros(0, np.int64)
