@@ -15,7 +15,7 @@ from quire.functions import numbers as N
 from quire.functions import text as X
 from quire.operators import blocks, corpus, library, quality, stats, terms
 from quire.plans import fixtures, streams
-from quire.sources import registry
+from quire.sources import adapters, registry
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -303,6 +303,12 @@ def page_title(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", H.metadata_udf("html")["title"].alias("title"))
 
 
+@query(_SQL["page_title"].replace("SELECT page_id,", "SELECT page_id, CAST(NULL AS VARCHAR) AS source_name,"))
+def adapter_pages(spark, sf_dir):
+    p = adapters.read_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"), "url", "html")
+    return p.select("page_id", "source_name", F.col("page.title").alias("title"))
+
+
 @query()
 def page_metadata(spark, sf_dir):
     m = table(spark, sf_dir, "pages").select("page_id", H.metadata_udf("html").alias("m"))
