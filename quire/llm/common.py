@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -33,6 +34,16 @@ class Workspace:
             base = tempfile.mkdtemp(prefix="quire-")
             atexit.register(shutil.rmtree, base, True)
         self.base = f"{base.rstrip('/')}/quire-{uuid.uuid4().hex}"
+        atexit.register(self._clear)
+
+    def _clear(self) -> None:
+        """What results were read from goes when the program ends."""
+        local = self.base.removeprefix("file://")
+        if "://" not in local:
+            shutil.rmtree(local, ignore_errors=True)
+            return
+        with contextlib.suppress(Exception):  # else the session is over, and the folder's owner cleans up
+            self.drop("")
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}"
@@ -42,7 +53,7 @@ class Workspace:
     def drop(self, name: str) -> None:
         """Delete a table that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}" if name else self.base)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
