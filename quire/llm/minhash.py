@@ -18,8 +18,8 @@ CHUNKS, SYMBOLS, ERRORS = 10, 5, 1
 LENGTH = CHUNKS * SYMBOLS
 #: By the pigeonhole principle, signatures that differ in at most so many symbols have a chunk with at most ERRORS differing.
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
-#: Signatures of sets at the threshold of 0.75 that agree in fewer than 22 of 50 symbols: about one in a million.
-AGREE = 22
+#: Bins of a sketch, and the least share of agreeing bins of two sets in reach of 0.75: four standard deviations below it at most.
+BINS, REACH = 512, 0.67
 _RNG = np.random.default_rng(75)
 _A = _RNG.integers(1, 2**63, LENGTH, dtype=np.uint64) | np.uint64(1)
 _B = _RNG.integers(1, 2**63, LENGTH, dtype=np.uint64)
@@ -35,6 +35,23 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return mix(least).astype(np.uint16)
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """One-permutation sketch: a byte of the least hash of each bin, 0 for an empty one.
+
+    Of a set smaller than the bins nearly every shingle is in it, so that a small set's share of agreeing bins is nearly its similarity.
+    """
+    out = np.zeros(BINS, np.uint8)
+    h = np.sort(mix(shingles ^ np.uint64(0x5851F42D4C957F2D)))
+    at, first = np.unique(h >> np.uint64(55), return_index=True)
+    out[at.astype(np.int64)] = (h[first] % np.uint64(255)).astype(np.uint8) + 1
+    return out
+
+
+def likeness(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Share of agreeing bins among those that either has, of rows of sketches."""
+    return ((x == y) & (x > 0)).sum(axis=-1) / np.maximum(1, ((x | y) > 0).sum(axis=-1))
+
+
 def keys(signatures: np.ndarray) -> np.ndarray:
     """For each signature and chunk, a 64-bit key of every choice of symbols that may agree when ERRORS = 1 of them doesn't.
 
@@ -45,6 +62,13 @@ def keys(signatures: np.ndarray) -> np.ndarray:
     return mix(terms.sum(axis=2, dtype=np.uint64)[:, :, None] - terms + np.arange(SYMBOLS, dtype=np.uint64)).reshape(len(signatures), -1)
 
 
+def first_key(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Place in keys() of the first key that two signatures share, of rows of signatures that share one."""
+    agree = (x == y).reshape(len(x), CHUNKS, SYMBOLS)
+    chunk = (agree.sum(axis=2) >= SYMBOLS - ERRORS).argmax(axis=1) if len(x) else np.zeros(0, int)
+    return chunk * SYMBOLS + agree[np.arange(len(x)), chunk].argmin(axis=1)
+
+
 def similar(a: np.ndarray, b: np.ndarray, percent: int = 75) -> bool:
     """100 * intersection >= percent * union, of sorted distinct hashes."""
     if not len(a) or not len(b):
@@ -58,12 +82,15 @@ def near_duplicates(documents: DataFrame, percent: int = 75, width: int = 5, blo
 
     Equal shingle sets are one class. Two classes are candidates if their signatures agree on a chunk of symbols but for one: that
     holds for every pair of signatures in at most DISTANCE of LENGTH places, and misses a pair of similarity 0.75 with a probability
-    of 4e-5. Candidates whose set sizes allow the similarity are confirmed on full sets.
+    of 4e-5. Candidates whose set sizes and sketches allow the similarity are confirmed on full sets.
 
-    Of a key's classes, all are first compared with the least; components of those links settle groups of near copies with as
-    many comparisons as members. Keys whose classes are then in several components have all pairs across components
-    compared by signature, in blocks of a bounded size (a large group is cut, and each pair of blocks is a task), and those in
-    reach on full sets. So no link that could join two components is lost, and pairs within a component are never listed.
+    Of a key's classes, all are first compared with the least, and components of the links found settle most of a group of near
+    copies with as many comparisons as members. Of keys whose classes are then in several components, each class outside the largest
+    is compared with the one most like it by sketch in another component, then with four of them; so the
+    components grow together wherever they are linked, again with as many comparisons as members. At last all pairs that are still
+    across components are compared by sketch, and those in reach on full sets. So no link that could join two
+    components is lost, and pairs within a component are never listed. A large group is cut into blocks, and each pair of
+    blocks is a task.
 
     Null text or none: n_shingles 0, linked with nothing, own id as component. Null ids take part but are no smallest id (kept:
     both null or equal). Repeated rows are equal sets. Empty table: no rows. Other columns aren't read.
@@ -78,12 +105,12 @@ def near_duplicates(documents: DataFrame, percent: int = 75, width: int = 5, blo
             for i, th, text in zip(batch["i"].tolist(), batch["th"].tolist(), batch["t"], strict=True):
                 s = shingle_set(text, width)
                 some = len(s) > 0
-                out.append((None if pd.isna(i) else int(i), th, len(s), blake2b(s.tobytes(), digest_size=16).digest() if some else None, signature(s).tobytes() if some else None))
-            yield pd.DataFrame(out, columns=["i", "th", "n", "set", "sig"]).astype({"i": "Int64"})
+                out.append((None if pd.isna(i) else int(i), th, len(s), blake2b(s.tobytes(), digest_size=16).digest() if some else None, signature(s).tobytes() if some else None, sketch(s).tobytes() if some else None))
+            yield pd.DataFrame(out, columns=["i", "th", "n", "set", "sig", "sketch"]).astype({"i": "Int64"})
 
-    rows = space.write(d.mapInPandas(digest, "i long, th long, n long, set binary, sig binary"), "rows")
-    c = rows.where("set is not null").groupBy("set").agg(F.min("i").alias("doc"), F.min(F.struct("i", "th")).alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    c = space.write(c.withColumn("cid", F.monotonically_increasing_id()).select("cid", "set", "doc", F.col("rep.i").alias("i"), F.col("rep.th").alias("th"), "n", "sig"), "classes")
+    rows = space.write(d.mapInPandas(digest, "i long, th long, n long, set binary, sig binary, sketch binary"), "rows")
+    c = rows.where("set is not null").groupBy("set").agg(F.min("i").alias("doc"), F.min(F.struct("i", "th")).alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"))
+    c = space.write(c.withColumn("cid", F.monotonically_increasing_id()).select("cid", "set", "doc", F.col("rep.i").alias("i"), F.col("rep.th").alias("th"), "n", "sig", "sketch"), "classes")
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -91,17 +118,15 @@ def near_duplicates(documents: DataFrame, percent: int = 75, width: int = 5, blo
                 k = keys(np.frombuffer(b"".join(batch["sig"]), np.uint16).reshape(len(batch), LENGTH)).view(np.int64)
                 yield pd.DataFrame({"cid": batch["cid"], "k": list(k)})
 
-    k = c.select("cid", "sig").mapInPandas(spread, "cid long, k array<long>").select("cid", F.explode("k").alias("k"))
+    k = c.select("cid", "sig").mapInPandas(spread, "cid long, k array<long>").select("cid", F.posexplode("k").alias("p", "k"))
     hubs = k.groupBy("k").agg(F.min("cid").alias("hub"), F.max("cid").alias("top")).where("hub < top").select("k", "hub")
-    shared = space.write(k.join(hubs, "k").select("k", "hub", "cid"), "shared")
+    shared = space.write(k.join(hubs, "k").select("k", "p", "hub", "cid"), "shared")
     release(spark)
 
-    def agree(x: bytes, y: bytes) -> bool:
-        return int((np.frombuffer(x, np.uint16) == np.frombuffer(y, np.uint16)).sum()) >= AGREE
-
     @F.pandas_udf("boolean")
     def close(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([agree(a, b) for a, b in zip(x, y, strict=True)], dtype=bool)
+        rows = lambda z: np.frombuffer(b"".join(z), np.uint8).reshape(len(z), BINS)
+        return pd.Series(likeness(rows(x), rows(y)) >= REACH)
 
     @F.pandas_udf("boolean")
     def confirmed(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -112,12 +137,16 @@ def near_duplicates(documents: DataFrame, percent: int = 75, width: int = 5, blo
             out.append(similar(own, shingle_set(b, width), percent))
         return pd.Series(out, dtype=bool)
 
+    def in_reach(pairs: DataFrame) -> DataFrame:
+        """Pairs whose set sizes and sketches allow the similarity."""
+        one = c.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+        two = c.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+        near = pairs.join(one, "a").join(two, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+        return near.where(close("sa", "sb")).select("a", "b")
+
     def confirm(pairs: DataFrame, name: str) -> DataFrame:
-        """Distinct pairs (a, b) of classes -> those that are linked."""
-        one = c.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
-        two = c.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"), "i", "th")
-        p = pairs.join(one, "a").join(two, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).where(close("sa", "sb")).select("a", "b", "i", "th")
-        p = space.write(p, f"{name}-pairs")
+        """Distinct pairs (a, b) of classes in reach -> those that are linked."""
+        p = space.write(pairs.join(c.select(F.col("cid").alias("b"), "i", "th"), "b"), f"{name}-pairs")
         same = lambda x, y: F.col(f"{x}.i").eqNullSafe(F.col(f"{y}.i")) & (F.col(f"{x}.th") == F.col(f"{y}.th"))
         right = p.alias("p").join(d.alias("d"), same("p", "d")).select("p.a", "p.b", F.col("d.t").alias("tb"))
         left = p.select("a").distinct().join(c.select(F.col("cid").alias("a"), "i", "th"), "a").alias("p").join(d.alias("d"), same("p", "d")).select("p.a", F.col("d.t").alias("ta"))
@@ -125,41 +154,62 @@ def near_duplicates(documents: DataFrame, percent: int = 75, width: int = 5, blo
         release(spark)
         return links
 
-    links = confirm(shared.where("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct(), "first")
-    reach = space.write(connected_components(links, space, "part"), "reach")
-    named = shared.join(reach, F.col("cid") == F.col("node"), "left").select("k", "hub", "cid", F.coalesce("component", "cid").alias("comp"))
-    mixed = named.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("k")
-    members = space.write(named.join(mixed, "k", "left_semi"), "members")
-    dealt = block_pairs(members, ["k"], "cid", block).join(c.select("cid", "sig", "n"), "cid")
-    order = ["k", "bi", "bj"]
-    dealt = dealt.repartition(*order).sortWithinPartitions(*order)
-
-    def across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        for g in groups(batches, order):
-            sig = np.frombuffer(b"".join(g["sig"]), np.uint16).reshape(len(g), LENGTH)
-            cid, comp, n = g["cid"].to_numpy(), g["comp"].to_numpy(), g["n"].to_numpy()
-            side = g["side"].to_numpy() if g["bi"].iloc[0] != g["bj"].iloc[0] else None
-            hub = g["hub"].iloc[0]
-            for at in range(0, len(g), 256):
-                part = slice(at, at + 256)
-                # The hub is the least of all, and was compared with each.
-                ok = (cid[part, None] < cid[None, :]) & (cid[part, None] != hub) & (comp[part, None] != comp[None, :])
-                ok &= 100 * np.minimum(n[part, None], n[None, :]) >= percent * np.maximum(n[part, None], n[None, :])
-                if side is not None:
-                    ok &= side[part, None] != side[None, :]
-                i, j = np.nonzero(ok)
-                hit = (sig[part][i] == sig[j]).sum(axis=1) >= AGREE if len(i) else np.zeros(0, bool)
-                if hit.any():
-                    held.append(pd.DataFrame({"a": cid[part][i[hit]], "b": cid[j[hit]]}))
-            if len(held) > 200:
+    def across(top: int | None):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held: list[pd.DataFrame] = []
+            for g in groups(batches, order):
+                sk = np.frombuffer(b"".join(g["sketch"]), np.uint8).reshape(len(g), BINS)
+                sig = np.frombuffer(b"".join(g["sig"]), np.uint16).reshape(len(g), LENGTH)
+                place = g["p"].iloc[0]
+                cid, comp, n = g["cid"].to_numpy(), g["comp"].to_numpy(), g["n"].to_numpy()
+                side = g["side"].to_numpy() if g["bi"].iloc[0] != g["bj"].iloc[0] else None
+                parts, sizes = np.unique(comp, return_counts=True)
+                largest = parts[sizes.argmax()]
+                rest = np.flatnonzero(comp != largest)  # one of each pair across components is outside the largest
+                for at in range(0, len(rest), 32):
+                    own = rest[at : at + 32]
+                    ok = comp[own, None] != comp[None, :]
+                    ok &= 100 * np.minimum(n[own, None], n[None, :]) >= percent * np.maximum(n[own, None], n[None, :])
+                    if side is not None:
+                        ok &= side[own, None] != side[None, :]
+                    if top is None:
+                        ok &= (comp[None, :] == largest) | (cid[own, None] < cid[None, :])
+                    i, j = np.nonzero(ok)
+                    mine = first_key(sig[own[i]], sig[j]) == place  # a pair counts in the first key that it shares
+                    i, j = i[mine], j[mine]
+                    same = likeness(sk[own[i]], sk[j])
+                    keep = np.flatnonzero(same >= REACH)
+                    if top is not None and len(keep):
+                        keep = keep[np.lexsort((cid[j[keep]], -same[keep], i[keep]))]
+                        first = np.concatenate(([0], np.flatnonzero(np.diff(i[keep])) + 1))
+                        keep = keep[np.arange(len(keep)) - np.repeat(first, np.diff(np.append(first, len(keep)))) < top]
+                    if len(keep):
+                        x, y = cid[own[i[keep]]], cid[j[keep]]
+                        held.append(pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}))
+                if len(held) > 200:
+                    yield pd.concat(held).drop_duplicates()
+                    held = []
+            if held:
                 yield pd.concat(held).drop_duplicates()
-                held = []
-        if held:
-            yield pd.concat(held).drop_duplicates()
 
-    more = confirm(dealt.mapInPandas(across, "a long, b long").distinct(), "more")
-    reach = connected_components(links.unionByName(more), space, "all")
+        return run
+
+    order = ["k", "bi", "bj"]
+    tried = shared.where("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
+    links = confirm(in_reach(tried), "star")
+    for name, top in (("near", 1), ("nearer", 4), ("all", None)):
+        reach = connected_components(links, space, f"{name}-components")
+        named = shared.join(reach, F.col("cid") == F.col("node"), "left").select("k", "p", "cid", F.coalesce("component", "cid").alias("comp"))
+        mixed = named.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("k")
+        shared = space.write(named.join(mixed, "k", "left_semi").select("k", "p", "cid", "comp"), f"{name}-members")
+        dealt = block_pairs(shared, ["k"], "cid", block).join(c.select("cid", "sig", "sketch", "n"), "cid")
+        pairs = dealt.repartition(*order).sortWithinPartitions(*order).mapInPandas(across(top), "a long, b long").distinct()
+        pairs = space.write(pairs.join(tried, ["a", "b"], "left_anti"), f"{name}-candidates")
+        links = links.unionByName(confirm(pairs, name))
+        tried = tried.unionByName(pairs)
+        shared = shared.select("k", "p", "cid")
+
+    reach = connected_components(links, space, "components")
     c = c.join(reach, F.col("cid") == F.col("node"), "left").select("set", "doc", F.coalesce("component", "cid").alias("component"))
     least = c.groupBy("component").agg(F.min("doc").alias("component_id"))
     c = space.write(c.join(least, "component").select("set", "component_id"), "found")

@@ -82,6 +82,7 @@ def test_pigeonhole_holds_for_every_pair_in_reach():
         row[at] += rng.integers(1, 1 << 15, len(at)).astype(np.uint16)
     x, y = minhash.keys(a), minhash.keys(b)
     assert (x == y).any(axis=1).all()
+    assert ((x == y).argmax(axis=1) == minhash.first_key(a, b)).all()
     assert not (x[:-1] == y[1:]).any()
 
 
