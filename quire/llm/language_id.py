@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import text_batches
+
 #: Families of languages by ISO 639-1 code. A language not listed is a family of its own.
 FAMILIES = {
     "germanic": "af da de en fo fy is lb nb nl nn no sv yi",
@@ -167,6 +169,7 @@ def train(documents: DataFrame, per_lang: int = 1000, id_col: str = "doc_id", te
 
     Every labelled language is learnt, however rare. Null or letterless texts and null labels teach nothing.
     """
+    text_batches(documents.sparkSession)
     d = documents.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
     d = d.where(F.col("l").isNotNull() & F.col("t").rlike(r"\p{L}") & ~held_out(F.col("i")))
     totals = {r["l"]: r["n"] for r in d.groupBy("l").agg(F.count("*").alias("n")).collect()}
@@ -202,6 +205,7 @@ def identify(documents: DataFrame, model: Model, text_col: str = "text") -> Data
     Null text, or one without a letter: `und`, score 0; so is every text if the model has learnt nothing. Columns of documents
     named like one of the two are replaced. The model is a fixed number of weights for each pair of languages in a family and of families.
     """
+    text_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import text_batches
+
 #: Words of a leaf at most, and characters of a leaf's and a branch's digest (6 bits each).
 LEAF, LEAF_DIGEST, BRANCH_DIGEST = 8, 4, 12
 SECTION = re.compile(r"\n[ \t]*(?:\n[ \t]*)+")
@@ -106,6 +108,7 @@ def compare_neighbours(documents: DataFrame, range_bytes: int = 8 << 20, max_ran
     Null text: empty. Null ids come last. Repeated rows follow each other in any order, as they are alike. A single document
     is its own next. Empty table: no rows. Only the two columns are read.
     """
+    text_batches(documents.sparkSession)
     d = documents.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     total, low = documents.select(F.col(id_col).cast("long").alias("i"), F.octet_length(F.col(text_col)).alias("n")).agg(F.sum("n"), F.min("i")).first()
     ranges = min(max_ranges, int((total or 0) // range_bytes) + 1)

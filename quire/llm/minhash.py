@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Workspace, mix, release, shingle_set
+from quire.llm.common import Workspace, mix, release, shingle_set, text_batches
 from quire.llm.components import block_pairs, connected_components, groups
 
 #: A signature: CHUNKS of SYMBOLS each, of 16 bits. ERRORS symbols of a chunk may differ.
@@ -97,6 +97,7 @@ def near_duplicates(documents: DataFrame, percent: int = 75, width: int = 5, blo
     """
     spark = documents.sparkSession
     space = Workspace(spark)
+    text_batches(spark)
     d = documents.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).withColumn("th", F.xxhash64("t", F.length("t")))
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -166,8 +167,8 @@ def near_duplicates(documents: DataFrame, percent: int = 75, width: int = 5, blo
                 parts, sizes = np.unique(comp, return_counts=True)
                 largest = parts[sizes.argmax()]
                 rest = np.flatnonzero(comp != largest)  # one of each pair across components is outside the largest
-                for at in range(0, len(rest), 32):
-                    own = rest[at : at + 32]
+                for at in range(0, len(rest), 8):
+                    own = rest[at : at + 8]
                     ok = comp[own, None] != comp[None, :]
                     ok &= 100 * np.minimum(n[own, None], n[None, :]) >= percent * np.maximum(n[own, None], n[None, :])
                     if side is not None:

@@ -13,6 +13,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import text_batches
+
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 #: Fixed value: the pattern by which a byte-level tokenizer splits a text before its merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -182,6 +184,8 @@ def pack(documents: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1
     columns are read.
     """
 
+    text_batches(documents.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = _open.get(tokenizer) or _open.setdefault(tokenizer, Encoder(tokenizer))
         packer = Packer(size, sentence, inside, block, TaskContext.get().partitionId() << 33)

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Workspace, release, window_hashes, word_hashes
+from quire.llm.common import Workspace, release, text_batches, window_hashes, word_hashes
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -65,6 +65,7 @@ def dedup(documents: DataFrame, window: int = 50, id_col: str = "doc_id", text_c
     """
     spark = documents.sparkSession
     space = Workspace(spark)
+    text_batches(spark)
     half = window // 2
     d = documents.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).withColumn("th", F.xxhash64("t"))
 
