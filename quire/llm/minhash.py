@@ -18,8 +18,9 @@ CHUNKS, SYMBOLS, ERRORS = 10, 5, 1
 LENGTH = CHUNKS * SYMBOLS
 #: By the pigeonhole principle, signatures that differ in at most so many symbols have a chunk with at most ERRORS differing.
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
-#: Bins of a sketch, and the least share of agreeing bins of two sets in reach of 0.75: four standard deviations below it at most.
-BINS, REACH = 512, 0.67
+#: Bins of a sketch; sets of at most SMALL shingles are compared by a bound that loses no pair, others by the share of agreeing bins,
+#: which may be so many standard deviations below the similarity.
+BINS, SMALL, DEVIATIONS = 512, 64, 5.0
 _RNG = np.random.default_rng(75)
 _A = _RNG.integers(1, 2**63, LENGTH, dtype=np.uint64) | np.uint64(1)
 _B = _RNG.integers(1, 2**63, LENGTH, dtype=np.uint64)
@@ -36,10 +37,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
-    """One-permutation sketch: a byte of the least hash of each bin, 0 for an empty one.
-
-    Of a set smaller than the bins nearly every shingle is in it, so that a small set's share of agreeing bins is nearly its similarity.
-    """
+    """One-permutation sketch: a byte of the least hash of each bin, 0 for an empty one."""
     out = np.zeros(BINS, np.uint8)
     h = np.sort(mix(shingles ^ np.uint64(0x5851F42D4C957F2D)))
     at, first = np.unique(h >> np.uint64(55), return_index=True)
@@ -47,9 +45,29 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def likeness(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Share of agreeing bins among those that either has, of rows of sketches."""
-    return ((x == y) & (x > 0)).sum(axis=-1) / np.maximum(1, ((x | y) > 0).sum(axis=-1))
+def reach(percent: int) -> float:
+    """Least share of agreeing bins of two large sets of the similarity."""
+    share = percent / 100
+    return share - DEVIATIONS * (share * (1 - share) / BINS) ** 0.5
+
+
+def hidden(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How many of n shingles aren't the least of their bin, of rows of sketches."""
+    return n - (x > 0).sum(axis=-1)
+
+
+def may_link(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether sets of nx and ny shingles with these sketches may have the similarity, of rows; and their likeness.
+
+    In a bin that agrees all common shingles but one are hidden in both sets; in one that doesn't, all of them are hidden in the set
+    whose least isn't common. So the agreeing bins and the hidden shingles of both sets are at least as many as the common ones,
+    and of sets of at most SMALL shingles no pair is lost.
+    """
+    agree = ((x == y) & (x > 0)).sum(axis=-1)
+    share = agree / np.maximum(1, ((x | y) > 0).sum(axis=-1))
+    common = np.minimum(np.minimum(nx, ny), agree + hidden(x, nx) + hidden(y, ny))
+    bound = 100 * common >= percent * (nx + ny - common)
+    return np.where(np.maximum(nx, ny) <= SMALL, bound, share >= reach(percent)), share
 
 
 def keys(signatures: np.ndarray) -> np.ndarray:
@@ -82,14 +100,16 @@ def near_duplicates(documents: DataFrame, percent: int = 75, width: int = 5, blo
 
     Equal shingle sets are one class. Two classes are candidates if their signatures agree on a chunk of symbols but for one: that
     holds for every pair of signatures in at most DISTANCE of LENGTH places, and misses a pair of similarity 0.75 with a probability
-    of 4e-5. Candidates whose set sizes and sketches allow the similarity are confirmed on full sets.
+    of 4e-5. Candidates whose set sizes and sketches allow the similarity are confirmed on full sets: with sets of at most SMALL
+    shingles that is every pair of the similarity; of larger ones a sketch loses a pair of exactly the similarity with the probability
+    of DEVIATIONS standard deviations, which the README gives.
 
     Of a key's classes, all are first compared with the least, and components of the links found settle most of a group of near
     copies with as many comparisons as members. Of keys whose classes are then in several components, each class outside the largest
     is compared with the one most like it by sketch in another component, then with four of them; so the
     components grow together wherever they are linked, again with as many comparisons as members. At last all pairs that are still
-    across components are compared by sketch, and those in reach on full sets. So no link that could join two
-    components is lost, and pairs within a component are never listed. A large group is cut into blocks, and each pair of
+    across components are compared by sketch, and those in reach on full sets. So no link between candidates in reach that could
+    join two components is lost, and pairs within a component are never listed. A large group is cut into blocks, and each pair of
     blocks is a task.
 
     Null text or none: n_shingles 0, linked with nothing, own id as component. Null ids take part but are no smallest id (kept:
@@ -125,9 +145,9 @@ def near_duplicates(documents: DataFrame, percent: int = 75, width: int = 5, blo
     release(spark)
 
     @F.pandas_udf("boolean")
-    def close(x: pd.Series, y: pd.Series) -> pd.Series:
+    def close(x: pd.Series, nx: pd.Series, y: pd.Series, ny: pd.Series) -> pd.Series:
         rows = lambda z: np.frombuffer(b"".join(z), np.uint8).reshape(len(z), BINS)
-        return pd.Series(likeness(rows(x), rows(y)) >= REACH)
+        return pd.Series(may_link(rows(x), nx.to_numpy(), rows(y), ny.to_numpy(), percent)[0])
 
     @F.pandas_udf("boolean")
     def confirmed(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -143,7 +163,7 @@ def near_duplicates(documents: DataFrame, percent: int = 75, width: int = 5, blo
         one = c.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
         two = c.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
         near = pairs.join(one, "a").join(two, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-        return near.where(close("sa", "sb")).select("a", "b")
+        return near.where(close("sa", "na", "sb", "nb")).select("a", "b")
 
     def confirm(pairs: DataFrame, name: str) -> DataFrame:
         """Distinct pairs (a, b) of classes in reach -> those that are linked."""
@@ -178,8 +198,8 @@ def near_duplicates(documents: DataFrame, percent: int = 75, width: int = 5, blo
                     i, j = np.nonzero(ok)
                     mine = first_key(sig[own[i]], sig[j]) == place  # a pair counts in the first key that it shares
                     i, j = i[mine], j[mine]
-                    same = likeness(sk[own[i]], sk[j])
-                    keep = np.flatnonzero(same >= REACH)
+                    may, same = may_link(sk[own[i]], n[own[i]], sk[j], n[j], percent)
+                    keep = np.flatnonzero(may)
                     if top is not None and len(keep):
                         keep = keep[np.lexsort((cid[j[keep]], -same[keep], i[keep]))]
                         first = np.concatenate(([0], np.flatnonzero(np.diff(i[keep])) + 1))

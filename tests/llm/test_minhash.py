@@ -86,5 +86,35 @@ def test_pigeonhole_holds_for_every_pair_in_reach():
     assert not (x[:-1] == y[1:]).any()
 
 
+def of_size(rng, common, union):
+    """Two texts of distinct words: the shingles of the shorter are the first `common` of the longer's `union`."""
+    w = [f"q{rng.randrange(10**9)}" for _ in range(union + 4)]
+    return " ".join(w[: common + 4]), " ".join(w)
+
+
+@pytest.mark.parametrize(("common", "union"), [(3, 4), (6, 8), (9, 12), (48, 64), (99, 132)])
+def test_no_sketch_loses_a_small_pair(common, union):
+    rng = random.Random(common)
+    for _ in range(2000 if union < 64 else 300):
+        a, b = (minhash.shingle_set(t) for t in of_size(rng, common, union))
+        x, y = (np.array([minhash.sketch(s)]) for s in (a, b))
+        assert minhash.similar(a, b)
+        assert minhash.may_link(x, np.array([len(a)]), y, np.array([len(b)]), 75)[0].all()
+
+
+def test_small_pairs_against_brute_force(spark):
+    """Thousands of pairs of similarity 0.75 exactly; a pair may only be missed where the signatures share no key."""
+    rng = random.Random(11)
+    pairs = [of_size(rng, *shape) for shape in ((3, 4), (6, 8)) for _ in range(2000)]
+    d = spark.createDataFrame([(2 * k + m, t) for k, p in enumerate(pairs) for m, t in enumerate(p)], "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(d).collect()}
+    want = {}
+    for k, p in enumerate(pairs):
+        x, y = (minhash.keys(minhash.signature(minhash.shingle_set(t))[None]) for t in p)
+        assert all(shingles(p[0]) <= shingles(t) for t in p)
+        want |= {2 * k: 2 * k, 2 * k + 1: 2 * k if (x == y).any() else 2 * k + 1}
+    assert got == want
+
+
 def test_empty(empty):
     assert minhash.near_duplicates(empty).collect() == []
