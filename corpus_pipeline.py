@@ -10,6 +10,8 @@ from quire.llm.common import Workspace
 
 #: SQL can't express the language model, the tokenizer or the packing; the stages are held against brute force in tests/llm.
 ORACLE_SQL = None
+#: A source holds many sites, so that a line of one kind of page is on a smaller share of it than of a web host.
+SOURCE_RATIO, SOURCE_TEXTS = 0.05, 5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,8 +21,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on more than the ratio of a source's documents go; the documents stay, with what is left of their text."""
-    out = line_dedup.drop_boilerplate(docs, F.col("source"), F.col("text"))
+    """Lines in more than SOURCE_RATIO of a source's distinct texts, and in SOURCE_TEXTS at least, go; the documents stay, with what is left of their text."""
+    out = line_dedup.drop_boilerplate(docs, F.col("source"), F.col("text"), SOURCE_RATIO, SOURCE_TEXTS, distinct=True)
     out = out.withColumn("text", F.col("lines")).withColumn("n_chars", F.coalesce(F.length("lines"), F.lit(0)).cast("long"))
     return out.select(*docs.columns)
 

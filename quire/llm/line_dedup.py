@@ -25,11 +25,12 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, HOST, 1))
 
 
-def drop_boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float = 0.3, min_pages: int = 3) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float = 0.3, min_pages: int = 3, distinct: bool = False) -> DataFrame:
     """pages with columns `line_host`, `lines` (kept lines joined by LF), `n_lines` and `n_dropped`; all other columns stay.
 
     A line is dropped if it is on more than ratio of its host's pages, and on min_pages at least. A page counts once for a line
-    however often it repeats it; the host total counts all its pages. Lines are compared as they are; those of spaces alone are
+    however often it repeats it; the host total counts all its pages. If distinct, equal texts of a host count as one page, so that
+    many copies of a page don't make its own lines frequent (null texts are equal). Lines are compared as they are; those of spaces alone are
     kept and not counted. Null text: null lines, 0 and 0, still a page of its host. Null host: a host of its own. Empty table:
     no rows. A column of pages named like one of the four above is replaced.
 
@@ -41,6 +42,9 @@ def drop_boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float
     lines = F.split(F.col("x"), "\n", -1)
     hashes = F.transform(F.filter(lines, lambda x: F.trim(x) != ""), lambda x: F.xxhash64(x, F.length(x)))
     seen = pages.select(host.alias("host"), text.alias("x")).select("host", F.array_distinct(F.coalesce(hashes, F.array().cast("array<long>"))).alias("h"))
+    if distinct:
+        once = pages.select(host.alias("host"), text.alias("x")).withColumn("th", F.xxhash64("x", F.length("x")))
+        seen = once.select("host", "th", F.array_distinct(F.coalesce(hashes, F.array().cast("array<long>"))).alias("h")).dropDuplicates(["host", "th"])
     total = F.lit(None).cast("long")  # the row that counts the page itself
     counts = seen.select("host", F.explode(F.concat(F.array(total), "h")).alias("h")).groupBy("host", "h").agg(F.count("*").alias("n"))
     counts = space.write(counts.where(F.col("h").isNull() | (F.col("n") >= min_pages)), "counts")

@@ -38,6 +38,16 @@ def test_stages(spark, documents):
         docs = spark.createDataFrame(rows, out.schema) if name != "packing" else out
 
 
+def test_boilerplate_of_a_source_goes(spark):
+    """On 10 of 100 texts a line goes and its neighbours stay; on 4, in another source or in 30 copies of one text it stays."""
+    rows = [(k, f"first {k}\nall rights\nlast {k}" if k < 10 else f"first {k}\nrare\nlast {k}" if k < 14 else f"only {k}", "en", "a", 0) for k in range(100)]
+    rows += [(100 + k, "of a copy\nalike", "en", "a", 0) for k in range(30)]
+    rows += [(200, "all rights\nhere", "en", "b", 0), (201, None, "en", "a", None)]
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.drop_lines(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "").collect()}
+    want = {i: (t.replace("all rights\n", "") if s == "a" else t) if t else t for i, t, _, s, _ in rows}
+    assert got == {i: (t, len(t or "")) for i, t in want.items()}
+
+
 def test_empty(spark, empty):
     docs = empty
     for _, stage in corpus_pipeline.STAGES:
