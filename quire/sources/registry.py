@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,19 +45,27 @@ def dedupe_links(entries: DataFrame, keys: list[str], link: str, order: str, fir
     return entries.withColumn("r_", F.row_number().over(Window.partitionBy(*keys, link).orderBy(o))).where("r_ = 1").drop("r_")
 
 
-def chain(pages: DataFrame, start: DataFrame, most: int = 20) -> DataFrame:
-    """Split chapters put together: pages (url, next, body), start (chapter, url) -> (chapter, parts, body), following next until null or `most` pages.
+def chain(pages: DataFrame, start: DataFrame) -> DataFrame:
+    """Split chapters put together: pages (url, next, body), start (chapter, url) -> (chapter, parts, body), following next until null.
 
-    A round a page, each a join by URL of what is still going on; a next that a chapter had before ends it.
+    A round a page, each a join by URL of what is still going on, until nothing is; a next that a chapter had before ends it, and so does one that isn't
+    among the pages. Each round is written below spark.checkpoint.dir (a local folder where that is unset), so that no plan grows with the pages.
     """
+    spark = pages.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="quire-")
+    folder = f"{base.rstrip('/')}/chain-{uuid.uuid4().hex}"
+    atexit.register(shutil.rmtree, folder.removeprefix("file://"), True)
     step = start.select("chapter", "url", F.lit(0).alias("n"), F.array("url").alias("seen"))
-    out = None
-    for k in range(most):
+    written: list[str] = []
+    while True:
         j = step.join(pages, "url").select("chapter", "n", "body", "next", "seen")
-        out = j.select("chapter", "n", "body") if out is None else out.unionByName(j.select("chapter", "n", "body"))
-        step = j.where(F.col("next").isNotNull() & ~F.array_contains("seen", F.col("next"))).select("chapter", F.col("next").alias("url"), F.lit(k + 1).alias("n"), F.array_append("seen", F.col("next")).alias("seen"))
-        if k and k % 4 == 0 and step.isEmpty():
+        written.append(f"{folder}/{len(written)}")
+        j.write.parquet(written[-1])
+        j = spark.read.schema(j.schema).parquet(written[-1])
+        step = j.where(F.col("next").isNotNull() & ~F.array_contains("seen", F.col("next"))).select("chapter", F.col("next").alias("url"), (F.col("n") + 1).alias("n"), F.array_append("seen", F.col("next")).alias("seen"))
+        if step.isEmpty():
             break
+    out = spark.read.schema(j.schema).parquet(*written)
     parts = F.array_sort(F.collect_list(F.struct("n", "body")))
     return out.groupBy("chapter").agg(F.count("*").alias("parts"), F.array_join(F.transform(parts, lambda p: p["body"]), "").alias("body"))
 

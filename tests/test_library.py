@@ -62,6 +62,13 @@ def test_longest_prefix(spark):
     assert [r["source_name"] for r in registry.bind(u, "url", p).orderBy("id").collect()] == ["deep", "root", "root", None, None]
 
 
+def test_chain_of_many_pages_is_whole(spark):
+    pages = spark.createDataFrame([(f"u{k}", f"u{k + 1}" if k < 25 else None, f"{k},") for k in range(26)], "url string, next string, body string")
+    start = spark.createDataFrame([(1, "u0"), (2, "u20")], "chapter long, url string")
+    whole = [f"{k}," for k in range(26)]
+    assert rows(registry.chain(pages, start), "chapter") == [(1, 26, "".join(whole)), (2, 6, "".join(whole[20:]))]
+
+
 def test_chains_and_volumes(spark):
     pages = spark.createDataFrame([("u1", "u2", "a"), ("u2", "u3", "b"), ("u3", "u1", "c"), ("v", None, "d")], "url string, next string, body string")
     start = spark.createDataFrame([(1, "u1"), (2, "v")], "chapter long, url string")
