@@ -20,6 +20,16 @@ DEFAULTS = {
     "tags": 'meta[property="og:tag"], meta[name="keywords"]',
     "synopsis": 'meta[property="og:description"], meta[name="description"]',
 }
+#: What the sites of a template have in common.
+MADARA = {"title": ".post-title h1", "cover": ".summary_image a img", "author": ".author-content a[href*='manga-author']", "synopsis": ".description-summary a", "tags": ".genres-content a[rel='tag']", "chapters": "ul.main .wp-manga-chapter a", "body": "div.reading-content"}
+UUKANSHU = {"title": "dl.jieshao dd.jieshao_content h1 > a", "cover": "dl.jieshao dt.jieshao-img img", "author": "dl.jieshao dd.jieshao_content h2 > a", "synopsis": "dl.jieshao dd.jieshao_content h3", "chapters": "ul#chapterList li a", "body": "div#contentbox"}
+
+
+def _at(prefixes: str, **config: str) -> list[dict]:
+    """A row for each of a site's addresses."""
+    return [{"prefix": p, **config} for p in prefixes.split()]
+
+
 #: Prefix, encoding, and selectors of each source.
 SOURCES = [
     {"prefix": "https://www.17ktxt.com/", "title": "h1", "cover": "meta[property='og:image']", "author": "meta[property='og:novel:author']", "synopsis": "meta[property='og:description']", "chapters": "div.book_list2 ul li a", "body": "article.font_max"},
@@ -29,6 +39,24 @@ SOURCES = [
     {"prefix": "https://www.soxs.cc/", "title": ".xiaoshuo h1", "author": ".xiaoshuo h6", "cover": ".book_cover img", "chapters": ".novel_list dd a", "body": ".content"},
     {"prefix": "https://trxs.cc/", "encoding": "gb2312", "title": ".book_info h1", "cover": ".book_info img", "synopsis": ".book_info p", "author": ".book_info a", "chapters": ".book_list a", "body": ".read_chapterDetail"},
     {"prefix": "https://twkan.com/", "title": "h1", "chapters": "ul li a", "body": "div#txtcontent0"},
+    *_at("https://truyenfull.vn/ https://truyentr.info/ https://truyenfull.today/", title="h3.title, h1.title", cover=".book-thumb img, .books .book img", author=".info a[itemprop='author']", chapters=".list-chapters a, .list-chapter a", body="#chapter-c, .chapter-c"),
+    *_at("https://xtruyen.vn/", **MADARA | {"title": "meta[property='og:title'], .post-title h1", "cover": ".summary_image img", "author": ".author-content", "synopsis": ".description-summary .summary__content, .description-summary"}),
+    *_at("https://ln.hako.vn/ https://docln.net/", title=".series-name a", author=".info-value a[href*='/tac-gia/']", synopsis=".series-summary .summary-content", tags=".series-gernes a[href*='/the-loai/']", chapters=".volume-list .list-chapters a[href]", body="#chapter-content"),
+    *_at("https://www.1qxs.com/ https://m.1qxs.com/", title="h1", cover=".book-intro .cover img", author=".book-intro .author", synopsis="p#in-details", tags=".book-intro .type", chapters="a[href*='/xs_']", body="div.content"),
+    *_at("https://so.27k.net/ https://www.27k.net/ https://m.27k.net/ https://tw.27k.net/ https://www.lreads.com/", title="div.booknav2 h1 a", cover="div.bookimg2 img", author=".booknav2 p a[href*='/author/']", synopsis="div.newnav .ellipsis_2", tags=".booknav2 p a[href*='/sort/']", chapters="div#catalog ul li a", body="div.txtnav"),
+    *_at("https://www.69shuba.com/ https://www.69shu.com/ https://www.69xinshu.com/ https://www.69shu.pro/ https://www.69shuba.pro/", encoding="gbk", title="div.booknav2 h1", cover="div.bookimg2 img", author=".booknav2 p a[href*='author']", synopsis="div.navtxt", tags=".booknav2 p a[href*='/class/']", chapters="div#catalog ul li a", body="div.txtnav"),
+    *_at("https://69shuba.cx/ https://69shu.me/", encoding="gbk", title="div.booknav2 h1 a", cover="div.bookimg2 img", author=".booknav2 p a", tags="div.booknav2 > p:nth-child(4) > a", chapters="div#catalog li a", body="div.txtnav"),
+    *_at("https://www.daocaorenshuwu.com/", title=".container .book-info h1.book-name", cover=".container .media-left a img", author=".container .media-body .row div", chapters="#all-chapter a", body=".cont-text"),
+    *_at("https://www.ddxss.cc/ https://www.ddtxt8.cc/", title=".book > .info h1", cover=".book > .info .cover > img", author=".book > .info .small span", synopsis=".book > .info .intro", chapters="div.listmain a", body="div#chaptercontent"),
+    *_at("https://ixdzs8.tw/ https://ixdzs8.com/ https://tw.m.ixdzs.com/ https://www.aixdzs.com/", title="div.novel div.n-text h1", cover="div.novel div.n-img > img", author="div.novel div.n-text a.bauthor", synopsis="p#intro", chapters="ul.u-chapter > li > a", body="article.page-content section"),
+    *_at("https://www.piaotian.com/ https://www.ptwxz.com/ https://www.piaotia.com/", encoding="gbk", title="div.title", author="div.list", chapters="div.centent ul li a", body="div#content"),
+    *_at("https://www.shuhaige.net/ https://m.shuhaige.net/", title="#info h1, h1", cover="#fmimg img", author="meta[property='og:novel:author'], #info p", synopsis="#intro", chapters="a[href$='.html']", body="#content"),
+    *_at("https://www.shw5.cc/ https://www.bq99.cc/ https://www.p2wt.com/", title=".book h1", cover=".book img", author=".book .small span", synopsis=".intro dd", chapters=".listmain a:not([rel])", body="#chaptercontent"),
+    *_at("https://www.uukanshu.net/", encoding="gbk", **UUKANSHU),
+    *_at("https://tw.uukanshu.net/", encoding="utf-8", **UUKANSHU),
+    *_at("https://sj.uukanshu.net/", title=".bookname", cover=".book-info img", author=".book-info dd", chapters="ul#chapterList li a", body="#bookContent"),
+    *_at("https://www.xbanxia.com/ https://www.banxia.cc/", title="div.book-describe h1", cover="div.book-img img", author="[href*='author']", synopsis="div.book-describe .describe-html", chapters="div.book-list ul li a", body="div#nr1"),
+    *_at("https://www.xnunu.com/", title=".book-bookinfo h1.name", cover=".book-bookinfo img.thumbnail", author=".book-bookinfo p>a.btn-info", synopsis=".book-bookinfo #bookIntro", tags="ol.breadcrumb > li:nth-child(2) > a", chapters="dl.panel-chapterlist>dd>a", body="#chaptercontent"),
 ]
 _PART = re.compile(r"""([\w-]+|\*)|\#([\w-]+)|\.([\w-]+)|\[([\w:-]+)(?:([*^$]?=)(["']?)(.*?)\6)?\]|:nth-child\((\d+)\)|:not\(\[([\w:-]+)\]\)""")
 
@@ -91,7 +119,7 @@ def value_of(node: H.Node | None) -> str | None:
     if node.tag == "meta":
         return node.attrs.get("content")
     if node.tag == "img":
-        return next((node.attrs[k] for k in H.IMAGE_SOURCES if node.attrs.get(k)), None)
+        return next((node.attrs[k] for k in ("data-original", *H.IMAGE_SOURCES) if node.attrs.get(k)), None)
     return " ".join(node.text().split())
 
 
