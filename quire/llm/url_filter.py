@@ -36,11 +36,11 @@ def intervals(entries: DataFrame) -> DataFrame:
     return e.where("verdict in ('block', 'allow')").select("key", "verdict", "since", "until")
 
 
-def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str, url_col: str, time_col: str, depth: int = 3, broadcast_rows: int = 100_000) -> DataFrame:
+def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str, url_col: str, time_col: str, broadcast_rows: int = 100_000) -> DataFrame:
     """One row per capture: capture_id, capture_url, fetched_at, n_active (entries active for it then), matched (the key that
     decides, or null), keep.
 
-    Every key of a capture is joined as of its fetch time with that key's interval (since <= fetched_at < until). The longest
+    Paths are compared to the depth of the list's longest one (one max over it). Every key of a capture is joined as of its fetch time with that key's interval (since <= fetched_at < until). The longest
     key decides (a tie: the greater by code point), block: it is not kept. Without an active entry it is kept. Distinct (key, time)
     would not help against a hot host, so the list is broadcast if counting it shows at most broadcast_rows intervals; otherwise
     both sides are shuffled on the key, and Spark splits a hot key's captures, as the list has few rows for a key.
@@ -50,6 +50,7 @@ def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str, url_col: s
     """
     c = captures.select(F.col(id_col).alias("capture_id"), F.col(url_col).alias("capture_url"), F.col(time_col).alias("fetched_at"))
     held = intervals(entries)
+    depth = entries.select(F.max(F.size(F.split("key", "/", -1)) - 1)).first()[0] or 0
     if len(held.limit(broadcast_rows + 1).collect()) <= broadcast_rows:
         held = F.broadcast(held)
     spread = c.groupBy("capture_id", "capture_url", "fetched_at").agg(F.count("*").alias("same"))

@@ -49,6 +49,16 @@ def test_against_brute_force(spark, limit):
     assert sorted(got, key=key) == sorted(brute(captures), key=key)
 
 
+def test_deep_paths(spark):
+    """An entry of any number of segments matches what is below it; the longest decides."""
+    deep = "h.org/a/b/c/d/e"
+    e = spark.createDataFrame([(deep, "block", d(0)), (deep + "/f", "allow", d(0)), ("h.org/", "block", d(1))], "key string, verdict string, since timestamp")
+    urls = ["http://h.org/a/b/c/d", "http://h.org/a/b/c/d/e", "http://h.org/a/b/c/d/e/g/h", "http://h.org/a/b/c/d/e/f/g"]
+    c = spark.createDataFrame([(k, u, d(0)) for k, u in enumerate(urls)], "page_id long, url string, at timestamp")
+    got = {r["capture_id"]: (r["matched"], r["keep"]) for r in U.filter_urls(c, e, "page_id", "url", "at").collect()}
+    assert got == {0: (None, True), 1: (deep, False), 2: (deep, False), 3: (deep + "/f", True)}
+
+
 def test_empty(spark):
     c = spark.createDataFrame([(1, "http://a.org", d(1))], "page_id long, url string, at timestamp")
     e = spark.createDataFrame(ENTRIES, "key string, verdict string, since timestamp")
