@@ -15,8 +15,11 @@ SOURCE_RATIO, SOURCE_TEXTS = 0.05, 5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learn from the labelled documents; those in which no language can be told (no text, or no letter in it) go."""
-    out = language_id.identify(docs, language_id.train(docs))
+    """Learn from the labelled documents; those in which no language can be told (no text, or no letter in it) go. Without a usable label nothing is learnt, and texts with a letter stay."""
+    model = language_id.train(docs)
+    if model.predict("a")[0] == language_id.UNDETERMINED:  # of a text with a letter: only if nothing was learnt
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    out = language_id.identify(docs, model)
     return out.where(F.col("lang_pred") != language_id.UNDETERMINED).select(*docs.columns)
 
 

@@ -48,6 +48,11 @@ def test_boilerplate_of_a_source_goes(spark):
     assert got == {i: (t, len(t or "")) for i, t in want.items()}
 
 
+def test_without_labels_texts_stay(spark):
+    d = spark.createDataFrame([(1, "some text", None, "a", 9), (2, "12 34", None, "a", 5), (3, None, None, "a", None)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r["doc_id"] for r in corpus_pipeline.identify_language(spark, d, "").collect()] == [1]
+
+
 def test_empty(spark, empty):
     docs = empty
     for _, stage in corpus_pipeline.STAGES:
