@@ -44,7 +44,7 @@ def split_lines(c: Column) -> Column:
 def count_of(c: Column, what: str | Column) -> Column:
     """Occurrences that don't overlap."""
     what = F.lit(what) if isinstance(what, str) else what
-    return ((F.length(c) - F.length(F.replace(c, what, F.lit("")))) / F.length(what)).cast("int")
+    return ((F.octet_length(c) - F.octet_length(F.replace(c, what, F.lit("")))) / F.octet_length(what)).cast("int")
 
 
 def balanced(c: Column) -> Column:
@@ -110,6 +110,11 @@ def sentence_around(c: Column, what: Column) -> Column:
     return F.when(at > 0, strip(F.concat(before, what, after)))
 
 
+def sentences(c: Column) -> Column:
+    """All sentences of a text, each with the mark that ends it."""
+    return F.regexp_extract_all(c, F.lit(r"[^。！？!?；\n]*[。！？!?；\n]|[^。！？!?；\n]+"), F.lit(0))
+
+
 def strip_title_wrapper(c: Column) -> Column:
     return F.regexp_replace(c, r"(?iU)^\s*(?:Chương|Chapter)\s*\d+\s*[:：.\-]?\s*", "")
 

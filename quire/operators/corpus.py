@@ -6,7 +6,6 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quire.functions import numbers as N
 from quire.functions import text as X
@@ -22,27 +21,41 @@ REFERENCE = r"^(?:中|里|里面)(?:记载|提到|描述|说过|写道)|^(?:所
 RULE = r"^-{20,}$"
 
 
+def _numbered(text: Column) -> Column:
+    """Lines of a text that aren't blank, with their numbers: array of (line, text)."""
+    parts = F.split(X.normalize_newlines(text), "\n", -1)
+    return F.filter(F.transform(parts, lambda x, k: F.struct((k + 1).alias("line"), x.alias("text"))), lambda x: X.has_text(x["text"]))
+
+
 def lines(docs: DataFrame, id_: str, text: str) -> DataFrame:
     """(id, line, text) of lines that aren't blank, with their numbers in the source."""
-    parts = F.split(X.normalize_newlines(F.col(text)), "\n", -1)
-    return docs.select(F.col(id_).alias("id"), F.posexplode(parts).alias("pos", "text")).where(X.has_text(F.col("text"))).select("id", (F.col("pos") + 1).alias("line"), "text")
+    return docs.select(F.col(id_).alias("id"), F.explode(_numbered(F.col(text))).alias("l")).select("id", "l.line", "l.text")
 
 
-def paragraphs(lines_: DataFrame) -> DataFrame:
-    """lines -> with pos (1, 2, ... in each id), pid and the lines around."""
-    w = Window.partitionBy("id").orderBy("line")
-    out = lines_.withColumn("pos", F.row_number().over(w))
-    return out.withColumns({"pid": X.paragraph_id(F.col("id"), F.col("pos")), "previous": F.lag("text").over(w), "following": F.lead("text").over(w)})
+def paragraphs(docs: DataFrame, id_: str, text: str) -> DataFrame:
+    """(id, line, text, pos, pid, previous, following): lines that aren't blank, numbered 1, 2, ... in each text, and the lines around.
+
+    A text's lines are numbered and meet their neighbours in its own row, by arrays beside each other, so nothing is shuffled.
+    """
+    d = docs.select(F.col(id_).alias("id"), _numbered(F.col(text)).alias("l"))
+    d = d.select("id", F.col("l.line").alias("line"), F.col("l.text").alias("text"))
+    none, rest = F.array(F.lit(None).cast("string")), F.greatest(F.size("text") - 1, F.lit(0))
+    z = F.arrays_zip("line", "text", F.concat(none, F.slice("text", F.lit(1), rest)).alias("previous"), F.concat(F.slice("text", F.lit(2), rest), none).alias("following"))
+    d = d.where(F.size("text") > 0).select("id", F.posexplode(z).alias("p", "z")).select("id", "z.line", "z.text", (F.col("p") + 1).alias("pos"), "z.previous", "z.following")
+    return d.withColumn("pid", X.paragraph_id(F.col("id"), F.col("pos")))
 
 
 def section_after(docs: DataFrame, id_: str, text: str) -> DataFrame:
     """(id, pos) of lines after which a blank line follows before the next."""
-    parts = F.split(X.normalize_newlines(F.col(text)), "\n", -1)
-    e = docs.select(F.col(id_).alias("id"), F.posexplode(parts).alias("line", "text")).withColumn("full", X.has_text(F.col("text")))
-    w = Window.partitionBy("id").orderBy("line")
-    e = e.withColumn("gap", ~F.lead("full").over(w)).where("full")
-    e = e.withColumns({"pos": F.row_number().over(w), "last": F.lead("line").over(w).isNull()})
-    return e.where("gap and not last").select("id", "pos")
+    d = docs.select(F.col(id_).alias("id"), F.transform(_numbered(F.col(text)), lambda x: x["line"]).alias("line")).where(F.size("line") > 1)
+    z = F.arrays_zip("line", F.slice("line", F.lit(2), F.size("line") - 1).alias("next"))
+    return d.select("id", F.posexplode(z).alias("p", "z")).where("z.next > z.line + 1").select("id", (F.col("p") + 1).alias("pos"))
+
+
+def running_chars(docs: DataFrame, id_: str, text: str) -> DataFrame:
+    """(id, pos, chars): characters of a text's lines up to each; only their lengths are ordered."""
+    d = docs.select(F.col(id_).alias("id"), F.posexplode(F.transform(_numbered(F.col(text)), lambda x: F.length(x["text"]))).alias("p", "n"))
+    return d.select("id", (F.col("p") + 1).alias("pos"), F.sum("n").over(Window.partitionBy("id").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)).alias("chars"))
 
 
 def clamped_depth(ordered: DataFrame, keys: list[str], order: list[str], step: Column) -> DataFrame:
@@ -68,24 +81,20 @@ def chunk_groups(chapters: DataFrame, keys: list[str], order: list[str], id_: st
 
 def import_sections(texts: DataFrame, id_: str, text: str, title: str) -> DataFrame:
     """(id, section, title, body) of decoded plain texts: cut before each heading line; what comes before the first is a section
-    titled by the file, and so is a text without headings. A body is its paragraphs in <p>, parted by blank lines, with <br/> for line ends."""
-    parts = F.posexplode(F.split(F.col(text), "\n", -1)).alias("line", "x")
-    e = texts.select(F.col(id_).alias("id"), F.col(title).alias("file"), parts)
-    head = F.coalesce(F.col("x").rlike(IMPORT_HEADING), F.lit(False))
-    e = number_by(e.withColumn("head", head), ["id"], ["line"], F.col("head"), "part")
-    ordered = F.array_sort(F.collect_list(F.struct("line", "x")))
-    g = e.groupBy("id", "file", "part").agg(F.transform(ordered, lambda s: s["x"]).alias("x"))
-    body = F.array_join("x", "\n")
-    g = g.where((F.col("part") > 0) | X.has_text(body))
-    escaped = F.replace(F.replace(F.replace(F.replace(F.replace(body, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;")), F.lit("'"), F.lit("&#x27;"))
-    html = F.array_join(F.transform(F.filter(F.split(escaped, r"\n[ \t]*\n", -1), lambda p: p != ""), lambda p: F.concat(F.lit("<p>"), F.replace(p, F.lit("\n"), F.lit("<br/>")), F.lit("</p>"))), "")
-    g = g.select("id", "part", F.when(F.col("part") == 0, F.col("file")).otherwise(X.strip(F.col("x")[0])).alias("title"), html.alias("body"))
-    return g.select("id", F.row_number().over(Window.partitionBy("id").orderBy("part")).alias("section"), "title", "body")
-
-
-@F.udf(T.LongType())
-def _number(value: str) -> int | None:
-    return N.chapter_number(value) if value else None
+    titled by the file, and so is a text without headings. A body is its paragraphs in <p>, parted by blank lines, with <br/> for line ends.
+
+    Heading lines get a NUL, which decoded texts don't have, and the text is split there: all in its own row, without a shuffle.
+    """
+    marked = F.transform(F.split(F.col(text), "\n", -1), lambda x: F.when(x.rlike(IMPORT_HEADING), F.concat(F.lit("\0"), x)).otherwise(x))
+    e = texts.select(F.col(id_).alias("id"), F.col(title).alias("file"), F.split(F.array_join(marked, "\n"), r"\n?\x00", -1).alias("parts"))
+    e = e.withColumn("opens", X.has_text(F.col("parts")[0])).select("id", "file", "opens", F.posexplode("parts").alias("part", "x")).where("part > 0 or opens")
+    escaped = F.col("x")
+    for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        escaped = F.replace(escaped, F.lit(mark), F.lit(entity))
+    paragraph = lambda p: F.concat(F.lit("<p>"), F.replace(p, F.lit("\n"), F.lit("<br/>")), F.lit("</p>"))
+    html = F.array_join(F.transform(F.filter(F.split(escaped, r"\n[ \t]*\n", -1), lambda p: p != ""), paragraph), "")
+    name = F.when(F.col("part") == 0, F.col("file")).otherwise(X.strip(F.substring_index("x", "\n", 1)))
+    return e.select("id", (F.col("part") + F.col("opens").cast("int")).alias("section"), name.alias("title"), html.alias("body"))
 
 
 def parse_chapters(texts: DataFrame, id_: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -107,7 +116,7 @@ def parse_chapters(texts: DataFrame, id_: str, text: str) -> tuple[DataFrame, Da
             "rule": F.col("x").rlike(RULE),
             "head": looks & ~refers,
             "malformed": ~looks & F.col("x").rlike(LIKE_HEADING),
-            "n": F.when(looks & ~refers, _number(F.regexp_extract("x", CHAPTER_HEADING, 1))),
+            "n": F.when(looks & ~refers, N.chapter_number(F.regexp_extract("x", CHAPTER_HEADING, 1))),
             "rest": X.strip(rest),
         }
     )

@@ -20,9 +20,60 @@ def missing(toc: DataFrame, chapters: DataFrame) -> DataFrame:
     return toc.join(chapters, KEY, "left_anti")
 
 
-def saved_in_order(toc: DataFrame, chapters: DataFrame) -> DataFrame:
-    """Saved chapters by the table of contents, for an export."""
-    return toc.select(*KEY).join(chapters, KEY)
+def saved_in_order(toc: DataFrame, chapters: DataFrame, order: str = "id", required: bool = False) -> DataFrame:
+    """Saved chapters in the order of the table of contents, for an export. required: none at all is an error."""
+    place = [c for c in (order,) if c not in KEY]
+    out = toc.select(*KEY, *place).join(chapters, KEY)
+    if required and out.isEmpty():
+        raise ValueError("no chapter is saved")
+    return out.orderBy("book", order).drop(*place)
+
+
+def upsert_books(books: DataFrame, new: DataFrame) -> DataFrame:
+    """books with new ones in the place of those of the same name; of several rows of a book the last saved."""
+    latest = new.groupBy("book").agg(F.max_by(F.struct(*new.columns), F.struct("saved_at", F.struct(*[c for c in new.columns if c != "book"]))).alias("b")).select("b.*")
+    return books.join(latest.select("book"), "book", "left_anti").unionByName(latest)
+
+
+def delete_books(books: DataFrame, gone: DataFrame) -> DataFrame:
+    return books.join(gone.select("book"), "book", "left_anti")
+
+
+def successful(chapters: DataFrame) -> DataFrame:
+    """Chapters that were fetched; an unknown outcome isn't one."""
+    return chapters.where(F.coalesce(F.col("success"), F.lit(False)))
+
+
+def selected(toc: DataFrame, first: int | None = None, last: int | None = None) -> DataFrame:
+    """Of each book its first chapters, or its last; if both are given, the first."""
+    if first:
+        return toc.withColumn("r_", F.row_number().over(Window.partitionBy("book").orderBy("id"))).where(F.col("r_") <= first).drop("r_")
+    if last:
+        return toc.withColumn("r_", F.row_number().over(Window.partitionBy("book").orderBy(F.col("id").desc()))).where(F.col("r_") <= last).drop("r_")
+    return toc
+
+
+def only(toc: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Chapters that are asked for (book, id)."""
+    return toc.join(wanted.select(*KEY), KEY, "left_semi")
+
+
+def complete_chunk(toc: DataFrame, asked: DataFrame, size: int = 100) -> DataFrame:
+    """(book, chunk_start, complete): are the ids asked for in a chunk exactly those that the table of contents has there?"""
+    side = lambda d, k: d.select("book", X.chunk_start(F.col("id"), size).alias("chunk_start"), "id").distinct().withColumn(k, F.lit(1))
+    j = side(asked, "a").join(side(toc, "t"), ["book", "chunk_start", "id"], "full")
+    return j.groupBy("book", "chunk_start").agg(F.count("a").alias("n"), (F.count_if(F.col("a").isNull() | F.col("t").isNull()) == 0).alias("complete")).where("n > 0").drop("n")
+
+
+def job_counts(results: DataFrame) -> DataFrame:
+    """(job, success_count, failed_count) of results (job, success)."""
+    ok = F.coalesce(F.col("success"), F.lit(False))
+    return results.groupBy("job").agg(F.count_if(ok).alias("success_count"), F.count_if(~ok).alias("failed_count"))
+
+
+def active_books(jobs: DataFrame) -> DataFrame:
+    """Books with a job that is pending, running or stopping."""
+    return jobs.where(F.col("status").isin("pending", "running", "stopping")).select("book").distinct()
 
 
 def summary(books: DataFrame, toc: DataFrame, chapters: DataFrame) -> DataFrame:
@@ -84,7 +135,7 @@ def export_chunks(chapters: DataFrame, per_file: int = 100) -> DataFrame:
 
 def write_text(exported: DataFrame, path: str, text: str = "text") -> None:
     """One folder for each book and file, one text file in each: exported (book, file, id, text), chapters in id order; earlier files go."""
-    body = F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", F.col(text).alias("t")))), lambda s: s["t"]), "\n"), F.lit(""))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", F.col(text).alias("t")))), lambda s: s["t"]), "\n")
     out = exported.groupBy("book", "file").agg(body.alias("value"))
     out.write.mode("overwrite").partitionBy("book", "file").text(path)
 
@@ -124,3 +175,40 @@ def latest_legacy_job(jobs: DataFrame, markers: DataFrame, raw_hash: Column, dic
     """Of jobs (job, raw_hash, dictionary_hash, mtime) with equal inputs and without a version marker, the newest."""
     same = jobs.join(markers, "job", "left_anti").where((F.col("raw_hash") == raw_hash) & (F.col("dictionary_hash") == dictionary_hash))
     return same.agg(F.max_by("job", F.struct("mtime", "job")).alias("job")).where("job is not null")
+
+
+#: What a stage of a job is called.
+STAGES = {
+    "Parsing RAW": "Parsing RAW", "Local parsing": "Parsing chapters", "Pre-dictionary resolution": "Resolving terminology", "Post-dictionary review": "Reviewing remaining terminology",
+    "Local terminology scan": "Discovering terminology", "Terminology candidates ready": "Resolving terminology", "Dictionary resolution": "Resolving terminology",
+    "Terminology resolution": "Resolving terminology", "Reviewing ignored candidates": "Reviewing ignored candidates", "Dictionary frozen": "Freezing dictionary", "Translating": "Translating",
+    "Local final global audit": "Final audit", "Complete": "Completed", "Queued": "Preparing inputs",
+}
+ENDED = {"failed": "Failed", "cancelled": "Cancelled", "deleting": "Deleting batch"}
+
+
+def job_display(jobs: DataFrame, chapters: DataFrame) -> DataFrame:
+    """(job, display_title, book_title, chapter_start, chapter_end, total_chapters, stage_label) of jobs (job, status, stage, source_name, book_title, chapter_start,
+    chapter_end, total_chapters) and what they parsed, chapters (job, number)."""
+    n = chapters.where("number is not null").groupBy("job").agg(F.min("number").alias("lo"), F.max("number").alias("hi"), F.count("*").alias("n"))
+    j = jobs.join(n, "job", "left")
+    some = lambda c: F.nullif(c, F.lit(""))
+    stem = lambda c: F.regexp_replace(F.regexp_replace(c, r"^.*/(?=[^/])|/+$", ""), r"(?<=[^.])\.[^.]+$", "")
+    source = stem(F.coalesce(some(F.col("source_name")), some(F.col("book_title"))))
+    book = stem(F.coalesce(some(F.col("book_title")), source))
+    start, end, total = (F.coalesce(a, b) for a, b in (("chapter_start", "lo"), ("chapter_end", "hi"), ("total_chapters", "n")))
+    title = (
+        F.when(start.isNotNull() & end.isNotNull(), F.concat(book, F.lit(" · Ch. "), start.cast("string"), F.lit("–"), end.cast("string")))
+        .when(total.isNotNull(), F.concat(book, F.lit(" · "), total.cast("string"), F.lit(" chapters")))
+        .otherwise(source)
+    )
+    label = lambda names, c: F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[c]
+    stage = F.coalesce(label(ENDED, F.col("status")), label(STAGES, F.col("stage")), F.col("stage"), F.col("status"), F.lit("Unknown"))
+    shown = F.coalesce(title, F.concat(F.lit("Translation batch "), F.substring("job", 1, 8)))
+    return j.select("job", shown.alias("display_title"), book.alias("book_title"), start.alias("chapter_start"), end.alias("chapter_end"), total.alias("total_chapters"), stage.alias("stage_label"))
+
+
+def find_chapter(path: str, spark, book: str, id_: int) -> DataFrame:
+    """One chapter of a library that store.write_chapters() wrote: only its book's and its hundred's folder is read."""
+    chunk = f"{(id_ - 1) // 100 * 100 + 1:04d}-{(id_ - 1) // 100 * 100 + 100:04d}"
+    return spark.read.json(path).where((F.col("book") == book) & (F.col("chunk") == chunk) & (F.col("id") == id_))

@@ -5,7 +5,8 @@ A dictionary is entries(source, translation, type, gender, status, aliases array
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -57,6 +58,8 @@ PATTERNS = {
     "subject": f"(?:^|[。！？；，、：“「])\\s*({HAN}{{2,3}})(?=把|被|没有|没|不|已|就|还|这才|是|在|向|从|将|跟|与)",
     "titled": f"({HAN}{{1,3}}(?:探员|长官|先生|小姐|老板|队长|局长|老师|哥|姐))",
 }
+#: Fixed pattern: titles that end an alias.
+TITLE_END = "(?:探员|长官|先生|小姐|老板|队长|局长|老师|哥|姐)$"
 QUOTED = f"《({HAN}{{2,8}})》"
 MARKERS = "先生 长官 皇帝 皇后 协会 宗门 学院 书院 城 担任 任命 名叫 名为 被称为 称作 创立 提出 发明 著有 来自".split()
 
@@ -103,80 +106,197 @@ def migrate(entries: DataFrame, version: int) -> tuple[DataFrame, DataFrame]:
     return e.drop("was_type", "was_gender"), log
 
 
-def merge_entries(entries: DataFrame, additions: DataFrame, raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Add new entries (source, translation, type, gender, status, aliases) that the texts of raw (text) have: (merged, problems).
+ENTRY = ["source", "translation", "type", "gender", "status", "aliases"]
 
-    All or nothing: with any problem the merged entries are those from before. An equal entry again is no problem.
+
+def owner_proof(pairs: DataFrame, characters: DataFrame, raw: DataFrame) -> DataFrame:
+    """pairs (owner, type, alias) -> with proven: does an alias belong to its owner beyond doubt?
+
+    It does if a line of raw (text) has both; and for a character, if the alias starts with the surname and ends in a title while no other character has
+    that surname, or starts with the name's last character and ends in 哥 or 姐 while no other character's name ends so. characters (source) are all there
+    are. Lines meet surfaces by locked_matches(), so no line is compared with every surface.
     """
-    s = surfaces(entries)
-    same = ["source", "translation", "type", "gender", "status", "aliases"]
-    new = additions.join(entries.select(same), same, "left_anti")
-    n = surfaces(new)
-    found = n.join(raw.select(F.col("text").alias("t_")), F.contains("t_", F.col("surface")), "left_semi")
-    problems = (
-        new.where(source_problem(F.col("source")).isNotNull()).select("source", F.lit("invalid source").alias("problem"))
-        .unionByName(n.join(found, "surface", "left_anti").select(F.col("owner").alias("source"), F.lit("unattested").alias("problem")))
-        .unionByName(n.join(s.select("surface"), "surface", "left_semi").select(F.col("owner").alias("source"), F.lit("locked already").alias("problem")))
-        .distinct()
-    )
-    merged = entries.unionByName(new.select(entries.columns).join(problems.limit(1).select(F.lit(True).alias("bad")), F.lit(True), "left_anti"))
-    merged = merged.withColumn("aliases", F.array_sort("aliases"))
-    problems = problems.unionByName(dictionary_problems(merged))
-    return merged, problems
+    wanted = pairs.select(F.explode(F.array("owner", "alias")).alias("surface")).distinct()
+    numbered = raw.select(F.explode(X.split_lines(F.col("text"))).alias("line")).distinct()
+    found = substrings(numbered, ["line"], "line", wanted)
+    both = pairs.select("owner", "alias").distinct().join(found.select("line", F.col("surface").alias("owner")), "owner").join(found.select("line", F.col("surface").alias("alias")), ["line", "alias"])
+    both = both.select("owner", "alias").distinct().withColumn("together", F.lit(True))
+    c = characters.select("source").distinct()
+    shared = lambda part, name: c.groupBy(part(F.col("source")).alias("key")).agg(F.count("*").alias("n")).select("key", F.col("n").alias(name))
+    head, tail = (lambda x: F.substring(x, 1, 1)), (lambda x: F.right(x, F.lit(1)))
+    p = pairs.join(both, ["owner", "alias"], "left")
+    p = p.join(shared(head, "same_head").withColumnRenamed("key", "head_"), head(F.col("owner")) == F.col("head_"), "left").join(shared(tail, "same_tail").withColumnRenamed("key", "tail_"), tail(F.col("owner")) == F.col("tail_"), "left")
+    others = lambda n: F.coalesce(F.col(n), F.lit(0)) <= 1  # noqa: E731  (itself)
+    titled = F.startswith("alias", head(F.col("owner"))) & F.col("alias").rlike(TITLE_END)
+    familiar = F.startswith("alias", tail(F.col("owner"))) & F.col("alias").rlike("[哥姐]$")
+    person = (F.col("type") == "character") & F.when(titled, others("same_head")).otherwise(familiar & others("same_tail"))
+    return p.withColumn("proven", F.coalesce("together", F.lit(False)) | F.coalesce(person, F.lit(False))).select(*pairs.columns, "proven")
+
+
+def merge_entries(entries: DataFrame, additions: DataFrame, raw: DataFrame, aliases: DataFrame | None = None, allow_unattested: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Add new entries and then new aliases (owner, alias, translation) that the texts of raw (text) have: (merged, problems: source, problem).
+
+    All or nothing: what would be merged is checked whole, by itself, and with any problem the merged entries are those from before. An equal entry or
+    alias again is no problem. allow_unattested: neither occurrence in raw nor proof of ownership is asked for.
+    """
+    have = surfaces(entries)
+    new = additions.select(ENTRY).join(entries.select(ENTRY), ENTRY, "left_anti")
+    own = surfaces(new)
+    spark = entries.sparkSession
+    extra = spark.createDataFrame([], "owner string, alias string, translation string") if aliases is None else aliases.select("owner", "alias", "translation")
+    known = have.unionByName(own).select("owner", F.col("surface").alias("alias"), F.col("target").alias("translation"))
+    extra = extra.join(known, ["owner", "alias", "translation"], "left_anti")
+    every = entries.select("source", "type").unionByName(new.select("source", "type")).distinct()
+    asked = own.select("owner", "surface").unionByName(extra.select("owner", F.col("alias").alias("surface"))).distinct()
+    say = lambda d, source, text: d.select(F.col(source).alias("source"), F.lit(text).alias("problem"))
+    problems = [
+        say(new.where(source_problem(F.col("source")).isNotNull()), "source", "invalid source"),
+        say(asked.where(F.col("surface") != F.col("owner")).where(source_problem(F.col("surface")).isNotNull()), "surface", "invalid alias"),
+        say(asked.join(have.select("surface"), "surface", "left_semi"), "owner", "locked already"),
+        say(extra.join(every, F.col("owner") == F.col("source"), "left_anti"), "owner", "unknown owner"),
+    ]
+    if not allow_unattested:
+        found = substrings(raw.select("text").distinct(), ["text"], "text", asked.select("surface").distinct()).select("surface").distinct()
+        problems.append(say(asked.join(found, "surface", "left_anti"), "owner", "unattested"))
+        pairs = asked.where("surface <> owner").join(every, F.col("owner") == F.col("source")).select("owner", "type", F.col("surface").alias("alias"))
+        problems.append(say(owner_proof(pairs, every.where("type = 'character'"), raw).where("not proven"), "alias", "owner not proven"))
+    grown = entries.select(ENTRY).unionByName(new)
+    more = extra.groupBy("owner").agg(F.collect_set(F.struct(F.col("alias").alias("source"), "translation")).alias("more"))
+    empty = F.array().cast("array<struct<source:string,translation:string>>")
+    grown = grown.join(more, F.col("source") == F.col("owner"), "left")
+    grown = grown.withColumn("aliases", F.array_sort(F.concat(F.coalesce("aliases", empty), F.coalesce("more", empty)))).select(ENTRY)
+    found = dictionary_problems(grown)
+    for p in problems:
+        found = found.unionByName(p)
+    found = found.distinct()
+    stop = found.limit(1).select(F.lit(True).alias("stop_"))
+    gate = lambda d, how: d.join(F.broadcast(stop), F.lit(True), how)  # noqa: E731  (at most one row)
+    same = entries.select(ENTRY).withColumn("aliases", F.array_sort("aliases"))
+    return gate(grown, "left_anti").unionByName(gate(same, "left_semi")), found
+
+
+def frozen_conflicts(entries: DataFrame, frozen: DataFrame) -> DataFrame:
+    """Sources that a frozen older dictionary has with another translation, type, gender or status: (source, field, now, was)."""
+    fields = ["translation", "type", "gender", "status"]
+    j = entries.alias("a").join(frozen.alias("b"), "source")
+    differ = F.array_compact(F.array(*[F.when(~F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}")), F.struct(F.lit(f).alias("field"), F.col(f"a.{f}").alias("now"), F.col(f"b.{f}").alias("was"))) for f in fields]))
+    return j.select("source", F.explode(differ).alias("d")).select("source", "d.*")
+
+
+def take_over_frozen(entries: DataFrame, frozen: DataFrame, raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A frozen dictionary's missing entries, and its entries' missing aliases, into a newer one: (merged, problems). A conflict refuses all."""
+    missing = frozen.join(entries, "source", "left_anti")
+    common = frozen.join(entries, "source", "left_semi").select(F.col("source").alias("owner"), F.explode("aliases").alias("a")).select("owner", F.col("a.source").alias("alias"), "a.translation")
+    merged, problems = merge_entries(entries, missing, raw, common, allow_unattested=True)
+    conflicts = frozen_conflicts(entries, frozen).select("source", F.concat(F.lit("frozen "), "field").alias("problem"))
+    stop = conflicts.limit(1).select(F.lit(True).alias("stop_"))
+    old = entries.select(ENTRY).withColumn("aliases", F.array_sort("aliases"))
+    gated = merged.join(F.broadcast(stop), F.lit(True), "left_anti").unionByName(old.join(F.broadcast(stop), F.lit(True), "left_semi"))
+    return gated, problems.unionByName(conflicts)
 
 
 # ------------------------------------------------------------------ matching
 
 
-def _longest(text: str, terms: dict[str, list[str]]) -> list[tuple[int, str]]:
-    """Places of terms that don't overlap: longer before shorter, then the one further left. terms: by first character."""
-    hits = [(-len(t), p, t) for p, c in enumerate(text) for t in terms.get(c, ()) if text.startswith(t, p)]
-    taken, out = bytearray(len(text)), []
-    for n, p, t in sorted(hits):
+def _taken(text: str, hits: Iterable[tuple[int, str]]) -> list[tuple[int, str]]:
+    """Of (start, term) hits those that stay when longer ones go first, then those further left, and none overlaps one that stays."""
+    starts: list[int] = []
+    ends: list[int] = []
+    out: list[tuple[int, str]] = []
+    for start, term in sorted(hits, key=lambda h: (-len(h[1]), h)):
+        end = start + len(term)
+        k = bisect_right(starts, start)
+        clear = (k == 0 or ends[k - 1] <= start) and (k == len(starts) or starts[k] >= end)
         # A fixed exception: this institution's name inside an enumeration of variables.
-        if t == "里甲" and text[p + 2 : p + 4] == "乙丙":
-            continue
-        if not any(taken[p : p - n]):
-            taken[p : p - n] = b"\1" * -n
-            out.append((p, t))
-    return sorted(out)
+        if clear and not (term == "里甲" and text.startswith("乙丙", end)):
+            starts.insert(k, start)
+            ends.insert(k, end)
+            out.insert(k, (start, term))
+    return out
+
+
+class Trie:
+    """Finds every term at every place of a text in one pass."""
+
+    def __init__(self, terms: Iterable[str]):
+        from ahocorasick import Automaton
+
+        self.automaton = Automaton()
+        for t in terms:
+            self.automaton.add_word(t, t)
+        if len(self.automaton):
+            self.automaton.make_automaton()
+
+    def hits(self, text: str | None) -> list[tuple[int, str]]:
+        return [(end + 1 - len(t), t) for end, t in self.automaton.iter(text)] if text and len(self.automaton) else []
+
+
+_tries: dict[int, tuple[object, Trie]] = {}
+
+
+def _trie(shared) -> Trie:
+    """The trie of a broadcast list, built once in each worker process."""
+    terms = shared.value
+    if id(terms) not in _tries:
+        _tries.clear()
+        _tries[id(terms)] = terms, Trie(terms)
+    return _tries[id(terms)][1]
+
+
+def _cut_parts(texts: DataFrame, keys: list[str], text: str, surfaces_: DataFrame) -> DataFrame:
+    """(keys, surface) by a join on each text's substrings of the lengths that surfaces have: for more surfaces than a task may hold."""
+    lengths = surfaces_.agg(F.collect_set(F.length("surface")).alias("ns"))
+    cut = texts.select(*keys, F.col(text).alias("t_")).join(F.broadcast(lengths))  # one row: the distinct lengths of terms
+    places = lambda n: F.sequence(F.lit(1), F.greatest(F.length("t_") - n + 1, F.lit(1)))
+    parts = F.array_distinct(F.flatten(F.transform("ns", lambda n: F.transform(places(n), lambda p: F.substring(F.col("t_"), p, n)))))
+    return cut.select(*keys, F.explode(parts).alias("surface")).join(surfaces_.select("surface").distinct(), "surface", "left_semi")
+
+
+def _few(surfaces_: DataFrame, most: int) -> list[str] | None:
+    """The distinct surfaces if there are at most `most`, counted first."""
+    s = surfaces_.select("surface").where("surface <> ''").distinct()
+    return None if s.limit(most + 1).count() > most else sorted(r[0] for r in s.collect())
+
+
+def substrings(texts: DataFrame, keys: list[str], text: str, surfaces_: DataFrame, most: int = 200_000) -> DataFrame:
+    """(keys, surface) of the surfaces that each text has anywhere, once each; overlaps count."""
+    listed = _few(surfaces_, most)
+    if listed is None:
+        return _cut_parts(texts, keys, text, surfaces_.where("surface <> ''"))
+    shared = texts.sparkSession.sparkContext.broadcast(listed)
+
+    @F.pandas_udf("array<string>")
+    def inside(values: pd.Series) -> pd.Series:
+        trie = _trie(shared)
+        return values.map(lambda t: sorted({w for _, w in trie.hits(t)}))
+
+    return texts.select(*keys, F.explode(inside(F.col(text))).alias("surface"))
 
 
 def locked_matches(paragraphs: DataFrame, keys: list[str], text: str, surfaces_: DataFrame, most: int = 200_000) -> DataFrame:
     """(keys, position, surface) of the dictionary's surfaces in each text: the longest first, then the leftmost, none overlapping.
 
-    A dictionary of up to `most` surfaces, counted first, goes to each task as an index by first character. A larger one is joined on each text's
-    substrings of the lengths that surfaces have, and only the overlaps of a text's own matches are resolved in the kernel.
+    A dictionary of up to `most` surfaces, counted first, goes to each task, where a trie of it is built once a process. A larger one is joined on each
+    text's substrings of the lengths that surfaces have, and each text gets a trie of its own surfaces.
     """
-    listed = [r[0] for r in surfaces_.select("surface").where("surface <> ''").distinct().limit(most + 1).collect()]
-    index: dict[str, list[str]] | None = None
-    if len(listed) <= most:
-        index = {}
-        for t in listed:
-            index.setdefault(t[0], []).append(t)
-        shared = paragraphs.sparkSession.sparkContext.broadcast(index)
-
-        @F.pandas_udf("array<struct<position:int,surface:string>>")
+    schema = "array<struct<position:int,surface:string>>"
+    rows = lambda t, trie: [{"position": p, "surface": s} for p, s in _taken(t or "", trie.hits(t))]
+    listed = _few(surfaces_, most)
+    if listed is not None:
+        shared = paragraphs.sparkSession.sparkContext.broadcast(listed)
+
+        @F.pandas_udf(schema)
         def match(texts: pd.Series) -> pd.Series:
-            return texts.map(lambda t: [{"position": p, "surface": s} for p, s in _longest(t or "", shared.value)])
+            trie = _trie(shared)
+            return texts.map(lambda t: rows(t, trie))
 
         found = paragraphs.select(*keys, F.explode(match(F.col(text))).alias("m"))
     else:
-        lengths = surfaces_.select(F.length("surface").alias("n")).distinct()
-        cut = paragraphs.select(*keys, text).crossJoin(F.broadcast(lengths.agg(F.collect_set("n").alias("ns"))))
-        parts = F.array_distinct(F.flatten(F.transform("ns", lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda p: F.substring(F.col(text), p, n)))))
-        own = cut.select(*keys, F.explode(parts).alias("surface")).join(surfaces_.select("surface").distinct(), "surface", "left_semi")
-        own = own.groupBy(*keys).agg(F.collect_set("surface").alias("own"))
+        own = _cut_parts(paragraphs, keys, text, surfaces_.where("surface <> ''")).groupBy(*keys).agg(F.collect_set("surface").alias("own"))
 
-        @F.pandas_udf("array<struct<position:int,surface:string>>")
+        @F.pandas_udf(schema)
         def resolve(texts: pd.Series, own_: pd.Series) -> pd.Series:
-            def one(t, terms):
-                by: dict[str, list[str]] = {}
-                for s in terms:
-                    by.setdefault(s[0], []).append(s)
-                return [{"position": p, "surface": s} for p, s in _longest(t or "", by)]
-
-            return pd.Series([one(t, o) for t, o in zip(texts, own_, strict=True)])
+            return pd.Series([rows(t, Trie(o)) for t, o in zip(texts, own_, strict=True)])
 
         found = paragraphs.join(own, keys).select(*keys, F.explode(resolve(F.col(text), F.col("own"))).alias("m"))
     return found.select(*keys, "m.position", "m.surface")
@@ -221,19 +341,35 @@ def possible_type(c: Column, evidence: Column) -> Column:
     return F.when(source_problem(c).isNull(), kind)
 
 
+def _hits(text: Column, patterns: dict[str, str], gate: bool) -> Column:
+    """Distinct finds of the patterns in a text. gate: what `action` and `subject` find has to start with a surname and be no longer than it and two characters."""
+
+    def person(c: Column) -> Column:
+        double = F.substring(c, 1, 2).isin(DOUBLE_SURNAMES)
+        first = F.substring(c, 1, 1)
+        return (double | F.contains(F.lit(SURNAMES), first)) & (F.length(c) <= F.when(double, 4).otherwise(3)) & ~F.contains(F.lit(BAD_START), first)
+
+    found = [F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in patterns.values()]
+    found = [F.filter(x, person) if gate and name in ("action", "subject") else x for name, x in zip(patterns, found, strict=True)]
+    return F.array_distinct(F.concat(*found))
+
+
 def candidates(paragraphs: DataFrame, chapter: str, position: str, text: str, patterns: dict[str, str] | None = None, gate: bool = True) -> DataFrame:
-    """(chapter, position, source) of what the patterns find in each text, once for each text. gate: what `action` and `subject` find has to start
-    with a surname and be no longer than it and two characters."""
-    found = None
-    for name, pattern in (patterns or PATTERNS).items():
-        hits = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1)))
-        rows = paragraphs.select(chapter, position, F.explode(hits).alias("source"))
-        if gate and name in ("action", "subject"):
-            double = F.substring("source", 1, 2).isin(DOUBLE_SURNAMES)
-            width = F.when(double, 2).otherwise(1)
-            rows = rows.where((double | F.contains(F.lit(SURNAMES), F.substring("source", 1, 1))) & (F.length("source") <= width + 2) & ~F.contains(F.lit(BAD_START), F.substring("source", 1, 1)))
-        found = rows if found is None else found.unionByName(rows)
-    return found.distinct()
+    """(chapter, position, source) of what the patterns find in each text, once for each text."""
+    return paragraphs.select(chapter, position, F.explode(_hits(F.col(text), patterns or PATTERNS, gate)).alias("source"))
+
+
+def mined(paragraphs: DataFrame, chapter: str, position: str, text: str, patterns: dict[str, str] | None = None, gate: bool = True) -> DataFrame:
+    """(source, chapter, position, n, sentence): candidates with how often their text has them, and the first sentence that does.
+
+    Found, counted and quoted in the text's own row, so that no text is joined to its candidates or leaves its row. The patterns' finds have no mark that ends a
+    sentence in them.
+    """
+    p = paragraphs.select(F.col(chapter).alias("chapter"), F.col(position).alias("position"), F.col(text).alias("text"))
+    p = p.select("*", _hits(F.col("text"), patterns or PATTERNS, gate).alias("hits")).where(F.size("hits") > 0).withColumn("sentences", X.sentences(F.col("text")))
+    first = lambda h: X.strip(F.filter("sentences", lambda s: F.contains(s, h))[0])
+    z = F.transform("hits", lambda h: F.struct(h.alias("source"), X.count_of(F.col("text"), h).alias("n"), first(h).alias("sentence")))
+    return p.select("chapter", "position", F.explode(z).alias("z")).select("z.source", "chapter", "position", "z.n", "z.sentence")
 
 
 def not_owned(found: DataFrame, owned: DataFrame) -> DataFrame:
@@ -244,9 +380,12 @@ def not_owned(found: DataFrame, owned: DataFrame) -> DataFrame:
 
 
 def occurrences(found: DataFrame, paragraphs: DataFrame, chapter: str, position: str, text: str) -> DataFrame:
-    """(source, chapter, n, sentence) for each text with a candidate: how often it has it, and the sentence around the first."""
-    j = found.join(paragraphs.select(chapter, position, text), [chapter, position])
-    return j.select("source", F.col(chapter).alias("chapter"), F.col(position).alias("position"), X.count_of(F.col(text), F.col("source")).alias("n"), X.sentence_around(F.col(text), F.col("source")).alias("sentence"))
+    """(source, chapter, position, n, sentence) for each text with a candidate: how often it has it, and the sentence around the first. A text meets the list of its
+    candidates, not each of them."""
+    own = found.groupBy(chapter, position).agg(F.collect_set("source").alias("hits"))
+    j = paragraphs.select(F.col(chapter), F.col(position), F.col(text).alias("t_")).join(own, [chapter, position])
+    z = F.transform("hits", lambda h: F.struct(h.alias("source"), X.count_of(F.col("t_"), h).alias("n"), X.sentence_around(F.col("t_"), h).alias("sentence")))
+    return j.select(F.col(chapter).alias("chapter"), F.col(position).alias("position"), F.explode(z).alias("z")).select("z.source", "chapter", "position", "z.n", "z.sentence")
 
 
 def evidence_score(c: Column, markers: list[str] = MARKERS) -> Column:
@@ -257,24 +396,34 @@ def evidence_score(c: Column, markers: list[str] = MARKERS) -> Column:
 
 def best_evidence(evidence: DataFrame, order: str = "position", limit: int = 5, markers: list[str] = MARKERS) -> DataFrame:
     """evidence (source, chapter, sentence, order) -> at most limit rows a source: all distinct ones if they fit. Else the best of each chapter; if those are
-    more, the first and the last chapter's and the best of the rest; if fewer, filled up with the best others. Ties go to the earlier row."""
+    more, the first and the last chapter's and the best of the rest; if fewer, filled up with the best others. Ties go to the earlier row.
+
+    Every sort of a whole source is a row number kept up to limit, which Spark cuts off before the shuffle, and the rest are sums made before it; so a source
+    with a third of all rows sends few of them.
+    """
     e = evidence.where(X.has_text(F.col("sentence"))).groupBy("source", "chapter", "sentence").agg(F.min(order).alias("o"))
     e = e.withColumn("score", evidence_score(F.col("sentence"), markers))
-    s, c = Window.partitionBy("source"), Window.partitionBy("source", "chapter")
-    best = [F.col("score").desc(), F.col("chapter").asc_nulls_last(), F.col("o")]
-    e = e.withColumns({"all": F.count("*").over(s), "top": F.row_number().over(c.orderBy(F.col("score").desc(), "o")) == 1})
-    e = e.withColumn("chapters", F.sum(F.col("top").cast("int")).over(s))
-    many = F.col("chapters") > limit
-    e = e.withColumn("turn", F.when(F.col("top"), F.row_number().over(Window.partitionBy("source", "top").orderBy(F.col("chapter").asc_nulls_last()))))
-    ends = F.col("top") & many & ((F.col("turn") == 1) | (F.col("turn") == F.col("chapters")))
-    rank = F.when(ends, 0).when(F.col("top"), 1).when(~many, 2).otherwise(3)
-    e = e.withColumn("rank", rank).withColumn("place", F.row_number().over(s.orderBy("rank", *best)))
-    return e.where((F.col("all") <= limit) | ((F.col("rank") < 3) & (F.col("place") <= limit))).select("source", "chapter", "sentence", "score")
+    best = [F.col("score").desc(), F.col("chapter").asc_nulls_last(), F.col("o"), F.col("sentence")]
+    own = Window.partitionBy("source", "chapter").orderBy(F.col("score").desc(), "o", "sentence")
+    e = e.withColumn("top", F.row_number().over(own) == 1)
+    ranked = e.withColumn("r", F.row_number().over(Window.partitionBy("source", "top").orderBy(*best))).where(F.col("r") <= limit)
+    row, place = F.struct("chapter", "sentence", "score", "o"), F.struct(F.col("chapter").isNull(), "chapter")
+    tops = e.where("top").groupBy("source").agg(F.count("*").alias("chapters"), F.min_by(row, place).alias("first"), F.max_by(row, place).alias("last"))
+    ends = tops.where(F.col("chapters") > limit).select("source", F.explode(F.array("first", "last")).alias("x")).select("source", "x.*", F.lit(0).alias("rank"))
+    rest = ranked.select("source", "chapter", "sentence", "score", "o", F.when(F.col("top"), 1).otherwise(2).alias("rank"))
+    # At most 2 * limit + 2 rows a source from here. A source's ends are among its tops too; its other rows only fill up fewer chapters than limit.
+    both = ends.unionByName(rest).groupBy("source", "chapter", "sentence", "score", "o").agg(F.min("rank").alias("rank"))
+    out = both.withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy("rank", *best)))
+    return out.where(F.col("place") <= limit).select("source", "chapter", "sentence", "score")
 
 
 def summary(found: DataFrame, paragraphs: DataFrame, chapter: str, position: str, text: str) -> DataFrame:
     """One row for each candidate: occurrences in texts that have it, chapters, counts by chapter, first and last chapter, evidence, type."""
-    o = occurrences(found, paragraphs, chapter, position, text)
+    return summarized(occurrences(found, paragraphs, chapter, position, text))
+
+
+def summarized(o: DataFrame) -> DataFrame:
+    """mined() or occurrences() -> one row for each candidate, as summary() gives."""
     by = o.groupBy("source", "chapter").agg(F.sum("n").alias("n"))
     ordered = F.array_sort(F.collect_list(F.struct("chapter", "n")))
     counts = by.groupBy("source").agg(F.sum("n").alias("occurrences"), ordered.alias("by_chapter"), F.min("chapter").alias("first_seen"), F.max("chapter").alias("last_seen"))
@@ -342,3 +491,105 @@ def merge_frames(parts: Iterator[DataFrame]) -> DataFrame:
     for p in parts:
         out = p if out is None else out.unionByName(p)
     return out.distinct()
+
+
+def filter_reason(source: Column, kind: Column, evidence: Column) -> Column:
+    """Why a candidate isn't worth a question, or null: a source that can't be a term, or one without a known type that neither its form nor its evidence suggests."""
+    known = F.coalesce(kind.isin("character", "location", "institution", "book_title", "term"), F.lit(False))
+    return F.coalesce(source_problem(source), F.when(~known & possible_type(source, evidence).isNull(), "no independent identity or reusable-term signal"))
+
+
+def by_frequency(rows: DataFrame) -> DataFrame:
+    """Candidates (source, occurrences, ...) the most frequent first, then by source."""
+    return rows.orderBy(F.col("occurrences").desc(), "source")
+
+
+def without_decided(rows: DataFrame, locked: DataFrame, rejected_: DataFrame) -> DataFrame:
+    """Candidates that are neither a surface of the dictionary (surface) nor rejected (source)."""
+    return rows.join(locked.select(F.col("surface").alias("source")), "source", "left_anti").join(rejected_.select("source"), "source", "left_anti")
+
+
+def widened(entries: DataFrame, relevant: DataFrame, batch: DataFrame) -> DataFrame:
+    """relevant entries, and the characters whose first character a candidate of the batch (source) starts with: an equality join on that character."""
+    heads = batch.select(F.substring("source", 1, 1).alias("head_")).distinct()
+    more = entries.where("type = 'character'").join(relevant.select("source"), "source", "left_anti")
+    more = more.join(heads, F.substring("source", 1, 1) == F.col("head_"), "left_semi")
+    return relevant.unionByName(more.select(relevant.columns))
+
+
+EVIDENCE = "array<struct<chapter:long,text:string>>"
+UNRESOLVED = (
+    f"source string, possible_type string, reason string, evidence {EVIDENCE}, first_seen_chapter long, last_seen_chapter long, chapters array<long>, occurrences long, "
+    "by_chapter map<long,long>, resolve_attempts long, last_error string, last_attempt_input_hash string"
+)
+
+
+def _total(counts: Column) -> Column:
+    return F.aggregate(F.map_values(counts), F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def normalized_unresolved(records: DataFrame) -> DataFrame:
+    """Unresolved candidates as older versions kept them -> UNRESOLVED, a row each, those not worth a question left out.
+
+    records: UNRESOLVED with evidence as array<struct<chapter, text>>; where a chapter of evidence is null, it is the chapter of its place among chapters (the last for later
+    ones), else the first seen. Without counts by chapter, the occurrences (or as many as there is evidence, one at least) are spread over the chapters evenly,
+    the remainder on the first ones, else they are the last chapter's.
+    """
+    empty = F.map_from_arrays(F.array().cast("array<long>"), F.array().cast("array<long>"))
+    r = records.withColumns({"chapters": F.array_sort(F.array_distinct(F.coalesce("chapters", F.array().cast("array<long>")))), "by_chapter": F.coalesce("by_chapter", empty), "evidence": F.coalesce("evidence", F.array().cast(EVIDENCE))})
+    k = F.size("chapters")
+    r = r.withColumns({"first_seen_chapter": F.coalesce("first_seen_chapter", F.get("chapters", F.lit(0))), "last_seen_chapter": F.coalesce("last_seen_chapter", F.get("chapters", k - 1))})
+    placed = F.transform("evidence", lambda e, i: F.struct(F.coalesce(e["chapter"], F.when(F.size("chapters") > 0, F.get("chapters", F.least(i, F.size("chapters") - 1))).otherwise(F.col("first_seen_chapter"))).alias("chapter"), e["text"].alias("text")))
+    r = r.withColumn("evidence", F.array_distinct(F.filter(placed, lambda e: X.has_text(e["text"]))))
+    n = F.greatest(F.coalesce(F.col("occurrences"), F.nullif(F.size("evidence"), F.lit(0)), F.lit(1)).cast("long"), F.lit(1).cast("long"))
+    each = F.transform("chapters", lambda c, i: F.greatest(F.floor(n / F.size("chapters")) + (i < n % F.size("chapters")).cast("long"), F.lit(1)).cast("long"))
+    counts = F.when(F.size(F.map_keys("by_chapter")) > 0, F.transform_values("by_chapter", lambda k_, v: F.greatest(v, F.lit(0).cast("long")))).when(k > 0, F.map_from_arrays("chapters", each))
+    counts = F.coalesce(counts, F.when(F.col("last_seen_chapter").isNotNull(), F.map_from_arrays(F.array("last_seen_chapter"), F.array(n))), empty)
+    r = r.withColumn("n_", n).withColumn("by_chapter", counts)
+    r = r.withColumn("occurrences", F.coalesce(F.nullif(_total(F.col("by_chapter")), F.lit(0).cast("long")), F.col("n_"))).drop("n_")
+    r = r.withColumn("possible_type", F.when(F.col("possible_type").isin("character", "location", "institution", "book_title", "term", "unknown"), F.col("possible_type")))
+    r = r.withColumns({"reason": F.coalesce(F.nullif("reason", F.lit("")), F.lit("insufficient evidence")), "resolve_attempts": F.greatest(F.coalesce("resolve_attempts", F.lit(0).cast("long")), F.lit(0).cast("long"))})
+    r = _typed(r)
+    texts = F.array_join(F.transform("evidence", lambda e: e["text"]), "\n")
+    return r.where(filter_reason(F.col("source"), F.col("possible_type"), texts).isNull()).select([c.split()[0] for c in UNRESOLVED.split(", ")])
+
+
+def _typed(rows: DataFrame) -> DataFrame:
+    """rows with the type that form and evidence suggest, unless that is unknown or none; else the one they had, else unknown."""
+    texts = F.array_join(F.transform("evidence", lambda e: e["text"]), "\n")
+    inferred = possible_type(F.col("source"), texts)
+    return rows.withColumn("possible_type", F.when(inferred != "unknown", inferred).otherwise(F.coalesce("possible_type", inferred, F.lit("unknown"))))
+
+
+def merged_unresolved(old: DataFrame, new: DataFrame, add_rest: bool = True, limit: int = 5) -> DataFrame:
+    """old and new UNRESOLVED rows, one for each source on each side -> merged: a full join by source.
+
+    Counts by chapter: the larger; what either has beyond its chapters is added up (add_rest) or the larger stays. Evidence: the best of both. A new type counts unless it
+    is unknown, and what form and evidence suggest goes before both. Reason, error and input hash: the new one's, else the old one's. Attempts: the larger.
+    """
+    names = [c.split()[0] for c in UNRESOLVED.split(", ")]
+    side = lambda d, k: d.select("source", F.struct(*[n for n in names if n != "source"]).alias(k))
+    j = side(old, "o").join(side(new, "n"), "source", "full")
+    empty = F.map_from_arrays(F.array().cast("array<long>"), F.array().cast("array<long>"))
+    of = lambda k, f, none: F.coalesce(F.col(f"{k}.{f}"), none)
+    zero = F.lit(0).cast("long")
+    a, b = of("o", "by_chapter", empty), of("n", "by_chapter", empty)
+    counts = F.map_zip_with(a, b, lambda k, x, y: F.greatest(F.coalesce(x, zero), F.coalesce(y, zero)))
+    rest = lambda k, m: F.greatest(zero, of(k, "occurrences", zero) - _total(m))
+    beyond = rest("o", a) + rest("n", b) if add_rest else F.greatest(rest("o", a), rest("n", b))
+    none = F.array().cast("array<long>")
+    chapters = F.array_sort(F.array_union(F.array_union(F.map_keys(counts), of("o", "chapters", none)), of("n", "chapters", none)))
+    kind = F.when(F.coalesce(F.col("n.possible_type"), F.lit("unknown")) != "unknown", F.col("n.possible_type")).otherwise(F.coalesce("o.possible_type", "n.possible_type"))
+    later = lambda f: F.coalesce(F.col(f"n.{f}"), F.col(f"o.{f}")).alias(f)
+    out = j.select(
+        "source", kind.alias("possible_type"), F.coalesce("n.reason", "o.reason", F.lit("insufficient evidence")).alias("reason"),
+        F.array_distinct(F.concat(of("o", "evidence", F.array().cast(EVIDENCE)), of("n", "evidence", F.array().cast(EVIDENCE)))).alias("evidence"),
+        F.least("o.first_seen_chapter", F.get(chapters, F.lit(0))).alias("first_seen_chapter"), F.greatest("o.last_seen_chapter", F.get(chapters, F.size(chapters) - 1)).alias("last_seen_chapter"),
+        chapters.alias("chapters"), (_total(counts) + beyond).alias("occurrences"), counts.alias("by_chapter"), F.greatest(of("o", "resolve_attempts", zero), of("n", "resolve_attempts", zero)).alias("resolve_attempts"),
+        later("last_error"), later("last_attempt_input_hash"),
+    )
+    e = out.select("source", F.posexplode("evidence").alias("position", "e")).select("source", F.col("e.chapter").alias("chapter"), F.col("e.text").alias("sentence"), "position")
+    kept = best_evidence(e, limit=limit)
+    kept = kept.groupBy("source").agg(F.array_sort(F.collect_list(F.struct(F.col("chapter").isNull().alias("none"), "chapter", (-F.col("score")).alias("rank"), F.col("sentence").alias("text")))).alias("kept"))
+    out = out.join(kept, "source", "left").withColumn("evidence", F.coalesce(F.transform("kept", lambda x: F.struct(x["chapter"].alias("chapter"), x["text"].alias("text"))), F.array().cast(EVIDENCE)))
+    return _typed(out).select(names)

@@ -50,6 +50,10 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.lines(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def doc_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.paragraphs(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 LINES = r"""
 l AS (
   SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
@@ -69,7 +73,7 @@ def lines_nonblank(spark, sf_dir):
 FROM n WINDOW w AS (PARTITION BY id ORDER BY line)"""
 )
 def paragraph_numbering(spark, sf_dir):
-    p = corpus.paragraphs(doc_lines(spark, sf_dir))
+    p = doc_paragraphs(spark, sf_dir)
     return p.select("id", "line", "pos", "pid", F.length("previous").alias("before"), F.length("following").alias("after"))
 
 
@@ -100,8 +104,7 @@ def chunk_islands(spark, sf_dir):
 
 @query(f"WITH {LINES} SELECT id, pos, (sum(length(text)) OVER (PARTITION BY id ORDER BY line))::BIGINT AS chars FROM n")
 def running_chars(spark, sf_dir):
-    w = Window.partitionBy("id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    return corpus.paragraphs(doc_lines(spark, sf_dir)).select("id", "pos", F.sum(F.length("text")).over(w).alias("chars"))
+    return corpus.running_chars(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @query(
@@ -119,7 +122,7 @@ def clamped_depth(spark, sf_dir):
   floor(1.9 * 0 + length(text) * 0.6::DOUBLE + 5 * (length(text) - length(replace(replace(replace(text, '"', ''), chr(8220), ''), chr(8221), ''))))::INTEGER AS tokens FROM n"""
 )
 def est_tokens(spark, sf_dir):
-    return corpus.paragraphs(doc_lines(spark, sf_dir)).select("id", "pos", X.estimated_tokens(F.col("text")).alias("tokens"))
+    return doc_paragraphs(spark, sf_dir).select("id", "pos", X.estimated_tokens(F.col("text")).alias("tokens"))
 
 
 @query(
@@ -137,7 +140,7 @@ g AS (
 SELECT id, CASE WHEN whole THEN 0 ELSE grp END AS "group", count(*) AS n, min(pos) AS first_pos FROM g JOIN w USING (id) GROUP BY 1, 2"""
 )
 def next_fit_groups(spark, sf_dir):
-    p = corpus.paragraphs(doc_lines(spark, sf_dir)).select("id", "pos", "text")
+    p = doc_paragraphs(spark, sf_dir).select("id", "pos", "text")
     g = corpus.groups_of(p, ["id"], "pos", "text")
     return g.groupBy("id", "group").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
 

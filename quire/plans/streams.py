@@ -2,24 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.scratch import shared_folder
+from quire.sources import store
 from quire.streaming import events as S
 
 
 def workspace(spark: SparkSession) -> str:
-    """A folder that executors share: below spark.checkpoint.dir, or a local one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="quire-stream-")
-        atexit.register(shutil.rmtree, base, True)
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return shared_folder(spark, "stream")
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,14 +46,57 @@ def stream_job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R4: the state that each user's events lead to, taking event types for states."""
     w = workspace(spark)
     state = F.create_map(*[F.lit(x) for p in {"view": "running", "click": "pending", "error": "failed", "purchase": "done", "signup": "stopping"}.items() for x in p])
-    e = events(spark, sf_dir).select(F.col("user_id").alias("job"), state[F.col("event_type")].alias("state"))
-    S.run(S.job_states(e), S.write_version(f"{w}/t"), f"{w}/c", "update")
+    e = events(spark, sf_dir).select(F.col("user_id").alias("job"), state[F.col("event_type")].alias("state"), "ts")
+    S.run(S.job_states(e), S.write_version(f"{w}/t"), f"{w}/c", "complete")
     return S.versioned(spark, f"{w}/t", 1 << 60)
 
 
+def stream_log_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R2, S20: events appended to a log in two parts, read as a stream into a copy of it, and the copy's tail."""
+    w = workspace(spark)
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id < 100")
+    log = e.select(F.col("event_id").cast("string").alias("id"), F.format_string("%06d", "event_id").alias("timestamp"), F.col("event_type").alias("operation"), F.lit("logical").alias("event"))
+    for part in ("event_id < 60", "event_id >= 60"):
+        store.append_log(log.where(part.replace("event_id", "int(id)")), f"{w}/log")
+        S.run(store.read_log_stream(spark, f"{w}/log"), lambda batch, number: batch.write.mode("overwrite").json(f"{w}/copy/batch={number}"), f"{w}/c")
+    return store.tail(spark, f"{w}/copy/*", 20).select("id", "operation")
+
+
+def stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R5: chapters as a stream, without those committed with the same text before."""
+    w = workspace(spark)
+    path = f"{sf_dir}/documents.parquet"
+    schema = spark.read.parquet(path).schema
+    row = lambda d: d.select(F.col("source").alias("book"), (F.col("doc_id") + 1).alias("id"), F.md5("text").alias("raw_hash"))
+    done = spark.read.parquet(path).join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").withColumn("text", F.when(F.col("quality") == 1, F.col("text")).otherwise("changed"))
+    S.run(S.pending_work(row(S.read_stream(spark, path, schema)), row(done), ["raw_hash"]), lambda batch, number: batch.write.mode("overwrite").parquet(f"{w}/t/batch={number}"), f"{w}/c")
+    return spark.read.parquet(f"{w}/t").select("book", "id")
+
+
+def stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R7: each fingerprint's first event."""
+    w = workspace(spark)
+    e = events(spark, sf_dir).select("ts", F.concat("event_type", F.col("user_id").cast("string")).alias("fingerprint"))
+    S.run(S.once(e, "fingerprint", "ts", "10000 days"), lambda batch, number: batch.write.mode("overwrite").parquet(f"{w}/t/batch={number}"), f"{w}/c")
+    return spark.read.parquet(f"{w}/t").select("fingerprint")
+
+
 QUERIES = {
     "stream_event_counts": (stream_event_counts, "SELECT event_type, count(*) AS n FROM events GROUP BY event_type"),
     "stream_upserts": (stream_upserts, "SELECT event_type AS book, user_id + 1 AS id, min(event_id)::DOUBLE AS fetched_at FROM events GROUP BY 1, 2"),
     "stream_windows": (stream_windows, "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2"),
-    "stream_job_states": (stream_job_states, None),
+    "stream_job_states": (
+        stream_job_states,
+        """WITH e AS (SELECT user_id AS job, ts, CASE event_type WHEN 'view' THEN 'running' WHEN 'click' THEN 'pending' WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'done' WHEN 'signup' THEN 'stopping' END AS state FROM events),
+r AS (SELECT job, ts, state, list_position(['pending', 'running', 'stopping', 'cancelled', 'done', 'failed'], state) AS rank FROM e),
+t AS (SELECT job, state FROM (SELECT *, row_number() OVER (PARTITION BY job ORDER BY ts, rank) AS k FROM r WHERE rank > 3) WHERE k = 1),
+w AS (SELECT job, arg_max(state, rank) AS state FROM r WHERE rank <= 3 GROUP BY job)
+SELECT j.job, coalesce(t.state, w.state) AS state FROM (SELECT DISTINCT job FROM e) j LEFT JOIN t USING (job) LEFT JOIN w USING (job)""",
+    ),
+    "stream_log_tail": (stream_log_tail, "SELECT event_id::VARCHAR AS id, event_type AS operation FROM events WHERE event_id < 100 ORDER BY event_id DESC LIMIT 20"),
+    "stream_resume": (
+        stream_resume,
+        "SELECT source AS book, doc_id + 1 AS id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1)",
+    ),
+    "stream_once": (stream_once, "SELECT event_type || user_id AS fingerprint FROM events GROUP BY 1"),
 }

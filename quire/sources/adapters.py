@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,59 +56,6 @@ SOURCES = [
     *_at("https://www.xbanxia.com/ https://www.banxia.cc/", title="div.book-describe h1", cover="div.book-img img", author="[href*='author']", synopsis="div.book-describe .describe-html", chapters="div.book-list ul li a", body="div#nr1"),
     *_at("https://www.xnunu.com/", title=".book-bookinfo h1.name", cover=".book-bookinfo img.thumbnail", author=".book-bookinfo p>a.btn-info", synopsis=".book-bookinfo #bookIntro", tags="ol.breadcrumb > li:nth-child(2) > a", chapters="dl.panel-chapterlist>dd>a", body="#chaptercontent"),
 ]
-_PART = re.compile(r"""([\w-]+|\*)|\#([\w-]+)|\.([\w-]+)|\[([\w:-]+)(?:([*^$]?=)(["']?)(.*?)\6)?\]|:nth-child\((\d+)\)|:not\(\[([\w:-]+)\]\)""")
-
-
-def _matches(node: H.Node, place: int, simple: str) -> bool:
-    for tag, id_, cls, attr, op, _, value, nth, no in _PART.findall(simple):
-        have = node.attrs.get(attr) if attr else None
-        ok = (
-            (not tag or tag in ("*", node.tag))
-            and (not id_ or node.attrs.get("id") == id_)
-            and (not cls or cls in node.attrs.get("class", "").split())
-            and (not attr or have is not None and (not op or {"=": have == value, "*=": value in have, "^=": have.startswith(value), "$=": have.endswith(value)}[op]))
-            and (not nth or place == int(nth))
-            and (not no or no not in node.attrs)
-        )
-        if not ok:
-            return False
-    return True
-
-
-def select(root: H.Node, selector: str) -> list[H.Node]:
-    """Nodes below root that a selector finds, in their order: tags, ids, classes, attributes, nth-child, not an attribute, descent, child and lists."""
-    wanted = []
-    for one in selector.split(","):
-        steps = re.findall(r"(>)?\s*((?:\[[^\]]*\]|\([^)]*\)|[^\s>\[(])+)", one)
-        wanted.append([(child == ">", simple) for child, simple in steps])
-
-    def fits(path: list[tuple[H.Node, int]], steps: list[tuple[bool, str]]) -> bool:
-        if not steps:
-            return True
-        if not path or not _matches(*path[-1], steps[-1][1]):
-            return False
-        above = path[:-1]
-        if len(steps) == 1:
-            return True
-        if steps[-1][0]:
-            return fits(above, steps[:-1])
-        return any(fits(above[:k], steps[:-1]) for k in range(len(above), 0, -1))
-
-    out: list[H.Node] = []
-
-    def walk(node: H.Node, path: list[tuple[H.Node, int]]) -> None:
-        place = 0
-        for c in node.children:
-            if isinstance(c, H.Node):
-                place += 1
-                here = [*path, (c, place)]
-                if any(fits(here, steps) for steps in wanted):
-                    out.append(c)
-                walk(c, here)
-
-    walk(root, [])
-    return out
-
 
 def value_of(node: H.Node | None) -> str | None:
     """A meta tag's content, an image's address, or a tag's text."""
@@ -126,11 +71,11 @@ def value_of(node: H.Node | None) -> str | None:
 def read_page(html: str | None, config: dict) -> dict:
     """Fields of a page. A field whose selector finds nothing is null; chapters are links in order, each address once; body is cleaned."""
     root = H.parse(html)
-    pick = lambda f: next(iter(select(root, config.get(f) or DEFAULTS.get(f) or "#")), None) if config.get(f) or f in DEFAULTS else None
+    pick = lambda f: next(iter(H.select(root, config.get(f) or DEFAULTS.get(f) or "#")), None) if config.get(f) or f in DEFAULTS else None
     links = {}
-    for a in select(root, config["chapters"]) if config.get("chapters") else []:
+    for a in H.select(root, config["chapters"]) if config.get("chapters") else []:
         links.setdefault(a.attrs.get("href", ""), " ".join(a.text().split()))
-    bodies = select(root, config["body"])[:1] if config.get("body") else []
+    bodies = H.select(root, config["body"])[:1] if config.get("body") else []
     return {
         "title": value_of(pick("title")),
         "cover": value_of(pick("cover")),

@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as X
+from quire.scratch import shared_folder
 
 
 def normal(url: Column) -> Column:
@@ -19,18 +15,20 @@ def normal(url: Column) -> Column:
 
 
 def bind(pages: DataFrame, url: str, prefixes: DataFrame) -> DataFrame:
-    """pages with the name of the longest prefix of their URL; null if none.
+    """pages with source_name, the name of the longest prefix of their URL; null if none. Of equal prefixes the least name counts.
 
-    A URL's prefixes that end in a slash are few, so they are listed and joined by equality: no pages are compared with all sources, and one row for
-    each page leaves the join, by the longest match.
+    A prefix ends in a slash, so it can only be equal to a URL's start up to one of its slashes. For each number of slashes that prefixes have (a few) that
+    start is joined by equality, and the deepest match is taken: pages keep their rows, and where the prefixes are small Spark broadcasts them.
     """
-    p = prefixes.select(normal(F.col("prefix")).alias("prefix_"), F.col("name").alias("source_name")).dropDuplicates(["prefix_"])
-    whole = normal(F.col(url))
-    places = F.filter(F.sequence(F.lit(1), F.length(whole)), lambda k: F.substring(whole, k, F.lit(1)) == "/")
-    cuts = F.transform(places, lambda k: F.substring(whole, F.lit(1), k))
-    row = pages.withColumn("row_", F.monotonically_increasing_id())
-    found = row.select("row_", F.explode(cuts).alias("prefix_")).join(p, "prefix_").groupBy("row_").agg(F.max_by("source_name", F.struct(F.length("prefix_"), "source_name")).alias("source_name"))
-    return row.join(found, "row_", "left").drop("row_")
+    p = prefixes.select(normal(F.col("prefix")).alias("prefix_"), F.col("name").alias("name_")).groupBy("prefix_").agg(F.min("name_").alias("name_"))
+    p = p.withColumn("depth_", F.regexp_count("prefix_", F.lit("/")))
+    depths = sorted((r[0] for r in p.select("depth_").distinct().collect()), reverse=True)
+    out = pages.withColumn("url_", normal(F.col(url)))
+    for d in depths:
+        own = p.where(F.col("depth_") == d).select(F.col("prefix_").alias(f"prefix_{d}_"), F.col("name_").alias(f"name_{d}_"))
+        out = out.join(own, F.concat(F.substring_index("url_", "/", d), F.lit("/")) == F.col(f"prefix_{d}_"), "left")
+    found = F.coalesce(*[F.col(f"name_{d}_") for d in depths], F.lit(None).cast("string"))
+    return out.select(*pages.columns, found.alias("source_name"))
 
 
 def fill_volumes(entries: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -49,12 +47,10 @@ def chain(pages: DataFrame, start: DataFrame) -> DataFrame:
     """Split chapters put together: pages (url, next, body), start (chapter, url) -> (chapter, parts, body), following next until null.
 
     A round a page, each a join by URL of what is still going on, until nothing is; a next that a chapter had before ends it, and so does one that isn't
-    among the pages. Each round is written below spark.checkpoint.dir (a local folder where that is unset), so that no plan grows with the pages.
+    among the pages. Each round is written to a shared folder, so that no plan grows with the pages.
     """
     spark = pages.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="quire-")
-    folder = f"{base.rstrip('/')}/chain-{uuid.uuid4().hex}"
-    atexit.register(shutil.rmtree, folder.removeprefix("file://"), True)
+    folder = shared_folder(spark, "chain")
     step = start.select("chapter", "url", F.lit(0).alias("n"), F.array("url").alias("seen"))
     written: list[str] = []
     while True:
@@ -81,3 +77,58 @@ def chapter_slots(latest: DataFrame, keys: list[str], last: str, known: DataFram
     """Ids from 1 to the latest of each book that aren't known: (keys, id)."""
     ids = latest.select(*keys, F.explode(F.sequence(F.lit(1), F.col(last))).alias("id"))
     return ids.join(known.select(*keys, "id"), [*keys, "id"], "left_anti")
+
+
+def walk_ids(latest: DataFrame, keys: list[str], last: str, seen: DataFrame, most_misses: int) -> DataFrame:
+    """(keys, id): ids from 1 to the last that are worth asking for: not known yet (seen: keys, id, found), and not after most_misses ids in a row that were asked for
+    and not found. Runs of misses are islands of a running count of finds."""
+    ids = latest.select(*keys, F.explode(F.sequence(F.lit(1), F.col(last))).alias("id"))
+    j = ids.join(seen.select(*keys, "id", "found"), [*keys, "id"], "left")
+    w = Window.partitionBy(*keys).orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    j = j.withColumn("island", F.sum(F.coalesce(F.col("found"), F.lit(True)).cast("int")).over(w))
+    run = Window.partitionBy(*keys, "island").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    j = j.withColumn("missed", F.sum((~F.coalesce(F.col("found"), F.lit(True))).cast("int")).over(run))
+    stop = j.groupBy(*keys).agg(F.min(F.when(F.col("missed") >= most_misses, F.col("id"))).alias("stop_"))
+    out = j.where("found is null").join(stop, keys, "left").where(F.col("stop_").isNull() | (F.col("id") < F.col("stop_")))
+    return out.select(*keys, "id")
+
+
+def first_titles(entries: DataFrame, keys: list[str], id_: str, order: str, suffix: str = r"\s*[（(]\d+/\d+[)）]\s*$") -> DataFrame:
+    """(keys, id, title): of a chapter's links the first one's title, without the mark of a split page."""
+    return entries.groupBy(*keys, id_).agg(F.regexp_replace(F.min_by("title", order), suffix, "").alias("title"))
+
+
+def pages_in_order(parts: DataFrame, keys: list[str], page: str, place: str, window: int | None = None) -> DataFrame:
+    """Entries of a table of contents in several pages, in page order whatever order they came in, with id 1, 2, ...; window: pages of that many entries, and none counts
+    after the first that has fewer."""
+    if window:
+        short = parts.groupBy(*keys, page).agg(F.count("*").alias("n")).where(F.col("n") < window).groupBy(*keys).agg(F.min(page).alias("end_"))
+        parts = parts.join(short, keys, "left").where(F.col("end_").isNull() | (F.col(page) <= F.col("end_"))).drop("end_")
+    return parts.withColumn("id", F.row_number().over(Window.partitionBy(*keys).orderBy(page, place)))
+
+
+def reversed_ids(entries: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Entries of a list that has the latest first, with id 1, 2, ... from its end."""
+    return entries.withColumn("id", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).desc())))
+
+
+def last_by_number(entries: DataFrame, keys: list[str], link: str, order: str) -> DataFrame:
+    """Of links with the same number in their last step the last one, sorted by number, with id 1, 2, ..."""
+    number = F.regexp_extract(link, r"(\d+)(?:\.\w+)?/?$", 1).try_cast("long")
+    kept = dedupe_links(entries.withColumn("number", number).where("number is not null"), keys, "number", order, first=False)
+    return kept.withColumn("id", F.row_number().over(Window.partitionBy(*keys).orderBy("number")))
+
+
+def last_page(pages: DataFrame, keys: list[str], link: str, pattern: str) -> DataFrame:
+    """(keys, last): the greatest page number that a group's links name, 1 if none does."""
+    return pages.groupBy(*keys).agg(F.coalesce(F.max(F.nullif(F.regexp_extract(link, pattern, 1), F.lit("")).cast("int")), F.lit(1)).alias("last"))
+
+
+def labelled(lines: Column, label: str) -> Column:
+    """What follows a label in the first line that starts with it."""
+    return F.get(F.transform(F.filter(lines, lambda x: F.startswith(X.strip(x), F.lit(label))), lambda x: X.strip(F.substr(X.strip(x), F.lit(len(label) + 1)))), F.lit(0))
+
+
+def hidden_rest(shown: Column, rest: Column) -> Column:
+    """A body of which a page hides the rest as base64."""
+    return F.concat(shown, F.coalesce(F.unbase64(rest).cast("string"), F.lit("")))

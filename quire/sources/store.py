@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,15 +47,46 @@ def write_chapters(chapters: DataFrame, path: str) -> None:
 
 
 def publish(df: DataFrame, path: str) -> None:
-    """Write beside a place, then move there at once, so that nobody sees a part; what was there goes."""
+    """Write a new version below a place, then point to it at once: readers see the old version or the new one, and a failed write changes nothing. Of older
+    versions the last is kept, for those who still read it."""
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
-    target, beside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + ".writing")
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(beside, True)
-    df.write.parquet(beside.toString())
-    fs.delete(target, True)
-    fs.rename(beside, target)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    at = lambda name: jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{name}")
+    fs = at("").getFileSystem(conf)
+    before = _current(spark, path)
+    version = f"v-{uuid.uuid4().hex}"
+    df.write.parquet(at(version).toString())
+    out = fs.create(at(f"_pointer-{version}"), True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(at(f"_pointer-{version}")), fs.makeQualified(at("_current")), overwrite)
+    for status in fs.listStatus(at("")):
+        if (name := status.getPath().getName()).startswith("v-") and name not in (version, before):
+            fs.delete(status.getPath(), True)
+
+
+def _current(spark: SparkSession, path: str) -> str | None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_current")
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """The version that publish() pointed to last."""
+    version = _current(spark, path)
+    if version is None:
+        raise ValueError(f"nothing is published at {path}")
+    return spark.read.parquet(f"{path.rstrip('/')}/{version}")
 
 
 def append_log(events: DataFrame, path: str) -> None:
@@ -75,3 +108,13 @@ def raw_texts(spark: SparkSession, path: str) -> DataFrame:
     """(file, text) of whole files, without a byte-order mark."""
     t = spark.read.option("wholetext", True).text(path)
     return t.select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^﻿", "").alias("text"))
+
+
+def read_log_stream(spark: SparkSession, path: str) -> DataFrame:
+    """A log's events as a stream, as append_log() adds files to it."""
+    return spark.readStream.schema(EVENT).json(path)
+
+
+def newest_jobs(jobs: DataFrame, n: int = 100) -> DataFrame:
+    """The n jobs changed last (job, mtime)."""
+    return jobs.orderBy(F.col("mtime").desc(), "job").limit(n)

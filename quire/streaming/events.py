@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quire import scratch
 from quire.operators import library
 
 #: States of a job, in the order in which they supersede each other.
@@ -30,25 +29,50 @@ def run(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: s
     q.awaitTermination()
 
 
-def versioned(spark: SparkSession, path: str, batch: int) -> DataFrame | None:
-    """The table that the last batch before this one has written, or None."""
+def _versions(spark: SparkSession, path: str) -> dict[str, list[int]]:
+    """Complete versions of each part of a table ("" if it has no parts), in order: path/v<batch>[/part=<k>]. A list of folders, not of rows."""
     jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return None
-    done = [int(s.getPath().getName()[1:]) for s in fs.listStatus(p) if s.getPath().getName()[1:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    older = [k for k in done if k < batch]
-    return spark.read.parquet(f"{path}/v{max(older)}") if older else None
+    at = jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = lambda p: [s.getPath().getName() for s in fs.listStatus(at(p))]
+    out: dict[str, list[int]] = {}
+    for v in sorted((int(n[1:]) for n in names(path) if n[1:].isdigit()) if fs.exists(at(path)) else []):
+        inside = names(f"{path}/v{v}")
+        if "_SUCCESS" in inside:
+            for part in [n for n in inside if n.startswith("part=")] or [""]:
+                out.setdefault(part, []).append(v)
+    return out
 
 
-def upsert_chapters(path: str, overwrite: bool = False) -> Callable[[DataFrame, int], None]:
-    """A batch of chapters into the table at path: kept as they were first, or replaced. A batch that is run again writes the same version again."""
+def versioned(spark: SparkSession, path: str, batch: int, parts: set[str] | None = None) -> DataFrame | None:
+    """The table as the last batch before this one left it (or some parts of it), or None."""
+    last = {part: max(k for k in vs if k < batch) for part, vs in _versions(spark, path).items() if min(vs) < batch and (parts is None or part in parts)}
+    folders = [f"{path}/v{v}/{part}".rstrip("/") for part, v in sorted(last.items())]
+    return spark.read.parquet(*folders) if folders else None
+
+
+def upsert_chapters(path: str, overwrite: bool = False, parts: int = 64) -> Callable[[DataFrame, int], None]:
+    """A batch of chapters into the table at path: kept as they were first, or replaced.
+
+    The table is dealt by book and id into parts, and a batch rewrites only those it has chapters for. A batch that is run again writes the same version
+    again, from the versions before it; of each part it rewrote, what is older than the version it read goes.
+    """
 
     def each(batch: DataFrame, number: int) -> None:
-        old = versioned(batch.sparkSession, path, number)
-        old = batch.limit(0) if old is None else old
-        (library.upsert if overwrite else library.insert_if_absent)(old, batch).write.mode("overwrite").parquet(f"{path}/v{number}")
+        spark = batch.sparkSession
+        new = batch.withColumn("part", F.pmod(F.xxhash64("book", "id"), F.lit(parts)).cast("int")).persist()
+        try:
+            touched = {f"part={r[0]}" for r in new.select("part").distinct().collect()}  # at most `parts`
+            old = versioned(spark, path, number, touched)
+            rows = batch.limit(0) if old is None else old.select(batch.columns)
+            merged = (library.upsert if overwrite else library.insert_if_absent)(rows, new.drop("part"))
+            merged = merged.withColumn("part", F.pmod(F.xxhash64("book", "id"), F.lit(parts)).cast("int"))
+            merged.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{path}/v{number}")
+        finally:
+            new.unpersist()
+        for part, versions in _versions(spark, path).items():
+            for v in [k for k in versions if k < number][:-1] if part in touched else []:
+                scratch.delete(spark, f"{path}/v{v}/{part}")
 
     return each
 
@@ -58,8 +82,12 @@ def counters(events: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def write_version(path: str) -> Callable[[DataFrame, int], None]:
+    """Each batch as a version of its own; those before the last one go."""
+
     def each(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/v{number}")
+        for v in [k for k in _versions(batch.sparkSession, path).get("", []) if k < number][:-1]:
+            scratch.delete(batch.sparkSession, f"{path}/v{v}")
 
     return each
 
@@ -75,17 +103,19 @@ def windows(events: DataFrame, time: str, keys: list[str], length: str, delay: s
     return events.withWatermark(time, delay).groupBy(w, *keys).agg(F.count("*").alias("n"))
 
 
-def job_states(events: DataFrame) -> DataFrame:
-    """(job, state) events -> the state each job is in: a state is only followed by a later one, and an end by none."""
+def job_states(events: DataFrame, time: str = "ts") -> DataFrame:
+    """(job, state, time) events -> the state each job is in: the end it came to first, or else the furthest state before an end. Unknown states don't count.
+
+    Both are plain aggregates, so the result doesn't depend on the order in which events arrive, and the state of a job is three values.
+    """
+    end = F.col("state").isin("cancelled", "done", "failed")
+    rank = F.array_position(F.array(*map(F.lit, STATES)), F.col("state"))
+    first_end = F.min(F.when(end, F.struct(F.col(time), rank.alias("rank"), "state")))
+    furthest = F.max(F.when(~end & (rank > 0), F.struct(rank.alias("rank"), "state")))
+    out = events.groupBy("job").agg(first_end.alias("end"), furthest.alias("way"))
+    return out.select("job", F.coalesce("end.state", "way.state").alias("state"))
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at = state.get[0] if state.exists else -1
-        for b in batches:
-            for s in b["state"]:
-                k = STATES.index(s) if s in STATES else -1
-                if k > at and at < STATES.index("cancelled"):
-                    at = k
-        state.update((at,))
-        yield pd.DataFrame([(key[0], STATES[at] if at >= 0 else None)], columns=["job", "state"])
 
-    return events.select(F.col("job").cast("string").alias("job"), "state").groupBy("job").applyInPandasWithState(step, "job string, state string", "at int", "update", GroupStateTimeout.NoTimeout)
+def pending_work(work: DataFrame, committed: DataFrame, hashes: list[str]) -> DataFrame:
+    """Chapters (book, id, hashes) to do when a job goes on: those that weren't committed with these very inputs. work may be a stream."""
+    return work.join(committed.select("book", "id", *hashes).distinct(), ["book", "id", *hashes], "left_anti")

@@ -12,7 +12,7 @@ PAGE = """<html><head><meta property="og:title" content="T"><meta name="author"
 def test_selectors():
     root = H.parse(PAGE)
     count = {"a": 3, "div.a a": 3, "#d > ul > li a[href='/1']": 2, "a[href*=2]": 1, "a:not([rel])": 2, "li:nth-child(2) a": 1, "p, .c": 2, "div > a": 0, "#d .zzz": 0, "*": 18, "a[rel]": 1}
-    assert {k: len(A.select(root, k)) for k in count} == count
+    assert {k: len(H.select(root, k)) for k in count} == count
 
 
 def test_pages(spark):

@@ -7,9 +7,12 @@ from quire.operators import corpus as C
 
 def test_paragraphs_and_sections(spark):
     d = spark.createDataFrame([(1, "a\n\n b\r\n \nc"), (2, None), (3, "")], "id long, text string")
-    p = C.paragraphs(C.lines(d, "id", "text")).orderBy("id", "pos").collect()
+    plan = C.paragraphs(d, "id", "text")
+    assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+    p = plan.orderBy("id", "pos").collect()
     assert [(r["line"], r["pid"], r["text"], r["previous"], r["following"]) for r in p] == [(1, "P0001_0001", "a", None, " b"), (3, "P0001_0002", " b", "a", "c"), (5, "P0001_0003", "c", " b", None)]
     assert [tuple(r) for r in C.section_after(d, "id", "text").orderBy("pos").collect()] == [(1, 1), (1, 2)]
+    assert [r["chars"] for r in C.running_chars(d, "id", "text").orderBy("pos").collect()] == [1, 3, 4]
 
 
 def test_clamped_depth(spark):

@@ -33,3 +33,27 @@ def test_columns(spark):
     d = spark.createDataFrame([("<p>a</p>", "u"), (None, None)], "h string, u string")
     got = d.select(H.contents_udf("h"), H.text_udf("h"), H.sanitize_udf("h"), H.metadata_udf("h")["title"], H.images_udf("h", "u")["body"]).collect()
     assert tuple(got[0]) == ("<p>a</p>", "a", "<p>a</p>", None, "<p>a</p>") and got[1][0] is None
+
+
+def test_pages_of_any_depth():
+    for page in ("<b>x " * 100_000, "<div><i>" * 50_000 + "y", "<p><span>x<br>" * 30_000):
+        assert len(H.extract_text(page)) > 0 and H.extract_contents(page).startswith("<p>") and H.sanitize(page) and H.reader_text(page)
+        assert H.metadata(page)["title"] is None and H.rewrite_images(page, None)[1] == {}
+        assert H.select(H.parse(page), "body > b, div i i") is not None
+
+
+def test_breaks_at_edges():
+    assert H.extract_contents("a<span><br>b<br></span>c") == "<p>a b c</p>"
+    assert H.extract_contents("a<br><span></span>b") == "<p>a b</p>" and H.extract_contents("a<br> <span></span>b") == "<p>a</p><p>b</p>"
+    assert H.extract_contents("<i>x<b>y<br>z</b></i>w") == "<p><i>x <b>y</b></i></p><p><i><b>z</b></i> w</p>"
+
+
+def test_callers_rules():
+    page = "<div><p class='ad x'>buy</p><p>Read at site.com now</p><p></p><span>next page</span><h3>keep</h3><u>w</u></div>"
+    rules = H.Rules(css=["p.ad"], tags={"u"}, tag_texts={"span": ["^next"], "p": []}, blacklist=[r"site\.com"])
+    assert H.extract_contents(page, rules) == "<p>Read at ␣ now</p><p>keep</p>"
+    assert H.bad_text(H.Node("p"), rules) and not H.bad_text(H.Node("h3"), rules)
+
+
+def test_reader_text():
+    assert H.reader_text("<p>a&nbsp;b<br> c</p>\n\n<div><h2>t</h2>x</div><noscript>n</noscript>") == "a b\nc\n\nt\nx"

@@ -87,8 +87,12 @@ def test_json_library(spark, tmp_path):
     good, bad = store.read_books(spark, str(tmp_path / "meta"))
     assert [(r["book"], r["id"]) for r in store.toc(good).collect()] == [("b", 1)] and bad.count() == 1
     store.publish(ch, str(tmp_path / "pub"))
+    first = store.published(spark, str(tmp_path / "pub"))
     store.publish(ch.limit(1), str(tmp_path / "pub"))
-    assert spark.read.parquet(str(tmp_path / "pub")).count() == 1
+    assert store.published(spark, str(tmp_path / "pub")).count() == 1 and first.count() == 2  # the one before can still be read
+    store.publish(ch, str(tmp_path / "pub"))
+    assert len(list((tmp_path / "pub").glob("v-*"))) == 2
+    assert [r["id"] for r in L.find_chapter(str(tmp_path / "lib"), spark, "b", 150).collect()] == [150]
     log = spark.createDataFrame([("1", "2024-01-01", "op", "logical"), ("2", "2024-01-02", "op", "attempt")], "id string, timestamp string, operation string, event string")
     store.append_log(log, str(tmp_path / "log"))
     assert [r["id"] for r in store.tail(spark, str(tmp_path / "log"), 1).collect()] == ["2"]
