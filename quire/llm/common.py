@@ -5,13 +5,13 @@ from __future__ import annotations
 import atexit
 import contextlib
 import shutil
-import tempfile
-import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire import scratch
+
 #: A word is a longest run of anything but space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -30,25 +30,21 @@ def text_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 
 class Workspace:
-    """Folder for intermediates below spark.checkpoint.dir, which executors share; a local one only where that is unset.
+    """Folder for intermediates that the executors share (scratch.shared_folder).
 
-    A written table cuts lineage: when an executor is lost, what it held is read again rather than recomputed.
+    A written table cuts lineage: when an executor is lost, what it held is read again rather than recomputed. What results are read from goes when the
+    program ends; an operator drops earlier what nothing reads any more.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-        if not base:
-            base = tempfile.mkdtemp(prefix="quire-")
-            atexit.register(shutil.rmtree, base, True)
-        self.base = f"{base.rstrip('/')}/quire-{uuid.uuid4().hex}"
+        self.base = scratch.shared_folder(spark, "quire")
         atexit.register(self._clear)
 
     def _clear(self) -> None:
-        """What results were read from goes when the program ends."""
-        local = self.base.removeprefix("file://")
-        if "://" not in local:
-            shutil.rmtree(local, ignore_errors=True)
+        local = self.base.removeprefix("file:")
+        if local.startswith("/"):
+            shutil.rmtree("/" + local.lstrip("/"), ignore_errors=True)
             return
         with contextlib.suppress(Exception):  # else the session is over, and the folder's owner cleans up
             self.drop("")
@@ -60,13 +56,12 @@ class Workspace:
 
     def drop(self, name: str) -> None:
         """Delete a table that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}" if name else self.base)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        scratch.delete(self.spark, f"{self.base}/{name}".rstrip("/"))
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that are over (its cleaner acts when the driver collects garbage)."""
+    """Let Spark delete the shuffle files of plans that are over: its cleaner acts when the driver collects garbage, which it is asked to do here, since else the
+    files of all steps add up on the executors' disks."""
     import gc
 
     gc.collect()
@@ -137,12 +132,12 @@ def word_hashes(data: bytes, lower: bool = False) -> tuple[np.ndarray, np.ndarra
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
-    """64-bit hash of each run of width words."""
+def window_hashes(words: np.ndarray, width: int, base: np.uint64 = _ODD2) -> np.ndarray:
+    """64-bit hash of each run of width words; another base, which is odd, gives another hash."""
     n = len(words) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    power, inverse = powers(_ODD2, len(words) + 1)
+    power, inverse = powers(base, len(words) + 1)
     total = np.zeros(len(words) + 1, np.uint64)
     np.cumsum(words * power[: len(words)], out=total[1:])
     return mix((total[width:] - total[:n]) * inverse[:n])

@@ -12,6 +12,36 @@ from pyspark.sql import functions as F
 from quire.llm.common import Workspace
 
 
+#: Parts into which the rows of each key are dealt where something about the whole key is joined to them.
+PARTS = 64
+
+
+def with_totals(members: DataFrame, keys: list[str], member: str, having: str, **totals: tuple[str, str]) -> DataFrame:
+    """members with totals of their keys' groups, name=(count, min or max; column), of groups for which `having` is true.
+
+    A group's rows are dealt by a hash of member into parts, summed by part and then by key, and its totals go to each of its parts; so no key's rows meet in one task,
+    however many they are.
+    """
+    first = {"count": lambda c: F.count("*"), "min": F.min, "max": F.max}
+    then = {"count": F.sum, "min": F.min, "max": F.max}
+    dealt = members.withColumn("s_", F.pmod(F.xxhash64(F.col(member), F.lit(5)), F.lit(PARTS)).cast("int"))
+    parts = dealt.groupBy(*keys, "s_").agg(*[first[how](c).alias(n) for n, (how, c) in totals.items()])
+    whole = parts.groupBy(*keys).agg(*[then[how](n).alias(n) for n, (how, _) in totals.items()], F.collect_list("s_").alias("s_")).where(having)
+    return dealt.join(whole.select(*keys, *totals, F.explode("s_").alias("s_")), [*keys, "s_"]).drop("s_")
+
+
+def absorb(known: DataFrame | None, links: DataFrame, space: Workspace, name: str) -> DataFrame:
+    """known (node, component) and new links (a, b) -> (node, component) of both: links are taken between the components known so far, and only those that join two
+    are followed."""
+    if known is None:
+        return space.write(connected_components(links, space, name), f"{name}-reach")
+    side = lambda x: known.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    between = links.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    up = connected_components(between, space, name)
+    moved = known.join(up.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return space.write(moved.unionByName(up.join(known, "node", "left_anti")), f"{name}-reach")
+
+
 def connected_components(edges: DataFrame, space: Workspace, name: str) -> DataFrame:
     """edges (a, b), longs -> (node, component): the smallest node reachable, for each node that has a link to another.
 
@@ -24,8 +54,8 @@ def connected_components(edges: DataFrame, space: Workspace, name: str) -> DataF
     was, k = state(e), 0
     while was[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        near = with_totals(both, ["u"], "v", "true", m=("min", "v"))  # a star's hub may have a third of all links
+        large = near.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
         e = space.write(small.select("x.u", "x.v").where("u <> v").distinct(), f"{name}-{k + 1}")
@@ -45,8 +75,7 @@ def block_pairs(members: DataFrame, keys: list[str], member: str, block: int) ->
     So no task gets more than about 2 * block members, whatever a group's size, and each pair of members meets exactly once (side:
     0 or 1, for the first or second block; pairs in one block meet where bi = bj).
     """
-    n = members.groupBy(*keys).agg(F.count("*").alias("n_")).where("n_ > 1")
-    m = members.join(n, keys).withColumn("g_", F.ceil(F.col("n_") / F.lit(block)).cast("int"))
+    m = with_totals(members, keys, member, "n_ > 1", n_=("count", member)).withColumn("g_", F.ceil(F.col("n_") / F.lit(block)).cast("int"))
     m = m.withColumn("b_", F.pmod(F.xxhash64(member, F.lit(11)), F.col("g_")).cast("int"))
     other = F.transform(F.sequence(F.lit(0), F.col("g_") - 1), lambda o: F.struct(F.least("b_", o).alias("bi"), F.greatest("b_", o).alias("bj"), (F.col("b_") > o).cast("int").alias("side")))
     return m.select("*", F.explode(other).alias("x_")).select(*members.columns, "x_.bi", "x_.bj", "x_.side")

@@ -25,6 +25,32 @@ def plan(n: int, threshold: float, miss: float = 0.005, bucket: int = 64) -> tup
     return bits, math.ceil(math.log(miss) / math.log1p(-p)) if p < 1 else 1
 
 
+#: Signs of the sketch by which a bucket's members are told apart before their vectors are fetched, and how many standard deviations a pair at the
+#: threshold may be beyond the mean of its differing signs: 3e-7 of such pairs are.
+SKETCH, DEVIATIONS = 256, 5.0
+
+
+def within(threshold: float) -> float:
+    """Most differing signs of a sketch that two vectors of the cosine have."""
+    p = math.acos(threshold) / math.pi
+    return SKETCH * p + DEVIATIONS * math.sqrt(SKETCH * p * (1 - p))
+
+
+def _near(group: pd.DataFrame, most: float) -> pd.DataFrame:
+    """Of one block pair: the members that have another in reach by their sketches."""
+    x = np.frombuffer(b"".join(group["sketch"]), np.uint64).reshape(len(group), -1)
+    side = group["side"].to_numpy() if group["bi"].iloc[0] != group["bj"].iloc[0] else None
+    keep = np.zeros(len(group), bool)
+    for at in range(0, len(x), 128):
+        near = np.bitwise_count(x[at : at + 128, None, :] ^ x[None, :, :]).sum(axis=2, dtype=np.int64) <= most
+        near[np.arange(near.shape[0]), at + np.arange(near.shape[0])] = False
+        if side is not None:
+            near &= side[at : at + 128, None] != side[None, :]
+        keep |= near.any(axis=0)
+        keep[at : at + 128] |= near.any(axis=1)
+    return group[keep]
+
+
 def _links(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Of one block pair: each member's linked weight in pairs that no earlier table has, and the least member its links reach."""
     t = int(group["t"].iloc[0])
@@ -61,10 +87,11 @@ def _links(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, block: int = 1024, seed: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row per vector: vec_id, n_links (other vectors linked directly), component_id, kept.
 
-    Equal vectors are one class with a weight and link to each other, so copies are never paired. Classes that share the signs of
-    a table's hyperplanes are compared by exact cosine in double precision; a pair counts in the first table that has it. A large
+    Equal vectors are one class with a weight and link to each other, so copies are never paired. Of classes that share the signs of
+    a table's hyperplanes, first only sketches of SKETCH other signs meet, and who has no other in reach of the threshold by these is left out of the bucket. The rest are
+    compared by exact cosine in double precision; a pair counts in the first table that has it. A large
     bucket is cut into blocks, and each pair of blocks is a task. A task gives sums and each member's least reach, never pairs, and
-    components are found from those in rounds.
+    components are found from those in rounds. Vectors are shuffled for buckets in which they have a likely partner only.
 
     Null, empty and zero vectors, and those with null or non-finite components, link with nothing: n_links 0, own id as component.
     Vectors of different lengths don't link. Null ids count as vectors, but not for the smallest id (kept: the ids are both null or equal).
@@ -88,16 +115,25 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, block: int = 102
             for cid, w, vector in zip(batch["cid"], batch["w"], batch["e"], strict=True):
                 x = np.asarray(vector, np.float32)
                 if len(x) not in planes:
-                    planes[len(x)] = np.random.default_rng([seed, len(x)]).standard_normal((len(x), bits * tables))
-                keys = ((x.astype(np.float64) @ planes[len(x)] > 0).reshape(tables, bits) * power).sum(axis=1)
-                out.append((cid, w, x.tobytes(), keys, keys.astype("<i8").tobytes()))
-            yield pd.DataFrame(out, columns=["cid", "w", "x", "k", "keys"])
+                    planes[len(x)] = np.random.default_rng([seed, len(x)]).standard_normal((len(x), bits * tables + SKETCH))
+                sign = x.astype(np.float64) @ planes[len(x)] > 0
+                keys = (sign[: bits * tables].reshape(tables, bits) * power).sum(axis=1)
+                out.append((cid, w, x.tobytes(), keys, keys.astype("<i8").tobytes(), np.packbits(sign[bits * tables :]).tobytes()))
+            yield pd.DataFrame(out, columns=["cid", "w", "x", "k", "keys", "sketch"])
 
-    s = space.write(c.select("cid", "w", "e").mapInPandas(signs, "cid long, w long, x binary, k array<long>, keys binary"), "signs")
-    dealt = block_pairs(s.select("cid", F.posexplode("k").alias("t", "key")), ["t", "key"], "cid", block)
-    rows = dealt.join(s.select("cid", "w", "x", "keys"), "cid")
+    s = space.write(c.select("cid", "w", "e").mapInPandas(signs, "cid long, w long, x binary, k array<long>, keys binary, sketch binary"), "signs")
     order = ["t", "key", "bi", "bj"]
-    rows = rows.repartition(*order).sortWithinPartitions(*order)
+    arranged = lambda d: d.repartition(*order).sortWithinPartitions(*order)
+    dealt = block_pairs(s.select("cid", F.posexplode("k").alias("t", "key")), ["t", "key"], "cid", block)
+    most = within(threshold)
+
+    def sift(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in groups(batches, order):
+            if len(found := _near(group, most)):
+                yield found[[*order, "side", "cid"]]
+
+    near = arranged(dealt.join(s.select("cid", "sketch"), "cid")).mapInPandas(sift, "t int, key long, bi int, bj int, side int, cid long")
+    rows = arranged(near.join(s.select("cid", "w", "x", "keys"), "cid"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in groups(batches, order):

@@ -163,16 +163,19 @@ def held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(documents: DataFrame, per_lang: int = 1000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def train(documents: DataFrame, per_lang: int = 1000, per_text: int = 4096, most_langs: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit on a sample of at most 1.2 * per_lang labelled documents of each language that aren't held out, chosen by a hash of
-    id and text; their whole texts become sparse feature counts on the executors, and only those reach the driver.
+    id and text; their whole texts become sparse feature counts on the executors, and only the per_text strongest of each reach the driver: 1.2 * per_lang *
+    per_text * 6 bytes a language at most (29 MB as it stands).
 
-    Every labelled language is learnt, however rare. Null or letterless texts and null labels teach nothing.
+    Every labelled language is learnt, however rare; of more than most_langs labels, which only dirty ones can be, the most frequent (ties: the first). Null or
+    letterless texts and null labels teach nothing. A repeated row is chosen with its twin or not at all, as the hash is the same. Texts of any length are read
+    whole, by segments. Other columns aren't read. Empty table: a model that knows nothing.
     """
     text_batches(documents.sparkSession)
     d = documents.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
     d = d.where(F.col("l").isNotNull() & F.col("t").rlike(r"\p{L}") & ~held_out(F.col("i")))
-    totals = {r["l"]: r["n"] for r in d.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    totals = {r["l"]: r["n"] for r in d.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "l").limit(most_langs).collect()}
     if not totals:
         return Model()
     share = F.create_map(*[F.lit(x) for l, n in totals.items() for x in (l, min(1.0, 1.1 * per_lang / n))])
@@ -187,6 +190,8 @@ def train(documents: DataFrame, per_lang: int = 1000, id_col: str = "doc_id", te
                 if count is not None:
                     x = unit(count)
                     at = np.flatnonzero(x)
+                    if len(at) > per_text:
+                        at = np.sort(at[np.argsort(-x[at], kind="stable")[:per_text]])
                     out.append((lang, k, at.astype("<u2").tobytes(), x[at].tobytes()))
             yield pd.DataFrame(out, columns=["l", "k", "at", "x"])
 
@@ -202,8 +207,9 @@ def train(documents: DataFrame, per_lang: int = 1000, id_col: str = "doc_id", te
 def identify(documents: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """documents with columns lang_pred and score (0 to 1), from each whole text alone; nothing is shuffled.
 
-    Null text, or one without a letter: `und`, score 0; so is every text if the model has learnt nothing. Columns of documents
-    named like one of the two are replaced. The model is a fixed number of weights for each pair of languages in a family and of families.
+    Null text, or one without a letter: `und`, score 0; so is every text if the model has learnt nothing. Texts of any length are read whole, by segments;
+    repeated rows get the same answer each. Empty table: no rows. Columns of documents named like one of the two are replaced, all others stay as they are. The model is
+    a fixed number of weights for each pair of languages in a family and of families.
     """
     text_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
@@ -213,5 +219,5 @@ def identify(documents: DataFrame, model: Model, text_col: str = "text") -> Data
         return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "score"])
 
     own = [c for c in documents.columns if c.lower() not in ("lang_pred", "score")]
-    found = documents.withColumn("quire_found", predict(F.col(text_col)))
-    return found.select(*own, F.col("quire_found.lang_pred").alias("lang_pred"), F.col("quire_found.score").alias("score"))
+    found = documents.select(F.struct("*").alias("row"), predict(F.col(text_col)).alias("found"))
+    return found.select(*[F.col("row").getField(c).alias(c) for c in own], F.col("found.lang_pred").alias("lang_pred"), F.col("found.score").alias("score"))

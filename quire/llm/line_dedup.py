@@ -31,7 +31,7 @@ def drop_boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float
     A line is dropped if it is on more than ratio of its host's pages, and on min_pages at least. A page counts once for a line
     however often it repeats it; the host total counts all its pages. If distinct, equal texts of a host count as one page, so that
     many copies of a page don't make its own lines frequent (null texts are equal). Lines are compared as they are; those of spaces alone are
-    kept and not counted. Null text: null lines, 0 and 0, still a page of its host. Null host: a host of its own. Empty table:
+    kept and not counted. Repeated rows are pages each. Texts of any length are taken whole. Null text: null lines, 0 and 0, still a page of its host. Null host: a host of its own. Empty table:
     no rows. A column of pages named like one of the four above is replaced.
 
     Counts are summed map-side, by host and line, so neither a host nor a line with a third of all rows meets in one task. What

@@ -15,33 +15,50 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import text_batches
 
-#: Words of a leaf at most, and characters of a leaf's and a branch's digest (6 bits each).
-LEAF, LEAF_DIGEST, BRANCH_DIGEST = 8, 4, 12
+#: Words of a leaf at most; words of a whole text up to which each word is a leaf; bytes of a digest; characters of it (6 bits each) that a fingerprint
+#: shows of a leaf and of a branch.
+LEAF, SHORT, DIGEST, LEAF_SHOWN, BRANCH_SHOWN = 8, 16, 16, 4, 12
 SECTION = re.compile(r"\n[ \t]*(?:\n[ \t]*)+")
 #: A leaf: up to LEAF words, ending early at a sentence's end. White space goes with the word before it.
 RUN = re.compile(r"\s+|(?:\S*[^\s.!?]\s+){0,%d}\S+\s*" % (LEAF - 1))
 
 
-def _digest(data: bytes, length: int) -> str:
-    return urlsafe_b64encode(blake2b(data, digest_size=(length * 6 + 7) // 8).digest())[:length].decode()
+WORD = re.compile(r"\s+|\S+\s*")
+
+
+def _digest(data: bytes) -> bytes:
+    return blake2b(data, digest_size=DIGEST).digest()
+
+
+def _shown(digest: bytes, length: int) -> str:
+    return urlsafe_b64encode(digest)[:length].decode()
+
+
+def leaves_of(paragraph: str, short: bool) -> list[str]:
+    """A paragraph's runs of words, which together are all of it: single words in a short text, else up to LEAF words that end with a sentence."""
+    return (WORD if short else RUN).findall(paragraph)
 
 
 def fingerprint(text: str | None) -> str:
-    """`root/section:paragraph=leaves:paragraph=leaves/section...`: each branch's digest is of those below it.
+    """`root/section:paragraph=leaves:paragraph=leaves/section...`: each branch's digest is of the whole digests of those below it.
 
-    Sections are parted by blank lines, paragraphs by line feeds, and a paragraph's leaves are runs of up to eight words that end
-    with a sentence. The root is of the whole text too, so equal roots mean equal texts. Null counts as empty.
+    Sections are parted by blank lines, paragraphs by line feeds, and paragraphs into leaves_of(). Only what is shown of a digest is cut: leaves to 24 bits, sections
+    and paragraphs to 72, the root to 128 (all of it), so a branch is told apart by its leaves' 128 bits. The root is of the whole text too, so equal roots mean
+    equal texts. Null counts as empty.
     """
     text = text or ""
-    sections = []
+    short = len(text.split(maxsplit=SHORT)) <= SHORT
+    sections, whole = [], []
     for section in SECTION.split(text):
-        paragraphs = []
+        paragraphs, below = [], []
         for paragraph in section.split("\n"):
-            leaves = "".join(_digest(x.encode("utf-8", "surrogatepass"), LEAF_DIGEST) for x in RUN.findall(paragraph))
-            paragraphs.append(f"{_digest(leaves.encode(), BRANCH_DIGEST)}={leaves}")
-        sections.append(f"{_digest(''.join(p[:BRANCH_DIGEST] for p in paragraphs).encode(), BRANCH_DIGEST)}:{':'.join(paragraphs)}")
-    root = _digest(text.encode("utf-8", "surrogatepass") + b"\0" + "".join(s[:BRANCH_DIGEST] for s in sections).encode(), 2 * BRANCH_DIGEST)
-    return "/".join([root, *sections])
+            leaves = [_digest(x.encode("utf-8", "surrogatepass")) for x in leaves_of(paragraph, short)]
+            below.append(_digest(b"".join(leaves)))
+            paragraphs.append(f"{_shown(below[-1], BRANCH_SHOWN)}={''.join(_shown(x, LEAF_SHOWN) for x in leaves)}")
+        whole.append(_digest(b"".join(below)))
+        sections.append(f"{_shown(whole[-1], BRANCH_SHOWN)}:{':'.join(paragraphs)}")
+    root = _digest(_digest(text.encode("utf-8", "surrogatepass")) + b"".join(whole))
+    return "/".join([_shown(root, 2 * BRANCH_SHOWN), *sections])
 
 
 def branches(print_: str) -> list[tuple[str, list[tuple[str, str]]]]:
@@ -57,7 +74,7 @@ def _leaves(print_: str) -> Counter:
     got: Counter = Counter()
     for _, paragraphs in branches(print_):
         for _, leaves in paragraphs:
-            got.update(leaves[i : i + LEAF_DIGEST] for i in range(0, len(leaves), LEAF_DIGEST))
+            got.update(leaves[i : i + LEAF_SHOWN] for i in range(0, len(leaves), LEAF_SHOWN))
     return got
 
 
@@ -97,64 +114,83 @@ def edit(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def compare_neighbours(documents: DataFrame, range_bytes: int = 8 << 20, max_ranges: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def compare_neighbours(documents: DataFrame, range_bytes: int = 8 << 20, max_ranges: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     A document's next one is that before it in ascending order of id, text (nulls last on the way down), and the first's is the
-    last. The ids are cut into ranges by quantiles, each range a stretch of the order: its rows are sorted and streamed, so that a
-    task holds two texts, and the first row of each range is also sent to the range above, as the next of that one's last row. So
-    texts are shuffled once, with one text more for each range, and no window spans all rows.
+    last. The ids are cut into ranges by quantiles, each range a stretch of the order and a partition of its own: its rows are sorted (beyond memory by spilling) and
+    streamed, so that a task holds two texts, and the first row of each range is also sent to the range above, as the next of that one's last row. So
+    texts are shuffled once, with one text more for each range, and no window spans all rows. Ranges have range_bytes up to max_ranges of them (0.5 TB), and
+    grow from there on: 1.6 GB each at 100 TB.
 
-    Null text: empty. Null ids come last. Repeated rows follow each other in any order, as they are alike. A single document
+    Null ids come last, by a hash of their text and the text, and are cut into ranges by that hash, so many of them don't meet in one task either.
+    Null text: empty. Repeated rows follow each other in any order, as they are alike. A single document
     is its own next. Empty table: no rows. Only the two columns are read.
     """
-    text_batches(documents.sparkSession)
-    d = documents.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    total, low = documents.select(F.col(id_col).cast("long").alias("i"), F.octet_length(F.col(text_col)).alias("n")).agg(F.sum("n"), F.min("i")).first()
+    spark = documents.sparkSession
+    text_batches(spark)
+    ids = documents.select(F.col(id_col).cast("long").alias("i"), F.octet_length(F.col(text_col)).alias("n"))
+    total, low, n, nulls = ids.agg(F.sum("n"), F.min("i"), F.count("*"), F.count_if(F.col("i").isNull())).first()
     ranges = min(max_ranges, int((total or 0) // range_bytes) + 1)
-    bounds = documents.select(F.col(id_col).cast("long").alias("i")).agg(F.percentile_approx("i", F.array(*[F.lit(k / ranges) for k in range(1, ranges)]), 20 * ranges)).first()[0] if ranges > 1 and low is not None else []
-    bounds = sorted(set(bounds or []))
-    # Range 0 has the greatest ids, the last the null ones; i <= bound goes on to a later range.
-    edges = np.array(bounds, np.int64)
+    bounds = ids.agg(F.percentile_approx("i", F.array(*[F.lit(k / ranges) for k in range(1, ranges)]), 20 * ranges)).first()[0] if ranges > 1 and low is not None else []
+    edges = np.array(sorted(set(bounds or [])), np.int64)
+    # Range 0 has the greatest ids, an id equal to a bound goes on to a later range, and the last ranges have the null ones.
+    parts = max(1, -(-ranges * nulls // max(1, n)))
+
+    def place(i: pd.Series, h: pd.Series) -> np.ndarray:
+        null = i.isna().to_numpy()
+        known = len(edges) - np.searchsorted(edges, i.fillna(0).to_numpy(np.int64), "left")
+        unsigned = h.to_numpy(np.int64).view(np.uint64) ^ np.uint64(1 << 63)  # the hash's order, from 0
+        return np.where(null, len(edges) + 1 + (unsigned >> np.uint64(32)).astype(np.int64) * parts // (1 << 32), known)
 
     @F.pandas_udf("int")
-    def later(ids: pd.Series) -> pd.Series:
-        return pd.Series(len(edges) - np.searchsorted(edges, ids.fillna(0).to_numpy(np.int64), "left"))
-
-    where = F.when(F.col("i").isNull(), len(bounds) + 1).otherwise(later("i")).alias("r")
-    # One row for each range: the id with which it starts, and where its first row is needed too.
-    firsts = documents.select(F.col(id_col).cast("long").alias("i")).select(where, "i").groupBy("r").agg(F.max("i").alias("i")).orderBy("r").collect()
-    above = {firsts[k]["i"]: firsts[k - 1]["r"] for k in range(len(firsts))}
-    pairs = [F.lit(x) for i, r in above.items() if i is not None for x in (i, r)]
-    extra = F.create_map(*pairs)[F.col("i")] if pairs else F.lit(None).cast("int")
-    if None in above:
-        extra = F.when(F.col("i").isNull(), above[None]).otherwise(extra)
-    d = d.select("i", "t", where, extra.alias("also"))
+    def range_of(i: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(place(i, h))
+
+    d = documents.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    d = d.withColumn("h", F.when(F.col("i").isNull(), F.xxhash64("t")).otherwise(F.lit(0).cast("long")))
+    # One row for each range: the id (or a null id's hash) with which it starts. The range before it needs its first row too.
+    firsts = d.groupBy(range_of("i", "h").alias("r")).agg(F.max("i").alias("i"), F.min("h").alias("h")).orderBy("r").collect()
+    order = [f["r"] for f in firsts]
+    above = {(f["i"] is None, f["h"] if f["i"] is None else f["i"]): k for k, f in enumerate(firsts)}
+    shared = spark.sparkContext.broadcast((np.array(order, np.int64), above))
+
+    @F.pandas_udf("array<int>")
+    def ranges_of(i: pd.Series, h: pd.Series) -> pd.Series:
+        """A row's range by its number among those that have rows, and if a range starts with the row's id, the number of the one above it."""
+        starts, above_ = shared.value
+        at = np.searchsorted(starts, place(i, h))
+        null = i.isna().to_numpy()
+        out = []
+        for r, none, a, b in zip(at.tolist(), null.tolist(), i.fillna(0).astype(np.int64).tolist(), h.tolist(), strict=True):
+            k = above_.get((none, b if none else a))
+            out.append([r] if k is None else [r, (k - 1) % len(starts)])
+        return pd.Series(out)
+
+    spread = max(1, len(order))
     # Of the rows with a range's first id, only the first text is needed above; the least is chosen below, in the stream.
-    d = d.select("i", "t", F.explode(F.when(F.col("also").isNull(), F.array(F.struct("r", F.lit(False).alias("tail")))).otherwise(F.array(F.struct("r", F.lit(False).alias("tail")), F.struct(F.col("also").alias("r"), F.lit(True).alias("tail"))))).alias("x"))
-    d = d.select("i", "t", "x.r", "x.tail")
-    spread = max(1, len(firsts))
-    d = d.repartition(spread, "r").sortWithinPartitions("r", "tail", F.col("i").desc_nulls_last(), "t")
+    d = d.select("i", "t", "h", F.posexplode(ranges_of("i", "h")).alias("tail", "r")).withColumn("tail", F.col("tail") == 1)
+    d = d.repartitionById(spread, "r").sortWithinPartitions("tail", F.col("i").desc_nulls_last(), "h", "t").select("i", "t", "tail")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-        held, out, size = None, [], 0  # held: range, id, text, fingerprint of a row whose next is to come
+        held, done, out, size = None, False, [], 0  # held: id, text, fingerprint of a row whose next is to come
         for batch in batches:
-            for i, text, r, tail in zip(batch["i"].tolist(), batch["t"], batch["r"].tolist(), batch["tail"].tolist(), strict=True):
-                if held is not None and held[0] != r:
-                    raise ValueError("a range ended without the next range's first row")
-                if held is None and tail:
+            for i, text, tail in zip(batch["i"].tolist(), batch["t"], batch["tail"].tolist(), strict=True):
+                if done:
                     continue  # more rows with the id that the next range starts with
                 own = fingerprint(text)
                 if held is not None:
-                    edited = edit(held[2], text)
-                    changed = held[3] if edited == held[2] else fingerprint(edited)
-                    out.append((held[1], len(held[2]), sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), held[3], changed, likeness(held[3], changed), likeness(held[3], own)))
-                    size += len(held[2])
-                held = None if tail else (r, None if pd.isna(i) else int(i), text, own)
+                    edited = edit(held[1], text)
+                    changed = held[2] if edited == held[1] else fingerprint(edited)
+                    out.append((held[0], len(held[1]), sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), held[2], changed, likeness(held[2], changed), likeness(held[2], own)))
+                    size += len(held[1])
+                held, done = (None if pd.isna(i) else int(i), text, own), tail
                 if size > 4 << 20:
                     yield pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64"})
                     out, size = [], 0
+        if held is not None and not done:
+            raise ValueError("a range ended without the next range's first row")
         yield pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64"})
 
     return d.mapInPandas(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

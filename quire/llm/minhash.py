@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import Workspace, mix, release, shingle_set, text_batches
-from quire.llm.components import block_pairs, connected_components, groups
+from quire.llm.components import absorb, block_pairs, groups, with_totals
 
 #: A signature: CHUNKS of SYMBOLS each, of 16 bits. ERRORS symbols of a chunk may differ.
 CHUNKS, SYMBOLS, ERRORS = 10, 5, 1
@@ -108,9 +108,10 @@ def near_duplicates(documents: DataFrame, percent: int = 75, width: int = 5, blo
     copies with as many comparisons as members. Of keys whose classes are then in several components, each class outside the largest
     is compared with the one most like it by sketch in another component, then with four of them; so the
     components grow together wherever they are linked, again with as many comparisons as members. At last all pairs that are still
-    across components are compared by sketch, and those in reach on full sets. So no link between candidates in reach that could
-    join two components is lost, and pairs within a component are never listed. A large group is cut into blocks, and each pair of
-    blocks is a task.
+    across components are compared by sketch, and those in reach on full sets. So of the candidates in reach none is lost that could
+    join two components (what isn't a candidate or in reach is: see above), and pairs within a component are never listed. A large group is cut into blocks,
+    each pair of blocks is a task, and what is known of a whole key reaches its members by parts, so no key meets in one task. Components are kept from
+    step to step, and a step only follows the links that join two of them. Texts are fetched once, for the classes that share a key with another.
 
     Null text or none: n_shingles 0, linked with nothing, own id as component. Null ids take part but are no smallest id (kept:
     both null or equal). Repeated rows are equal sets. Empty table: no rows. Other columns aren't read.
@@ -140,8 +141,11 @@ def near_duplicates(documents: DataFrame, percent: int = 75, width: int = 5, blo
                 yield pd.DataFrame({"cid": batch["cid"], "k": list(k)})
 
     k = c.select("cid", "sig").mapInPandas(spread, "cid long, k array<long>").select("cid", F.posexplode("k").alias("p", "k"))
-    hubs = k.groupBy("k").agg(F.min("cid").alias("hub"), F.max("cid").alias("top")).where("hub < top").select("k", "hub")
-    shared = space.write(k.join(hubs, "k").select("k", "p", "hub", "cid"), "shared")
+    shared = space.write(with_totals(k, ["k"], "cid", "hub < top", hub=("min", "cid"), top=("max", "cid")).select("k", "p", "hub", "cid"), "shared")
+    release(spark)
+    asked = c.join(shared.select("cid").distinct(), "cid", "left_semi").select("cid", "i", "th")
+    own = F.col("p.i").eqNullSafe(F.col("d.i")) & (F.col("p.th") == F.col("d.th"))
+    texts = space.write(asked.alias("p").join(d.alias("d"), own).select("p.cid", "d.t").dropDuplicates(["cid"]), "texts")
     release(spark)
 
     @F.pandas_udf("boolean")
@@ -167,11 +171,9 @@ def near_duplicates(documents: DataFrame, percent: int = 75, width: int = 5, blo
 
     def confirm(pairs: DataFrame, name: str) -> DataFrame:
         """Distinct pairs (a, b) of classes in reach -> those that are linked."""
-        p = space.write(pairs.join(c.select(F.col("cid").alias("b"), "i", "th"), "b"), f"{name}-pairs")
-        same = lambda x, y: F.col(f"{x}.i").eqNullSafe(F.col(f"{y}.i")) & (F.col(f"{x}.th") == F.col(f"{y}.th"))
-        right = p.alias("p").join(d.alias("d"), same("p", "d")).select("p.a", "p.b", F.col("d.t").alias("tb"))
-        left = p.select("a").distinct().join(c.select(F.col("cid").alias("a"), "i", "th"), "a").alias("p").join(d.alias("d"), same("p", "d")).select("p.a", F.col("d.t").alias("ta"))
-        links = space.write(right.join(left, "a").where(confirmed("ta", "tb")).select("a", "b").distinct(), f"{name}-links")
+        p = space.write(pairs, f"{name}-pairs")
+        text = lambda x: texts.select(F.col("cid").alias(x), F.col("t").alias(f"t{x}"))
+        links = space.write(p.join(text("b"), "b").join(text("a"), "a").where(confirmed("ta", "tb")).select("a", "b"), f"{name}-links")
         release(spark)
         return links
 
@@ -217,20 +219,19 @@ def near_duplicates(documents: DataFrame, percent: int = 75, width: int = 5, blo
 
     order = ["k", "bi", "bj"]
     tried = shared.where("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
-    links = confirm(in_reach(tried), "star")
+    reach = absorb(None, confirm(in_reach(tried), "star"), space, "star-components")
     for name, top in (("near", 1), ("nearer", 4), ("all", None)):
-        reach = connected_components(links, space, f"{name}-components")
         named = shared.join(reach, F.col("cid") == F.col("node"), "left").select("k", "p", "cid", F.coalesce("component", "cid").alias("comp"))
-        mixed = named.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("k")
-        shared = space.write(named.join(mixed, "k", "left_semi").select("k", "p", "cid", "comp"), f"{name}-members")
+        mixed = with_totals(named, ["k"], "cid", "lo < hi", lo=("min", "comp"), hi=("max", "comp"))
+        shared = space.write(mixed.select("k", "p", "cid", "comp"), f"{name}-members")
         dealt = block_pairs(shared, ["k"], "cid", block).join(c.select("cid", "sig", "sketch", "n"), "cid")
         pairs = dealt.repartition(*order).sortWithinPartitions(*order).mapInPandas(across(top), "a long, b long").distinct()
         pairs = space.write(pairs.join(tried, ["a", "b"], "left_anti"), f"{name}-candidates")
-        links = links.unionByName(confirm(pairs, name))
+        reach = absorb(reach, confirm(pairs, name), space, f"{name}-components")
         tried = tried.unionByName(pairs)
         shared = shared.select("k", "p", "cid")
 
-    reach = connected_components(links, space, "components")
+    space.drop("texts")
     c = c.join(reach, F.col("cid") == F.col("node"), "left").select("set", "doc", F.coalesce("component", "cid").alias("component"))
     least = c.groupBy("component").agg(F.min("doc").alias("component_id"))
     c = space.write(c.join(least, "component").select("set", "component_id"), "found")

@@ -28,7 +28,8 @@ def targets(totals: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeat: int
         "w_left": F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0)),
     })
     # A source is capped if its cap is at most its part of what the sources before it in this order leave.
-    t = t.withColumn("capped", F.col("cap") * F.col("w_left") <= F.col("left") * F.col("w"))
+    wide = lambda c: F.col(c).cast("decimal(19,0)")  # noqa: E731  (words of all sources times weights of all sources may pass 64 bits)
+    t = t.withColumn("capped", wide("cap") * wide("w_left") <= wide("left") * wide("w"))
     t = t.withColumns({
         "free": F.sum("source_size").over(every) - F.coalesce(F.sum(F.when(F.col("capped"), F.col("cap"))).over(every), F.lit(0)),
         "free_w": F.sum(F.when(~F.col("capped"), F.col("w"))).over(every),

@@ -33,7 +33,8 @@ class Encoder:
 
     The merges of a byte-level BPE without further steps, whose merges are numbered as their results are, can be run by rank: of the
     pairs in a word the one with the lowest resulting id is merged first. Such a file's ids come from the rank library, which is
-    several times as fast; those of any other file from the tokenizer itself.
+    several times as fast. Those of any other file come from the tokenizer itself, and so do those of a text that has the content of a token which was added to
+    the vocabulary (a special token as a literal): the tokenizer gives it that token's id.
     """
 
     def __init__(self, path: str):
@@ -42,9 +43,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         parts = json.loads(self.tokenizer.to_str())
         special = {t["id"] for t in parts["added_tokens"]}
+        self.added = [t["content"] for t in parts["added_tokens"]]
         size = 1 + max([*parts["model"].get("vocab", {}).values(), *special])
         byte_of = _byte_of()
         self.raw = [b""] * size
@@ -73,7 +74,8 @@ class Encoder:
         """The ids, and how many ids there are up to each place where a sentence may end (after . ! ? or a line feed)."""
         if not text:
             return b"", np.empty(0, np.int64)
-        ids = array("I", self.ranks.encode_ordinary(text) if self.ranks else self.tokenizer.encode(text, add_special_tokens=False).ids)
+        ranked = self.ranks and not any(t in text for t in self.added)
+        ids = array("I", self.ranks.encode_ordinary(text) if ranked else self.tokenizer.encode(text, add_special_tokens=False).ids)
         if sys.byteorder == "big":
             ids.byteswap()
         data = ids.tobytes()

@@ -69,10 +69,14 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     hosts = hosts.select("key", (digit(1) % 180).alias("day"), (digit(3) % 4).alias("kind"), (digit(5) % 2).alias("ends"))
     added = hosts.where("kind < 3").select("key", F.when(F.col("kind") < 2, "block").otherwise("allow").alias("verdict"), day(F.col("day")).alias("since"))
     removed = hosts.where("kind < 3 and ends = 1").select("key", F.lit("remove").alias("verdict"), day(F.col("day") + 60).alias("since"))
-    fixed = spark.createDataFrame([("example.net", "block", 40), ("example.net", "remove", 70), ("example.net", "block", 300), ("example.org", "allow", 10), ("com", "remove", 5)], "key string, verdict string, day long")
-    entries = added.unionByName(removed).unionByName(fixed.select("key", "verdict", day(F.col("day")).alias("since")))
+    # Entries below hosts too: the first folder of some, and one deeper than any page.
+    folders = pages.select(F.concat(line_dedup.host_of(F.col("url")), F.lit("/"), F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^/?#]+)/", 1)).alias("key"))
+    folders = folders.where("key not like '/%' and key not like '%/'").distinct().where((digit(1) % 3) == 0)
+    below = folders.select("key", F.when(digit(3) % 2 == 0, "block").otherwise("allow").alias("verdict"), day(digit(5) % 200).alias("since"))
+    fixed = spark.createDataFrame([("example.net/a/b/c/d/e", "block", 3), ("example.net", "block", 40), ("example.net", "remove", 70), ("example.net", "block", 300), ("example.org", "allow", 10), ("com", "remove", 5)], "key string, verdict string, day long")
+    entries = added.unionByName(removed).unionByName(below).unionByName(fixed.select("key", "verdict", day(F.col("day")).alias("since")))
     out = url_filter.filter_urls(captures, entries, "page_id", "url", "fetched_at")
-    return out.select(F.col("capture_id").alias("page_id"), F.date_format("fetched_at", "yyyy-MM-dd").alias("fetched_on"), "n_active", "matched", "keep")
+    return out.select(F.col("capture_id").alias("page_id"), F.date_from_unix_date(F.floor(F.unix_seconds("fetched_at") / 86400).cast("int")).cast("string").alias("fetched_on"), "n_active", "matched", "keep")
 
 
 OP2_SQL = r"""
@@ -134,12 +138,14 @@ h AS (
 e AS (
   SELECT key, CASE WHEN kind < 2 THEN 'block' ELSE 'allow' END AS verdict, day FROM h WHERE kind < 3
   UNION ALL SELECT key, 'remove', day + 60 FROM h WHERE kind < 3 AND ends = 1
-  UNION ALL VALUES ('example.net', 'block', 40), ('example.net', 'remove', 70), ('example.net', 'block', 300), ('example.org', 'allow', 10), ('com', 'remove', 5)),
+  UNION ALL SELECT key, CASE WHEN ('0x' || substr(md5(key), 3, 2))::BIGINT % 2 = 0 THEN 'block' ELSE 'allow' END, ('0x' || substr(md5(key), 5, 2))::BIGINT % 200
+    FROM (SELECT DISTINCT host || '/' || regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^/?#]+)/', 1) AS key FROM c) WHERE key NOT LIKE '/%' AND key NOT LIKE '%/' AND ('0x' || substr(md5(key), 1, 2))::BIGINT % 3 = 0
+  UNION ALL VALUES ('example.net/a/b/c/d/e', 'block', 3), ('example.net', 'block', 40), ('example.net', 'remove', 70), ('example.net', 'block', 300), ('example.org', 'allow', 10), ('com', 'remove', 5)),
 i AS (SELECT key, verdict, day AS since, lead(day) OVER (PARTITION BY key ORDER BY day) AS until FROM (SELECT key, day, max(verdict) AS verdict FROM e GROUP BY key, day)),
 k AS (
   SELECT page_id, fetched, unnest(list_distinct(list_concat(
            list_transform(range(1, len(string_split(host, '.')) + 1), lambda j: array_to_string(list_slice(string_split(host, '.'), j, len(string_split(host, '.'))), '.')),
-           list_transform(range(0, least(3, len(path)) + 1), lambda j: host || '/' || array_to_string(list_slice(path, 1, j), '/'))))) AS key
+           list_transform(range(0, len(path) + 1), lambda j: host || '/' || array_to_string(list_slice(path, 1, j), '/'))))) AS key
   FROM c WHERE host <> ''),
 m AS (
   SELECT page_id, i.key, i.verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(i.key) DESC, i.key DESC) AS r, count(*) OVER (PARTITION BY page_id) AS n

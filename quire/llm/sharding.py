@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import Workspace, word_count
 
 
-#: Parts of which a split group gets its share.
+#: Parts of a group's rows for each whole of all bytes or rows: a part has about a thousandth of all.
 PARTS = 1024
 #: What bytes, tokens and rows count in the dot product: the law is on bytes.
 WEIGHTS = (4.0, 1.0, 1.0)
@@ -34,11 +34,14 @@ def place(vectors: np.ndarray, shards: int) -> np.ndarray:
 def shard(documents: DataFrame, shards: int = 8, bundles: int = 4096, split_share: float = 1 / 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Put every document into a shard, balancing bytes, tokens and rows jointly (law `bytes`: sizes near equal).
 
-    A group is all rows of an equal text and goes to one shard whole, except a group above split_share of all bytes or rows (half a
-    shard): there are at most 2 / split_share of those, each dealt in parts by a hash of the id, since a third of the rows can't be
-    one shard's eighth. Groups below it are bundled by text hash first, so that the sequential placing sees at most
-    bundles + 2 * PARTS + 2 / split_share vectors, a fixed number, whatever the input. Slots number a shard's rows from 0: each bundle's first
-    slot is the sum of the bundles before it, so rows are sorted by bundle and never by shard.
+    A group is all rows of an equal text. Groups with more than 1 / bundles of all bytes or rows are placed each by itself (at most 2 * bundles); the tail of lighter
+    ones is bundled by text hash first, so that the sequential placing sees a fixed number of vectors, whatever the input: 3 * bundles + 2 * PARTS and a few.
+    A group goes to one shard whole, unless it has more than split_share of all bytes or rows (with 8 shards: half of one): such a group, of which there are
+    at most 2 / split_share, is dealt in parts, since a third of the rows can't be one shard's eighth.
+
+    Rows of a group above 1 / PARTS of all are dealt into parts of about that size by their place in the written table, so neither one text, nor one id, nor null ids make
+    a large part. Slots number a shard's rows from 0: each part's first slot is the sum of those before it, so rows are sorted by part, never by shard or
+    large group.
 
     Null text: size 1 (no bytes, plus 1), CRC of nothing, one group of its own. Null ids are allowed; repeated rows are
     rows like any other. Empty table: no rows. Only the id and text columns are read, so other columns can't clash.
@@ -52,29 +55,30 @@ def shard(documents: DataFrame, shards: int = 8, bundles: int = 4096, split_shar
         word_count("t").alias("tokens"),
         F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).alias("crc"),
         F.xxhash64(text, F.length(text)).alias("h"),
+        F.monotonically_increasing_id().alias("place"),
     )
-    rows = space.write(rows, "rows")
+    rows = space.write(rows, "rows")  # from here a row's place is fixed
     total = rows.agg(F.sum("size").alias("size"), F.count("*").alias("n")).first()
-    size, n = total["size"] or 0, total["n"]
+    size, n = max(1, total["size"] or 0), max(1, total["n"])
     groups = rows.groupBy("h").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
-    most = F.greatest(F.col("bytes") / F.lit(max(1, size)), F.col("n") / F.lit(max(1, n)))
-    # At most 2 / split_share rows by what a share is, so this side has a proven bound.
-    heavy = groups.where(most > split_share).select("h", F.ceil(most * F.lit(float(PARTS))).cast("int").alias("parts"))
-    rows = rows.join(F.broadcast(heavy), "h", "left").withColumn(
-        "bundle",
-        F.when(F.col("parts").isNull(), F.pmod("h", F.lit(bundles)).cast("string")).otherwise(
-            F.concat_ws(":", F.col("h").cast("string"), F.pmod(F.xxhash64("i", F.lit(7)), F.col("parts")).cast("string"))
-        ),
+    most = F.greatest(F.col("bytes") / F.lit(size), F.col("n") / F.lit(n))
+    # At most 2 * bundles rows, by what a share is.
+    own = groups.where(most > 1 / bundles).select("h", F.ceil(most * F.lit(float(PARTS))).cast("int").alias("parts"), (most > split_share).alias("heavy"))
+    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("place"), F.col("parts"))).otherwise(0)
+    rows = rows.join(F.broadcast(own), "h", "left").withColumns(
+        {"bundle": F.when(F.col("parts").isNull(), F.pmod("h", F.lit(bundles)).cast("string")).otherwise(F.concat(F.lit("g"), F.col("h").cast("string"))), "part": part.cast("int")}
     )
-    # One row for each bundle and part: bounded by bundles + 2 * PARTS + 2 / split_share.
-    sums = rows.groupBy("bundle").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("n")).toPandas().sort_values("bundle")
-    vectors = sums[["bytes", "tokens", "n"]].to_numpy(float)
-    sums["shard"] = place(vectors, shards) if len(sums) else np.zeros(0, np.int64)
+    # One row for each bundle, group and part: bounded as said above.
+    sums = rows.groupBy("bundle", "part").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("n"), F.coalesce(F.first("heavy"), F.lit(False)).alias("heavy")).toPandas()
+    sums = sums.sort_values(["bundle", "part"], ignore_index=True)
+    sums["unit"] = sums["bundle"] + ":" + sums["part"].where(sums["heavy"], 0).astype(str)
+    units = sums.groupby("unit", sort=True)[["bytes", "tokens", "n"]].sum()
+    sums["shard"] = sums["unit"].map(dict(zip(units.index, place(units.to_numpy(float), shards), strict=True))) if len(sums) else np.zeros(0, np.int64)
     sums["first"] = sums.groupby("shard")["n"].cumsum() - sums["n"]
-    placed = spark.createDataFrame([(str(b), int(s), int(f)) for b, s, f in zip(sums["bundle"], sums["shard"], sums["first"], strict=True)], "bundle string, shard int, first long")
-    order = Window.partitionBy("bundle").orderBy("i", "h")
+    placed = spark.createDataFrame([(str(b), int(p), int(s), int(f)) for b, p, s, f in sums[["bundle", "part", "shard", "first"]].itertuples(index=False)], "bundle string, part int, shard int, first long")
+    order = Window.partitionBy("bundle", "part").orderBy("i", "place")
     return (
-        rows.join(F.broadcast(placed), "bundle")
+        rows.join(F.broadcast(placed), ["bundle", "part"])
         .withColumn("slot", F.col("first") + F.row_number().over(order) - 1)
         .select(F.col("i").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
     )

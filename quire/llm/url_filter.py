@@ -11,7 +11,7 @@ from quire.llm.line_dedup import host_of
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)?"
 
 
-def keys_of(url: Column, depth: int = 3) -> Column:
+def keys_of(url: Column, depth: int) -> Column:
     """What an entry can name: the host and each parent domain, and the host with up to depth leading path segments.
 
     At most (labels of the host) + depth keys; a URL without a host has none.
@@ -51,7 +51,7 @@ def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str, url_col: s
     c = captures.select(F.col(id_col).alias("capture_id"), F.col(url_col).alias("capture_url"), F.col(time_col).alias("fetched_at"))
     held = intervals(entries)
     depth = entries.select(F.max(F.size(F.split("key", "/", -1)) - 1)).first()[0] or 0
-    if len(held.limit(broadcast_rows + 1).collect()) <= broadcast_rows:
+    if held.limit(broadcast_rows + 1).count() <= broadcast_rows:
         held = F.broadcast(held)
     spread = c.groupBy("capture_id", "capture_url", "fetched_at").agg(F.count("*").alias("same"))
     keyed = spread.select("*", F.explode_outer(keys_of(F.col("capture_url"), depth)).alias("k"))

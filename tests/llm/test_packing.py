@@ -12,13 +12,11 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def test_ids_are_the_tokenizers(tokenizer):
-    texts = ["", " ", "a", "a  b", "a \nb", "a\n b", "a\nb c.", "a\n\nb", "é x　y\x1cz !\x1c", "<|endoftext|> it's  1234 don't\n", " lead", "trail ", "\n", "日本 語", "a\tb", "x " * 500]
+    texts = ["", " ", "a", "a  b", "a \nb", "a\n b", "a\nb c.", "a\n\nb", "é x　y\x1cz !\x1c", "<|endoftext|> it's  1234 don't\n", "a <|endoftext|> b", "end<|endoftext|>", "<|endoftext|><|endoftext|>", "<|endoftext |>", " lead", "trail ", "\n", "日本 語", "a\tb", "x " * 500]
     encode = packing.Encoder(PATH)
     for _ in range(2):
         for text in texts:

@@ -31,13 +31,28 @@ def brute(rows, window):
 key = lambda r: tuple((x is None, str(x)) for x in r)
 
 
-@pytest.mark.parametrize("window", [4, 7, 50])
-def test_against_brute_force(clash, window):
+@pytest.mark.parametrize("window,levels", [(4, [4]), (7, [4, 7]), (20, [5, 10, 20]), (50, [25, 50]), (130, [33, 65, 130])])
+def test_against_brute_force(clash, window, levels):
+    shortest = {7: 4, 20: 5}.get(window, 25)
+    assert substring.lengths(window, shortest) == levels
     rows = [tuple(r) for r in clash.select("doc_id", "text").collect()]
-    got = [tuple(r) for r in substring.dedup(clash, window).collect()]
+    got = [tuple(r) for r in substring.dedup(clash, window, shortest).collect()]
     assert sorted(got, key=key) == sorted(brute(rows, window), key=key)
 
 
+def test_long_repeats_through_all_levels(spark):
+    rng = random.Random(8)
+    passage = [f"p{rng.randrange(10**6)}" for _ in range(200)]
+    rows = []
+    for i in range(24):
+        a = rng.randrange(200)
+        part = passage[a : a + rng.choice([40, 100, 129, 130, 131, 190])]
+        rows.append((i, " ".join([f"x{rng.randrange(10**6)}" for _ in range(rng.randrange(20))] + part + [f"y{rng.randrange(10**6)}" for _ in range(90)])))
+    for window in (20, 50, 130):
+        got = [tuple(r) for r in substring.dedup(spark.createDataFrame(rows, "doc_id long, text string"), window, 10).collect()]
+        assert sorted(got, key=key) == sorted(brute(rows, window), key=key)
+
+
 def test_periodic_and_overlapping(spark):
     rng = random.Random(5)
     rows = [(i, " ".join(rng.choice("ab") for _ in range(rng.randrange(0, 40)))) for i in range(60)]
