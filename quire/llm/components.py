@@ -37,6 +37,9 @@ def absorb(known: DataFrame | None, links: DataFrame, space: Workspace, name: st
         return space.write(connected_components(links, space, name), f"{name}-reach")
     side = lambda x: known.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
     between = links.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    between = space.write(between.where("a <> b").distinct(), f"{name}-between")
+    if between.isEmpty():
+        return known
     up = connected_components(between, space, name)
     moved = known.join(up.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
     return space.write(moved.unionByName(up.join(known, "node", "left_anti")), f"{name}-reach")

@@ -169,9 +169,8 @@ def near_duplicates(documents: DataFrame, percent: int = 75, width: int = 5, blo
         near = pairs.join(one, "a").join(two, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
         return near.where(close("sa", "na", "sb", "nb")).select("a", "b")
 
-    def confirm(pairs: DataFrame, name: str) -> DataFrame:
-        """Distinct pairs (a, b) of classes in reach -> those that are linked."""
-        p = space.write(pairs, f"{name}-pairs")
+    def confirm(p: DataFrame, name: str) -> DataFrame:
+        """Distinct pairs (a, b) of classes in reach, as written -> those that are linked."""
         text = lambda x: texts.select(F.col("cid").alias(x), F.col("t").alias(f"t{x}"))
         links = space.write(p.join(text("b"), "b").join(text("a"), "a").where(confirmed("ta", "tb")).select("a", "b"), f"{name}-links")
         release(spark)
@@ -218,17 +217,24 @@ def near_duplicates(documents: DataFrame, percent: int = 75, width: int = 5, blo
         return run
 
     order = ["k", "bi", "bj"]
-    tried = shared.where("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
-    reach = absorb(None, confirm(in_reach(tried), "star"), space, "star-components")
+    star = shared.where("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
+    tried = space.write(in_reach(star), "star-pairs")  # a pair out of reach is so again whenever it is met
+    reach = absorb(None, confirm(tried, "star"), space, "star-components")
+    held = "shared"
     for name, top in (("near", 1), ("nearer", 4), ("all", None)):
         named = shared.join(reach, F.col("cid") == F.col("node"), "left").select("k", "p", "cid", F.coalesce("component", "cid").alias("comp"))
         mixed = with_totals(named, ["k"], "cid", "lo < hi", lo=("min", "comp"), hi=("max", "comp"))
         shared = space.write(mixed.select("k", "p", "cid", "comp"), f"{name}-members")
+        space.drop(held)
+        held = f"{name}-members"
+        if shared.isEmpty():  # all that share a key are in one component
+            break
         dealt = block_pairs(shared, ["k"], "cid", block).join(c.select("cid", "sig", "sketch", "n"), "cid")
         pairs = dealt.repartition(*order).sortWithinPartitions(*order).mapInPandas(across(top), "a long, b long").distinct()
         pairs = space.write(pairs.join(tried, ["a", "b"], "left_anti"), f"{name}-candidates")
-        reach = absorb(reach, confirm(pairs, name), space, f"{name}-components")
-        tried = tried.unionByName(pairs)
+        if not pairs.isEmpty():
+            reach = absorb(reach, confirm(pairs, name), space, f"{name}-components")
+            tried = tried.unionByName(pairs)
         shared = shared.select("k", "p", "cid")
 
     space.drop("texts")
