@@ -152,9 +152,9 @@ def title_id(chapter: Column) -> Column:
     return F.format_string("C%04d_TITLE", chapter)
 
 
-def digest(c: Column) -> Column:
-    """SHA-256 of a column's JSON."""
-    return F.sha2(F.to_json(c), 256)
+def digest(c: Column, names: list[str] | None = None) -> Column:
+    """SHA-256 of a struct's JSON; names: only these fields, by name in order, so that the fields' order in the table doesn't matter (null fields are left out)."""
+    return F.sha2(F.to_json(F.struct(*[c.getField(n).alias(n) for n in sorted(names)]) if names else c), 256)
 
 
 def md5_of(*columns: Column) -> Column:

@@ -40,6 +40,22 @@ def compose_fold(s: pd.Series) -> pd.Series:
     return s.map(composed)
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def distinct_tags(s: pd.Series) -> pd.Series:
+    """Distinct tags by their folded forms, sorted."""
+    return s.map(lambda tags: sorted({folded(t) for t in tags if t is not None}) if tags is not None else None)
+
+
+@F.pandas_udf(T.StringType())
+def unscramble_udf(parts: pd.Series, key: pd.Series, mode: pd.Series) -> pd.Series:
+    return pd.Series([unscramble(p, k, m) for p, k, m in zip(parts, key, mode, strict=True)])
+
+
+@F.pandas_udf(T.StringType())
+def inflate_udf(body: pd.Series, alphabet: pd.Series) -> pd.Series:
+    return pd.Series([inflate(b, a) for b, a in zip(body, alphabet, strict=True)])
+
+
 def decode(encoding: str):
     """BINARY -> text by a Python codec (GBK and others that Spark doesn't know); null if it doesn't fit."""
 
@@ -78,7 +94,7 @@ def unscramble(parts: list[str] | None, key: str, mode: str = "xor_shuffle") ->
     from base64 import b64decode
 
     out = []
-    for part in sorted(parts or [], key=lambda p: p[:4]):
+    for part in sorted([] if parts is None else list(parts), key=lambda p: p[:4]):
         body = part[4:]
         if mode == "base64_reverse":
             body = body[::-1]

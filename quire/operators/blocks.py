@@ -252,7 +252,7 @@ def chapter_text(text: Column, id_: Column, number: bool = False, target: int =
     its first line has none."""
     blocks = F.transform(chapter_blocks(text, target, maximum)["blocks"], lambda b: F.array_join(b, "\n"))
     body = F.array_join(blocks, "\n\n")
-    head = F.concat(F.lit("\n" + SEPARATOR + "\n"), F.when(F.lit(number) & ~F.coalesce(X.heading_has_number(X.content_lines(text)[0]), F.lit(False)), F.concat(F.lit("Chương "), id_.cast("string"), F.lit("\n"))).otherwise(""))
+    head = F.concat(F.lit("\n" + SEPARATOR + "\n"), F.when(F.lit(number) & ~F.coalesce(X.heading_has_number(F.get(X.content_lines(text), F.lit(0))), F.lit(False)), F.concat(F.lit("Chương "), id_.cast("string"), F.lit("\n"))).otherwise(""))
     return F.regexp_replace(F.concat(head, body), r"\n+$", "")
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions import html as H
 from quire.functions import numbers as N
 from quire.functions import text as X
 
@@ -207,6 +209,72 @@ def split_paragraph(text: str, limit: int) -> list[str]:
     return ["".join(p for p, g in zip(parts, groups, strict=True) if g == k) for k in range(groups[-1] + 1)]
 
 
+def split_paragraphs(text: Column, limit: int) -> Column:
+    """split_paragraph() on a column; null where a clause alone is longer than limit."""
+
+    @F.pandas_udf("array<string>")
+    def of(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> list[str] | None:
+            try:
+                return None if t is None else split_paragraph(t, limit)
+            except ValueError:
+                return None
+
+        return texts.map(one)
+
+    return of(text)
+
+
+def first_chapters(texts: DataFrame, id_: str, text: str, n: int) -> DataFrame:
+    """(id, text): a raw text up to the line before its chapter n + 1, or all of it. Texts that can't be parsed into chapters have no row."""
+    if n < 1:
+        raise ValueError("at least one chapter")
+    c = parse_chapters(texts, id_, text)[0].select("id", "source_line").distinct()
+    c = c.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("source_line")))
+    end = c.groupBy("id").agg(F.min(F.when(F.col("k") == n + 1, F.col("source_line"))).alias("end"))
+    cut = F.array_join(F.slice(X.split_lines(F.col("t")), F.lit(1), F.col("end") - 1), "\n")
+    return texts.select(F.col(id_).alias("id"), F.col(text).alias("t")).join(end, "id").select("id", F.when(F.col("end").isNull(), F.col("t")).otherwise(cut).alias("text"))
+
+
+#: Fixed pattern: a saved title that shows its chapter's number.
+SAVED_TITLE = r"(?iU)^\s*(?:Chương|Chapter)\s*(\d+)(?:\s*[:：.\-]\s*|\s+)(.*)$"
+
+
+def raw_of(chapters: DataFrame) -> DataFrame:
+    """(book, id, raw) of saved chapters (book, id, title, body as HTML): a heading line of the chapter's number and title, then its lines.
+
+    A heading of this chapter in the body (by its id, or before any prose by the number that the saved title shows) goes; the title it has counts if it comes before
+    prose, and a sentence after it stays. A fold over a chapter's lines, JVM-side.
+    """
+    c = chapters.select("book", "id", F.coalesce("title", F.lit("")).alias("title"), F.split(H.text_udf("body"), "\n").alias("lines"))
+    c = c.withColumn("printed", N.chapter_number(F.regexp_extract("title", SAVED_TITLE, 1)))
+    c = c.withColumn("title", F.when(F.col("printed") == F.col("id"), X.strip(F.regexp_extract("title", SAVED_TITLE, 2))).otherwise(F.col("title")))
+    state = lambda title, prose, out: F.struct(title.alias("title"), prose.alias("prose"), out.alias("out"))
+
+    def step(s: Column, line: Column) -> Column:
+        x = X.strip(line)
+        number, rest = N.chapter_number(F.regexp_extract(x, CHAPTER_HEADING, 1)), X.strip(F.regexp_extract(x, CHAPTER_HEADING, 2))
+        by_title = ~s["prose"] & F.col("printed").isNotNull() & (number == F.col("printed"))
+        own = F.coalesce(x.rlike(CHAPTER_HEADING) & ~rest.rlike(REFERENCE) & ((number == F.col("id")) | by_title), F.lit(False))
+        after = F.regexp_extract(rest, r"(?sU)^(\S+)\s+(\S.*)$", 2)
+        sentence = after.rlike("[，。！？；：,.!?;:]")
+        named = F.when(sentence, F.regexp_extract(rest, r"(?U)^(\S+)", 1)).otherwise(rest)
+        out = F.when(own & sentence, F.array_append(s["out"], X.strip(after))).when(own, s["out"]).otherwise(F.array_append(s["out"], line))
+        return state(F.when(own & (named != "") & ~s["prose"], named).otherwise(s["title"]), s["prose"] | F.when(own, sentence).otherwise(X.has_text(line)), out)
+
+    f = F.aggregate("lines", state(F.col("title"), F.lit(False), F.array().cast("array<string>")), step)
+    c = c.select("book", "id", f.alias("f"))
+    return c.select("book", "id", F.concat(F.lit("第"), F.col("id").cast("string"), F.lit("章 "), F.col("f.title"), F.lit("\n"), F.array_join("f.out", "\n")).alias("raw"))
+
+
+def by_note_policy(paragraphs_: DataFrame, raw: str, policy: str) -> tuple[DataFrame, DataFrame]:
+    """(paragraphs for readers, notes kept apart): policy preserve keeps notes in place, remove drops them, separate keeps them apart."""
+    if policy not in ("preserve", "remove", "separate"):
+        raise ValueError("policy is preserve, remove or separate")
+    note = F.coalesce(X.is_note(F.col(raw)), F.lit(False))
+    return paragraphs_ if policy == "preserve" else paragraphs_.where(~note), paragraphs_.where(note if policy == "separate" else F.lit(False))
+
+
 def groups_of(paragraphs_: DataFrame, keys: list[str], order: str, text: str, chars: int = 9000, tokens: int = 12_000, most: int = 40) -> DataFrame:
     """paragraphs with group: one for a whole chapter that fits, else next-fit by characters, estimated tokens and number.
 

@@ -212,3 +212,21 @@ def find_chapter(path: str, spark, book: str, id_: int) -> DataFrame:
     """One chapter of a library that store.write_chapters() wrote: only its book's and its hundred's folder is read."""
     chunk = f"{(id_ - 1) // 100 * 100 + 1:04d}-{(id_ - 1) // 100 * 100 + 100:04d}"
     return spark.read.json(path).where((F.col("book") == book) & (F.col("chunk") == chunk) & (F.col("id") == id_))
+
+
+def write_artifacts(path: str, chapters: DataFrame, notes: DataFrame, dictionary: DataFrame, unresolved: DataFrame, rejected: DataFrame) -> None:
+    """What a finished batch leaves, a folder each below path: translated.json, translated.txt, author-notes.txt, dictionary.json, unresolved.json, rejected.json.
+
+    chapters (number, title, paragraphs), notes (number, notes): texts are in chapter order in one file each, as they are read from start to end; a batch is what one
+    job translates.
+    """
+    head = lambda tail: F.concat(F.lit("Chương "), F.col("number").cast("string"), tail)
+    named = F.when(F.coalesce(F.col("title"), F.lit("")) == "", "").otherwise(F.concat(F.lit(": "), "title"))
+    texts = {
+        "translated.txt": chapters.select("number", F.concat(head(named), F.lit("\n"), F.array_join("paragraphs", "\n\n"), F.lit("\n")).alias("value")),
+        "author-notes.txt": notes.select("number", F.concat(head(F.lit(" — Ghi chú tác giả\n")), F.array_join("notes", "\n\n"), F.lit("\n")).alias("value")),
+    }
+    for name, d in texts.items():
+        d.coalesce(1).sortWithinPartitions("number").select("value").write.mode("overwrite").text(f"{path}/{name}")
+    for name, d in {"translated.json": chapters, "dictionary.json": dictionary, "unresolved.json": unresolved, "rejected.json": rejected}.items():
+        d.write.mode("overwrite").json(f"{path}/{name}")

@@ -70,3 +70,21 @@ def upper_median_ratio(rows: DataFrame, keys: list[str], ratio: str, least: int,
     """Groups' threshold: share of the upper median of their ratios, if they have at least `least`."""
     g = rows.groupBy(*keys).agg(F.count(ratio).alias("n"), F.expr(f"percentile_disc(0.500000000001) WITHIN GROUP (ORDER BY {ratio})").alias("upper_median"))
     return g.where(F.col("n") >= least).withColumn("threshold", F.col("upper_median") * share)
+
+
+def wave_baselines(chapters: DataFrame, keys: list[str], order: str, ratio: str, width: int) -> DataFrame:
+    """chapters with n and upper_median of the ratios known before each one's wave: chapters go in waves of `width` in order, and a wave knows those before it."""
+    c = chapters.withColumn("wave", F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1) / width))
+    before = F.sort_array(F.collect_list(ratio).over(Window.partitionBy(*keys).orderBy("wave").rangeBetween(Window.unboundedPreceding, -1)))
+    c = c.withColumn("before_", before)
+    return c.withColumns({"n": F.size("before_"), "upper_median": F.get("before_", F.floor(F.size("before_") / 2).cast("int"))}).drop("before_", "wave")
+
+
+def length_ratios(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, ratio): how long translations (text) are by their sources (raw)."""
+    return pairs.groupBy(*keys).agg((F.sum(F.length("text")) / F.greatest(F.lit(1), F.sum(F.length("raw")))).alias("ratio"))
+
+
+def within_upload(files: DataFrame, keys: list[str], size: str, limit: int) -> DataFrame:
+    """(keys, total, ok): may a request upload so much?"""
+    return files.groupBy(*keys).agg(F.sum(size).alias("total")).withColumn("ok", F.col("total") <= limit)

@@ -367,7 +367,7 @@ def mined(paragraphs: DataFrame, chapter: str, position: str, text: str, pattern
     """
     p = paragraphs.select(F.col(chapter).alias("chapter"), F.col(position).alias("position"), F.col(text).alias("text"))
     p = p.select("*", _hits(F.col("text"), patterns or PATTERNS, gate).alias("hits")).where(F.size("hits") > 0).withColumn("sentences", X.sentences(F.col("text")))
-    first = lambda h: X.strip(F.filter("sentences", lambda s: F.contains(s, h))[0])
+    first = lambda h: X.strip(F.get(F.filter("sentences", lambda s: F.contains(s, h)), F.lit(0)))
     z = F.transform("hits", lambda h: F.struct(h.alias("source"), X.count_of(F.col("text"), h).alias("n"), first(h).alias("sentence")))
     return p.select("chapter", "position", F.explode(z).alias("z")).select("z.source", "chapter", "position", "z.n", "z.sentence")
 

@@ -59,6 +59,9 @@ def mined_candidates(spark, sf_dir):
     return terms.summary(terms.candidates(p, "chapter", "pos", "text"), p, "chapter", "pos", "text").select("source", "occurrences", "first_seen", "last_seen", "possible_type")
 
 
+MINED = "SELECT * FROM (VALUES ('李青云', 1::BIGINT, 1::BIGINT, 1::BIGINT, 'character'), ('张三', 3, 1, 2, 'character'), ('天龙集团', 1, 1, 1, 'institution')) t(source, occurrences, first_seen, last_seen, possible_type)"
+
+
 def block_shapes(spark, sf_dir):
     line = lambda c, n: c * n
     rows = [(1, "\n".join(["第1章 甲", *(line("字", 500) for _ in range(12))])), (2, line("长", 6500)), (3, "第1章 " + line("x", 3200)), (4, "一\n\n二"), (5, "")]
@@ -84,7 +87,7 @@ QUERIES = {
     "fixture_parse_problems": (parse_problems, PROBLEMS),
     "fixture_longest_matches": (longest_matches, MATCHES),
     "fixture_number_differences": (number_differences, NUMBERS),
-    "fixture_mined_candidates": (mined_candidates, None),
+    "fixture_mined_candidates": (mined_candidates, MINED),
     "fixture_block_shapes": (block_shapes, SHAPES),
     "fixture_endings": (endings, ENDINGS),
 }

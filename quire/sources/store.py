@@ -19,7 +19,7 @@ EVENT = "id string, timestamp string, operation string, event string, chapter lo
 
 def _json(spark: SparkSession, path: str, schema: str, multiline: bool) -> tuple[DataFrame, DataFrame]:
     """(rows, records that don't fit the schema) of JSON files, each a record, or of JSON lines."""
-    raw = spark.read.option("wholetext", multiline).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    raw = spark.read.text(path, wholetext=multiline).select(F.col("_metadata.file_path").alias("file"), "value")
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
     raw = raw.where(X.has_text(F.col("value"))).withColumn("j", F.from_json("value", schema + ", _corrupt_record string", options))
     bad = F.col("j").isNull() | F.col("j._corrupt_record").isNotNull()
@@ -31,8 +31,9 @@ def read_books(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return _json(spark, path, BOOK, True)
 
 
-def read_chapters(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return _json(spark, path, CHAPTER, True)
+def read_chapters(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(chapters, records that can't be read) of files with a chapter each, or with one in each line, as write_chapters() writes them."""
+    return _json(spark, path, CHAPTER, not lines)
 
 
 def toc(books: DataFrame) -> DataFrame:
@@ -106,7 +107,7 @@ def cached(work: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def raw_texts(spark: SparkSession, path: str) -> DataFrame:
     """(file, text) of whole files, without a byte-order mark."""
-    t = spark.read.option("wholetext", True).text(path)
+    t = spark.read.text(path, wholetext=True)
     return t.select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^﻿", "").alias("text"))
 
 
