@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import embedding, language_id, line_dedup, merkle, minhash, mixing, packing, sharding, substring, url_filter
+from quire.llm import embedding, filter_audit, language_id, line_dedup, merkle, minhash, mixing, packing, sharding, substring, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("capture_id").alias("page_id"), F.date_from_unix_date(F.floor(F.unix_seconds("fetched_at") / 86400).cast("int")).cast("string").alias("fetched_on"), "n_active", "matched", "keep")
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 OP2_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -196,6 +200,34 @@ n AS (SELECT a AS vec_id, count(*) AS n FROM e GROUP BY a)
 SELECT c.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, c.vec_id = component_id AS kept FROM c LEFT JOIN n ON c.vec_id = n.vec_id
 """
 
+OP13_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+f AS (
+  SELECT doc_id, part, [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w), 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t),
+         regexp_matches(t, '[#$%&*|]'), coalesce(min(doc_id) OVER (PARTITION BY t) < doc_id, FALSE)] AS fails
+  FROM d),
+k AS (
+  SELECT f.part, list_sum(list_transform(range(1, 6), lambda k: CASE WHEN fails[k] THEN (1 << (k - 1)) ELSE 0 END))::INTEGER AS mask,
+         CASE WHEN l.quality = 1 THEN 1 ELSE 0 END AS good, CASE WHEN l.toxic = 1 THEN 1 ELSE 0 END AS toxic
+  FROM f LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) l ON f.doc_id = l.doc_id),
+c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM k GROUP BY part, mask),
+o AS (
+  SELECT '' AS filter_order, 0 AS applied
+  UNION ALL SELECT filter_order || substr('ABCDE', k::INTEGER + 1, 1), applied | (1 << k)::INTEGER FROM o, range(5) r(k) WHERE applied & (1 << k)::INTEGER = 0),
+s AS (
+  SELECT filter_order, step, substr(filter_order, step, 1) AS letter, (1 << (instr('ABCDE', substr(filter_order, step, 1)) - 1))::INTEGER AS bit,
+         coalesce(list_sum(list_transform(range(1, step), lambda j: 1 << (instr('ABCDE', substr(filter_order, j::INTEGER, 1)) - 1))), 0)::INTEGER AS before
+  FROM (SELECT filter_order, unnest(range(1, 6))::INTEGER AS step FROM o WHERE length(filter_order) = 5)),
+m AS (
+  SELECT c.part, filter_order, step, letter,
+         coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & before = 0), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & before <> 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good) FILTER (mask & bit <> 0 AND mask & before = 0), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (mask & bit <> 0 AND mask & before = 0), 0)::BIGINT AS toxic_lost
+  FROM c, s GROUP BY c.part, filter_order, step, letter)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM m
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -209,6 +241,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_embeddings": op8_embeddings,
         "op9_fingerprints": op9_fingerprints,
         "op10_url_filter": op10_url_filter,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
@@ -220,4 +253,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_minhash": OP5_SQL,
         "op8_embeddings": OP8_SQL,
         "op10_url_filter": OP10_SQL,
+        "op13_filter_audit": OP13_SQL,
     }
