@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import embedding, filter_audit, language_id, line_dedup, merkle, minhash, mixing, packing, sharding, substring, url_filter
+from quire.llm import conversation, embedding, filter_audit, language_id, line_dedup, merkle, minhash, mixing, packing, sharding, substring, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("capture_id").alias("page_id"), F.date_from_unix_date(F.floor(F.unix_seconds("fetched_at") / 86400).cast("int")).cast("string").alias("fetched_on"), "n_active", "matched", "keep")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation.summary(conversation.damage(_table(spark, sf_dir, "conversations")))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -200,6 +204,70 @@ n AS (SELECT a AS vec_id, count(*) AS n FROM e GROUP BY a)
 SELECT c.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, c.vec_id = component_id AS kept FROM c LEFT JOIN n ON c.vec_id = n.vec_id
 """
 
+def _repair_sql() -> str:
+    """Each turn's best way into each of four states is the least (cost, letters, repaired) of all ways there; up to two turns are put in before a turn, or at the end."""
+    put, role, lead = {0: 2, 1: 2, 2: 3, 3: 2}, {2: "user", 3: "assistant"}, {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (2, "a"): 3, (3, "u"): 2}
+    add = "|| CASE WHEN {0} = '' THEN '' ELSE chr(10) END ||"
+
+    def way(x: int, inserts: int) -> tuple[int, str, str]:
+        """State, and repaired text behind x's after so many inserts; letters are theirs."""
+        at, text = x, f"s{x}.r"
+        for _ in range(inserts):
+            at = put[at]
+            text = f"({text} {add.format(text)} '{role[at]}:')"
+        return at, text, "I" * inserts
+
+    ways: dict[int, list[str]] = {k: [] for k in range(4)}
+    for x in range(4):
+        for n in range(3):
+            at, text, letters = way(x, n)
+            one = lambda more, letter, r, when: f"CASE WHEN s{x}.c IS NOT NULL AND {when} THEN {{'c': s{x}.c + {2 * n} + {more}, 'a': s{x}.a || '{letters + letter}', 'r': {r}}} END"  # noqa: B023, E731
+            ways[at].append(one("3", "D", text, "TRUE"))
+            ways[put[at]].append(one("2 + (fault = 3)::INT", "R", f"{text} {add.format(text)} '{role[put[at]]}:' || text", "fault NOT IN (1, 2)"))
+            for (a, initial), to in lead.items():
+                if a == at:
+                    ways[to].append(one("(fault = 3)::INT", "K", f"{text} {add.format(text)} role || ':' || text", f"fault NOT IN (1, 2) AND i = '{initial}'"))
+    none = "NULL::STRUCT(c INT, a VARCHAR, r VARCHAR)"
+    states = ", ".join(f"list_min([{', '.join(ways[k])}]) AS s{k}" for k in range(4))
+    ends = ", ".join(f"CASE WHEN s{x}.c IS NOT NULL THEN {{'c': s{x}.c + {2 * n}, 'a': s{x}.a || '{'I' * n}', 'r': {way(x, n)[1]}}} END" for x, n in ((0, 0), (1, 2), (2, 1), (3, 0)))
+    return rf"""
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '') AS letters
+  FROM conversations),
+h AS (
+  SELECT *, xor(list_reduce(list_concat([4294967295], flatten(list_transform(letters, lambda x: [ascii(x), 0, 0, 0, 0, 0, 0, 0]))),
+                lambda c, b: xor(xor(c, b) >> 1, (xor(c, b) & 1) * 3988292384)), 4294967295) % 20 AS k
+  FROM k),
+d AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE WHEN k = 1 THEN '' WHEN k = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM h, range(2) c(copy) WHERE k <> 0 AND (copy = 0 OR k = 3)),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, left(role, 1) AS i FROM d),
+t AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 3 ELSE 0 END AS fault,
+         lag(i) OVER (PARTITION BY conv_id ORDER BY pos) || i AS pair
+  FROM o),
+v AS (
+  SELECT conv_id, 0::BIGINT AS pos, {{'c': 0, 'a': '', 'r': ''}}::STRUCT(c INT, a VARCHAR, r VARCHAR) AS s0, {none} AS s1, {none} AS s2, {none} AS s3
+  FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT v.conv_id, t.pos, {states} FROM v JOIN t ON v.conv_id IS NOT DISTINCT FROM t.conv_id AND t.pos = v.pos + 1),
+e AS (SELECT conv_id, list_min([{ends}]) AS x FROM v QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY pos DESC) = 1),
+g AS (
+  SELECT conv_id, (max(turn) - min(turn) + 1 - count(DISTINCT turn))::BIGINT AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+         count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM t GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       x.c::BIGINT AS cost, x.a AS audit, sha256(x.r) AS repaired_sha256
+FROM e LEFT JOIN g ON e.conv_id IS NOT DISTINCT FROM g.conv_id
+"""
+
+
+OP12_SQL = _repair_sql()
+
 OP13_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -241,6 +309,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_embeddings": op8_embeddings,
         "op9_fingerprints": op9_fingerprints,
         "op10_url_filter": op10_url_filter,
+        "op12_conversation_repair": op12_conversation_repair,
         "op13_filter_audit": op13_filter_audit,
     }
 
@@ -253,5 +322,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_minhash": OP5_SQL,
         "op8_embeddings": OP8_SQL,
         "op10_url_filter": OP10_SQL,
+        "op12_conversation_repair": OP12_SQL,
         "op13_filter_audit": OP13_SQL,
     }
