@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import conversation, embedding, filter_audit, language_id, line_dedup, merkle, minhash, mixing, packing, sharding, substring, url_filter
+from quire.llm import conversation, embedding, filter_audit, language_id, language_model, line_dedup, merkle, minhash, mixing, packing, sharding, substring, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("capture_id").alias("page_id"), F.date_from_unix_date(F.floor(F.unix_seconds("fetched_at") / 86400).cast("int")).cast("string").alias("fetched_on"), "n_active", "matched", "keep")
 
 
+def op11_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(_table(spark, sf_dir, "documents"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation.summary(conversation.damage(_table(spark, sf_dir, "conversations")))
 
@@ -309,6 +313,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_embeddings": op8_embeddings,
         "op9_fingerprints": op9_fingerprints,
         "op10_url_filter": op10_url_filter,
+        "op11_lm_score": op11_lm_score,
         "op12_conversation_repair": op12_conversation_repair,
         "op13_filter_audit": op13_filter_audit,
     }
