@@ -9,6 +9,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -200,7 +201,7 @@ def take_over_frozen(entries: DataFrame, frozen: DataFrame, raw: DataFrame) -> t
 # ------------------------------------------------------------------ matching
 
 
-def _taken(text: str, hits: Iterable[tuple[int, str]]) -> list[tuple[int, str]]:
+def _taken(hits: Iterable[tuple[int, str]]) -> list[tuple[int, str]]:
     """Of (start, term) hits those that stay when longer ones go first, then those further left, and none overlaps one that stays."""
     starts: list[int] = []
     ends: list[int] = []
@@ -209,8 +210,7 @@ def _taken(text: str, hits: Iterable[tuple[int, str]]) -> list[tuple[int, str]]:
         end = start + len(term)
         k = bisect_right(starts, start)
         clear = (k == 0 or ends[k - 1] <= start) and (k == len(starts) or starts[k] >= end)
-        # A fixed exception: this institution's name inside an enumeration of variables.
-        if clear and not (term == "里甲" and text.startswith("乙丙", end)):
+        if clear:
             starts.insert(k, start)
             ends.insert(k, end)
             out.insert(k, (start, term))
@@ -233,75 +233,116 @@ class Trie:
         return [(end + 1 - len(t), t) for end, t in self.automaton.iter(text)] if text and len(self.automaton) else []
 
 
-_tries: dict[int, tuple[object, Trie]] = {}
+#: Lengths of the prefixes that surfaces are looked up by: each surface has the longest that it is not shorter than.
+PREFIXES = (1, 2, 4, 8, 16)
+#: Code points of a text that are hashed at a time, whatever its length.
+STRETCH = 1 << 20
 
 
-def _trie(shared) -> Trie:
-    """The trie of a broadcast list, built once in each worker process."""
-    terms = shared.value
-    if id(terms) not in _tries:
-        _tries.clear()
-        _tries[id(terms)] = terms, Trie(terms)
-    return _tries[id(terms)][1]
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
 
 
-def _cut_parts(texts: DataFrame, keys: list[str], text: str, surfaces_: DataFrame) -> DataFrame:
-    """(keys, surface) by a join on each text's substrings of the lengths that surfaces have: for more surfaces than a task may hold."""
-    lengths = surfaces_.agg(F.collect_set(F.length("surface")).alias("ns"))
-    cut = texts.select(*keys, F.col(text).alias("t_")).join(F.broadcast(lengths))  # one row: the distinct lengths of terms
-    places = lambda n: F.sequence(F.lit(1), F.greatest(F.length("t_") - n + 1, F.lit(1)))
-    parts = F.array_distinct(F.flatten(F.transform("ns", lambda n: F.transform(places(n), lambda p: F.substring(F.col("t_"), p, n)))))
-    return cut.select(*keys, F.explode(parts).alias("surface")).join(surfaces_.select("surface").distinct(), "surface", "left_semi")
+def _prefix_hashes(text: str) -> Iterator[tuple[int, np.ndarray]]:
+    """(m, hashes of all runs of m code points) for each m of PREFIXES: a run's hash is made of those of its halves, so all places take a step for each doubling."""
+    h = _mixed(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1))
+    for m in PREFIXES:
+        yield m, h
+        if len(h) <= m:
+            return
+        h = _mixed(h[:-m] * np.uint64(0x9E3779B97F4A7C15) + h[m:])
 
 
-def _few(surfaces_: DataFrame, most: int) -> list[str] | None:
-    """The distinct surfaces if there are at most `most`, counted first."""
-    s = surfaces_.select("surface").where("surface <> ''").distinct()
-    return None if s.limit(most + 1).count() > most else sorted(r[0] for r in s.collect())
+class Filter:
+    """A Bloom filter of the surfaces' prefixes, two bits for each; every prefix that a surface has passes it, and few others do while it isn't full."""
 
+    def __init__(self, longest: dict[int, int], words: np.ndarray):
+        self.longest, self.words, self.bits = longest, words, int(len(words) * 64).bit_length() - 1
+
+    @staticmethod
+    def places(h: np.ndarray, m: int, bits: int) -> Iterator[np.ndarray]:
+        for k in (np.uint64(m), np.uint64(m + 100)):
+            yield _mixed(h + k) >> np.uint64(64 - bits)
+
+    def find(self, text: str | None) -> list[tuple[int, int, str]]:
+        """(position, m, what stands there, as long as a surface may be and two more)."""
+        out = []
+        for at in range(0, len(text or ""), STRETCH):
+            for m, h in _prefix_hashes(text[at : at + STRETCH + PREFIXES[-1] - 1]):
+                if m in self.longest and len(h):
+                    hit = np.ones(len(h), bool)
+                    for p in self.places(h, m, self.bits):
+                        hit &= (self.words[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) > 0
+                    out += [(at + int(k), m, text[at + k : at + k + self.longest[m] + 2]) for k in np.flatnonzero(hit[:STRETCH])]
+        return out
 
-def substrings(texts: DataFrame, keys: list[str], text: str, surfaces_: DataFrame, most: int = 200_000) -> DataFrame:
-    """(keys, surface) of the surfaces that each text has anywhere, once each; overlaps count."""
-    listed = _few(surfaces_, most)
-    if listed is None:
-        return _cut_parts(texts, keys, text, surfaces_.where("surface <> ''"))
-    shared = texts.sparkSession.sparkContext.broadcast(listed)
 
-    @F.pandas_udf("array<string>")
-    def inside(values: pd.Series) -> pd.Series:
-        trie = _trie(shared)
-        return values.map(lambda t: sorted({w for _, w in trie.hits(t)}))
+def _filter(surfaces_: DataFrame, most_bits: int) -> Filter | None:
+    """32 bits a surface, in a power of two of at most most_bits: the words of bits come together by an OR, so the driver gets the filter and no surface."""
+    longest = {r["m"]: r["n"] for r in surfaces_.groupBy("m").agg(F.max(F.length("surface")).alias("n")).collect()}
+    if not longest:
+        return None
+    bits = max(7, min(most_bits.bit_length() - 1, (32 * surfaces_.count()).bit_length()))
 
-    return texts.select(*keys, F.explode(inside(F.col(text))).alias("surface"))
+    def set_bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            at = [p for x in batch["prefix"] for m, h in _prefix_hashes(x) if m == len(x) for p in Filter.places(h, m, bits)]
+            p = np.concatenate(at) if at else np.zeros(0, np.uint64)
+            yield pd.DataFrame({"word": (p >> np.uint64(6)).astype(np.int64), "bit": (np.uint64(1) << (p & np.uint64(63))).view(np.int64)})
 
+    rows = surfaces_.select("prefix").distinct().mapInPandas(set_bits, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()
+    words = np.zeros(1 << (bits - 6), np.uint64)
+    for r in rows:
+        words[r["word"]] = np.int64(r["bits"]).view(np.uint64)
+    return Filter(longest, words)
 
-def locked_matches(paragraphs: DataFrame, keys: list[str], text: str, surfaces_: DataFrame, most: int = 200_000) -> DataFrame:
+
+def _found(texts: DataFrame, keys: list[str], text: str, surfaces_: DataFrame, most_bits: int) -> DataFrame:
+    """(r_, keys, position, surface) of all surfaces at all places; r_ is the text's row.
+
+    A text sends only places where it has the prefix of a surface, as told by a filter that every task gets; they meet the surfaces of that prefix by an equality join, and
+    those that go on as the text does are found. One plan for any number of surfaces: they are only ever joined, and the filter's size is bounded (a full one lets more
+    places pass, and loses none).
+    """
+    s = surfaces_.select("surface").where("surface <> ''").distinct()
+    m = F.greatest(*[F.when(F.length("surface") >= n, F.lit(n)) for n in PREFIXES])
+    s = s.withColumn("m", m).withColumn("prefix", F.substring(F.col("surface"), F.lit(1), F.col("m")))
+    own = texts.select(F.monotonically_increasing_id().alias("r_"), *keys, F.col(text).alias("t_"))
+    bloom = _filter(s, most_bits)
+    if bloom is None:
+        return own.select("r_", *keys, F.lit(0).alias("position"), F.col("t_").alias("surface")).where("false")
+    shared = texts.sparkSession.sparkContext.broadcast(bloom)
+
+    @F.pandas_udf("array<struct<position:int,m:int,rest:string>>")
+    def places(values: pd.Series) -> pd.Series:
+        return values.map(shared.value.find)
+
+    p = own.select("r_", *keys, F.explode(places("t_")).alias("p_")).select("r_", *keys, "p_.*").withColumn("prefix", F.substring(F.col("rest"), F.lit(1), F.col("m")))
+    j = p.alias("p").join(s.alias("s"), (F.col("p.m") == F.col("s.m")) & (F.col("p.prefix") == F.col("s.prefix")) & F.startswith("p.rest", "s.surface"))
+    # A fixed exception: this institution's name inside an enumeration of variables.
+    j = j.where(~((F.col("s.surface") == "里甲") & (F.substring("p.rest", 3, 2) == "乙丙")))
+    return j.select("p.r_", *[F.col(f"p.{k}") for k in keys], "p.position", "s.surface")
+
+
+def substrings(texts: DataFrame, keys: list[str], text: str, surfaces_: DataFrame, most_bits: int = 1 << 27) -> DataFrame:
+    """(keys, surface) of the surfaces that each text has anywhere, once each; overlaps count."""
+    return _found(texts, keys, text, surfaces_, most_bits).select(*keys, "surface").distinct()
+
+
+def locked_matches(paragraphs: DataFrame, keys: list[str], text: str, surfaces_: DataFrame, most_bits: int = 1 << 27) -> DataFrame:
     """(keys, position, surface) of the dictionary's surfaces in each text: the longest first, then the leftmost, none overlapping.
 
-    A dictionary of up to `most` surfaces, counted first, goes to each task, where a trie of it is built once a process. A larger one is joined on each
-    text's substrings of the lengths that surfaces have, and each text gets a trie of its own surfaces.
+    All places come from _found(), whatever the dictionary's size; a text's own are then settled in its row, which has a place or less for each of its letters.
+    Null and empty texts and surfaces match nothing; rows with equal keys are settled each by itself.
     """
-    schema = "array<struct<position:int,surface:string>>"
-    rows = lambda t, trie: [{"position": p, "surface": s} for p, s in _taken(t or "", trie.hits(t))]
-    listed = _few(surfaces_, most)
-    if listed is not None:
-        shared = paragraphs.sparkSession.sparkContext.broadcast(listed)
-
-        @F.pandas_udf(schema)
-        def match(texts: pd.Series) -> pd.Series:
-            trie = _trie(shared)
-            return texts.map(lambda t: rows(t, trie))
-
-        found = paragraphs.select(*keys, F.explode(match(F.col(text))).alias("m"))
-    else:
-        own = _cut_parts(paragraphs, keys, text, surfaces_.where("surface <> ''")).groupBy(*keys).agg(F.collect_set("surface").alias("own"))
-
-        @F.pandas_udf(schema)
-        def resolve(texts: pd.Series, own_: pd.Series) -> pd.Series:
-            return pd.Series([rows(t, Trie(o)) for t, o in zip(texts, own_, strict=True)])
-
-        found = paragraphs.join(own, keys).select(*keys, F.explode(resolve(F.col(text), F.col("own"))).alias("m"))
-    return found.select(*keys, "m.position", "m.surface")
+    hits = _found(paragraphs, keys, text, surfaces_, most_bits).groupBy("r_", *keys).agg(F.collect_list(F.struct("position", "surface")).alias("hits"))
+
+    @F.pandas_udf("array<struct<position:int,surface:string>>")
+    def settle(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: [{"position": p, "surface": s} for p, s in _taken((h["position"], h["surface"]) for h in v)])
+
+    return hits.select(*keys, F.explode(settle("hits")).alias("m")).select(*keys, "m.position", "m.surface")
 
 
 def relevant_entries(entries: DataFrame, matches: DataFrame) -> DataFrame:

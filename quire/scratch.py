@@ -3,11 +3,21 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+
+def _clear(spark: SparkSession, path: str) -> None:
+    local = path.removeprefix("file:")
+    if local.startswith("/"):
+        shutil.rmtree("/" + local.lstrip("/"), ignore_errors=True)
+        return
+    with contextlib.suppress(Exception):  # else the session is over, and the folder's owner cleans up
+        delete(spark, path)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -22,7 +32,9 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="quire-")
         atexit.register(shutil.rmtree, base, True)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_clear, spark, path)
+    return path
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -30,3 +42,21 @@ def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+class Tables:
+    """Intermediates of one operator in a folder of their own, written so that no plan grows and a lost executor's rows are read again."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.base, self.n = spark, shared_folder(spark, name), 0
+
+    def write(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.base}/{self.n}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, df: DataFrame) -> None:
+        """Delete a written table that nothing reads any more."""
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            delete(self.spark, path)

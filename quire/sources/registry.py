@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as X
-from quire.scratch import shared_folder
+from quire.scratch import Tables
 
 
 def normal(url: Column) -> Column:
@@ -43,27 +45,52 @@ def dedupe_links(entries: DataFrame, keys: list[str], link: str, order: str, fir
     return entries.withColumn("r_", F.row_number().over(Window.partitionBy(*keys, link).orderBy(o))).where("r_ = 1").drop("r_")
 
 
-def chain(pages: DataFrame, start: DataFrame) -> DataFrame:
-    """Split chapters put together: pages (url, next, body), start (chapter, url) -> (chapter, parts, body), following next until null.
+def follow(links: DataFrame, start: DataFrame) -> DataFrame:
+    """(chapter, n, url): the pages that each start (chapter, url) leads to by links (url, next), in order from 0, each once.
 
-    A round a page, each a join by URL of what is still going on, until nothing is; a next that a chapter had before ends it, and so does one that isn't
-    among the pages. Each round is written to a shared folder, so that no plan grows with the pages.
+    List ranking by pointer doubling. Round k has, for each page, the one 2^k further on, and what a chapter has of its first 2^k pages gives the next 2^k by one join; so
+    a chain of m pages takes log2(m) rounds and no round looks at more than pointers. A page's number stands for its URL in all of them. A chain ends at a page
+    without a next, or whose next isn't among the pages; one that comes back to a page of its own ends before it: in the round after all its pages are known
+    nothing is new to it. Chains may share pages. Of links with one URL the least next counts; null URLs lead nowhere.
+
+    Each round is written to a shared folder and the one before dropped, so that no plan grows. A page that many link to is a row of one side of each join only.
     """
-    spark = pages.sparkSession
-    folder = shared_folder(spark, "chain")
-    step = start.select("chapter", "url", F.lit(0).alias("n"), F.array("url").alias("seen"))
-    written: list[str] = []
-    while True:
-        j = step.join(pages, "url").select("chapter", "n", "body", "next", "seen")
-        written.append(f"{folder}/{len(written)}")
-        j.write.parquet(written[-1])
-        j = spark.read.schema(j.schema).parquet(written[-1])
-        step = j.where(F.col("next").isNotNull() & ~F.array_contains("seen", F.col("next"))).select("chapter", F.col("next").alias("url"), (F.col("n") + 1).alias("n"), F.array_append("seen", F.col("next")).alias("seen"))
-        if step.isEmpty():
+    tables = Tables(links.sparkSession, "follow")
+    pages = tables.write(links.where("url is not null").groupBy("url").agg(F.min("next").alias("next")).withColumn("page", F.monotonically_increasing_id()))
+    to = pages.select(F.col("url").alias("next"), F.col("page").alias("to"))
+    jump = tables.write(pages.where("next is not null").join(to, "next").select("page", "to"))
+    found = [tables.write(start.join(pages.select("url", "page"), "url").groupBy("chapter", "page").agg(F.lit(0).cast("long").alias("n")))]
+    k = 0
+    while not jump.isEmpty():
+        reach = functools.reduce(DataFrame.unionByName, found)
+        ahead = reach.join(jump, "page").groupBy("chapter", F.col("to").alias("page")).agg((F.min("n") + (1 << k)).alias("n")).alias("a")
+        known = reach.select("chapter", "page").alias("r")
+        fresh = tables.write(ahead.join(known, F.col("a.chapter").eqNullSafe(F.col("r.chapter")) & (F.col("a.page") == F.col("r.page")), "left_anti"))
+        if fresh.isEmpty():
             break
-    out = spark.read.schema(j.schema).parquet(*written)
+        found.append(fresh)
+        further = tables.write(jump.join(jump.select(F.col("page").alias("to"), F.col("to").alias("then")), "to").select("page", F.col("then").alias("to")))
+        tables.drop(jump)
+        jump, k = further, k + 1
+    return functools.reduce(DataFrame.unionByName, found).join(pages.select("page", "url"), "page").select("chapter", "n", "url")
+
+
+def chain(pages: DataFrame, start: DataFrame) -> DataFrame:
+    """Split chapters put together: pages (url, next, body), start (chapter, url) -> (chapter, parts, body), as follow() finds their pages. Bodies are joined once,
+    when all places are known; of pages with one URL the least body counts."""
+    bodies = pages.groupBy("url").agg(F.min("body").alias("body"))
     parts = F.array_sort(F.collect_list(F.struct("n", "body")))
-    return out.groupBy("chapter").agg(F.count("*").alias("parts"), F.array_join(F.transform(parts, lambda p: p["body"]), "").alias("body"))
+    out = follow(pages.select("url", "next"), start).join(bodies, "url").groupBy("chapter")
+    return out.agg(F.count("*").alias("parts"), F.array_join(F.transform(parts, lambda p: p["body"]), "").alias("body"))
+
+
+def chain_ends(links: DataFrame, start: DataFrame) -> DataFrame:
+    """(chapter, parts, last, ended): how many pages a chapter has, its last one's URL, and why it ends there: `end` (no next), `missing` (its next isn't among the
+    pages) or `loop` (its next is one of its own)."""
+    known = links.where("url is not null").groupBy("url").agg(F.min("next").alias("next"))
+    last = follow(links, start).groupBy("chapter").agg(F.count("*").alias("parts"), F.max_by("url", "n").alias("last"))
+    out = last.join(known.select(F.col("url").alias("last"), "next"), "last").join(known.select(F.col("url").alias("next"), F.lit(True).alias("there")), "next", "left")
+    return out.select("chapter", "parts", "last", F.when(F.col("next").isNull(), "end").when(F.col("there"), "loop").otherwise("missing").alias("ended"))
 
 
 def scrub(body: Column, furniture: list[str]) -> Column:
