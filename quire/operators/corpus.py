@@ -99,61 +99,81 @@ def import_sections(texts: DataFrame, id_: str, text: str, title: str) -> DataFr
     return e.select("id", (F.col("part") + F.col("opens").cast("int")).alias("section"), name.alias("title"), html.alias("body"))
 
 
+def _parsed(texts: DataFrame, id_: str, text: str) -> DataFrame:
+    """texts -> (id, own: the text, t: without a byte order mark, kept (its lines that count, as structs) and wrong: error, chapter, line, previous_line; null error: nothing).
+
+    All in the text's own row: what each line is, by itself; then a fold whose state is a few numbers, which stops at the first thing that is wrong. Up to there
+    chapter numbers grow, so a number that doesn't exceed the last one is wrong, and is looked up among the ones before once, behind the fold.
+    """
+    t = texts.select(F.col(id_).alias("id"), F.col(text).alias("own"), F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "^\ufeff", "").alias("t"))
+
+    def line(raw: Column, k: Column) -> Column:
+        x = X.strip(raw)
+        looks, rest = x.rlike(CHAPTER_HEADING), X.strip(F.regexp_extract(x, CHAPTER_HEADING, 2))
+        head = looks & ~rest.rlike(REFERENCE)
+        after = F.regexp_extract(rest, r"(?sU)^(\S+)\s+(\S.*)$", 2)
+        sentence = head & after.rlike("[，。！？；：,.!?;:]")
+        bad = raw.rlike("[\ufffd\\x00]")
+        return F.struct(
+            (k + 1).alias("line"), bad.alias("bad"), (bad | ~x.rlike(RULE)).alias("counts"), head.alias("head"), (~looks & x.rlike(LIKE_HEADING)).alias("malformed"),
+            F.when(head, N.chapter_number(F.regexp_extract(x, CHAPTER_HEADING, 1))).alias("n"), F.when(head, F.when(sentence, F.regexp_extract(rest, r"(?U)^(\S+)", 1)).otherwise(rest)).alias("title"),
+            ((~head & (x != "")) | sentence).alias("prose"), F.when(sentence, X.strip(after)).otherwise(x).alias("text"),
+        )
+
+    none, no = F.lit(None).cast("long"), F.lit(None).cast("int")
+    wrong = lambda error, chapter=none, line=no, previous=no: F.struct(error.alias("error"), chapter.alias("chapter"), line.alias("line"), previous.alias("previous_line"))
+    state = lambda parts, n, at, prose, w: F.struct(parts.alias("parts"), n.alias("n"), at.alias("at"), prose.alias("prose"), w.alias("wrong"))
+
+    def step(s: Column, x: Column) -> Column:
+        empty = (s["parts"] > 0) & ~s["prose"]
+        order = x["head"] & F.coalesce(x["n"] <= s["n"], F.lit(False))
+        w = (
+            F.when(x["bad"], wrong(F.lit("invalid_encoding"), x["n"], x["line"]))
+            .when(x["malformed"], wrong(F.lit("malformed_heading"), none, x["line"]))
+            .when(order, wrong(F.when(empty, F.lit("empty or order")).otherwise(F.lit("order")), x["n"], x["line"], s["at"]))
+            .when(x["head"] & empty, wrong(F.lit("empty_chapter"), s["n"], s["at"]))
+            .when((s["parts"] == 0) & x["prose"] & ~x["head"], wrong(F.lit("content_before_chapter"), none, x["line"]))
+            .otherwise(s["wrong"])
+        )
+        after = F.when(x["head"], state(s["parts"] + 1, F.coalesce(x["n"], s["n"]), x["line"], x["prose"], w)).otherwise(state(s["parts"], s["n"], s["at"], s["prose"] | x["prose"], w))
+        return F.when(s["wrong"]["error"].isNotNull(), s).otherwise(after)
+
+    begin = state(F.lit(0), none, no, F.lit(False), wrong(F.lit(None).cast("string")))
+    d = t.withColumn("kept", F.filter(F.transform(X.split_lines(F.col("t")), line), lambda x: x["counts"])).withColumn("end", F.aggregate("kept", begin, step))
+    w, before = F.col("end.wrong"), F.filter("kept", lambda x: x["head"] & (x["line"] < F.col("end.wrong.line")))
+    same = F.get(F.filter(before, lambda x: x["n"] == F.col("end.wrong.chapter")), F.lit(0))["line"]
+    last = F.element_at(before, -1)
+    found = (
+        F.when(~X.has_text(F.col("t")), wrong(F.lit("empty_raw")))
+        .when(w["error"].isin("order", "empty or order") & same.isNotNull(), wrong(F.lit("duplicate_chapter"), w["chapter"], w["line"], same))
+        .when(w["error"] == "empty or order", wrong(F.lit("empty_chapter"), last["n"], last["line"]))
+        .when(w["error"] == "order", wrong(F.lit("backwards_chapter"), w["chapter"], w["line"], w["previous_line"]))
+        .when(w["error"].isNotNull(), w)
+        .when(F.col("end.parts") == 0, wrong(F.lit("no_chapters")))
+        .when(~F.col("end.prose"), wrong(F.lit("empty_chapter"), F.col("end.n"), F.col("end.at")))
+        .otherwise(wrong(F.lit(None).cast("string")))
+    )
+    return d.withColumn("wrong", found)
+
+
 def parse_chapters(texts: DataFrame, id_: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Numbered chapters of raw texts, and what is wrong with them.
 
     -> (paragraphs: id, chapter, title, source_line, pos, pid, line, text), (problems: id, error, chapter, line, previous_line, the first by
     line in each text). A chapter starts at a heading line; lines of 20 or more dashes are skipped; a heading that only refers to a
     chapter is prose; a title with a sentence after it has that as its first paragraph. Texts with a problem have no paragraphs.
+
+    Nothing is shuffled: a text's chapters are slices of its lines between headings, which leave its row as they are. A number too large for a long is null, and in no order.
     """
-    t = texts.select(F.col(id_).alias("id"), F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "^﻿", "").alias("t"))
-    blank = t.where(~X.has_text(F.col("t"))).select("id", F.lit(0).alias("rank"), F.lit("empty_raw").alias("error"), F.lit(None).cast("long").alias("chapter"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("int").alias("previous_line"))
-    e = t.where(X.has_text(F.col("t"))).select("id", F.posexplode(X.split_lines(F.col("t"))).alias("p", "raw")).select("id", (F.col("p") + 1).alias("line"), "raw", X.strip(F.col("raw")).alias("x"))
-    rest = F.regexp_extract("x", CHAPTER_HEADING, 2)
-    looks = F.col("x").rlike(CHAPTER_HEADING)
-    refers = looks & rest.rlike(REFERENCE)
-    e = e.withColumns(
-        {
-            "bad": F.col("raw").rlike("[�\\x00]"),
-            "rule": F.col("x").rlike(RULE),
-            "head": looks & ~refers,
-            "malformed": ~looks & F.col("x").rlike(LIKE_HEADING),
-            "n": F.when(looks & ~refers, N.chapter_number(F.regexp_extract("x", CHAPTER_HEADING, 1))),
-            "rest": X.strip(rest),
-        }
-    )
-    e = e.where("not rule or bad")
-    inline = F.regexp_extract("rest", r"(?sU)^(\S+)\s+(\S.*)$", 2)
-    sentence = F.col("head") & inline.rlike("[，。！？；：,.!?;:]")
-    e = e.withColumns({"title": F.when(F.col("head"), F.when(sentence, F.regexp_extract("rest", r"(?U)^(\S+)", 1)).otherwise(F.col("rest"))), "inline": F.when(sentence, X.strip(inline))})
-    w = Window.partitionBy("id").orderBy("line")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    e = e.withColumn("part", F.sum(F.col("head").cast("int")).over(upto))
-    prose = (~F.col("head") & (F.col("x") != "")) | F.col("inline").isNotNull()
-    e = e.withColumns({"prose": prose, "prior_n": F.last(F.col("n"), True).over(before), "prior_line": F.last(F.when(F.col("head"), F.col("line")), True).over(before)})
-    e = e.withColumn("same_line", F.when(F.col("head"), F.first(F.when(F.col("head"), F.col("line")), True).over(Window.partitionBy("id", "n").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))))
-    e = e.withColumn("prose_before", F.coalesce(F.sum(F.col("prose").cast("int")).over(Window.partitionBy("id", "part").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lit(0)))
-    # A chapter's own count of prose is known at its heading, and a chapter without any is wrong where the next begins.
-    e = e.withColumn("empty_before", F.col("head") & (F.col("part") > 1) & (F.last(F.when(F.col("head"), F.col("prose_before")), True).over(before) == 0))
-    error = (
-        F.when(F.col("bad"), "invalid_encoding")
-        .when(F.col("malformed"), "malformed_heading")
-        .when(F.col("head") & (F.col("same_line") < F.col("line")), "duplicate_chapter")
-        .when(F.col("empty_before"), "empty_chapter")
-        .when(F.col("head") & (F.col("n") < F.col("prior_n")), "backwards_chapter")
-        .when((F.col("part") == 0) & F.col("prose"), "content_before_chapter")
-    )
-    wrong = e.select("id", F.lit(1).alias("rank"), error.alias("error"), F.when(error == "empty_chapter", F.col("prior_n")).when(F.col("head"), F.col("n")).alias("chapter"), F.when(error == "empty_chapter", F.col("prior_line")).otherwise(F.col("line")).alias("line"), F.when(error == "duplicate_chapter", F.col("same_line")).when(error == "backwards_chapter", F.col("prior_line")).alias("previous_line"), F.col("line").alias("at")).where("error is not null")
-    ends = e.groupBy("id").agg(F.max("part").alias("parts"), F.max_by("prose_before", F.struct("part", F.col("head"))).alias("last"), F.max(F.when(F.col("head"), F.struct("line", "n"))).alias("head"))
-    tail = F.when(F.col("parts") == 0, "no_chapters").when(F.col("last") == 0, "empty_chapter")
-    ends = ends.select("id", F.lit(2).alias("rank"), tail.alias("error"), F.col("head.n").alias("chapter"), F.when(tail == "empty_chapter", F.col("head.line")).alias("line"), F.lit(None).cast("int").alias("previous_line"), F.lit(2**31 - 1).alias("at")).where("error is not null")
-    problems = wrong.unionByName(ends).unionByName(blank.withColumn("at", F.lit(0)))
-    problems = problems.groupBy("id").agg(F.min_by(F.struct("error", "chapter", "line", "previous_line"), F.struct("rank", "at")).alias("p")).select("id", "p.*")
-    good = e.join(problems.select("id"), "id", "left_anti")
-    c = good.withColumns({"chapter": F.last("n", True).over(upto), "chapter_title": F.last("title", True).over(upto), "source_line": F.last(F.when(F.col("head"), F.col("line")), True).over(upto)})
-    c = c.where("prose").withColumn("pos", F.row_number().over(Window.partitionBy("id", "chapter").orderBy("line")))
-    return c.select("id", "chapter", F.col("chapter_title").alias("title"), "source_line", "pos", X.paragraph_id(F.col("chapter"), F.col("pos")).alias("pid"), "line", F.coalesce("inline", "x").alias("text")), problems
+    d = _parsed(texts, id_, text)
+    problems = d.where("wrong.error is not null").select("id", "wrong.*")
+    heads = F.filter(F.transform("kept", lambda x, k: F.when(x["head"], k + 1)), lambda k: k.isNotNull())
+    good = d.where("wrong.error is null").select("id", "kept", heads.alias("heads"))
+    until = lambda k: F.coalesce(F.get("heads", k + 1), F.size("kept") + 1)
+    cut = F.transform("heads", lambda p, k: F.struct(F.element_at("kept", p).alias("head"), F.filter(F.slice("kept", p, until(k) - p), lambda x: x["prose"]).alias("lines")))
+    c = good.select("id", F.explode(cut).alias("c")).select("id", F.col("c.head.n").alias("chapter"), F.col("c.head.title").alias("title"), F.col("c.head.line").alias("source_line"), F.posexplode("c.lines").alias("p", "x"))
+    pos = F.col("p") + 1
+    return c.select("id", "chapter", "title", "source_line", pos.alias("pos"), X.paragraph_id(F.col("chapter"), pos).alias("pid"), "x.line", "x.text"), problems
 
 
 def format_novel(chapters: DataFrame, volumes: DataFrame, keys: list[str], per_volume: int = 100) -> tuple[DataFrame, DataFrame]:
@@ -229,11 +249,10 @@ def first_chapters(texts: DataFrame, id_: str, text: str, n: int) -> DataFrame:
     """(id, text): a raw text up to the line before its chapter n + 1, or all of it. Texts that can't be parsed into chapters have no row."""
     if n < 1:
         raise ValueError("at least one chapter")
-    c = parse_chapters(texts, id_, text)[0].select("id", "source_line").distinct()
-    c = c.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("source_line")))
-    end = c.groupBy("id").agg(F.min(F.when(F.col("k") == n + 1, F.col("source_line"))).alias("end"))
-    cut = F.array_join(F.slice(X.split_lines(F.col("t")), F.lit(1), F.col("end") - 1), "\n")
-    return texts.select(F.col(id_).alias("id"), F.col(text).alias("t")).join(end, "id").select("id", F.when(F.col("end").isNull(), F.col("t")).otherwise(cut).alias("text"))
+    d = _parsed(texts, id_, text).where("wrong.error is null")
+    end = F.get(F.filter("kept", lambda x: x["head"]), F.lit(n))["line"]
+    cut = F.array_join(F.slice(X.split_lines(F.col("own")), F.lit(1), end - 1), "\n")
+    return d.select("id", F.when(end.isNull(), F.col("own")).otherwise(cut).alias("text"))
 
 
 #: Fixed pattern: a saved title that shows its chapter's number.

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as X
+from quire.operators import stats
+from quire.scratch import Tables
+from quire.sources.store import CHAPTER
 
 KEY = ["book", "id"]
 
@@ -209,9 +212,10 @@ def job_display(jobs: DataFrame, chapters: DataFrame) -> DataFrame:
 
 
 def find_chapter(path: str, spark, book: str, id_: int) -> DataFrame:
-    """One chapter of a library that store.write_chapters() wrote: only its book's and its hundred's folder is read."""
+    """One chapter of a library that store.write_chapters() wrote: only its book's and its hundred's folder is read, as the columns are known
+    and no file has to be looked at for them."""
     chunk = f"{(id_ - 1) // 100 * 100 + 1:04d}-{(id_ - 1) // 100 * 100 + 100:04d}"
-    return spark.read.json(path).where((F.col("book") == book) & (F.col("chunk") == chunk) & (F.col("id") == id_))
+    return spark.read.schema(f"{CHAPTER}, book string, chunk string").json(path).where((F.col("book") == book) & (F.col("chunk") == chunk) & (F.col("id") == id_))
 
 
 def write_artifacts(path: str, chapters: DataFrame, notes: DataFrame, dictionary: DataFrame, unresolved: DataFrame, rejected: DataFrame) -> None:
@@ -230,3 +234,19 @@ def write_artifacts(path: str, chapters: DataFrame, notes: DataFrame, dictionary
         d.coalesce(1).sortWithinPartitions("number").select("value").write.mode("overwrite").text(f"{path}/{name}")
     for name, d in {"translated.json": chapters, "dictionary.json": dictionary, "unresolved.json": unresolved, "rejected.json": rejected}.items():
         d.write.mode("overwrite").json(f"{path}/{name}")
+
+
+def shelf_order(books: DataFrame, title: str, locale: str = "UNICODE") -> DataFrame:
+    """books with place 0, 1, ... as a reader of the locale sorts titles: letters with marks beside those without, small before large, and code points for what is equal there.
+
+    Sorted by ranges, so no task has all titles; null titles come first.
+    """
+    tables = Tables(books.sparkSession, "shelf")
+    rows = books.withColumns({"collated_": F.collate(title, locale), "own_": F.col(title)})
+    return stats.numbered(rows, [], ["collated_", "own_"], "place", tables).drop("collated_", "own_")
+
+
+def spelled_alike(names: DataFrame, name: str, collation: str = "UNICODE_CI") -> DataFrame:
+    """(name, n): names that a collation takes for one, by the least of them, and how many rows have it. Names meet by the collation's own keys, not by lowered texts."""
+    g = names.where(F.col(name).isNotNull()).select(F.col(name).alias("name"), F.collate(F.col(name), collation).alias("key_"))
+    return g.groupBy("key_").agg(F.min("name").alias("name"), F.count("*").alias("n")).select("name", "n")

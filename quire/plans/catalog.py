@@ -14,7 +14,7 @@ from quire.functions import html as H
 from quire.functions import numbers as N
 from quire.functions import text as X
 from quire.operators import blocks, corpus, library, quality, stats, terms
-from quire.plans import cases, fixtures, streams
+from quire.plans import block_sql, cases, fixtures, large, streams
 from quire.scratch import shared_folder
 from quire.sources import adapters, registry, store
 
@@ -245,7 +245,7 @@ def export_chunks(spark, sf_dir):
     return library.export_chunks(toc(spark, sf_dir), 50).groupBy("book", "file", "first_file").agg(F.count("*").alias("chapters"))
 
 
-@query()
+@query(block_sql.EXPORT)
 def export_text(spark, sf_dir):
     d = table(spark, sf_dir, "documents").withColumn("id", F.col("doc_id") + 1)
     t = blocks.chapter_text(F.col("text"), F.col("id"), True)
@@ -364,12 +364,12 @@ def html_images(spark, sf_dir):
 # ------------------------------------------------------------------ blocks
 
 
-@query()
+@query(block_sql.audit("doc_id"))
 def block_audit(spark, sf_dir):
     return blocks.block_audit(table(spark, sf_dir, "documents"), "text", ["doc_id"])
 
 
-@query()
+@query(block_sql.audit("source"))
 def block_audit_by_source(spark, sf_dir):
     return blocks.block_audit(table(spark, sf_dir, "documents"), "text", ["source"])
 
@@ -828,7 +828,7 @@ def json_digests(spark, sf_dir):
     return d.select("doc_id", F.when(same, F.md5(F.concat("source", "lang"))).alias("key"))
 
 
-for _name, (_query, _sql) in {**fixtures.QUERIES, **cases.QUERIES, **streams.QUERIES}.items():
+for _name, (_query, _sql) in {**fixtures.QUERIES, **cases.QUERIES, **streams.QUERIES, **large.QUERIES}.items():
     _QUERIES[_name] = _query
     if _sql:
         _SQL[_name] = _sql
