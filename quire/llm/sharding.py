@@ -12,7 +12,7 @@ from quire.llm.common import Workspace, word_count
 #: Parts of a group's rows for each whole of all bytes or rows: a part has about a thousandth of all.
 PARTS = 1024
 #: What bytes, tokens and rows count in the dot product: the law is on bytes.
-WEIGHTS = (4.0, 1.0, 1.0)
+WEIGHTS = (16.0, 1.0, 1.0)
 
 
 def place(vectors: np.ndarray, shards: int) -> np.ndarray:
@@ -31,13 +31,13 @@ def place(vectors: np.ndarray, shards: int) -> np.ndarray:
     return out
 
 
-def shard(documents: DataFrame, shards: int = 8, bundles: int = 4096, split_share: float = 1 / 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard(documents: DataFrame, shards: int = 8, bundles: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Put every document into a shard, balancing bytes, tokens and rows jointly (law `bytes`: sizes near equal).
 
     A group is all rows of an equal text. Groups with more than 1 / bundles of all bytes or rows are placed each by itself (at most 2 * bundles); the tail of lighter
     ones is bundled by text hash first, so that the sequential placing sees a fixed number of vectors, whatever the input: 3 * bundles + 2 * PARTS and a few.
-    A group goes to one shard whole, unless it has more than split_share of all bytes or rows (with 8 shards: half of one): such a group, of which there are
-    at most 2 / split_share, is dealt in parts, since a third of the rows can't be one shard's eighth.
+    A group goes to one shard whole, unless it has more bytes or rows than a shard's equal share: such a group, of which there are at most 2 * shards, is dealt in parts, since
+    a third of the rows can't be one shard's eighth, and all shards are to be balanced in bytes and rows.
 
     Rows of a group above 1 / PARTS of all are dealt into parts of about that size by their place in the written table, so neither one text, nor one id, nor null ids make
     a large part. Slots number a shard's rows from 0: each part's first slot is the sum of those before it, so rows are sorted by part, never by shard or
@@ -63,7 +63,7 @@ def shard(documents: DataFrame, shards: int = 8, bundles: int = 4096, split_shar
     groups = rows.groupBy("h").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
     most = F.greatest(F.col("bytes") / F.lit(size), F.col("n") / F.lit(n))
     # At most 2 * bundles rows, by what a share is.
-    own = groups.where(most > 1 / bundles).select("h", F.ceil(most * F.lit(float(PARTS))).cast("int").alias("parts"), (most > split_share).alias("heavy"))
+    own = groups.where(most > 1 / bundles).select("h", F.ceil(most * F.lit(float(PARTS))).cast("int").alias("parts"), (most > 1 / shards).alias("heavy"))
     part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("place"), F.col("parts"))).otherwise(0)
     rows = rows.join(F.broadcast(own), "h", "left").withColumns(
         {"bundle": F.when(F.col("parts").isNull(), F.pmod("h", F.lit(bundles)).cast("string")).otherwise(F.concat(F.lit("g"), F.col("h").cast("string"))), "part": part.cast("int")}

@@ -39,6 +39,42 @@ def test_groups_stay_whole(spark):
     assert {len(s) for s in where.values()} == {1}
 
 
+@pytest.mark.parametrize("share", [0.03, 0.07, 0.10, 0.12, 0.33])
+def test_a_group_is_whole_up_to_a_shards_share(spark, share):
+    """One text in a part of the rows, of about the others' length: up to an eighth it has one shard; a third is dealt over all."""
+    rng = np.random.default_rng(4)
+    n = 6000
+    rows = [(i, "the text of the group " * 3 if i < share * n else " ".join(f"w{x}" for x in rng.integers(0, 999, 8 + int(rng.integers(0, 14))))) for i in range(n)]
+    out = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).toPandas()
+    group = out[out["doc_id"] < share * n].groupby("shard")["size"].sum()
+    assert len(group) == (1 if share < 0.125 else 8)
+    size = out.groupby("shard")["size"].sum()
+    assert size.max() / size.min() < 1.02
+    others = out[out["doc_id"] >= share * n].groupby("text_crc32")["shard"].nunique()
+    assert others.max() == 1
+
+
+def brute_place(vectors, shards):
+    """The placement rule, one vector and shard at a time."""
+    total = [sum(v[k] for v in vectors) or 1 for k in range(3)]
+    left = [[1.0] * 3 for _ in range(shards)]
+    scaled = [[v[k] / total[k] * shards for k in range(3)] for v in vectors]
+    out = [0] * len(vectors)
+    for i in sorted(range(len(vectors)), key=lambda i: (-sum(scaled[i]), i)):
+        gain = [sum(left[s][k] * scaled[i][k] * w for k, w in enumerate(sharding.WEIGHTS)) for s in range(shards)]
+        out[i] = best = max(range(shards), key=lambda s: (round(gain[s], 12), -s))
+        for k in range(3):
+            left[best][k] -= scaled[i][k]
+    return out
+
+
+def test_place_by_brute_force():
+    rng = np.random.default_rng(9)
+    for shards in (2, 3, 8):
+        v = rng.integers(1, 10**6, (200, 3)).astype(float)
+        assert sharding.place(v, shards).tolist() == brute_place(v.tolist(), shards)
+
+
 def test_place_prefers_room():
     v = np.array([[4, 1, 1], [4, 1, 1], [1, 4, 1], [1, 4, 1]], float)
     got = sharding.place(v, 2)
