@@ -9,7 +9,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import text_batches
@@ -163,45 +163,48 @@ def held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(documents: DataFrame, per_lang: int = 1000, per_text: int = 4096, most_langs: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit on a sample of at most 1.2 * per_lang labelled documents of each language that aren't held out, chosen by a hash of
-    id and text; their whole texts become sparse feature counts on the executors, and only the per_text strongest of each reach the driver: 1.2 * per_lang *
-    per_text * 6 bytes a language at most (29 MB as it stands).
+def train(documents: DataFrame, per_lang: int = 1000, most_rows: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Fit on a sample of at most per_lang labelled documents of each language that aren't held out, chosen by a hash of id and text; of so many labels that they
+    were more than most_rows together, on an equal part of these for each, at least one. Whole texts become sparse feature counts on the executors, all of which count.
 
-    Every labelled language is learnt, however rare; of more than most_langs labels, which only dirty ones can be, the most frequent (ties: the first). Null or
-    letterless texts and null labels teach nothing. A repeated row is chosen with its twin or not at all, as the hash is the same. Texts of any length are read
-    whole, by segments. Other columns aren't read. Empty table: a model that knows nothing.
+    The sample is bounded before it leaves them: rows with one id and text count once, so a row that is there many times is one row, and of the rest those with the least hashes
+    are kept by label, which Spark does before the shuffle. The driver gets 1 << BITS features of 6 bytes for each row at most.
+
+    Every label is learnt, however rare. Null or letterless texts and null labels teach nothing. Texts of any length are read whole, by segments. Other columns aren't
+    read. Empty table: a model that knows nothing.
     """
     text_batches(documents.sparkSession)
     d = documents.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
     d = d.where(F.col("l").isNotNull() & F.col("t").rlike(r"\p{L}") & ~held_out(F.col("i")))
-    totals = {r["l"]: r["n"] for r in d.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "l").limit(most_langs).collect()}
-    if not totals:
+    d = d.withColumn("k", F.xxhash64("i", "t"))
+    langs = d.agg(F.count_distinct("l")).first()[0]
+    if not langs:
         return Model()
-    share = F.create_map(*[F.lit(x) for l, n in totals.items() for x in (l, min(1.0, 1.1 * per_lang / n))])
-    key = F.pmod(F.xxhash64("i", "t"), F.lit(1 << 30))
-    d = d.withColumn("k", key).where(F.col("k") < share[F.col("l")] * float(1 << 30))
+    rows = max(1, min(per_lang, most_rows // langs))
+    once = d.select("l", "k").distinct()
+    order = Window.partitionBy("l").orderBy("k")
+    taken = once.withColumn("r", F.row_number().over(order)).where(F.col("r") <= rows).select("l", "k")
+    # At most most_rows pairs of a label and a hash.
+    d = d.join(F.broadcast(taken), ["l", "k"], "left_semi")
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = set()
         for batch in batches:
             out = []
             for lang, k, text in zip(batch["l"], batch["k"], batch["t"], strict=True):
+                if (lang, k) in seen:
+                    continue
+                seen.add((lang, k))
                 count = counts(text)
                 if count is not None:
                     x = unit(count)
                     at = np.flatnonzero(x)
-                    if len(at) > per_text:
-                        at = np.sort(at[np.argsort(-x[at], kind="stable")[:per_text]])
                     out.append((lang, k, at.astype("<u2").tobytes(), x[at].tobytes()))
             yield pd.DataFrame(out, columns=["l", "k", "at", "x"])
 
-    rows = d.select("l", "k", "t").mapInPandas(features, "l string, k long, at binary, x binary").collect()
-    rows.sort(key=lambda r: (r["l"], r["k"], bytes(r["at"])))
-    taken: dict[str, list] = {}
-    for r in rows:
-        if len(own := taken.setdefault(r["l"], [])) < 1.2 * per_lang:
-            own.append((np.frombuffer(bytes(r["at"]), "<u2").astype(np.int64), np.frombuffer(bytes(r["x"]), np.float32).astype(float)))
-    return fit([l for l, own in taken.items() for _ in own], [x for own in taken.values() for x in own])
+    found = d.select("l", "k", "t").mapInPandas(features, "l string, k long, at binary, x binary").groupBy("l", "k").agg(F.first("at").alias("at"), F.first("x").alias("x")).collect()
+    found.sort(key=lambda r: (r["l"], r["k"]))
+    return fit([r["l"] for r in found], [(np.frombuffer(bytes(r["at"]), "<u2").astype(np.int64), np.frombuffer(bytes(r["x"]), np.float32).astype(float)) for r in found])
 
 
 def identify(documents: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

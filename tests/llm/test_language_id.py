@@ -62,3 +62,17 @@ def test_whole_text_counts_and_segments_agree(monkeypatch):
     monkeypatch.setattr(L, "SEGMENT", 37)
     assert np.abs(whole - L.counts(text)).sum() <= 4  # a unit more where segments meet
     assert L.counts("1 2 3 !") is None and L.counts(None) is None and L.counts("a") is not None
+
+
+def test_a_row_that_is_there_many_times_is_one_row(spark):
+    rng = __import__("random").Random(5)
+    rows = [(i, " ".join(f"{'xy'[i % 2]}{rng.choice('abc')}o" for _ in range(9)), ["de", "fr"][i % 2]) for i in range(200)]
+    many = [(7, rows[7][1], "fr")] * 3000
+    once, often = (L.train(spark.createDataFrame(r, "doc_id long, text string, lang string").repartition(4)) for r in (rows, rows + many))
+    assert (once.weights == often.weights).all()
+
+
+def test_no_label_is_dropped(spark):
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26)} " * 5, f"l{i:03}") for i in range(240)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").where(~L.held_out(F.col("doc_id")))
+    assert len({x for own in L.train(d, most_rows=10).members.values() for x in own}) == d.count()
