@@ -39,8 +39,8 @@ def targets(totals: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeat: int
 
 
 def words_and_hash(documents: DataFrame, seed: str, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """documents with size, source_ (the source) and h (60 bits of a hash of the id; null: of the empty text)."""
-    key = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":" + seed)).cast("binary")
+    """documents with size, source_ (the source) and h (60 bits of a hash of id and text; null: of the empty text)."""
+    key = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{seed}:"), F.coalesce(F.col(text_col), F.lit(""))).cast("binary")
     return documents.withColumns({"size": word_count(text_col), "source_": F.col(source_col), "h": F.conv(F.substring(F.md5(key), 1, BITS // 4), 16, 10).cast("long")})
 
 
@@ -92,8 +92,8 @@ def mix(documents: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (1,
     Refining joins on source and bucket, so a source with a third of all rows is spread over 1024 keys; documents meet one row for
     each source, which Spark broadcasts if its written size is below the session's limit, and splits a hot source's rows otherwise.
 
-    The hash is of the id, so reruns agree, and the share at a smaller target is part of that at a larger one. Rows with the
-    same id (or null ids) in a source share a fate. Null text: size 0. Null source: a source of its own, last in the order.
+    The hash is of id and text, so reruns agree, and the share at a smaller target is part of that at a larger one. Rows of a source with the
+    same id (or null ids) and the same text share a fate, which is to be within half of their words of the target where they are many. Null text: size 0. Null source: a source of its own, last in the order.
     Empty documents are taken with 0 words. Empty table: no rows. Other columns are not read.
     """
     space = Workspace(documents.sparkSession)

@@ -55,7 +55,7 @@ def test_nearest_threshold(spark):
     d = spark.createDataFrame([(i, "x " * (i % 7 + 1), "ab"[i % 5 == 0]) for i in range(500)], "doc_id long, text string, source string")
     out = mixing.mix(d).collect()
     for s in ("a", "b"):
-        own = sorted((hashlib.md5(f"{r['doc_id']}:mix".encode()).hexdigest()[:15], r["size"], r["taken"]) for r in out if (r["doc_id"] % 5 == 0) == (s == "b"))
+        own = sorted((hashlib.md5(f"{r['doc_id']}:mix:{'x ' * (r['doc_id'] % 7 + 1)}".encode()).hexdigest()[:15], r["size"], r["taken"]) for r in out if (r["doc_id"] % 5 == 0) == (s == "b"))
         target = next(r["target"] for r in out if (r["doc_id"] % 5 == 0) == (s == "b"))
         times = [t // n for _, n, t in own]
         assert times == sorted(times, reverse=True) and len(set(times)) <= 2
@@ -77,3 +77,12 @@ def test_empty(empty, spark):
     assert mixing.mix(empty).collect() == [] and mixing.take(empty).collect() == []
     none = spark.createDataFrame([(1, None, None), (2, "", "a")], "doc_id long, text string, source string")
     assert {(r["size"], r["target"], r["taken"]) for r in mixing.mix(none).collect()} == {(0, 0.0, 0)}
+
+
+def test_rows_with_one_id_are_told_apart_by_their_texts(spark):
+    """Half of the ids null: the words taken come near their target all the same."""
+    d = spark.createDataFrame([(None if i % 2 else i, f"w{i} " * (i % 7 + 1), "ab"[i % 3 == 0]) for i in range(3000)], "doc_id long, text string, source string")
+    got = {}
+    for r in mixing.mix(d).select("source_size", "target", "taken").collect():
+        got.setdefault((r["source_size"], r["target"]), []).append(r["taken"])
+    assert len(got) == 2 and all(abs(sum(taken) - target) <= 7 for (_, target), taken in got.items())
