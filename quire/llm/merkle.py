@@ -117,13 +117,13 @@ def edit(text: str, following: str) -> str:
 def compare_neighbours(documents: DataFrame, range_bytes: int = 8 << 20, max_ranges: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    A document's next one is that before it in ascending order of id, text (nulls last on the way down), and the first's is the
-    last. The ids are cut into ranges by quantiles, each range a stretch of the order and a partition of its own: its rows are sorted (beyond memory by spilling) and
+    A document's next one is the one after it in descending order of id, then by a hash of the text and the text (null ids last), and the last's is the
+    first. The ids are cut into ranges by quantiles, each range a stretch of the order and a partition of its own: its rows are sorted (beyond memory by spilling) and
     streamed, so that a task holds two texts, and the first row of each range is also sent to the range above, as the next of that one's last row. So
     texts are shuffled once, with one text more for each range, and no window spans all rows. Ranges have range_bytes up to max_ranges of them (0.5 TB), and
     grow from there on: 1.6 GB each at 100 TB.
 
-    Null ids come last, by a hash of their text and the text, and are cut into ranges by that hash, so many of them don't meet in one task either.
+    An id that many rows share, and null ids, are cut into ranges by that hash, so they don't meet in one task either, unless their texts are equal too.
     Null text: empty. Repeated rows follow each other in any order, as they are alike. A single document
     is its own next. Empty table: no rows. Only the two columns are read.
     """
@@ -133,26 +133,32 @@ def compare_neighbours(documents: DataFrame, range_bytes: int = 8 << 20, max_ran
     total, low, n, nulls = ids.agg(F.sum("n"), F.min("i"), F.count("*"), F.count_if(F.col("i").isNull())).first()
     ranges = min(max_ranges, int((total or 0) // range_bytes) + 1)
     bounds = ids.agg(F.percentile_approx("i", F.array(*[F.lit(k / ranges) for k in range(1, ranges)]), 20 * ranges)).first()[0] if ranges > 1 and low is not None else []
-    edges = np.array(sorted(set(bounds or [])), np.int64)
-    # Range 0 has the greatest ids, an id equal to a bound goes on to a later range, and the last ranges have the null ones.
+    # Range 0 has the greatest ids; a bound begins a new one, which goes on to the ids below it, and the last ranges have the null ids. An id that is several bounds has
+    # so many rows that it gets ranges of its own, one for each bound more, by its texts' hashes.
+    edges, times = np.unique(np.array(bounds or [], np.int64), return_counts=True)
+    own = times - 1
+    begins = np.append((len(edges) - np.arange(len(edges))) + own.sum() - np.cumsum(own), 0)
     parts = max(1, -(-ranges * nulls // max(1, n)))
 
     def place(i: pd.Series, h: pd.Series) -> np.ndarray:
-        null = i.isna().to_numpy()
-        known = len(edges) - np.searchsorted(edges, i.fillna(0).to_numpy(np.int64), "left")
+        null, ids_ = i.isna().to_numpy(), i.fillna(0).to_numpy(np.int64)
+        at = np.searchsorted(edges, ids_, "left")
         unsigned = h.to_numpy(np.int64).view(np.uint64) ^ np.uint64(1 << 63)  # the hash's order, from 0
-        return np.where(null, len(edges) + 1 + (unsigned >> np.uint64(32)).astype(np.int64) * parts // (1 << 32), known)
+        cut = lambda k: (unsigned >> np.uint64(32)).astype(np.int64) * k // (1 << 32)
+        more, bound = np.append(own, 0)[at], np.append(edges, 0)[at] == ids_
+        known = begins[at] + np.where(bound & (more > 0), cut(more), more)
+        return np.where(null, len(edges) + own.sum() + 1 + cut(parts), known)
 
     @F.pandas_udf("int")
     def range_of(i: pd.Series, h: pd.Series) -> pd.Series:
         return pd.Series(place(i, h))
 
     d = documents.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    d = d.withColumn("h", F.when(F.col("i").isNull(), F.xxhash64("t")).otherwise(F.lit(0).cast("long")))
-    # One row for each range: the id (or a null id's hash) with which it starts. The range before it needs its first row too.
-    firsts = d.groupBy(range_of("i", "h").alias("r")).agg(F.max("i").alias("i"), F.min("h").alias("h")).orderBy("r").collect()
+    d = d.withColumn("h", F.xxhash64("t"))
+    # One row for each range: the id and hash with which it starts. The range before it needs its first row too.
+    firsts = d.groupBy(range_of("i", "h").alias("r")).agg(F.min(F.struct(F.bitwise_not("i").alias("down"), "h")).alias("first")).orderBy("r").collect()
     order = [f["r"] for f in firsts]
-    above = {(f["i"] is None, f["h"] if f["i"] is None else f["i"]): k for k, f in enumerate(firsts)}
+    above = {(f["first"]["down"] is None, 0 if f["first"]["down"] is None else ~f["first"]["down"], f["first"]["h"]): k for k, f in enumerate(firsts)}
     shared = spark.sparkContext.broadcast((np.array(order, np.int64), above))
 
     @F.pandas_udf("array<int>")
@@ -163,7 +169,7 @@ def compare_neighbours(documents: DataFrame, range_bytes: int = 8 << 20, max_ran
         null = i.isna().to_numpy()
         out = []
         for r, none, a, b in zip(at.tolist(), null.tolist(), i.fillna(0).astype(np.int64).tolist(), h.tolist(), strict=True):
-            k = above_.get((none, b if none else a))
+            k = above_.get((none, 0 if none else a, b))
             out.append([r] if k is None else [r, (k - 1) % len(starts)])
         return pd.Series(out)
 

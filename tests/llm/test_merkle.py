@@ -100,3 +100,16 @@ def test_many_null_ids(spark):
     hashed = [tuple(r) for r in d.select("doc_id", "text", F.xxhash64("text")).collect()]
     got = [tuple(r) for r in merkle.compare_neighbours(d, 3000).collect()]
     assert sorted(got, key=key) == sorted(brute(hashed), key=key)
+
+
+def test_an_id_that_a_third_of_the_rows_have(spark):
+    rng = random.Random(3)
+    rows = [(7 if k % 3 == 0 else k, " ".join(rng.choice("abcdefgh") * 3 for _ in range(rng.randrange(1, 20)))) for k in range(900)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    hashed = [tuple(r) for r in d.select("doc_id", "text", F.xxhash64("text")).collect()]
+    order = sorted(hashed, key=lambda r: (-r[0], r[2], r[1]))
+    want = sorted((a[0], len(a[1]), sha256((a[1][: len(a[1]) - len(a[1]) // 3] + b[1][: len(a[1]) // 3]).encode()).hexdigest()) for a, b in zip(order, order[1:] + order[:1], strict=True))
+    out = merkle.compare_neighbours(d, 400)
+    assert sorted(tuple(r)[:3] for r in out.collect()) == want
+    sizes = [r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) < 60 and len(sizes) > 30  # in one range they would be 300
