@@ -51,15 +51,21 @@ def _near(group: pd.DataFrame, most: float) -> pd.DataFrame:
     return group[keep]
 
 
-def _links(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
+def directions(x: np.ndarray) -> np.ndarray:
+    """Rows of length one, in double precision; scaled by their greatest component first, as squares of very large or small ones would be lost."""
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def _links(group: pd.DataFrame, threshold: float, kind: str) -> pd.DataFrame:
     """Of one block pair: each member's linked weight in pairs that no earlier table has, and the least member its links reach."""
     t = int(group["t"].iloc[0])
     dims = group["x"].map(len).to_numpy()
     parts = []
     for dim in np.unique(dims):
         g = group[dims == dim]
-        x = np.frombuffer(b"".join(g["x"]), np.float32).reshape(len(g), -1).astype(np.float64)
-        x /= np.linalg.norm(x, axis=1)[:, None]
+        x = directions(np.frombuffer(b"".join(g["x"]), kind).reshape(len(g), -1))
         near = x @ x.T >= threshold
         np.fill_diagonal(near, False)
         if group["bi"].iloc[0] != group["bj"].iloc[0]:
@@ -100,7 +106,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, block: int = 102
     space = Workspace(vectors.sparkSession)
     e = F.col("e")
     good = e.isNotNull() & F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("e", lambda x: x != 0)
-    v = vectors.select(F.col(id_col).alias("i"), F.col(vector_col).cast("array<float>").alias("e"))
+    single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
+    kind, number = ("<f4", "float") if single else ("<f8", "double")  # floats stay as they are, everything else is compared as doubles
+    v = vectors.select(F.col(id_col).alias("i"), F.col(vector_col).cast(f"array<{number}>").alias("e"))
     v = v.select("i", "e", F.coalesce(good, F.lit(False)).alias("good"))
     v = v.select("i", "e", "good", F.xxhash64("e").alias("h1"), F.xxhash64(F.reverse("e"), F.lit(1)).alias("h2"))
     c = v.where("good").groupBy("h1", "h2").agg(F.first("e").alias("e"), F.min("i").alias("doc"), F.count("*").alias("w"))
@@ -113,10 +121,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, block: int = 102
         for batch in batches:
             out = []
             for cid, w, vector in zip(batch["cid"], batch["w"], batch["e"], strict=True):
-                x = np.asarray(vector, np.float32)
+                x = np.asarray(vector, kind)
                 if len(x) not in planes:
                     planes[len(x)] = np.random.default_rng([seed, len(x)]).standard_normal((len(x), bits * tables + SKETCH))
-                sign = x.astype(np.float64) @ planes[len(x)] > 0
+                sign = directions(x[None])[0] @ planes[len(x)] > 0
                 keys = (sign[: bits * tables].reshape(tables, bits) * power).sum(axis=1)
                 out.append((cid, w, x.tobytes(), keys, keys.astype("<i8").tobytes(), np.packbits(sign[bits * tables :]).tobytes()))
             yield pd.DataFrame(out, columns=["cid", "w", "x", "k", "keys", "sketch"])
@@ -137,7 +145,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, block: int = 102
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in groups(batches, order):
-            found = _links(group, threshold)
+            found = _links(group, threshold, kind)
             if len(found):
                 yield found
 

@@ -66,3 +66,26 @@ def test_components_of_paths_and_stars(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 20)] + [(7, 7), (300, 200)]
     got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long"), Workspace(spark), "t").collect()))
     assert got == {**{k: 0 for k in range(41)}, **{k: 100 for k in range(100, 120)}, 200: 200, 300: 200}
+
+
+def test_doubles_stay_doubles(spark):
+    """Parallel vectors of components that no float holds, and of which no square is a double's."""
+    rows = [(0, [1e39, 0.0]), (1, [2e39, 0.0]), (2, [1.0, 0.0]), (3, [1e-50, 0.0]), (4, [1e300, 1e-300]), (5, [0.0, 1e-200]), (6, [float("inf"), 1.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {0: (4, 0), 1: (4, 0), 2: (4, 0), 3: (4, 0), 4: (4, 0), 5: (0, 5), 6: (0, 6)}
+
+
+def test_recall_of_longer_keys(spark):
+    """Pairs at a cosine of 0.9005 among so many vectors that keys have eight bits."""
+    rng = np.random.default_rng(6)
+    n, dim, pairs = 16_000, 32, 2_000
+    x = rng.standard_normal((n, dim))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for k in range(pairs):
+        a, b = x[2 * k], x[2 * k + 1]
+        b = b - (a @ b) * a
+        x[2 * k + 1] = 0.9005 * a + np.sqrt(1 - 0.9005**2) * b / np.linalg.norm(b)
+    assert embedding.plan(n, 0.9)[0] == 8
+    out = embedding.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    root = {r["vec_id"]: r["component_id"] for r in out.collect()}
+    assert sum(root[2 * k] == root[2 * k + 1] for k in range(pairs)) >= 0.985 * pairs
