@@ -57,7 +57,8 @@ class Repair:
     Of each state the best path so far survives. Each stands at the end of a turn, so no survivor's letters begin another's, and their order is kept as a rank: two ties
     that go on from different survivors compare by it, which is to compare their whole unresolved suffixes, and two that go on from one compare by what they add.
     A survivor that can't win any more goes (LIKE). Paths are a tree of back pointers; a node that nothing goes on from is dropped, and when the root has one successor
-    only, all survivors share it: it becomes the root and its edits are emitted. So what is held is the part of the conversation that is still open.
+    only, all survivors share it: it becomes the root and its edits are emitted. So what is held is the part of the conversation that is still open: a few turns, but
+    all of one in which two different ways stay equally cheap to the end, as where only users speak and the number of turns decides.
     """
 
     def __init__(self, emit: Callable[[str, str | None, tuple | None], None]):
