@@ -139,7 +139,9 @@ def _parsed(texts: DataFrame, id_: str, text: str) -> DataFrame:
         return F.when(s["wrong"]["error"].isNotNull(), s).otherwise(after)
 
     begin = state(F.lit(0), none, no, F.lit(False), wrong(F.lit(None).cast("string")))
-    d = t.withColumn("kept", F.filter(F.transform(X.split_lines(F.col("t")), line), lambda x: x["counts"])).withColumn("end", F.aggregate("kept", begin, step))
+    # Each step's value is a row of one generated: else the optimizer would put the expression itself wherever its value is used, in filters and in lambdas, for each line anew.
+    once = lambda d, name, value: d.select("*", F.explode_outer(F.array(value)).alias(name))
+    d = once(once(t, "kept", F.filter(F.transform(X.split_lines(F.col("t")), line), lambda x: x["counts"])), "end", F.aggregate("kept", begin, step))
     w, before = F.col("end.wrong"), F.filter("kept", lambda x: x["head"] & (x["line"] < F.col("end.wrong.line")))
     same = F.get(F.filter(before, lambda x: x["n"] == F.col("end.wrong.chapter")), F.lit(0))["line"]
     last = F.element_at(before, -1)
@@ -153,7 +155,7 @@ def _parsed(texts: DataFrame, id_: str, text: str) -> DataFrame:
         .when(~F.col("end.prose"), wrong(F.lit("empty_chapter"), F.col("end.n"), F.col("end.at")))
         .otherwise(wrong(F.lit(None).cast("string")))
     )
-    return d.withColumn("wrong", found)
+    return once(d, "wrong", found)
 
 
 def parse_chapters(texts: DataFrame, id_: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -168,7 +170,7 @@ def parse_chapters(texts: DataFrame, id_: str, text: str) -> tuple[DataFrame, Da
     d = _parsed(texts, id_, text)
     problems = d.where("wrong.error is not null").select("id", "wrong.*")
     heads = F.filter(F.transform("kept", lambda x, k: F.when(x["head"], k + 1)), lambda k: k.isNotNull())
-    good = d.where("wrong.error is null").select("id", "kept", heads.alias("heads"))
+    good = d.where("wrong.error is null").select("id", "kept", F.explode_outer(F.array(heads)).alias("heads"))
     until = lambda k: F.coalesce(F.get("heads", k + 1), F.size("kept") + 1)
     cut = F.transform("heads", lambda p, k: F.struct(F.element_at("kept", p).alias("head"), F.filter(F.slice("kept", p, until(k) - p), lambda x: x["prose"]).alias("lines")))
     c = good.select("id", F.explode(cut).alias("c")).select("id", F.col("c.head.n").alias("chapter"), F.col("c.head.title").alias("title"), F.col("c.head.line").alias("source_line"), F.posexplode("c.lines").alias("p", "x"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quire.functions import canonical
 from quire.operators import corpus, library
 from quire.scratch import shared_folder
-from quire.sources import archives, books, registry
+from quire.sources import archives, books, registry, store
 
 QUERIES: dict = {}
 
@@ -258,3 +258,26 @@ def upload_outcomes(spark, sf_dir):
     """What became of each member: two unsafe paths and two unsupported ones in each archive; hidden ones aren't told of, and a blank text is no book."""
     _, outcomes = archives.import_books(_uploads(spark, sf_dir))
     return outcomes.groupBy(F.split("member", "/")[0].alias("file"), "kind", "problem").agg(F.count("*").alias("n"))
+
+
+@query(
+    r"""SELECT coalesce(source, 'none') AS book, count(*) AS chapters, count(*) FILTER (l.quality = 1) AS good, 'second' AS imported, sum(length(text))::BIGINT AS chars
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1"""
+)
+def imported_together(spark, sf_dir):
+    """Books, chapters and outcomes published as one version, then a second one of two of the tables; a third import fails between its tables, and a fourth is late."""
+    path = shared_folder(spark, "catalog")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("none")).alias("book"), F.coalesce(F.length("text"), F.lit(0)).alias("chars"))
+    labels = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    books = lambda name: d.select("book").distinct().withColumn("imported", F.lit(name))
+    first = store.publish_tables({"books": books("first"), "chapters": d.limit(0), "outcomes": labels}, path)
+    store.publish_tables({"books": books("second"), "chapters": d}, path)
+    for tables, base in (({"chapters": d.limit(0), "books": d.select(F.raise_error(F.lit("a failure")).alias("book"))}, None), ({"chapters": d.limit(0)}, first)):
+        try:
+            store.publish_tables(tables, path, base)
+        except Exception:
+            continue
+        raise ValueError("an import that failed or was late was published")
+    read = lambda name: store.read_published(spark, path, name)
+    marked = read("chapters").join(read("outcomes").withColumn("good", F.lit(1)), "doc_id", "left").groupBy("book").agg(F.count("*").alias("chapters"), F.count("good").alias("good"), F.sum("chars").alias("chars"))
+    return marked.join(read("books"), "book")

@@ -95,6 +95,7 @@ def survey(file: str, name: str, size: int, open_file, budget: Budget) -> tuple[
 class Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.size, self.entries = options["path"], int(options.get("expanded", archives.EXPANDED)), int(options.get("entries", archives.ENTRIES))
+        self.task = int(options.get("task", TASK))
 
     def partitions(self) -> list[Work]:
         fs, root = place(self.path)
@@ -107,7 +108,7 @@ class Reader(DataSourceReader):
             wanted, rows = survey(f.path, f.base_name, f.size, lambda f=f: fs.open_input_file(f.path), budget)
             known += [(f.base_name, *r) for r in rows]
             for member, size in wanted:
-                if held and sum(n for *_, n in held) + size > TASK:
+                if held and sum(n for *_, n in held) + size > self.task:
                     work.append(Work(held, []))
                     held = []
                 held.append((f.path, member, size))
@@ -139,7 +140,7 @@ class Reader(DataSourceReader):
 
 class Books(DataSource):
     """Rows (file, member, kind, size, data, problem) of a folder of uploads: kind book (with data), skipped, or error (with its problem). Options: expanded and entries, the
-    request's limits. Hidden files aren't listed; what two files have in common doesn't matter, as each is named; an empty folder has no rows."""
+    request's limits, and task, the bytes that one task reads. Hidden files aren't listed; what two files have in common doesn't matter, as each is named; an empty folder has no rows."""
 
     @classmethod
     def name(cls) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +19,7 @@ BOOK = (
 EVENT = "id string, timestamp string, operation string, event string, chapter long, model string, status string"
 
 
-def _json(spark: SparkSession, path: str, schema: str, multiline: bool) -> tuple[DataFrame, DataFrame]:
+def _json(spark: SparkSession, path: str | list[str], schema: str, multiline: bool) -> tuple[DataFrame, DataFrame]:
     """(rows, records that don't fit the schema) of JSON files, each a record, or of JSON lines."""
     raw = spark.read.text(path, wholetext=multiline).select(F.col("_metadata.file_path").alias("file"), "value")
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
@@ -90,14 +92,102 @@ def published(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path.rstrip('/')}/{version}")
 
 
+def _manifests(spark: SparkSession, path: str):
+    """A catalog's file system, the path of a name in it, and the numbers of its manifests."""
+    jvm = spark.sparkContext._jvm
+    at = lambda name: jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{name}".rstrip("/"))
+    fs = at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(at(""))] if fs.exists(at("")) else []
+    return fs, at, sorted(int(x[9:]) for x in names if x.startswith("manifest-"))
+
+
+def catalog_version(spark: SparkSession, path: str) -> int:
+    """The number of the last manifest that was published at a path; 0: none."""
+    return max(_manifests(spark, path)[2], default=0)
+
+
+def catalog_tables(spark: SparkSession, path: str, version: int | None = None) -> dict[str, str]:
+    """Folders of a version's tables, of the last one if none is named: all that a reader needs to see several tables as they were published together."""
+    fs, at, numbers = _manifests(spark, path)
+    version = max(numbers, default=0) if version is None else version
+    if not version:
+        return {}
+    stream = fs.open(at(f"manifest-{version:09d}"))
+    try:
+        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def publish_tables(tables: dict[str, DataFrame], path: str, base: int | None = None) -> int:
+    """Publish several tables at once, as the version after base (None: the last); its number. Tables that aren't named stay what they were in base.
+
+    Every table is written to a folder of its own, and then one file that names them all appears under the next number, by a rename that fails if that number is there. So
+    a failure in between leaves the last version as it was, with folders that nothing points to; and of two writers that began at one version the first wins, and
+    the other gets a FileExistsError and has changed nothing.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    base = catalog_version(spark, path) if base is None else base
+    folders = catalog_tables(spark, path, base)
+    for name, df in tables.items():
+        folders[name] = f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(folders[name])
+    fs, at, _ = _manifests(spark, path)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    new = f"_writing-{uuid.uuid4().hex}"
+    out = fs.create(at(new), False)
+    out.write(bytearray(json.dumps(folders, sort_keys=True).encode()))
+    out.close()
+    how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(at(new)), fs.makeQualified(at(f"manifest-{base + 1:09d}")), how)
+    except Exception as e:
+        fs.delete(at(new), False)
+        if base + 1 in _manifests(spark, path)[2]:
+            raise FileExistsError(f"version {base + 1} was published by another writer") from e
+        raise
+    return base + 1
+
+
+def read_published(spark: SparkSession, path: str, name: str, version: int | None = None) -> DataFrame:
+    return spark.read.parquet(catalog_tables(spark, path, version)[name])
+
+
 def append_log(events: DataFrame, path: str) -> None:
     events.write.mode("append").json(path)
 
 
+def _appends(spark: SparkSession, path: str) -> list[list[str]]:
+    """A log's files by the append that wrote them (their names share its id), the newest first: names and times from the listing, no contents."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    groups: dict[str, tuple[int, list[str]]] = {}
+    for top in fs.globStatus(p) or []:
+        for f in fs.listStatus(top.getPath()) if top.isDirectory() else [top]:
+            name = f.getPath().getName()
+            if f.isFile() and f.getLen() and not name.startswith(("_", ".")):
+                write = re.sub(r"^part-\d+-|-c\d+.*$", "", name)
+                time, files = groups.get(write, (0, []))
+                groups[write] = max(time, f.getModificationTime()), [*files, f.getPath().toString()]
+    return [files for _, files in sorted(groups.values(), key=lambda g: (-g[0], g[1]))]
+
+
 def tail(spark: SparkSession, path: str, n: int = 100) -> DataFrame:
-    """The last n events of a log, the newest first; lines that aren't whole are skipped."""
-    good, _ = _json(spark, path, EVENT, False)
-    return good.orderBy(F.col("timestamp").desc(), F.col("id").desc()).limit(n)
+    """The last n events of a log, the newest first; lines that aren't whole are skipped.
+
+    A log is appended to in the order of its events, so the newest appends have its end: their files are read, and those of four times as many while they have too few events.
+    All other files are only listed, whatever their number.
+    """
+    appends, k = _appends(spark, path), 4
+    while True:
+        files = [f for group in appends[:k] for f in group]
+        if not files:
+            return spark.createDataFrame([], EVENT + ", file string")
+        good, _ = _json(spark, files, EVENT, False)
+        if k >= len(appends) or good.limit(n).count() == n:
+            return good.orderBy(F.col("timestamp").desc(), F.col("id").desc()).limit(n)
+        k *= 4
 
 
 def cached(work: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
