@@ -33,9 +33,9 @@ def place(path: str) -> tuple[arrow_fs.FileSystem, str]:
 
 @dataclass
 class Work(InputPartition):
-    """Members (file, size of the file, member or None for the file itself) to read, and rows that are known already."""
+    """Members (file, place in its directory or None for the file itself, name, size) to read, and rows that are known already."""
 
-    members: list[tuple[str, str | None, int]]
+    members: list[tuple[str, int | None, str | None, int]]
     known: list[tuple]
 
 
@@ -60,15 +60,17 @@ def _is_book(info: zipfile.ZipInfo) -> bool:
     return not info.is_dir() and not _hidden(info.filename) and PurePosixPath(info.filename).suffix.lower() in archives.FORMATS
 
 
-def survey(file: str, name: str, size: int, open_file, budget: Budget) -> tuple[list[tuple[str, int]], list[tuple]]:
-    """What is to be read of one uploaded file, as (member or None, expanded size), and the rows that need no reading: (member, kind, size, problem)."""
+def survey(file: str, name: str, size: int, open_file, budget: Budget) -> tuple[list[tuple[int | None, str | None, int]], list[tuple]]:
+    """What is to be read of one uploaded file, as (place, name, expanded size), and the rows that need no reading: (member, kind, size, problem)."""
     suffix = PurePosixPath(name).suffix.lower()
     if suffix not in (*archives.FORMATS, ".zip"):
         return [], [(name, "error", size, "unsupported format")]
     if size > archives.UPLOAD:
         return [], [(name, "error", size, "over the upload limit")]
     if suffix == ".txt":
-        return ([(None, size)], []) if budget.takes(size, 0) else ([], [(name, "error", size, "over the request's limit")])
+        return ([(None, None, size)], []) if budget.takes(size, 0) else ([], [(name, "error", size, "over the request's limit")])
+    if size < 22:  # the shortest archive: the end of an empty directory
+        return [], [(name, "error", size, "File is not a zip file")]
     try:
         with open_file() as raw, zipfile.ZipFile(raw) as z:
             infos = z.infolist()
@@ -76,17 +78,17 @@ def survey(file: str, name: str, size: int, open_file, budget: Budget) -> tuple[
         return [], [(name, "error", size, str(e) or type(e).__name__)]
     if suffix == ".epub":
         expanded = size + sum(i.file_size for i in infos)
-        return ([(None, expanded)], []) if budget.takes(expanded, len(infos)) else ([], [(name, "error", size, "over the request's limit")])
+        return ([(None, None, expanded)], []) if budget.takes(expanded, len(infos)) else ([], [(name, "error", size, "over the request's limit")])
     if not budget.takes(sum(i.file_size for i in infos if _is_book(i)), len(infos)):
         return [], [(name, "error", size, "over the request's limit")]
     wanted, known, seen = [], [], set()
-    for i in infos:
+    for at, i in enumerate(infos):
         problem = archives.unsafe(i) or ("duplicate member" if i.filename in seen else None)
         seen.add(i.filename)
         if problem:
             known.append((f"{name}/{i.filename}", "error", i.file_size, problem))
         elif _is_book(i):
-            wanted.append((i.filename, i.file_size))
+            wanted.append((at, i.filename, i.file_size))
         elif not (_hidden(i.filename) or i.is_dir()):
             known.append((f"{name}/{i.filename}", "skipped", i.file_size, None))
     return wanted, known
@@ -107,11 +109,11 @@ class Reader(DataSourceReader):
                 continue
             wanted, rows = survey(f.path, f.base_name, f.size, lambda f=f: fs.open_input_file(f.path), budget)
             known += [(f.base_name, *r) for r in rows]
-            for member, size in wanted:
+            for at, member, size in wanted:
                 if held and sum(n for *_, n in held) + size > self.task:
                     work.append(Work(held, []))
                     held = []
-                held.append((f.path, member, size))
+                held.append((f.path, at, member, size))
         return [*([Work(held, [])] if held else []), *work, *([Work([], known)] if known or not (held or work) else [])]
 
     def read(self, part: Work) -> Iterator[tuple]:
@@ -120,7 +122,7 @@ class Reader(DataSourceReader):
         if not part.members:
             return
         fs, _ = place(self.path)
-        for path, member, size in part.members:
+        for path, at, member, size in part.members:
             name = PurePosixPath(path).name
             shown = f"{name}/{member}" if member else name
             try:
@@ -129,7 +131,7 @@ class Reader(DataSourceReader):
                         data = raw.read()
                         size = len(data)
                     else:
-                        with zipfile.ZipFile(raw) as z, z.open(member) as one:
+                        with zipfile.ZipFile(raw) as z, z.open(z.infolist()[at]) as one:
                             data = one.read(size + 1)
                         if len(data) != size:
                             raise ValueError("a member's size isn't that of its directory entry")
