@@ -6,6 +6,7 @@ audit over many chapters is a plain aggregate.
 
 from __future__ import annotations
 
+import functools
 import re
 from dataclasses import dataclass, field
 
@@ -241,10 +242,15 @@ def heading_report(chapters: DataFrame, id_: str, text: str, keys: list[str], mo
     missing = ~X.native_heading(F.col("lines")[0])
     repeated = ~missing & (F.size("headings") > F.size(F.array_distinct("headings")))
     c = c.select(*keys, "id", missing.alias("missing"), repeated.alias("repeated"))
-    rank = lambda flag: F.when(F.col(flag), F.sum(F.col(flag).cast("int")).over(Window.partitionBy(*keys).orderBy("id")))
-    c = c.withColumns({"m": rank("missing"), "r": rank("repeated")})
-    first = lambda k: F.array_sort(F.collect_list(F.when(F.col(k) <= most, F.col("id"))))
-    return c.groupBy(*keys).agg(F.sum(F.col("missing").cast("int")).alias("without_heading"), first("m").alias("without_heading_ids"), F.sum(F.col("repeated").cast("int")).alias("repeated_heading"), first("r").alias("repeated_heading_ids"))
+    counts = c.groupBy(*keys).agg(F.count_if("missing").alias("without_heading"), F.count_if("repeated").alias("repeated_heading"))
+    kind = c.select(*keys, "id", F.explode(F.filter(F.array(F.when(F.col("missing"), "m"), F.when(F.col("repeated"), "r")), lambda x: x.isNotNull())).alias("kind"))
+    # A row number that is kept up to a limit: Spark cuts every part of a group to it before the shuffle.
+    first = kind.withColumn("k", F.row_number().over(Window.partitionBy(*keys, "kind").orderBy("id"))).where(F.col("k") <= most)
+    ids = lambda k: F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("id"))))
+    listed = first.groupBy(*keys).agg(ids("m").alias("m_"), ids("r").alias("r_")).alias("l")
+    same = functools.reduce(lambda x, y: x & y, [F.col(f"c.{k}").eqNullSafe(F.col(f"l.{k}")) for k in keys])
+    none = F.array().cast(f"array<{c.schema['id'].dataType.simpleString()}>")
+    return counts.alias("c").join(listed, same, "left").select(*[F.col(f"c.{k}") for k in keys], "without_heading", F.coalesce("m_", none).alias("without_heading_ids"), "repeated_heading", F.coalesce("r_", none).alias("repeated_heading_ids"))
 
 
 def chapter_text(text: Column, id_: Column, number: bool = False, target: int = TARGET, maximum: int = MAXIMUM) -> Column:

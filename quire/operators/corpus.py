@@ -288,6 +288,21 @@ def raw_of(chapters: DataFrame) -> DataFrame:
     return c.select("book", "id", F.concat(F.lit("第"), F.col("id").cast("string"), F.lit("章 "), F.col("f.title"), F.lit("\n"), F.array_join("f.out", "\n")).alias("raw"))
 
 
+#: Fixed value: characters that a chapter's raw text has fewer of.
+RAW_LIMIT = 20_000_000
+
+
+def checked_raws(chapters: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """raw_of(chapters) that hold exactly their own chapter and are short enough (book, id, raw), and what is wrong with the others (book, id, problem): the problem that
+    parse_chapters() finds first, `other chapters` (the text has another number's heading, or not one heading alone), or `too long`. In the text's own row."""
+    d = _parsed(raw_of(chapters).select(F.struct("book", "id").alias("key"), "raw"), "key", "raw")
+    numbers = F.transform(F.filter("kept", lambda x: x["head"]), lambda x: x["n"])
+    own = F.coalesce((F.size(numbers) == 1) & (numbers[0] == F.col("id.id")), F.lit(False))
+    d = d.select("id.book", "id.id", F.col("own").alias("raw"), F.when(F.length("own") >= RAW_LIMIT, "too long").when(F.col("wrong.error").isNotNull(), F.col("wrong.error")).when(~own, "other chapters").alias("problem"))
+    d = d.select("book", "id", "raw", F.explode_outer(F.array("problem")).alias("problem"))
+    return d.where("problem is null").drop("problem"), d.where("problem is not null").drop("raw")
+
+
 def by_note_policy(paragraphs_: DataFrame, raw: str, policy: str) -> tuple[DataFrame, DataFrame]:
     """(paragraphs for readers, notes kept apart): policy preserve keeps notes in place, remove drops them, separate keeps them apart."""
     if policy not in ("preserve", "remove", "separate"):

@@ -76,3 +76,14 @@ def test_split_paragraph():
         raise AssertionError
     except ValueError:
         pass
+
+
+def test_raws_hold_their_own_chapter(spark):
+    rows = [
+        (1, "a", "<p>One.</p>"), (2, "b", "<h3>第2章 b</h3><p>Two.</p>"), (3, "c", "<p>Three.</p><p>第4章 d</p><p>Four.</p>"), (4, "d", "<p>Four.</p><p>第2章 e</p><p>x</p>"),
+        (5, "e", ""), (6, "f", "<p>bad \ufffd</p>"),
+    ]
+    c = spark.createDataFrame([("b", *r) for r in rows], "book string, id long, title string, body string")
+    good, bad = C.checked_raws(c)
+    assert {r["id"]: r["raw"].split("\n") for r in good.collect()} == {1: ["第1章 a", "One."], 2: ["第2章 b", "Two."]}
+    assert {r["id"]: r["problem"] for r in bad.collect()} == {3: "other chapters", 4: "backwards_chapter", 5: "empty_chapter", 6: "invalid_encoding"}
