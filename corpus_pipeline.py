@@ -17,7 +17,7 @@ from quire.llm.common import Workspace
 ORACLE_SQL = None
 #: A source holds many sites, so that a line of one kind of page is on a smaller share of it than of a web host.
 SOURCE_RATIO, SOURCE_TEXTS = 0.05, 5
-#: Below this score the language that was told lost a duel against another, so none is sure.
+#: The score is a family's probability times that of a language in it; below this the two together are not sure.
 LEAST_SCORE = 0.5
 
 
