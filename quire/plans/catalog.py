@@ -14,7 +14,7 @@ from quire.functions import html as H
 from quire.functions import numbers as N
 from quire.functions import text as X
 from quire.operators import blocks, corpus, library, quality, stats, terms
-from quire.plans import block_sql, cases, fixtures, large, streams
+from quire.plans import block_sql, cases, fixtures, large, pair_sql, streams
 from quire.scratch import shared_folder
 from quire.sources import adapters, registry, store
 
@@ -529,7 +529,7 @@ def truncation_signals(spark, sf_dir):
     return p.select("chapter", "id", F.array_contains("s", "very_low_length_ratio").alias("low_ratio"), F.array_contains("s", "clause_loss").alias("clause_loss"))
 
 
-@query()
+@query(f"WITH {REPLIES}, {pair_sql.FINDINGS} SELECT kind, count(*) AS n, count(DISTINCT chapter) AS chapters FROM f GROUP BY kind")
 def pair_findings(spark, sf_dir):
     p = _replies(spark, sf_dir)
     out = quality.prioritized(quality.segment_findings(p).unionByName(quality.length_findings(p)).unionByName(quality.duplicate_outputs(p)))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions import canonical
-from quire.operators import corpus, library
+from quire.operators import corpus, library, quality
+from quire.plans import pair_sql
 from quire.scratch import shared_folder
 from quire.sources import archives, books, registry, store
 
@@ -281,3 +282,31 @@ def imported_together(spark, sf_dir):
     read = lambda name: store.read_published(spark, path, name)
     marked = read("chapters").join(read("outcomes").withColumn("good", F.lit(1)), "doc_id", "left").groupBy("book").agg(F.count("*").alias("chapters"), F.count("good").alias("good"), F.sum("chars").alias("chars"))
     return marked.join(read("books"), "book")
+
+
+# ------------------------------------------------------------------ pairs
+
+_SPOILED = """
+WITH p AS (SELECT conv_id AS chapter, turn AS pos, printf('P%04d_%04d', conv_id, turn) AS id, text AS raw, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS t, (conv_id + turn) % 9 AS v FROM conversations),
+q AS (
+  SELECT chapter, pos, id, CASE v WHEN 3 THEN raw || ' 7' WHEN 8 THEN raw || '!' ELSE raw END AS raw,
+    CASE v WHEN 0 THEN '```' || t WHEN 1 THEN raw || ' ' || t WHEN 2 THEN t || ' 12.' WHEN 4 THEN t || ' với ' WHEN 5 THEN t || ' (x.' WHEN 6 THEN ' ' WHEN 7 THEN repeat('the same ', 5) || '.' WHEN 8 THEN left(t, length(t) - 1) ELSE t END AS text
+  FROM p WHERE t IS NOT NULL),
+"""
+
+
+@query(_SPOILED + pair_sql.FINDINGS + "SELECT chapter, id, kind FROM f")
+def spoiled_pairs(spark, sf_dir):
+    """Each turn and the next as a source and its translation, eight of nine of which are spoiled in a way that a rule is for."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("chapter"), F.col("turn").alias("pos"), F.format_string("P%04d_%04d", "conv_id", "turn").alias("id"), F.col("text").alias("raw"), F.lead("text").over(w).alias("t"), ((F.col("conv_id") + F.col("turn")) % 9).alias("v"))
+    t, raw, v = F.col("t"), F.col("raw"), F.col("v")
+    text = (
+        F.when(v == 0, F.concat(F.lit("```"), t)).when(v == 1, F.concat(raw, F.lit(" "), t)).when(v == 2, F.concat(t, F.lit(" 12."))).when(v == 4, F.concat(t, F.lit(" với "))).when(v == 5, F.concat(t, F.lit(" (x.")))
+        .when(v == 6, " ").when(v == 7, "the same " * 5 + ".").when(v == 8, F.expr("left(t, length(t) - 1)")).otherwise(t)
+    )
+    q = c.where("t is not null").select("chapter", "pos", "id", F.when(v == 3, F.concat(raw, F.lit(" 7"))).when(v == 8, F.concat(raw, F.lit("!"))).otherwise(raw).alias("raw"), text.alias("text"))
+    out = quality.prioritized(quality.segment_findings(q).unionByName(quality.length_findings(q)).unionByName(quality.duplicate_outputs(q)))
+    return out.select("chapter", "id", "kind")
