@@ -8,7 +8,7 @@ from quire.functions import canonical
 from quire.operators import corpus, library, quality
 from quire.plans import pair_sql
 from quire.scratch import shared_folder
-from quire.sources import archives, books, registry, store
+from quire.sources import adapters, archives, books, registry, store
 
 QUERIES: dict = {}
 
@@ -310,3 +310,31 @@ def spoiled_pairs(spark, sf_dir):
     q = c.where("t is not null").select("chapter", "pos", "id", F.when(v == 3, F.concat(raw, F.lit(" 7"))).when(v == 8, F.concat(raw, F.lit("!"))).otherwise(raw).alias("raw"), text.alias("text"))
     out = quality.prioritized(quality.segment_findings(q).unionByName(quality.length_findings(q)).unionByName(quality.duplicate_outputs(q)))
     return out.select("chapter", "id", "kind")
+
+
+# ------------------------------------------------------------------ sites
+
+
+@query(
+    """WITH p AS (SELECT page_id, page_id % 4 AS v, md5(url) AS m FROM pages)
+SELECT page_id, CASE v WHEN 1 THEN 'https://www.shuhaige.net/' WHEN 2 THEN 'https://twkan.com/' ELSE 'https://www.69shuba.com/' END AS source_name, CASE WHEN v < 3 THEN '书 ' || m END AS title,
+  CASE v WHEN 0 THEN '/' || page_id || '/1:一|/' || page_id || '/2:二|/' || page_id || '/3:三' WHEN 1 THEN '/' || page_id || '/1.html:a|/x/2.html:c' WHEN 2 THEN '/1:一|/3:三' END AS chapters FROM p"""
+)
+def fetched_pages(spark, sf_dir):
+    """Each page as bytes of one of three sites: in GBK with the latest chapter first, numbered with a number twice, with a link that has no title; every fourth isn't in its site's
+    encoding."""
+    p = table(spark, sf_dir, "pages").select("page_id", (F.col("page_id") % 4).alias("v"), F.md5("url").alias("m"), F.col("page_id").cast("string").alias("i"))
+    link = lambda *parts: F.concat(F.lit('<li><a href="'), *[x if not isinstance(x, str) else F.lit(x) for x in parts], F.lit("</a></li>"))
+    shuba = F.concat(F.lit('<div class="booknav2"><h1>书 '), "m", F.lit('</h1></div><div id="catalog"><ul>'), link("/", F.col("i"), '/3">三'), link("/", F.col("i"), '/2">二'), link("/", F.col("i"), '/1">一'), F.lit("</ul></div>"))
+    haige = F.concat(F.lit('<div id="info"><h1>书 '), "m", F.lit("</h1></div><ul>"), link("/", F.col("i"), '/2.html">b'), link("/", F.col("i"), '/1.html">a'), link('/x/2.html">c'), F.lit("</ul>"))
+    twkan = F.concat(F.lit("<h1>书 "), "m", F.lit("</h1><ul>"), link('/1">一'), link('/2"> '), link('/3">三'), F.lit("</ul>"))
+    site = F.when(F.col("v") == 1, "https://www.shuhaige.net/").when(F.col("v") == 2, "https://twkan.com/").otherwise("https://www.69shuba.com/")
+    html = F.when(F.col("v") == 1, haige).when(F.col("v") == 2, twkan).otherwise(shuba)
+
+    @F.pandas_udf("binary")
+    def encoded(texts, kinds):
+        return texts.combine(kinds, lambda t, v: t.encode("gbk" if v == 0 else "utf-8") + (b"\xff" if v == 3 else b""))
+
+    pages = p.select("page_id", F.concat(site, "i").alias("url"), encoded(html, "v").alias("content"))
+    out = adapters.read_fetched(pages, "url", "content")
+    return out.select("page_id", "source_name", "page.title", F.array_join(F.transform("page.chapters", lambda c: F.concat(c["url"], F.lit(":"), c["title"])), "|").alias("chapters"))

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import html as H
+from quire.functions import text as X
 from quire.sources import registry
 
 FIELDS = ["title", "cover", "author", "synopsis", "tags", "chapters", "body"]
@@ -57,6 +58,13 @@ SOURCES = [
     *_at("https://www.xnunu.com/", title=".book-bookinfo h1.name", cover=".book-bookinfo img.thumbnail", author=".book-bookinfo p>a.btn-info", synopsis=".book-bookinfo #bookIntro", tags="ol.breadcrumb > li:nth-child(2) > a", chapters="dl.panel-chapterlist>dd>a", body="#chaptercontent"),
 ]
 
+#: How a site's list of chapters is to be read, where that isn't as it stands: `latest first` (turned round), or `numbered` (of links with one number the last, by number).
+ORDERS = {
+    "latest first": "https://xtruyen.vn/ https://www.69shuba.com/ https://www.69shu.com/ https://www.69xinshu.com/ https://www.69shu.pro/ https://www.69shuba.pro/ https://69shuba.cx/ https://69shu.me/ https://www.uukanshu.net/ https://tw.uukanshu.net/",
+    "numbered": "https://www.shuhaige.net/ https://m.shuhaige.net/",
+}
+
+
 def value_of(node: H.Node | None) -> str | None:
     """A meta tag's content, an image's address, or a tag's text."""
     if node is None:
@@ -104,3 +112,44 @@ def read_pages(pages: DataFrame, url: str, html: str, sources: list[dict] = SOUR
         return pd.DataFrame([read_page(t, by_name.get(n) or {}) for n, t in zip(names, texts, strict=True)], columns=FIELDS)
 
     return bound.withColumn("page", read(F.col("source_name"), F.col(html)))
+
+
+def decoded(content: Column, encoding: Column) -> Column:
+    """Bytes as text, each row's by its own encoding (null: UTF-8); null if they don't fit or there is no such encoding."""
+
+    @F.pandas_udf("string")
+    def of(data: pd.Series, names: pd.Series) -> pd.Series:
+        def one(b, name):
+            try:
+                return None if b is None else bytes(b).decode(name or "utf-8")
+            except (UnicodeDecodeError, LookupError):
+                return None
+
+        return pd.Series([one(b, n) for b, n in zip(data, names, strict=True)], dtype=object)
+
+    return of(content, encoding)
+
+
+def in_order(chapters: Column, order: Column) -> Column:
+    """A list of links as its site means it: without links that have no title, turned round where the latest comes first, or by number, each number's last link."""
+    named = F.filter(chapters, lambda c: X.has_text(F.coalesce(c["title"], F.lit(""))))
+    number = lambda c: F.regexp_extract(c["url"], r"(\d+)(?:\.\w+)?/?$", 1).try_cast("long")
+    placed = F.array_sort(F.filter(F.transform(named, lambda c, k: F.struct(number(c).alias("n"), k.alias("k"), c["url"].alias("url"), c["title"].alias("title"))), lambda c: c["n"].isNotNull()))
+    following = lambda k: F.get(placed, k + 1)["n"]
+    last = F.filter(placed, lambda c, k: following(k).isNull() | (following(k) != c["n"]))
+    by_number = F.transform(last, lambda c: F.struct(c["url"].alias("url"), c["title"].alias("title")))
+    return F.when(order == "numbered", by_number).when(order == "latest first", F.reverse(named)).otherwise(named)
+
+
+def read_fetched(pages: DataFrame, url: str, content: str, sources: list[dict] = SOURCES) -> DataFrame:
+    """pages as they were fetched (content: bytes) with source_name and page, in one read: each is decoded as its source's pages are, read by its selectors, and its list of
+    chapters brought into order. Bytes that don't fit are a page without anything. The sources' rules are a small table that each row's source is joined with once."""
+    orders = {p: k for k, prefixes in ORDERS.items() for p in prefixes.split()}
+    table = sources_table(pages.sparkSession, sources).select(F.col("name").alias("rule_"), "encoding")
+    named = F.create_map(*[F.lit(x) for pair in orders.items() for x in pair])
+    own = pages.columns
+    bound = registry.bind(pages, url, sources_table(pages.sparkSession, sources)).withColumnRenamed("source_name", "bound_")
+    text = bound.join(table, F.col("bound_") == F.col("rule_"), "left").withColumn("text_", decoded(F.col(content), F.col("encoding")))
+    read = read_pages(text.select(*own, "text_", "bound_"), url, "text_", sources)
+    page = F.col("page").withField("chapters", F.when(F.col("text_").isNotNull(), in_order(F.col("page.chapters"), named[F.col("source_name")])))
+    return read.select(*own, "source_name", F.when(F.col("text_").isNotNull(), page).alias("page"))

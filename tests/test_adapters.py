@@ -73,3 +73,17 @@ def test_sources_are_bound(spark):
     d = spark.createDataFrame([(k, s["prefix"] + "book/1") for k, s in enumerate(A.SOURCES)], "id long, url string").selectExpr("*", "'<h1>x</h1>' AS html")
     got = {r["id"]: r["source_name"] for r in A.read_pages(d, "url", "html").collect()}
     assert got == {k: s["prefix"] for k, s in enumerate(A.SOURCES)}
+
+
+def test_pages_as_they_were_fetched(spark):
+    """Each in its site's encoding and order; other columns stay, and a page of no site is read as UTF-8."""
+    listed = '<div id="catalog"><ul><li><a href="/b">乙</a></li><li><a href="/a">甲</a></li></ul></div>'
+    rows = [
+        (1, "https://www.69shuba.com/x", listed.encode("gbk"), "kept"), (2, "https://www.69shuba.com/x", "é乙".encode("utf-8") + b"\xff", "kept"), (3, "https://nowhere.org/", "<title>é</title>".encode(), "kept"),
+        (4, "https://www.shuhaige.net/x", b'<a href="/9.html">z</a><a href="/1.html">a</a><a href="/q/9.html">y</a><a href="/n.html">n</a>', "kept"), (5, None, None, None),
+    ]
+    out = {r["id"]: r for r in A.read_fetched(spark.createDataFrame(rows, "id long, url string, content binary, bound_note string"), "url", "content").collect()}
+    links = lambda i: [tuple(c) for c in out[i]["page"]["chapters"]]
+    assert links(1) == [("/a", "甲"), ("/b", "乙")] and links(4) == [("/1.html", "a"), ("/q/9.html", "y")]
+    assert out[2]["page"] is None and out[5]["page"] is None and out[3]["page"]["title"] == "é" and out[3]["source_name"] is None
+    assert out[1]["bound_note"] == "kept" and set(out[1].asDict()) == {"id", "url", "content", "bound_note", "source_name", "page"}
