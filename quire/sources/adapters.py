@@ -76,9 +76,9 @@ def value_of(node: H.Node | None) -> str | None:
     return " ".join(node.text().split())
 
 
-def read_page(html: str | None, config: dict) -> dict:
+def read_page(html: str | None, config: dict, references: tuple[str, ...] | None = None) -> dict:
     """Fields of a page. A field whose selector finds nothing is null; chapters are links in order, each address once; body is cleaned."""
-    root = H.parse(html)
+    root = H.parse(H.with_references(html, references))
     pick = lambda f: next(iter(H.select(root, config.get(f) or DEFAULTS.get(f) or "#")), None) if config.get(f) or f in DEFAULTS else None
     links = {}
     for a in H.select(root, config["chapters"]) if config.get("chapters") else []:
@@ -101,15 +101,15 @@ def sources_table(spark: SparkSession, sources: list[dict] = SOURCES) -> DataFra
     return spark.createDataFrame([tuple(s.get(k) for k in names) for s in sources], ", ".join(f"{k} string" for k in names)).withColumn("name", F.col("prefix"))
 
 
-def read_pages(pages: DataFrame, url: str, html: str, sources: list[dict] = SOURCES) -> DataFrame:
+def read_pages(pages: DataFrame, url: str, html: str, sources: list[dict] = SOURCES, references: tuple[str, ...] | None = None) -> DataFrame:
     """pages with source_name and page (title, cover, author, synopsis, tags, chapters, body), by the selectors of the longest matching prefix, else the
-    defaults. The sources are a list in the program, so what each task gets is bounded by it."""
+    defaults; references are the character references that count (None: all). The sources are a list in the program, so what each task gets is bounded by it."""
     bound = registry.bind(pages, url, sources_table(pages.sparkSession, sources))
     by_name = {s["prefix"]: s for s in sources}
 
     @F.pandas_udf("title string, cover string, author string, synopsis string, tags array<string>, chapters array<struct<url:string,title:string>>, body string")
     def read(names: pd.Series, texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([read_page(t, by_name.get(n) or {}) for n, t in zip(names, texts, strict=True)], columns=FIELDS)
+        return pd.DataFrame([read_page(t, by_name.get(n) or {}, references) for n, t in zip(names, texts, strict=True)], columns=FIELDS)
 
     return bound.withColumn("page", read(F.col("source_name"), F.col(html)))
 
