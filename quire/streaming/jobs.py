@@ -29,7 +29,8 @@ PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sq
 
 
 class Machine(StatefulProcessor):
-    """State of a job: where it is and how many lines it had, and a ring of its last lines; both go when nothing was heard of it for ttl milliseconds (0: never)."""
+    """State of a job: where it is and how many lines it had, and its last lines; both go when nothing was heard of it for ttl milliseconds (0: never). A batch's lines are put there
+    together, as each call of the state's store is a message to it."""
 
     def __init__(self, lines: int = LINES, ttl: int = 0):
         self.most, self.ttl = lines, ttl
@@ -37,19 +38,26 @@ class Machine(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         ttl = self.ttl or None
         self.at = handle.getValueState("at", "state string, seen long", ttl)
-        self.ring = handle.getMapState("ring", "slot int", "line string", ttl)
+        self.last = handle.getListState("last", "line string", ttl)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         state, seen = self.at.get() if self.at.exists() else ("pending", 0)
-        batch = pd.concat(list(rows)).sort_values(["ts", "id"], kind="stable")
-        out = []
+        parts = list(rows)
+        batch = parts[0] if len(parts) == 1 else pd.concat(parts)
+        batch = batch if len(batch) == 1 else batch.sort_values(["ts", "id"], kind="stable")
+        out, lines, before = [], [], seen
         for id_, ts, event, line in batch[["id", "ts", "event", "line"]].itertuples(index=False):
             after = TRANSITIONS.get((state, event))
             if line is not None:
-                self.ring.updateValue((seen % self.most,), (line,))
+                lines.append((line,))
                 seen += 1
             out.append((key[0], id_, ts, event, state, after or state, after is not None, max(0, seen - self.most), min(seen, self.most)))
             state = after or state
+        if lines and seen <= self.most:
+            self.last.appendList(lines)
+        elif lines:
+            kept = list(self.last.get()) if before and len(lines) < self.most else []
+            self.last.put((kept + lines)[-self.most :])
         self.at.update((state, seen))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in MOVED.split(", ")])
 

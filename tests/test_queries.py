@@ -1,10 +1,15 @@
 """Queries against their SQL, on rows that the given tables of small sizes don't have."""
 
 import duckdb
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 
+from quire.plans import catalog
+from quire.streaming import jobs
+
 WORDS = ["a", "a\n", "A", "is\n", "Straße", "STRASSE", "strasse", "Ære", "aere", "ære", "b1", "\nc", "ÿ", "×", "é", "É"]
 PAGE = '<html><head><title>{0}</title></head><body><h1>{0}</h1><ul><li><a href="/x?a=1&amp;b=2&lt=3">x</a></li></ul><p>{0}</p><script>if (a && b) "&amp;"</script></body></html>'
 TITLES = ["A &amp; B", "cut &amp", "cut &am", "cut &a", "a &quot;word&quot;", "cut &quot", "1 &lt; 2 &gt; 0", "&lt", "&copy; x", "&eacute &times y", "&", "&;", "R&D"]
@@ -26,3 +31,45 @@ def test_equal_to_sql(spark, tables, name):
     d = __spark_entry__.queries()[name](spark, tables)
     want = con.execute(f"SELECT {', '.join(d.columns)} FROM ({__spark_entry__.oracle_sql()[name]})").fetchall()
     assert sorted(map(tuple, d.collect()), key=str) == sorted(want, key=str)
+
+
+def test_a_library_has_few_folders(spark, tmp_path, monkeypatch):
+    spark.range(0, 3000, 10).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit("t").alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(catalog, "shared_folder", lambda *_: str(tmp_path / "library"))
+    assert catalog.library_round_trip(spark, str(tmp_path)).count() == 300
+    assert len(list((tmp_path / "library").glob("book=*/chunk=*"))) == 1  # a hundred ids had a folder of their own, 30 of them
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000  # documents go to Python by so many rows
+
+
+class Kept:
+    """A value and a list as the state's store has them, and the messages that it got."""
+
+    def __init__(self):
+        self.value, self.rows, self.calls = None, [], 0
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        self.calls += 1
+        return self.value if self.value is not None else iter(self.rows)
+
+    def update(self, value):
+        self.value, self.calls = value, self.calls + 1
+
+    def put(self, rows):
+        self.rows, self.calls = list(rows), self.calls + 1
+
+    def appendList(self, rows):  # noqa: N802
+        self.put(self.rows + list(rows))
+
+
+def test_a_batch_of_lines_is_one_message():
+    m = jobs.Machine(5)
+    m.at, m.last = Kept(), Kept()
+    lines = [f"l{k}" if k % 4 else None for k in range(60)]
+    for a, b in ((0, 3), (3, 6), (6, 9), (9, 40), (40, 42), (42, 60)):
+        batch = pd.DataFrame({"id": range(a, b), "ts": pd.to_datetime(range(a, b), unit="s"), "event": "x", "line": lines[a:b]})
+        list(m.handleInputRows(("j",), iter([batch.iloc[::-1]]), None))
+        assert m.last.rows == [(x,) for x in lines[:b] if x][-5:]
+    assert m.last.calls <= 12
