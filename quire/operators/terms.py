@@ -461,7 +461,8 @@ def best_evidence(evidence: DataFrame, order: str = "position", limit: int = 5,
     Every sort of a whole source is a row number kept up to limit, which Spark cuts off before the shuffle, and the rest are sums made before it; so a source
     with a third of all rows sends few of them.
     """
-    e = evidence.where(X.has_text(F.col("sentence"))).groupBy("source", "chapter", "sentence").agg(F.min(order).alias("o"))
+    # Dealt by source and chapter once, which the sums by sentence and the numbers in a chapter both go by.
+    e = evidence.where(X.has_text(F.col("sentence"))).repartition("source", "chapter").groupBy("source", "chapter", "sentence").agg(F.min(order).alias("o"))
     e = e.withColumn("score", evidence_score(F.col("sentence"), markers))
     best = [F.col("score").desc(), F.col("chapter").asc_nulls_last(), F.col("o"), F.col("sentence")]
     own = Window.partitionBy("source", "chapter").orderBy(F.col("score").desc(), "o", "sentence")
