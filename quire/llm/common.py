@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire import scratch
+from quire.scratch import text_batches  # noqa: F401
 
 #: A word is a longest run of anything but space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,14 +22,6 @@ def word_count(text: str):
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def text_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Send whole texts to Python by at most so many rows at a time for the rest of the session: 10,000 long texts in one Arrow batch, held on both
-    sides, are a large part of a small executor's memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
-        spark.conf.set(key, str(rows))
-
-
 class Workspace:
     """Folder for intermediates that the executors share (scratch.shared_folder).
 

@@ -137,10 +137,11 @@ def export_chunks(chapters: DataFrame, per_file: int = 100) -> DataFrame:
 
 
 def write_text(exported: DataFrame, path: str, text: str = "text") -> None:
-    """One folder for each book and file, one text file in each: exported (book, file, id, text), chapters in id order; earlier files go."""
+    """One folder for each book and file, one text file in each: exported (book, file, id, text), chapters in id order; earlier files go. Tasks move their own files to their
+    places, as the driver would move them one by one at the end."""
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", F.col(text).alias("t")))), lambda s: s["t"]), "\n")
     out = exported.groupBy("book", "file").agg(body.alias("value"))
-    out.write.mode("overwrite").partitionBy("book", "file").text(path)
+    out.write.mode("overwrite").option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("book", "file").text(path)
 
 
 def needs_numbers(chapters: DataFrame, text: str, title: str | None = None) -> DataFrame:
@@ -211,10 +212,11 @@ def job_display(jobs: DataFrame, chapters: DataFrame) -> DataFrame:
     return j.select("job", shown.alias("display_title"), book.alias("book_title"), start.alias("chapter_start"), end.alias("chapter_end"), total.alias("total_chapters"), stage.alias("stage_label"))
 
 
-def find_chapter(path: str, spark, book: str, id_: int) -> DataFrame:
-    """One chapter of a library that store.write_chapters() wrote: only its book's and its hundred's folder is read, as the columns are known
+def find_chapter(path: str, spark, book: str, id_: int, per_folder: int = 100) -> DataFrame:
+    """One chapter of a library that store.write_chapters() wrote: only its book's folder of per_folder chapters is read, as the columns are known
     and no file has to be looked at for them."""
-    chunk = f"{(id_ - 1) // 100 * 100 + 1:04d}-{(id_ - 1) // 100 * 100 + 100:04d}"
+    start = (id_ - 1) // per_folder * per_folder + 1
+    chunk = f"{start:04d}-{start + per_folder - 1:04d}"
     return spark.read.schema(f"{CHAPTER}, book string, chunk string").json(path).where((F.col("book") == book) & (F.col("chunk") == chunk) & (F.col("id") == id_))
 
 

@@ -43,9 +43,10 @@ def toc(books: DataFrame) -> DataFrame:
     return books.select(F.col("book_id").alias("book"), F.posexplode("toc").alias("pos", "t")).select("book", "pos", "t.id", "t.title", "t.url")
 
 
-def write_chapters(chapters: DataFrame, path: str) -> None:
-    """One folder for each book and hundred of chapters; a read of one chapter prunes to its folder."""
-    out = chapters.withColumn("chunk", X.chunk_label(F.col("id")))
+def write_chapters(chapters: DataFrame, path: str, per_folder: int = 100) -> None:
+    """One folder for each book and hundred of chapters, or per_folder of them; a read of one chapter prunes to its folder. Folders are to hold megabytes: where a hundred ids have a few
+    chapters of a book, writing and listing cost a file each."""
+    out = chapters.withColumn("chunk", X.chunk_label(F.col("id"), per_folder))
     out.repartition("book", "chunk").write.mode("overwrite").partitionBy("book", "chunk").json(path)
 
 
