@@ -362,14 +362,14 @@ def fit(texts: DataFrame, known: Vocabulary, rounds: int, share: float, least: i
     return p
 
 
-def score(documents: DataFrame, listed: int = 1 << 17, rounds: int = 2, share: float = 1 / 4, least: int = 150, most: int = 6, rate: float = 0.01, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(documents: DataFrame, listed: int = 1 << 17, rounds: int = 2, share: float = 1.0, least: int = 150, most: int = 6, rate: float = 0.01, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, of whole texts (null: empty), learning from those that aren't held out.
 
     A text is its words, A-Z as a-z, and one end. base_score is by counts of all training tokens alone. The model is a gated recurrent unit whose output is factored:
     a class, then a word in it. The WORDS most frequent words are in classes of WIDTH by frequency and told by a softmax; the others are in classes by their last bytes
     and are shared there by their counts; an unknown word is one more of its class, seen 0.1 times, and the end is a class of its own. So all counts are of all training
-    documents, and the biases begin as their logarithms. The network's weights are fitted by truncated backpropagation on the whole texts of a share of the training
-    documents, by a hash of id and text: a rate, not a bound, so that what is gathered and learnt from grows with the input. A partition with few texts goes over them
+    documents, and the biases begin as their logarithms. The network's weights are fitted by truncated backpropagation on the whole texts of all training
+    documents, each in one of the rounds, by a hash of id and text. (share: of how many; less is a choice of the caller's.) A partition with few texts goes over them
     again until it made `least` steps, `most` times at most. Scoring carries the state from window to window to the end of each text.
 
     Counts of the `listed` most frequent words go to each task; all other words of a text are joined with their counts by hash, whatever their number.

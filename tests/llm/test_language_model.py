@@ -123,3 +123,13 @@ def test_it_learns(spark):
     out = L.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), share=1.0).where("held_out")
     r = out.agg(F.sum("base_score").alias("base"), F.sum("score").alias("score"), F.sum("n_tokens").alias("n")).first()
     assert (r["score"] - r["base"]) / r["n"] > 0.2  # of the 0.3 that a bit is
+
+
+def test_all_training_documents_are_learnt_from(spark, monkeypatch):
+    import inspect
+
+    seen = []
+    monkeypatch.setattr(L, "fit", lambda texts, known, rounds, share, *a: seen.append((texts.count(), share)) or known.weights())
+    d = spark.range(50).selectExpr("id as doc_id", "concat('a b ', id) as text")
+    L.score(d)
+    assert seen == [(d.where("crc32(cast(doc_id as string)) % 10 <> 0").count(), 1.0)] and inspect.signature(L.score).parameters["share"].default == 1.0
