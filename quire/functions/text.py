@@ -16,6 +16,11 @@ NATIVE_HEADING = r"(?U)^\s*第\s*(?:\d+|[零〇一二三四五六七八九十百
 NOTE = r"(?iU)^\s*(?:作者(?:有话说|的话|注|按|后记)\s*[:：]?|P\.?S\.?\s*[:：]|PS\s*[:：]|求(?:月票|推荐票|订阅|打赏|收藏)\b|(?:平台|网站|站内)(?:提示|公告)\s*[:：])"
 
 
+def let(value: Column, body) -> Column:
+    """body(value), where value is worked out once however often body has it: an expression in a lambda, and what follows one, is else evaluated wherever it is."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -37,8 +42,7 @@ def content_lines(c: Column) -> Column:
 
 def split_lines(c: Column) -> Column:
     """All lines, by any Unicode line end; a final line end starts no further line."""
-    parts = F.split(c, LINE_ENDS, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(c, LINE_ENDS, -1), lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts))
 
 
 def count_of(c: Column, what: str | Column) -> Column:

@@ -108,17 +108,29 @@ def _parsed(texts: DataFrame, id_: str, text: str) -> DataFrame:
     t = texts.select(F.col(id_).alias("id"), F.col(text).alias("own"), F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "^\ufeff", "").alias("t"))
 
     def line(raw: Column, k: Column) -> Column:
-        x = X.strip(raw)
-        looks, rest = x.rlike(CHAPTER_HEADING), X.strip(F.regexp_extract(x, CHAPTER_HEADING, 2))
-        head = looks & ~rest.rlike(REFERENCE)
-        after = F.regexp_extract(rest, r"(?sU)^(\S+)\s+(\S.*)$", 2)
-        sentence = head & after.rlike("[，。！？；：,.!?;:]")
-        bad = raw.rlike("[\ufffd\\x00]")
-        return F.struct(
-            (k + 1).alias("line"), bad.alias("bad"), (bad | ~x.rlike(RULE)).alias("counts"), head.alias("head"), (~looks & x.rlike(LIKE_HEADING)).alias("malformed"),
-            F.when(head, N.chapter_number(F.regexp_extract(x, CHAPTER_HEADING, 1))).alias("n"), F.when(head, F.when(sentence, F.regexp_extract(rest, r"(?U)^(\S+)", 1)).otherwise(rest)).alias("title"),
-            ((~head & (x != "")) | sentence).alias("prose"), F.when(sentence, X.strip(after)).otherwise(x).alias("text"),
-        )
+        def of(bad, x, head, malformed, n, title, prose, own):
+            counts = bad | ~(x.startswith("-") & x.rlike(RULE))
+            return F.struct(
+                (k + 1).alias("line"), bad.alias("bad"), counts.alias("counts"), head.alias("head"), malformed.alias("malformed"), n.cast("long").alias("n"), title.cast("string").alias("title"), prose.alias("prose"), own.alias("text")
+            )
+
+        def opening(bad, x):
+            def named(a, b):
+                sentence, text = b["head"] & b["after"].rlike("[，。！？；：,.!?;:]"), a["rest"]
+                title = F.when(b["head"], F.when(sentence, F.regexp_extract(text, r"(?U)^(\S+)", 1)).otherwise(text))
+                number = F.when(b["head"], N.chapter_number(F.regexp_extract(x, CHAPTER_HEADING, 1)))
+                return of(bad, x, b["head"], ~a["looks"] & x.rlike(LIKE_HEADING), number, title, ((~b["head"] & (x != "")) | sentence), F.when(sentence, X.strip(b["after"])).otherwise(x))
+
+            after = lambda a: F.struct((a["looks"] & ~a["rest"].rlike(REFERENCE)).alias("head"), F.regexp_extract(a["rest"], r"(?sU)^(\S+)\s+(\S.*)$", 2).alias("after"))
+            found = F.struct(x.rlike(CHAPTER_HEADING).alias("looks"), X.strip(F.regexp_extract(x, CHAPTER_HEADING, 2)).alias("rest"))
+            return X.let(found, lambda a: X.let(after(a), lambda b: named(a, b)))
+
+        def whole(x):
+            bad, no = F.contains(raw, F.lit("\ufffd")) | F.contains(raw, F.lit("\0")), F.lit(False)
+            # Both kinds of headings begin, where white space ends, with this character; most lines don't, and meet no pattern.
+            return F.when(x.startswith("第"), opening(bad, x)).otherwise(of(bad, x, no, no, F.lit(None), F.lit(None), x != "", x))
+
+        return X.let(F.when(F.concat(F.left(raw, F.lit(1)), F.right(raw, F.lit(1))).rlike(r"(?U)\s"), X.strip(raw)).otherwise(raw), whole)
 
     none, no = F.lit(None).cast("long"), F.lit(None).cast("int")
     wrong = lambda error, chapter=none, line=no, previous=no: F.struct(error.alias("error"), chapter.alias("chapter"), line.alias("line"), previous.alias("previous_line"))

@@ -233,3 +233,14 @@ def test_titles_in_the_order_of_a_locale(spark):
 def test_names_spelled_alike(spark):
     d = spark.createDataFrame([("Ärger",), ("ärger",), ("ÄRGER",), ("Arger",), (None,), ("",)], "n string")
     assert rows(library.spelled_alike(d, "n"), "name") == [("", 1), ("Arger", 1), ("ÄRGER", 3)]
+
+
+def test_a_line_meets_each_pattern_once(spark):
+    """What a line is, is worked out once for all that asks for it, and most lines meet no pattern of headings at all."""
+    text = "﻿　第1章 A \n x　\n-- \n" + "-" * 25 + " \n第2章　B\ny 第3章 z\n第三章 中记载\n第4章 T 他来了。\n第5 章\n第x章"
+    p, bad = corpus.parse_chapters(spark.createDataFrame([(1, text[: text.rindex("\n第5")]), (2, text)], "id long, text string"), "id", "text")
+    got = [(r["chapter"], r["title"], r["source_line"], r["line"], r["text"]) for r in p.orderBy("line").collect()]
+    assert got == [(1, "A", 1, 2, "x"), (1, "A", 1, 3, "--"), (2, "B", 5, 6, "y 第3章 z"), (2, "B", 5, 7, "第三章 中记载"), (4, "T", 8, 8, "他来了。")]
+    assert [tuple(r) for r in bad.collect()] == [(2, "malformed_heading", None, 10, None)]
+    spent = p._jdf.queryExecution().optimizedPlan().toString()
+    assert spent.count("regexp_replace") <= 6 and spent.count("RLIKE") <= 12 and spent.count("split(") <= 2
