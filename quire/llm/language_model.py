@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -22,6 +22,8 @@ START = WORDS + TAILS
 INPUTS = START + 1
 #: Steps of a window in training and scoring, texts side by side, tokens that are scored together.
 WINDOW, SCORED, LANES, TOGETHER = 16, 32, 256, 1 << 21
+#: Tokens whose classes are told at a time, so that what is computed of them stays in a core's cache.
+TILE = 1024
 #: Floats of a block in which weights are summed, and parts into which a block's sums are dealt.
 BLOCK, SALTS = 4096, 16
 SHAPES = {"x": (INPUTS, 3 * UNITS), "u": (UNITS, 3 * UNITS), "c": (UNITS, CLASSES), "cb": (CLASSES,), "w": (HEADS, UNITS, WIDTH), "wb": (HEADS, WIDTH)}
@@ -78,6 +80,11 @@ class Vocabulary:
         here = self.hashes[at] == hashes
         return np.where(here, self.counts[at], -1), np.where(here, self.number[at], -1)
 
+    def told(self) -> Vocabulary:
+        """The words of the softmax alone: of those find() gives the same numbers, from a table that stays in a core's cache."""
+        here = self.number >= 0
+        return replace(self, hashes=self.hashes[here], counts=self.counts[here], number=self.number[here])
+
     def weights(self) -> dict[str, np.ndarray]:
         """Weights to begin with: what any text has by counts alone, and small numbers from a fixed seed."""
         rng = np.random.default_rng(11)
@@ -127,22 +134,83 @@ def step(p: dict, x: np.ndarray, h: np.ndarray) -> tuple:
     return n + z * (h - n), z, r, n, an
 
 
-def soft(logits: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Natural log-probability of the targets, and what the probabilities are in proportion to, with their sums."""
-    logits -= logits.max(axis=1, keepdims=True)
+def forward(p: dict, inputs: np.ndarray, h: np.ndarray) -> tuple:
+    """step() over a window (steps x lanes) from the state h (lanes x units), in arrays for all of it, whose last axis is the lanes: the states after each step and, for going back,
+    those before, gates (update, reset), the state's part of the candidate, the candidate, how far the state before is from it, which lanes go on with a text, and for each
+    step whether a text begins in it. A step allocates nothing, and what it does by elements lies side by side."""
+    n, on = inputs.shape
+    kind, two = p["u"].dtype, 2 * UNITS
+    x, u = np.ascontiguousarray(p["x"][inputs].transpose(0, 2, 1)), np.ascontiguousarray(p["u"].T)
+    np.negative(x[:, :two], out=x[:, :two])  # a gate is 1 / (1 + exp(-a))
+    np.negative(u[:two], out=u[:two])
+    first = (inputs != START).astype(kind)[:, None]
+    begins = (inputs == START).any(axis=1).tolist()
+    states, before, m, apart, gates, a = (np.empty((n, k, on), kind) for k in (UNITS, UNITS, UNITS, UNITS, two, 3 * UNITS))
+    h = h.T
+    for t in range(n):
+        was, now, gate, out, own, off, add = before[t], states[t], gates[t], m[t], a[t], apart[t], x[t]
+        if begins[t]:
+            np.multiply(h, first[t], out=was)
+        else:
+            was[...] = h
+        np.matmul(u, was, out=own)
+        np.add(add[:two], own[:two], out=gate)
+        np.exp(gate, out=gate)
+        np.add(gate, 1, out=gate)
+        np.reciprocal(gate, out=gate)
+        np.multiply(gate[UNITS:], own[two:], out=out)
+        np.add(out, add[two:], out=out)
+        np.tanh(out, out=out)
+        np.subtract(was, out, out=off)
+        np.multiply(gate[:UNITS], off, out=now)
+        h = np.add(now, out, out=now)
+    return states, before, gates, a[:, two:], m, apart, first, begins
+
+
+def by_token(x: np.ndarray) -> np.ndarray:
+    """An array of steps, numbers, lanes with a row for each step and lane."""
+    return np.ascontiguousarray(x.transpose(0, 2, 1)).reshape(-1, x.shape[1])
+
+
+def soft(logits: np.ndarray, target: np.ndarray, bounded: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Natural log-probability of the targets, and what the probabilities are in proportion to, with their sums. bounded: no exponential leaves a float's range as it is."""
+    if not bounded:
+        logits -= logits.max(axis=1, keepdims=True)
     log = logits[np.arange(len(target)), target]
     e = np.exp(logits, out=logits)
     s = e @ np.ones((e.shape[1], 1), e.dtype)
     return log - np.log(s[:, 0]), e, s
 
 
-def by_class(classes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Places of each class of softmax words among the targets."""
-    order = np.argsort(classes, kind="stable")
+def bounded(weights: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, bool]:
+    """A bias less the most that a logit can be (of each softmax), and whether then no sum of exponentials is too small for a float: a state's units are within -1 and 1, so a logit is
+    within the sum of its weights' sizes of its bias, and need not be compared with the others of its row."""
+    reach = np.abs(weights).sum(axis=-2)
+    most = (bias + reach).max(axis=-1, keepdims=True)
+    return bias - most, bool(((bias - reach).max(axis=-1, keepdims=True) - most).min() > -60)
+
+
+def by_class(classes: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Places of softmax words among the targets in order of their classes, and where each class begins there, and the end."""
+    order = np.argsort(classes.astype(np.int16), kind="stable")
     edge = np.searchsorted(classes[order], np.arange(HEADS + 1))
+    return order[: edge[-1]], edge.tolist()
+
+
+def in_classes(weights: np.ndarray, s: np.ndarray, edge: list[int], words: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """soft() of words in their classes; states (with a one behind, for the bias in the weights' last row) and words in order of the classes, which begin at edge."""
+    logits = np.empty((len(s), WIDTH), s.dtype)
     for k in range(HEADS):
-        if edge[k] < edge[k + 1]:
-            yield k, order[edge[k] : edge[k + 1]]
+        a, b = edge[k], edge[k + 1]
+        if a < b:
+            np.matmul(s[a:b], weights[k], out=logits[a:b])
+    return soft(logits, words, safe)
+
+
+def with_one(s: np.ndarray) -> np.ndarray:
+    out = np.ones((len(s), UNITS + 1), s.dtype)
+    out[:, :UNITS] = s
+    return out
 
 
 def score_texts(p: dict, texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -153,7 +221,9 @@ def score_texts(p: dict, texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarr
         return out
     whose = [np.repeat(own, [len(texts[i][0]) + 1 for i in own]) for *_, own in side]
     length = np.array([len(s[0]) for s in side])
-    h = np.zeros((len(side), UNITS), np.float32)
+    h = np.zeros((len(side), UNITS), p["u"].dtype)
+    (bias, safe), (bias_in, safe_in) = bounded(p["c"], p["cb"]), bounded(p["w"], p["wb"])
+    inner = np.concatenate((p["w"], bias_in[:, None]), axis=1)
     for at in range(0, int(length[0]), SCORED):
         on = int((length > at).sum())
         n = min(SCORED, int(length[0]) - at)
@@ -164,64 +234,86 @@ def score_texts(p: dict, texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarr
             for to, of in zip((inputs, classes, words), side[k], strict=False):
                 to[:m, k] = of[at : at + m]
             doc[:m, k] = whose[k][at : at + m]
-        x, first = p["x"][inputs], (inputs != START).astype(np.float32)[..., None]
-        h, states = h[:on], np.empty((n, on, UNITS), np.float32)
-        for t in range(n):
-            h = states[t] = step(p, x[t], h * first[t])[0]
+        states = forward(p, inputs, h[:on])[0]
+        h = states[-1].T
         real = classes.ravel() >= 0
-        s, c, w = states.reshape(-1, UNITS)[real], classes.ravel()[real], words.ravel()[real]
-        log = soft(s @ p["c"] + p["cb"], c)[0].astype(float)
-        for k, here in by_class(c):
-            log[here] += soft(s[here] @ p["w"][k] + p["wb"][k], w[here])[0]
+        s, c, w = by_token(states)[real], classes.ravel()[real], words.ravel()[real]
+        log = np.empty(len(c))
+        for k in range(0, len(c), TILE):
+            tile = slice(k, k + TILE)
+            log[tile] = soft(s[tile] @ p["c"] + bias, c[tile], safe)[0]
+        order, edge = by_class(c)
+        log[order] += in_classes(inner, with_one(s[order]), edge, w[order], safe_in)[0]
         out += np.bincount(doc.ravel()[real], log, len(out))
     return out / np.log(10)
 
 
-def gradients(p: dict, inputs: np.ndarray, classes: np.ndarray, words: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, float]:
-    """Of the mean negative log-likelihood of a window (steps x lanes; class -1: nothing there): gradients, the state after it, and the sum of the likelihood."""
-    n, on = inputs.shape
-    x, first = p["x"][inputs], (inputs != START).astype(np.float32)[..., None]
-    kept, states, hs = [], np.empty((n, on, UNITS), np.float32), []
-    for t in range(n):
-        hs.append(h * first[t])
-        h, *rest = step(p, x[t], hs[-1])
-        states[t] = h
-        kept.append(rest)
-    g = {k: np.zeros(s, np.float32) for k, s in SHAPES.items()}
-    real = np.flatnonzero(classes.ravel() >= 0)
-    s, c, w = states.reshape(-1, UNITS)[real], classes.ravel()[real], words.ravel()[real]
-    share = np.float32(1 / max(1, len(real)))
-    log, e, sums = soft(s @ p["c"] + p["cb"], c)
+def gradients(p: dict, inputs: np.ndarray, classes: np.ndarray, words: np.ndarray, h: np.ndarray, g: dict | None = None) -> tuple[dict, np.ndarray, float]:
+    """Of the mean negative log-likelihood of a window (steps x lanes; class -1: nothing there): gradients (in g if it is given), the state after it, and the sum of the likelihood."""
+    kind, n, on = p["u"].dtype, *inputs.shape
+    states, before, gates, an, m, apart, first, begins = forward(p, inputs, h)
+    if g is None:
+        g = {k: np.empty(s, kind) for k, s in SHAPES.items()}
+    c, w, s, real = classes.ravel(), words.ravel(), by_token(states), None
+    if len(c) and c.min() < 0:
+        real = np.flatnonzero(c >= 0)
+        s, c, w = s[real], c[real], w[real]
+    share = kind.type(1 / max(1, len(c)))
+    bias, safe = bounded(p["c"], p["cb"])
+    logits = s @ p["c"]
+    logits += bias
+    log, e, sums = soft(logits, c, safe)
     total = float(log.sum())
     e *= share / sums
     e[np.arange(len(c)), c] -= share
-    g["c"], g["cb"], ds = s.T @ e, e.sum(axis=0), e @ p["c"].T
-    for k, here in by_class(c):
-        log, e, sums = soft(s[here] @ p["w"][k] + p["wb"][k], w[here])
-        total += float(log.sum())
-        e *= share / sums
-        e[np.arange(len(here)), w[here]] -= share
-        g["w"][k], g["wb"][k] = s[here].T @ e, e.sum(axis=0)
-        ds[here] += e @ p["w"][k].T
-    d = np.zeros((n * on, UNITS), np.float32)
-    d[real] = ds
-    d, dx, dh = d.reshape(n, on, UNITS), np.empty((n, on, 3 * UNITS), np.float32), np.zeros((on, UNITS), np.float32)
+    g["c"][...], g["cb"][...], ds = s.T @ e, np.ones(len(e), kind) @ e, e @ p["c"].T
+    order, edge = by_class(c)
+    bias, safe = bounded(p["w"], p["wb"])
+    inner, said, both = with_one(s[order]), w[order], np.concatenate((p["w"], bias[:, None]), axis=1)
+    log, e, sums = in_classes(both, inner, edge, said, safe)
+    total += float(log.sum())
+    e *= share / sums
+    e[np.arange(len(said)), said] -= share
+    back, slopes, to = np.empty((len(e), UNITS), kind), np.zeros_like(both), p["w"].transpose(0, 2, 1)
+    for k in range(HEADS):
+        a, b = edge[k], edge[k + 1]
+        if a < b:
+            own = e[a:b]
+            np.matmul(inner[a:b].T, own, out=slopes[k])
+            np.matmul(own, to[k], out=back[a:b])
+    g["w"][...], g["wb"][...] = slopes[:, :UNITS], slopes[:, UNITS]
+    ds[order] += back
+    if real is not None:
+        ds, part = np.zeros((n * on, UNITS), kind), ds
+        ds[real] = part
+    d = np.ascontiguousarray(ds.reshape(n, on, UNITS).transpose(0, 2, 1))
+    # What a step's gradient of its state (d, with what comes from the steps after) is multiplied by, for each gate; all but that gradient is known beforehand.
+    z, r = gates[:, :UNITS], gates[:, UNITS:]
+    inside = (1 - z) * (1 - m * m)
+    factors = np.empty((n, 3, UNITS, on), kind)
+    np.multiply(apart, z * (1 - z), out=factors[:, 0])
+    np.multiply(inside, r, out=factors[:, 2])
+    np.multiply(factors[:, 2], an * (1 - r), out=factors[:, 1])
+    da, dh = np.empty((n, 3, UNITS, on), kind), np.zeros((UNITS, on), kind)
+    flat, held = da.reshape(n, 3 * UNITS, on), np.empty_like(dh)
     for t in range(n - 1, -1, -1):
-        dh = dh + d[t]
-        (z, r, m, an), was = kept[t], hs[t]
-        dm = dh * (1 - z) * (1 - m * m)
-        dx[t, :, :UNITS] = dh * (was - m) * z * (1 - z)
-        dx[t, :, UNITS : 2 * UNITS] = dm * an * r * (1 - r)
-        dx[t, :, 2 * UNITS :] = dm
-        da = dx[t].copy()
-        da[:, 2 * UNITS :] *= r
-        g["u"] += was.T @ da
-        dh = (dh * z + da @ p["u"].T) * first[t]
-    flat = inputs.ravel()
-    order = np.argsort(flat, kind="stable")
-    edge = np.flatnonzero(np.diff(flat[order], prepend=-1))
-    g["x"][flat[order][edge]] = np.add.reduceat(dx.reshape(-1, 3 * UNITS)[order], edge, axis=0)
-    return g, h, total
+        now = d[t]
+        np.add(now, dh, out=now)
+        np.multiply(now, factors[t], out=da[t])
+        np.matmul(p["u"], flat[t], out=dh)
+        np.multiply(now, z[t], out=held)
+        np.add(dh, held, out=dh)
+        if begins[t]:
+            np.multiply(dh, first[t], out=dh)
+    np.add.reduce(before @ flat.transpose(0, 2, 1), axis=0, out=g["u"])
+    np.multiply(d, inside, out=da[:, 2])
+    seen = inputs.ravel().astype(np.int16)
+    order = np.argsort(seen, kind="stable")
+    seen = seen[order]
+    edge = np.flatnonzero(np.diff(seen, prepend=-1))
+    g["x"][...] = 0
+    g["x"][seen[edge]] = np.add.reduceat(by_token(flat)[order], edge, axis=0)
+    return g, states[-1].T, total
 
 
 def train_texts(p: dict, texts: list[tuple[np.ndarray, np.ndarray]], least: int, most: int, rate: float, side: int = 64) -> tuple[dict, int]:
@@ -237,21 +329,29 @@ def train_texts(p: dict, texts: list[tuple[np.ndarray, np.ndarray]], least: int,
     length = -(-n // side)
     windows = -(-length // WINDOW)
     table = np.stack([np.concatenate((x, np.full(side * length - n, fill, np.int32))).reshape(side, length).T for x, fill in ((inputs, START), (classes, -1), (words, 0))])
-    p = {k: v.copy() for k, v in p.items()}
-    m, v, k = {a: np.zeros_like(b) for a, b in p.items()}, {a: np.zeros_like(b) for a, b in p.items()}, 0
+    # All weights, their gradients and the two moments (here of the gradients' sums, not means: by 10 and by 100 more) are one row of floats each, so that a step is a few operations.
+    flat = _flat(p)
+    p, grads = _shaped(flat), np.zeros_like(flat)
+    g, m, v, held, k = _shaped(grads), np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat), 0
     for _ in range(min(most, max(1, -(-least // windows)))):
         h = np.zeros((side, UNITS), np.float32)
         for at in range(0, length, WINDOW):
-            g, h, _ = gradients(p, *(np.ascontiguousarray(x[at : at + WINDOW]) for x in table), h)
+            h = gradients(p, *(x[at : at + WINDOW] for x in table), h, g)[1]
             k += 1
-            size = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
+            size = np.sqrt(float(grads @ grads))
             now = rate * min(1.0, k / 20) * np.sqrt(1 - 0.99**k)
-            for a, x in g.items():
-                if size > 1:
-                    x = x / np.float32(size)
-                m[a] += np.float32(0.1) * (x - m[a])
-                v[a] += np.float32(0.01) * (x * x - v[a])
-                p[a] -= np.float32(now) * m[a] / (np.sqrt(v[a]) + np.float32(1e-8))
+            if size > 1:
+                grads *= np.float32(1 / size)
+            m *= np.float32(0.9)
+            m += grads
+            v *= np.float32(0.99)
+            np.multiply(grads, grads, out=held)
+            v += held
+            np.sqrt(v, out=held)
+            held += np.float32(1e-7)
+            np.divide(m, held, out=held)
+            held *= np.float32(now)
+            flat -= held
     return p, n
 
 
@@ -263,7 +363,7 @@ def _shaped(flat: np.ndarray) -> dict[str, np.ndarray]:
     out, at = {}, 0
     for k, s in SHAPES.items():
         n = int(np.prod(s))
-        out[k] = flat[at : at + n].astype(np.float32).reshape(s)
+        out[k] = flat[at : at + n].astype(np.float32, copy=False).reshape(s)
         at += n
     return out
 
@@ -312,7 +412,7 @@ def fit(texts: DataFrame, known: Vocabulary, rounds: int, share: float, least: i
     """Weights of the network. In each round every partition of the texts (t, k: a hash of the row) that are due goes over its own from the last round's weights, and the
     weights are averaged by tokens: so the work is the partitions', and what is gathered is a set of weights from each, summed by blocks."""
     spark, p = texts.sparkSession, known.weights()
-    vocabulary_ = spark.sparkContext.broadcast(known)
+    vocabulary_ = spark.sparkContext.broadcast(known.told())
     for r in range(rounds):
         start = spark.sparkContext.broadcast(p)
         speed = rate * 0.6**r

@@ -133,3 +133,25 @@ def test_all_training_documents_are_learnt_from(spark, monkeypatch):
     d = spark.range(50).selectExpr("id as doc_id", "concat('a b ', id) as text")
     L.score(d)
     assert seen == [(d.where("crc32(cast(doc_id as string)) % 10 <> 0").count(), 1.0)] and inspect.signature(L.score).parameters["share"].default == 1.0
+
+
+def test_a_window_at_once_is_step_after_step():
+    rng = np.random.default_rng(3)
+    v = small_vocabulary(rng)
+    p, on = v.weights(), 5
+    inputs = rng.integers(0, L.INPUTS, (L.WINDOW, on))
+    inputs[4, 2] = inputs[9, :] = L.START
+    h = rng.standard_normal((on, L.UNITS)).astype(np.float32) * 0.5
+    states = L.forward(p, inputs, h)[0]
+    for t in range(L.WINDOW):
+        h = L.step(p, p["x"][inputs[t]], h * (inputs[t] != L.START).astype(np.float32)[:, None])[0]
+        assert states[t].T == pytest.approx(h, abs=1e-5)
+    # No row is compared with itself for its greatest logit unless a float could not hold the exponentials: then the outcome is the same as with it.
+    w, bias = p["c"] * 5000, p["cb"]
+    assert L.bounded(p["c"], bias)[1] and not L.bounded(w, bias)[1]
+    for weights in (p["c"], w):
+        less, safe = L.bounded(weights, bias)
+        want = L.soft(h @ weights + bias, np.arange(on))[0]
+        assert L.soft(h @ weights + less, np.arange(on), safe)[0] == pytest.approx(want, rel=1e-4, abs=1e-4)
+    hashes = rng.integers(0, 3500, 500).astype(np.uint64)
+    assert len(v.told().hashes) == L.WORDS and (v.told().find(hashes)[1] == v.find(hashes)[1]).all()
