@@ -40,10 +40,10 @@ class Encoder:
     def __init__(self, path: str):
         import json
 
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        parts = json.loads(self.tokenizer.to_str())
+        self.path, self._whole = path, None
+        with open(path, encoding="utf-8") as file:
+            parts = json.load(file)
+        parts["added_tokens"] = parts.get("added_tokens") or []
         special = {t["id"] for t in parts["added_tokens"]}
         self.added = [t["content"] for t in parts["added_tokens"]]
         size = 1 + max([*parts["model"].get("vocab", {}).values(), *special])
@@ -56,6 +56,15 @@ class Encoder:
         self.stop = np.array([t[-1:] in (b".", b"!", b"?") or b"\n" in t for t in self.raw])
         self.ranks = self._by_rank(parts)
 
+    @property
+    def tokenizer(self):
+        """The tokenizer itself, which is opened when a text needs it: where ranks will do, no worker holds both."""
+        if self._whole is None:
+            from tokenizers import Tokenizer
+
+            self._whole = Tokenizer.from_file(self.path)
+        return self._whole
+
     def _by_rank(self, parts: dict):
         model, before = parts["model"], parts.get("pre_tokenizer") or {}
         plain = model.get("type") == "BPE" and not parts.get("normalizer") and not any(model.get(k) for k in ("continuing_subword_prefix", "end_of_word_suffix", "dropout", "byte_fallback", "ignore_merges"))

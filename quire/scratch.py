@@ -44,12 +44,20 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Rows of whole texts that are read from a file at a time.
+READ = 512
+
+
 def text_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Send whole texts to Python by at most so many rows at a time for the rest of the session: 10,000 long texts in one Arrow batch, held on both
-    sides, are a large part of a small executor's memory."""
+    sides, are a large part of a small executor's memory. So are those of one batch that is read from a file (by default 4096 rows), whose texts lie in one array, which
+    doubles until they fit: READ rows are read at a time."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= rows:
         spark.conf.set(key, str(rows))
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    if int(spark.conf.get(key, "4096")) > READ:
+        spark.conf.set(key, str(READ))
 
 
 class Tables:

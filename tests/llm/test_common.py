@@ -30,3 +30,16 @@ def test_few_words_are_one_shingle():
     assert len(common.shingle_set(None)) == len(common.shingle_set(" \t")) == 0
     assert len(common.shingle_set("a b")) == 1 and len(common.shingle_set("a b c d e f")) == 2
     assert len(common.shingle_set("a b a b a b a b")) == 2
+
+
+def test_whole_texts_are_read_by_few_rows_at_a_time(spark):
+    from quire import scratch
+
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    spark.conf.unset(key)
+    scratch.text_batches(spark)
+    assert int(spark.conf.get(key)) == scratch.READ < 4096
+    spark.conf.set(key, "100")  # a session's smaller batches stay
+    scratch.text_batches(spark)
+    assert spark.conf.get(key) == "100"
+    spark.conf.unset(key)

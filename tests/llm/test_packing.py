@@ -82,3 +82,11 @@ def test_round_trip(documents, clash, tokenizer, size, block):
 
 def test_empty(empty):
     assert packing.pack(empty, PATH).collect() == []
+
+
+def test_a_worker_opens_the_tokenizer_only_for_texts_that_need_it():
+    encode = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    plain = encode("Hello world. This is text.\n")[0]
+    assert encode._whole is None
+    assert encode("a <|endoftext|> b")[0] and encode._whole is not None
+    assert encode.tokenizer.encode("Hello world. This is text.\n", add_special_tokens=False).ids == [*memoryview(plain).cast("I")]
