@@ -20,10 +20,12 @@ END = CLASSES - 1
 #: Rows of the input table: the softmax's words, a row for each class of others, and the start of a text.
 START = WORDS + TAILS
 INPUTS = START + 1
-#: Steps of a window in training and scoring, texts side by side, tokens that are scored together.
-WINDOW, SCORED, LANES, TOGETHER = 16, 32, 256, 1 << 21
+#: Steps of a window in training and scoring, texts side by side, tokens that are learnt from (or counted) and scored together.
+WINDOW, SCORED, LANES, TOGETHER, SCORED_TOGETHER = 16, 32, 256, 1 << 21, 1 << 22
 #: Tokens whose classes are told at a time, so that what is computed of them stays in a core's cache.
 TILE = 1024
+#: Weights that are changed at a time, for the same reason.
+PART = 8192
 #: Floats of a block in which weights are summed, and parts into which a block's sums are dealt.
 BLOCK, SALTS = 4096, 16
 SHAPES = {"x": (INPUTS, 3 * UNITS), "u": (UNITS, 3 * UNITS), "c": (UNITS, CLASSES), "cb": (CLASSES,), "w": (HEADS, UNITS, WIDTH), "wb": (HEADS, WIDTH)}
@@ -31,6 +33,8 @@ NEVER = np.float32(-1e9)
 #: Bytes with A-Z as a-z.
 _SMALL = np.arange(256, dtype=np.uint8)
 _SMALL[65:91] += 32
+#: Bits of the last three bytes that a word of so many bytes has (of more: all).
+_HELD = np.array([0, 0xFF0000, 0xFFFF00, 0xFFFFFF], np.uint32)
 
 
 def held_out(doc_id):
@@ -45,11 +49,11 @@ def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     data = b"\n".join(parts)
     hashes, starts, ends = word_hashes(data, lower=True)
     edges = np.searchsorted(starts, begins[:-1]) if len(texts) else np.zeros(0, np.int64)
-    array = np.frombuffer(data, np.uint8)
-    last = np.zeros(len(hashes), np.uint64)
-    for k in (1, 2, 3):
-        last = last << np.uint64(8) | np.where(ends - k >= starts, _SMALL[array[np.maximum(ends - k, 0)]] if len(hashes) else 0, 0).astype(np.uint64)
-    return hashes, (mix(last + np.uint64(1)) % np.uint64(TAILS)).astype(np.int32), np.append(edges, len(hashes))
+    # The last three bytes as a number, and of a shorter word those it has: what lies before it is taken away again.
+    small = np.zeros(len(data) + 2, np.uint32)
+    small[2:] = _SMALL[np.frombuffer(data, np.uint8)]
+    three = (small[2:] << np.uint32(16) | small[1:-1] << np.uint32(8) | small[:-2])[ends - 1] & _HELD[np.minimum(ends - starts, 3)]
+    return hashes, (mix(three.astype(np.uint64) + np.uint64(1)) % np.uint64(TAILS)).astype(np.int32), np.append(edges, len(hashes))
 
 
 @dataclass
@@ -68,18 +72,44 @@ class Vocabulary:
     total: int = 0
     types: int = 0
     log_rest: np.ndarray = field(init=False)
+    logs: np.ndarray = field(init=False)
+    shift: np.uint64 = field(init=False)
+    first: np.ndarray = field(init=False)
+    keys: np.ndarray = field(init=False)
 
     def __post_init__(self):
-        self.log_rest = np.log10(self.rest)
+        self.log_rest, self.logs = np.log10(self.rest), np.log10(self.counts + 0.1)
+        bits = len(self.hashes).bit_length() + 1
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(self.hashes, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+        self.keys = np.append(self.hashes, np.uint64((1 << 64) - 1))
+
+    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each word: its place among these words, and whether it is there (if not, the place is any). Hashes are spread evenly, so by its first bits a word is a step or two away."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        at = self.first[hashes >> self.shift].astype(np.int64)
+        on = np.flatnonzero(self.keys[at] < hashes)
+        while len(on):
+            at[on] += 1
+            on = on[self.keys[at[on]] < hashes[on]]
+        at = np.minimum(at, len(self.hashes) - 1)
+        return at, self.hashes[at] == hashes
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each word: its count, -1 if it isn't among these words, and its number in the softmax or -1."""
+        at, here = self.places(hashes)
         if not len(self.hashes):
             return np.full(len(hashes), -1), np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        here = self.hashes[at] == hashes
         return np.where(here, self.counts[at], -1), np.where(here, self.number[at], -1)
 
+    def listed(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each word: whether it is among these words, its number in the softmax or -1, and the logarithm of its count + 0.1, 0 if it isn't here."""
+        at, here = self.places(hashes)
+        if not len(self.hashes):
+            return here, np.full(len(hashes), -1), np.zeros(len(hashes))
+        return here, np.where(here, self.number[at], -1), np.where(here, self.logs[at], 0)
+
     def told(self) -> Vocabulary:
         """The words of the softmax alone: of those find() gives the same numbers, from a table that stays in a core's cache."""
         here = self.number >= 0
@@ -102,26 +132,35 @@ class Vocabulary:
 # ---------------------------------------------------------------- the network
 
 
-def lanes(texts: list[tuple[np.ndarray, np.ndarray]], n: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """texts (number or -1, class of others) side by side in n lanes of about one length, the longest first: (input, class, word in class or 0) of each step. A text is
-    its words and an end; its first input is START, so where that is the state is empty."""
+def side_by_side(texts: list[tuple[np.ndarray, np.ndarray]], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[list[int]]]:
+    """lanes() one after the other in arrays: inputs, classes and words of all, where each lane begins, with the end, and the lanes' texts."""
     heap = [(0, k) for k in range(max(1, min(n, len(texts))))]
     dealt: list[list[int]] = [[] for _ in heap]
     for i in sorted(range(len(texts)), key=lambda i: -len(texts[i][0])):
-        length, k = heapq.heappop(heap)
+        length, k = heap[0]
         dealt[k].append(i)
-        heapq.heappush(heap, (length + len(texts[i][0]) + 1, k))
-    out = []
-    for own in dealt:
-        inputs, classes, words = [], [], []
-        for i in own:
-            number, other = texts[i]
-            head = number >= 0
-            inputs += [[START], np.where(head, number, WORDS + other)]
-            classes += [np.where(head, number // WIDTH, HEADS + other), [END]]
-            words += [np.where(head, number % WIDTH, 0), [0]]
-        out.append((np.concatenate(inputs).astype(np.int32), np.concatenate(classes).astype(np.int32), np.concatenate(words).astype(np.int32), own))
-    return sorted(out, key=lambda x: -len(x[0]))
+        heapq.heapreplace(heap, (length + len(texts[i][0]) + 1, k))
+    long = {k: length for length, k in heap}
+    dealt = [dealt[k] for k in sorted(long, key=lambda k: (-long[k], k)) if dealt[k]]
+    order = [i for own in dealt for i in own]
+    number, other = (np.concatenate([texts[i][x] for i in order]).astype(np.int16) if order else np.zeros(0, np.int16) for x in (0, 1))  # all numbers are below 2000
+    ends = np.cumsum([len(texts[i][0]) + 1 for i in order], dtype=np.int64) - 1
+    size = len(number) + len(order)
+    said = np.ones(size, bool)
+    said[ends] = False
+    head = number >= 0
+    inputs, classes, words = np.full(size + 1, START, np.int16), np.full(size, END, np.int16), np.zeros(size, np.int16)
+    inputs[1:][said] = np.where(head, number, WORDS + other)
+    classes[said] = np.where(head, number // WIDTH, HEADS + other)
+    words[said] = np.where(head, number % WIDTH, 0)
+    return inputs[:size], classes, words, np.cumsum([0] + [sum(len(texts[i][0]) + 1 for i in own) for own in dealt]), dealt
+
+
+def lanes(texts: list[tuple[np.ndarray, np.ndarray]], n: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]]:
+    """texts (number or -1, class of others) side by side in n lanes of about one length, the longest first: (input, class, word in class or 0) of each step. A text is
+    its words and an end; its first input is START, so where that is the state is empty."""
+    *arrays, edges, dealt = side_by_side(texts, n)
+    return [(*(x[a:b] for x in arrays), own) for a, b, own in zip(edges, edges[1:], dealt, strict=False)]
 
 
 def step(p: dict, x: np.ndarray, h: np.ndarray) -> tuple:
@@ -134,35 +173,37 @@ def step(p: dict, x: np.ndarray, h: np.ndarray) -> tuple:
     return n + z * (h - n), z, r, n, an
 
 
-def forward(p: dict, inputs: np.ndarray, h: np.ndarray) -> tuple:
+def forward(p: dict, inputs: np.ndarray, h: np.ndarray, back: bool = True) -> tuple:
     """step() over a window (steps x lanes) from the state h (lanes x units), in arrays for all of it, whose last axis is the lanes: the states after each step and, for going back,
     those before, gates (update, reset), the state's part of the candidate, the candidate, how far the state before is from it, which lanes go on with a text, and for each
-    step whether a text begins in it. A step allocates nothing, and what it does by elements lies side by side."""
+    step whether a text begins in it. A step allocates nothing, and what it does by elements lies side by side. Without `back` only the states are kept of all steps."""
     n, on = inputs.shape
     kind, two = p["u"].dtype, 2 * UNITS
-    x, u = np.ascontiguousarray(p["x"][inputs].transpose(0, 2, 1)), np.ascontiguousarray(p["u"].T)
+    x, u = np.ascontiguousarray(p["x"].take(inputs, axis=0).transpose(0, 2, 1)), np.ascontiguousarray(p["u"].T)
     np.negative(x[:, :two], out=x[:, :two])  # a gate is 1 / (1 + exp(-a))
     np.negative(u[:two], out=u[:two])
     first = (inputs != START).astype(kind)[:, None]
     begins = (inputs == START).any(axis=1).tolist()
-    states, before, m, apart, gates, a = (np.empty((n, k, on), kind) for k in (UNITS, UNITS, UNITS, UNITS, two, 3 * UNITS))
+    states, room = np.empty((n, UNITS, on), kind), n if back else 1
+    before, m, apart, gates, a = (np.empty((room, k, on), kind) for k in (UNITS, UNITS, UNITS, two, 3 * UNITS))
+    each = (before, gates, gates[:, :UNITS], gates[:, UNITS:], m, a, a[:, :two], a[:, two:], apart)
+    each = zip(*(each if back else (list(k) * n for k in each)), states, x[:, :two], x[:, two:], begins, first, strict=True)
     h = h.T
-    for t in range(n):
-        was, now, gate, out, own, off, add = before[t], states[t], gates[t], m[t], a[t], apart[t], x[t]
-        if begins[t]:
-            np.multiply(h, first[t], out=was)
+    for was, gate, update, reset, out, own, own_gates, own_out, off, now, add, add_out, begin, goes in each:
+        if begin:
+            np.multiply(h, goes, out=was)
         else:
             was[...] = h
-        np.matmul(u, was, out=own)
-        np.add(add[:two], own[:two], out=gate)
+        u.dot(was, own)
+        np.add(add, own_gates, out=gate)
         np.exp(gate, out=gate)
         np.add(gate, 1, out=gate)
         np.reciprocal(gate, out=gate)
-        np.multiply(gate[UNITS:], own[two:], out=out)
-        np.add(out, add[two:], out=out)
+        np.multiply(reset, own_out, out=out)
+        np.add(out, add_out, out=out)
         np.tanh(out, out=out)
         np.subtract(was, out, out=off)
-        np.multiply(gate[:UNITS], off, out=now)
+        np.multiply(update, off, out=now)
         h = np.add(now, out, out=now)
     return states, before, gates, a[:, two:], m, apart, first, begins
 
@@ -172,6 +213,13 @@ def by_token(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x.transpose(0, 2, 1)).reshape(-1, x.shape[1])
 
 
+def with_one(x: np.ndarray) -> np.ndarray:
+    """by_token() with a one behind each row, for the bias in the weights' last row."""
+    out = np.ones((x.shape[0], x.shape[2], x.shape[1] + 1), x.dtype)
+    out[..., :-1] = x.transpose(0, 2, 1)
+    return out.reshape(-1, out.shape[2])
+
+
 def soft(logits: np.ndarray, target: np.ndarray, bounded: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Natural log-probability of the targets, and what the probabilities are in proportion to, with their sums. bounded: no exponential leaves a float's range as it is."""
     if not bounded:
@@ -185,9 +233,24 @@ def soft(logits: np.ndarray, target: np.ndarray, bounded: bool = False) -> tuple
 def bounded(weights: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, bool]:
     """A bias less the most that a logit can be (of each softmax), and whether then no sum of exponentials is too small for a float: a state's units are within -1 and 1, so a logit is
     within the sum of its weights' sizes of its bias, and need not be compared with the others of its row."""
+    most, safe = most_of(weights, bias)
+    return bias - most, safe
+
+
+def most_of(weights: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, bool]:
     reach = np.abs(weights).sum(axis=-2)
     most = (bias + reach).max(axis=-1, keepdims=True)
-    return bias - most, bool(((bias - reach).max(axis=-1, keepdims=True) - most).min() > -60)
+    return most, bool(((bias - reach).max(axis=-1, keepdims=True) - most).min() > -60)
+
+
+def limits(p: dict) -> tuple:
+    """most_of() of the classes and of the words in them."""
+    return *most_of(p["c"], p["cb"]), *most_of(p["w"], p["wb"])
+
+
+def with_bias(p: dict, limits: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the classes, and of the words in each, with the bias less its limit as their last row."""
+    return np.concatenate((p["c"], (p["cb"] - limits[0])[None])), np.concatenate((p["w"], (p["wb"] - limits[2])[:, None]), axis=1)
 
 
 def by_class(classes: np.ndarray) -> tuple[np.ndarray, list[int]]:
@@ -200,88 +263,82 @@ def by_class(classes: np.ndarray) -> tuple[np.ndarray, list[int]]:
 def in_classes(weights: np.ndarray, s: np.ndarray, edge: list[int], words: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """soft() of words in their classes; states (with a one behind, for the bias in the weights' last row) and words in order of the classes, which begin at edge."""
     logits = np.empty((len(s), WIDTH), s.dtype)
-    for k in range(HEADS):
-        a, b = edge[k], edge[k + 1]
+    for a, b, own in zip(edge, edge[1:], weights, strict=False):
         if a < b:
-            np.matmul(s[a:b], weights[k], out=logits[a:b])
+            s[a:b].dot(own, logits[a:b])
     return soft(logits, words, safe)
 
 
-def with_one(s: np.ndarray) -> np.ndarray:
-    out = np.ones((len(s), UNITS + 1), s.dtype)
-    out[:, :UNITS] = s
-    return out
-
-
 def score_texts(p: dict, texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """log10 probability of each whole text's classes and softmax words; the state goes from window to window until the text ends."""
     out = np.zeros(len(texts))
-    side = lanes(texts, LANES)
-    if not side:
+    if not len(texts):
         return out
-    whose = [np.repeat(own, [len(texts[i][0]) + 1 for i in own]) for *_, own in side]
-    length = np.array([len(s[0]) for s in side])
-    h = np.zeros((len(side), UNITS), p["u"].dtype)
-    (bias, safe), (bias_in, safe_in) = bounded(p["c"], p["cb"]), bounded(p["w"], p["wb"])
-    inner = np.concatenate((p["w"], bias_in[:, None]), axis=1)
+    *arrays, edges, dealt = side_by_side(texts, LANES)
+    order = [i for own in dealt for i in own]
+    arrays.append(np.repeat(np.array(order, np.int32), [len(texts[i][0]) + 1 for i in order]))
+    length, h = np.diff(edges), np.zeros((len(dealt), UNITS), p["u"].dtype)
+    most = limits(p)
+    (outer, inner), (_, safe, _, safe_in) = with_bias(p, most), most
     for at in range(0, int(length[0]), SCORED):
         on = int((length > at).sum())
-        n = min(SCORED, int(length[0]) - at)
-        inputs, classes, words = (np.full((n, on), fill, np.int32) for fill in (START, -1, 0))
-        doc = np.zeros((n, on), np.int64)
-        for k in range(on):
-            m = min(n, int(length[k]) - at)
-            for to, of in zip((inputs, classes, words), side[k], strict=False):
-                to[:m, k] = of[at : at + m]
-            doc[:m, k] = whose[k][at : at + m]
-        states = forward(p, inputs, h[:on])[0]
+        time = np.arange(at, min(at + SCORED, int(length[0])))[:, None]
+        real = time < length[:on]
+        inputs, classes, words, doc = (x.take(edges[:on] + time, mode="clip") for x in arrays)  # what isn't real is of another lane
+        states = forward(p, inputs, h[:on], False)[0]
         h = states[-1].T
-        real = classes.ravel() >= 0
-        s, c, w = by_token(states)[real], classes.ravel()[real], words.ravel()[real]
+        s, c, w, doc = with_one(states), classes.ravel(), words.ravel(), doc.ravel()
+        if not real.all():
+            real = real.ravel()
+            s, c, w, doc = s[real], c[real], w[real], doc[real]
         log = np.empty(len(c))
         for k in range(0, len(c), TILE):
             tile = slice(k, k + TILE)
-            log[tile] = soft(s[tile] @ p["c"] + bias, c[tile], safe)[0]
+            log[tile] = soft(s[tile] @ outer, c[tile], safe)[0]
         order, edge = by_class(c)
-        log[order] += in_classes(inner, with_one(s[order]), edge, w[order], safe_in)[0]
-        out += np.bincount(doc.ravel()[real], log, len(out))
+        log[order] += in_classes(inner, s[order], edge, w[order], safe_in)[0]
+        out += np.bincount(doc, log, len(out))
     return out / np.log(10)
 
 
-def gradients(p: dict, inputs: np.ndarray, classes: np.ndarray, words: np.ndarray, h: np.ndarray, g: dict | None = None) -> tuple[dict, np.ndarray, float]:
-    """Of the mean negative log-likelihood of a window (steps x lanes; class -1: nothing there): gradients (in g if it is given), the state after it, and the sum of the likelihood."""
+def gradients(p: dict, inputs: np.ndarray, classes: np.ndarray, words: np.ndarray, h: np.ndarray, g: dict | None = None, most: tuple | None = None) -> tuple[dict, np.ndarray, float]:
+    """Of the mean negative log-likelihood of a window (steps x lanes; class -1: nothing there): gradients (in g if it is given), the state after it, and the sum of the likelihood.
+    most: limits() of these weights, or of what they were a little before."""
     kind, n, on = p["u"].dtype, *inputs.shape
     states, before, gates, an, m, apart, first, begins = forward(p, inputs, h)
     if g is None:
         g = {k: np.empty(s, kind) for k, s in SHAPES.items()}
-    c, w, s, real = classes.ravel(), words.ravel(), by_token(states), None
+    c, w, s, real = classes.ravel(), words.ravel(), with_one(states), None
     if len(c) and c.min() < 0:
         real = np.flatnonzero(c >= 0)
         s, c, w = s[real], c[real], w[real]
     share = kind.type(1 / max(1, len(c)))
-    bias, safe = bounded(p["c"], p["cb"])
-    logits = s @ p["c"]
-    logits += bias
-    log, e, sums = soft(logits, c, safe)
+    most = most or limits(p)
+    outer, both = with_bias(p, most)
+    log, e, sums = soft(s @ outer, c, most[1])
     total = float(log.sum())
-    e *= share / sums
-    e[np.arange(len(c)), c] -= share
-    g["c"][...], g["cb"][...], ds = s.T @ e, np.ones(len(e), kind) @ e, e @ p["c"].T
+    # The gradient of a logit is its probability, e / sums, less one at the target; the division by the sums is left to the narrower factor.
+    e[np.arange(len(c)), c] -= sums[:, 0]
+    per = share / sums
+    slopes = (s * per).T @ e
+    g["c"][...], g["cb"][...] = slopes[:UNITS], slopes[UNITS]
+    ds = e @ p["c"].T
+    ds *= per
     order, edge = by_class(c)
-    bias, safe = bounded(p["w"], p["wb"])
-    inner, said, both = with_one(s[order]), w[order], np.concatenate((p["w"], bias[:, None]), axis=1)
-    log, e, sums = in_classes(both, inner, edge, said, safe)
+    inner, said = s.take(order, axis=0), w[order]
+    log, e, sums = in_classes(both, inner, edge, said, most[3])
     total += float(log.sum())
-    e *= share / sums
-    e[np.arange(len(said)), said] -= share
-    back, slopes, to = np.empty((len(e), UNITS), kind), np.zeros_like(both), p["w"].transpose(0, 2, 1)
-    for k in range(HEADS):
-        a, b = edge[k], edge[k + 1]
+    e[np.arange(len(said)), said] -= sums[:, 0]
+    per = share / sums
+    inner *= per
+    back, slopes = np.empty((len(e), UNITS), kind), np.zeros_like(both)
+    for a, b, slope, to in zip(edge, edge[1:], slopes, p["w"].transpose(0, 2, 1), strict=False):
         if a < b:
             own = e[a:b]
-            np.matmul(inner[a:b].T, own, out=slopes[k])
-            np.matmul(own, to[k], out=back[a:b])
+            inner[a:b].T.dot(own, slope)
+            own.dot(to, back[a:b])
     g["w"][...], g["wb"][...] = slopes[:, :UNITS], slopes[:, UNITS]
+    back *= per
     ds[order] += back
     if real is not None:
         ds, part = np.zeros((n * on, UNITS), kind), ds
@@ -295,24 +352,24 @@ def gradients(p: dict, inputs: np.ndarray, classes: np.ndarray, words: np.ndarra
     np.multiply(inside, r, out=factors[:, 2])
     np.multiply(factors[:, 2], an * (1 - r), out=factors[:, 1])
     da, dh = np.empty((n, 3, UNITS, on), kind), np.zeros((UNITS, on), kind)
-    flat, held = da.reshape(n, 3 * UNITS, on), np.empty_like(dh)
-    for t in range(n - 1, -1, -1):
-        now = d[t]
+    flat, held, u = da.reshape(n, 3 * UNITS, on), np.empty_like(dh), p["u"]
+    for now, factor, own, row, update, begin, goes in zip(d[::-1], factors[::-1], da[::-1], flat[::-1], z[::-1], begins[::-1], first[::-1], strict=True):
         np.add(now, dh, out=now)
-        np.multiply(now, factors[t], out=da[t])
-        np.matmul(p["u"], flat[t], out=dh)
-        np.multiply(now, z[t], out=held)
+        np.multiply(now, factor, out=own)
+        u.dot(row, dh)
+        np.multiply(now, update, out=held)
         np.add(dh, held, out=dh)
-        if begins[t]:
-            np.multiply(dh, first[t], out=dh)
+        if begin:
+            np.multiply(dh, goes, out=dh)
     np.add.reduce(before @ flat.transpose(0, 2, 1), axis=0, out=g["u"])
     np.multiply(d, inside, out=da[:, 2])
-    seen = inputs.ravel().astype(np.int16)
+    seen = inputs.ravel().astype(np.int16, copy=False)
     order = np.argsort(seen, kind="stable")
     seen = seen[order]
-    edge = np.flatnonzero(np.diff(seen, prepend=-1))
+    edge = np.concatenate(([0], np.flatnonzero(seen[1:] != seen[:-1]) + 1))
     g["x"][...] = 0
-    g["x"][seen[edge]] = np.add.reduceat(by_token(flat)[order], edge, axis=0)
+    pairs = by_token(flat).take(order, axis=0).view(f"c{2 * kind.itemsize}")  # reduceat() goes by columns, so two numbers at a time take half the time
+    g["x"][seen[edge]] = np.add.reduceat(pairs, edge, axis=0).view(kind)
     return g, states[-1].T, total
 
 
@@ -328,30 +385,37 @@ def train_texts(p: dict, texts: list[tuple[np.ndarray, np.ndarray]], least: int,
     side = max(1, min(side, n // (4 * WINDOW)))
     length = -(-n // side)
     windows = -(-length // WINDOW)
-    table = np.stack([np.concatenate((x, np.full(side * length - n, fill, np.int32))).reshape(side, length).T for x, fill in ((inputs, START), (classes, -1), (words, 0))])
+    table = np.stack([np.concatenate((x, np.full(side * length - n, fill, x.dtype))).reshape(side, length).T for x, fill in ((inputs, START), (classes, -1), (words, 0))])
     # All weights, their gradients and the two moments (here of the gradients' sums, not means: by 10 and by 100 more) are one row of floats each, so that a step is a few operations.
     flat = _flat(p)
     p, grads = _shaped(flat), np.zeros_like(flat)
-    g, m, v, held, k = _shaped(grads), np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat), 0
+    g, rows, k = _shaped(grads), (grads, flat, np.zeros_like(flat), np.zeros_like(flat)), 0
+    held = np.empty(PART, np.float32)
+    parts = [(*(x[a : a + PART] for x in rows), held[: len(flat) - a]) for a in range(0, len(flat), PART)]
+    # A step moves a weight by 2.4 times the rate at most and a logit, of 17 weights, by 41 times it, so that of limits some steps old no float goes out of range either.
+    anew = max(1, int(0.32 / rate))
     for _ in range(min(most, max(1, -(-least // windows)))):
         h = np.zeros((side, UNITS), np.float32)
         for at in range(0, length, WINDOW):
-            h = gradients(p, *(x[at : at + WINDOW] for x in table), h, g)[1]
+            if k % anew == 0:
+                limit = limits(p)
+            h = gradients(p, *(x[at : at + WINDOW] for x in table), h, g, limit)[1]
             k += 1
             size = np.sqrt(float(grads @ grads))
             now = rate * min(1.0, k / 20) * np.sqrt(1 - 0.99**k)
             if size > 1:
                 grads *= np.float32(1 / size)
-            m *= np.float32(0.9)
-            m += grads
-            v *= np.float32(0.99)
-            np.multiply(grads, grads, out=held)
-            v += held
-            np.sqrt(v, out=held)
-            held += np.float32(1e-7)
-            np.divide(m, held, out=held)
-            held *= np.float32(now)
-            flat -= held
+            for x, own, m, v, held in parts:
+                m *= np.float32(0.9)
+                m += x
+                v *= np.float32(0.99)
+                np.multiply(x, x, out=held)
+                v += held
+                np.sqrt(v, out=held)
+                held += np.float32(1e-7)
+                np.divide(m, held, out=held)
+                held *= np.float32(now)
+                own -= held
     return p, n
 
 
@@ -372,13 +436,24 @@ def _shaped(flat: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def count_words(texts: DataFrame, space: Workspace) -> DataFrame:
-    """texts (t) -> (h, z, n): each distinct word of all texts by hash, its class of others, and how often it is there; counted in each batch before anything is shuffled."""
+    """texts (t) -> (h, z, n): each distinct word of all texts by hash, its class of others, and how often it is there; counted in some batches before anything is shuffled."""
+
+    def counted(held: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+        hashes, z = (np.concatenate(x) for x in zip(*held, strict=True))
+        hashes, first, n = np.unique(hashes, return_index=True, return_counts=True)
+        return pd.DataFrame({"h": hashes.view(np.int64), "z": z[first], "n": n})
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for batch in batches:
             hashes, z, _ = tokens(list(batch["t"]))
-            hashes, first, n = np.unique(hashes, return_index=True, return_counts=True)
-            yield pd.DataFrame({"h": hashes.view(np.int64), "z": z[first], "n": n})
+            held.append((hashes, z))
+            size += len(hashes)
+            if size >= TOGETHER:
+                yield counted(held)
+                held, size = [], 0
+        if held:
+            yield counted(held)
 
     rows = texts.select("t").mapInPandas(count, "h long, z int, n long")
     return space.write(rows.groupBy("h").agg(F.min("z").alias("z"), F.sum("n").alias("n")), "words")
@@ -426,7 +501,7 @@ def fit(texts: DataFrame, known: Vocabulary, rounds: int, share: float, least: i
 
             for batch in batches:
                 hashes, other, edges = tokens(list(batch["t"]))
-                number = vocabulary_.value.find(hashes)[1]
+                number, other = vocabulary_.value.find(hashes)[1].astype(np.int16), other.astype(np.int16)
                 held += [(number[a:b], other[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
                 size += len(hashes)
                 if size >= TOGETHER:
@@ -502,16 +577,17 @@ def score(documents: DataFrame, listed: int = 1 << 17, rounds: int = 2, share: f
 
         for batch in batches:
             hashes, other, edges = tokens(list(batch["t"]))
-            count, number = v.find(hashes)
-            here, logs = count >= 0, np.log10(np.maximum(count, 0) + 0.1)
+            here, number, logs = v.listed(hashes)
             total = lambda x: np.diff(np.concatenate(([0.0], np.cumsum(x)))[edges])  # noqa: B023, E731
-            known_, by_count = total(here), total(np.where(here, logs, 0)) - base * np.diff(edges) + end
-            in_class = total(np.where(number < 0, np.where(here, logs, 0) - v.log_rest[other], 0))
-            for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-                rows.append((batch["i"].iloc[k], batch["held_out"].iloc[k], b - a + 1, int(known_[k]) + (v.ends > 0), by_count[k], in_class[k], hashes[a:b][~here[a:b]].view(np.int64)))
-                texts.append((number[a:b].astype(np.int32), other[a:b]))
+            known_, by_count = total(here), total(logs) - base * np.diff(edges) + end
+            in_class = total(np.where(number < 0, logs - v.log_rest[other], 0))
+            unlisted, short = hashes[~here].view(np.int64), (number.astype(np.int16), other.astype(np.int16))
+            left = np.concatenate(([0], np.cumsum(~here)))[edges]
+            for k, (i, held, a, b) in enumerate(zip(batch["i"], batch["held_out"], edges, edges[1:], strict=False)):
+                rows.append((i, held, b - a + 1, int(known_[k]) + (v.ends > 0), by_count[k], in_class[k], unlisted[left[k] : left[k + 1]]))
+                texts.append((short[0][a:b], short[1][a:b]))
             size += len(hashes)
-            if size >= TOGETHER:
+            if size >= SCORED_TOGETHER:
                 yield flush()
                 size = 0
         if rows:

@@ -155,3 +155,65 @@ def test_a_window_at_once_is_step_after_step():
         assert L.soft(h @ weights + less, np.arange(on), safe)[0] == pytest.approx(want, rel=1e-4, abs=1e-4)
     hashes = rng.integers(0, 3500, 500).astype(np.uint64)
     assert len(v.told().hashes) == L.WORDS and (v.told().find(hashes)[1] == v.find(hashes)[1]).all()
+
+
+def test_a_word_is_found_without_a_search(monkeypatch):
+    """Steps to a listed word don't grow with the list, as they did when it was searched through by halves."""
+    rng = np.random.default_rng(5)
+    hashes = np.unique(rng.integers(0, 1 << 64, 5000, dtype=np.uint64))
+    hashes[:3], hashes[-1] = (0, 1, 2), (1 << 64) - 1  # neighbours, and the ends
+    counts, number = rng.integers(1, 90, len(hashes)), np.where(np.arange(len(hashes)) % 5 == 0, np.arange(len(hashes)) // 5, -1)
+    v = L.Vocabulary(hashes, counts, number, np.ones(L.WORDS), np.ones(L.TAILS))
+    asked = np.concatenate((hashes, hashes + np.uint64(1), rng.integers(0, 1 << 64, 5000, dtype=np.uint64)))
+    where = {int(h): k for k, h in enumerate(hashes)}
+    at = [where.get(int(h), -1) for h in asked]
+    monkeypatch.setattr(np, "searchsorted", None)
+    got, (here, n, logs) = v.find(asked), v.listed(asked)
+    assert got[0].tolist() == [counts[k] if k >= 0 else -1 for k in at] and got[1].tolist() == n.tolist() == [number[k] if k >= 0 else -1 for k in at]
+    assert here.tolist() == [k >= 0 for k in at] and logs == pytest.approx([math.log10(counts[k] + 0.1) if k >= 0 else 0 for k in at])
+    monkeypatch.undo()
+    none = L.Vocabulary(hashes[:0], counts[:0], number[:0], np.zeros(L.WORDS), np.ones(L.TAILS)).listed(asked)
+    assert not none[0].any() and (none[1] == -1).all() and not none[2].any()
+
+
+def test_scoring_keeps_no_more_than_states_and_training_no_limits_anew():
+    rng = np.random.default_rng(6)
+    p = small_vocabulary(rng).weights()
+    inputs = rng.integers(0, L.INPUTS, (L.WINDOW, 7))
+    inputs[5, 1:3] = L.START
+    h = rng.standard_normal((7, L.UNITS)).astype(np.float32) * 0.5
+    whole, states = L.forward(p, inputs, h), L.forward(p, inputs, h, False)
+    assert (states[0] == whole[0]).all() and all(len(x) == 1 for x in states[1:6])
+    # Limits of the weights some steps before give the same gradients.
+    classes = rng.integers(0, L.CLASSES, inputs.shape)
+    words = np.where(classes < L.HEADS, rng.integers(0, L.WIDTH, inputs.shape), 0)
+    old = L.limits({k: x + (rng.standard_normal(x.shape) * 0.2).astype(np.float32) for k, x in p.items()})
+    a, b = L.gradients(p, inputs, classes, words, h), L.gradients(p, inputs, classes, words, h, None, old)
+    assert a[2] == pytest.approx(b[2], rel=1e-4)
+    for k in p:
+        assert a[0][k] == pytest.approx(b[0][k], rel=1e-3, abs=1e-5)
+
+
+def test_texts_side_by_side_are_whole():
+    rng = np.random.default_rng(7)
+    texts = [(rng.integers(-1, L.WORDS, n), rng.integers(0, L.TAILS, n)) for n in (0, 3, 0, 50, 1, 7, 7)]
+    side = L.lanes(texts, 3)
+    assert sorted(i for *_, own in side for i in own) == list(range(len(texts))) and [len(x[0]) for x in side] == sorted((len(x[0]) for x in side), reverse=True)
+    for inputs, classes, words, own in side:
+        want = []
+        for i in own:
+            before = L.START
+            for number, other in zip(*texts[i], strict=True):
+                want.append((before, number // L.WIDTH, number % L.WIDTH) if number >= 0 else (before, L.HEADS + other, 0))
+                before = number if number >= 0 else L.WORDS + other
+            want.append((before, L.END, 0))
+        assert list(zip(inputs, classes, words, strict=True)) == want
+
+
+def test_class_of_others_is_of_the_last_bytes_of_the_word_alone():
+    words = ["x", "Xy", "xyz", "axyz", "é", "\0", "a\0\0"]
+    z = L.tokens([" ".join(words)])[1]
+    assert [L.tokens([w])[1][0] for w in words] == z.tolist() and z[2] == z[3]
+    for w, k in zip(words, z, strict=True):
+        last = int.from_bytes(w.translate(SMALL).encode()[-3:].rjust(3, b"\0"), "little")
+        assert k == L.mix(np.array([last + 1], np.uint64))[0] % np.uint64(L.TAILS)
