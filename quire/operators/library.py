@@ -249,6 +249,8 @@ def shelf_order(books: DataFrame, title: str, locale: str = "UNICODE") -> DataFr
 
 
 def spelled_alike(names: DataFrame, name: str, collation: str = "UNICODE_CI") -> DataFrame:
-    """(name, n): names that a collation takes for one, by the least of them, and how many rows have it. Names meet by the collation's own keys, not by lowered texts."""
-    g = names.where(F.col(name).isNotNull()).select(F.col(name).alias("name"), F.collate(F.col(name), collation).alias("key_"))
-    return g.groupBy("key_").agg(F.min("name").alias("name"), F.count("*").alias("n")).select("name", "n")
+    """(name, n): names that a collation takes for one, by the least of them, and how many rows have it. Names meet by the collation's own keys, not by lowered texts; rows
+    are counted by their very names first, so a collation's key is made once for a name, not for each of its rows."""
+    own = names.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("name")).agg(F.count("*").alias("n"))
+    g = own.withColumn("key_", F.collate("name", collation))
+    return g.groupBy("key_").agg(F.min("name").alias("name"), F.sum("n").alias("n")).select("name", "n")

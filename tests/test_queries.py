@@ -33,6 +33,20 @@ def test_equal_to_sql(spark, tables, name):
     assert sorted(map(tuple, d.collect()), key=str) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("name", ["names_spelled_alike"])
+def test_words_of_whole_texts(spark, tmp_path, name):
+    """Words after a text's first 400 characters, in a text's middle and at its end, and a name that begins before them and ends after."""
+    long = " ".join(["ab", "Cd"] * 66) + " cut" + "x" * 30
+    texts = [long + " Late late" + " y" * 3000 + " Éa éa end", "LATE", "z" * 500 + " É", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    d = __spark_entry__.queries()[name](spark, str(tmp_path))
+    got = [tuple(r) for r in d.collect()]
+    assert sorted(got) == sorted(con.execute(f"SELECT {', '.join(d.columns)} FROM ({__spark_entry__.oracle_sql()[name]})").fetchall())
+    assert {"end", "z" * 500, "cut" + "x" * 30} < {r[0] for r in got}
+
+
 def test_a_library_has_few_folders(spark, tmp_path, monkeypatch):
     spark.range(0, 3000, 10).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit("t").alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
     monkeypatch.setattr(catalog, "shared_folder", lambda *_: str(tmp_path / "library"))
