@@ -241,10 +241,10 @@ def write_artifacts(path: str, chapters: DataFrame, notes: DataFrame, dictionary
 def shelf_order(books: DataFrame, title: str, locale: str = "UNICODE") -> DataFrame:
     """books with place 0, 1, ... as a reader of the locale sorts titles: letters with marks beside those without, small before large, and code points for what is equal there.
 
-    Sorted by ranges, so no task has all titles; null titles come first.
+    Sorted by ranges, so no task has all titles; null titles come first. Books are written once before that, as ranges are found by a read of their own.
     """
     tables = Tables(books.sparkSession, "shelf")
-    rows = books.withColumns({"collated_": F.collate(title, locale), "own_": F.col(title)})
+    rows = tables.write(books).withColumns({"collated_": F.collate(title, locale), "own_": F.col(title)})
     return stats.numbered(rows, [], ["collated_", "own_"], "place", tables).drop("collated_", "own_")
 
 

@@ -33,7 +33,7 @@ def test_equal_to_sql(spark, tables, name):
     assert sorted(map(tuple, d.collect()), key=str) == sorted(want, key=str)
 
 
-@pytest.mark.parametrize("name", ["names_spelled_alike"])
+@pytest.mark.parametrize("name", ["names_spelled_alike", "titles_by_locale"])
 def test_words_of_whole_texts(spark, tmp_path, name):
     """Words after a text's first 400 characters, in a text's middle and at its end, and a name that begins before them and ends after."""
     long = " ".join(["ab", "Cd"] * 66) + " cut" + "x" * 30
