@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire import scratch
 from quire.functions import text as X
 from quire.operators import stats
 from quire.scratch import Tables
+from quire.sources.books import place
 from quire.sources.store import CHAPTER
 
 KEY = ["book", "id"]
@@ -136,12 +143,55 @@ def export_chunks(chapters: DataFrame, per_file: int = 100) -> DataFrame:
     return c.withColumn("first_file", F.col("chunk_start") == F.min("chunk_start").over(Window.partitionBy("book")))
 
 
-def write_text(exported: DataFrame, path: str, text: str = "text") -> None:
-    """One folder for each book and file, one text file in each: exported (book, file, id, text), chapters in id order; earlier files go. Tasks move their own files to their
-    places, as the driver would move them one by one at the end."""
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", F.col(text).alias("t")))), lambda s: s["t"]), "\n")
-    out = exported.groupBy("book", "file").agg(body.alias("value"))
-    out.write.mode("overwrite").option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("book", "file").text(path)
+#: Characters of a partition's value that Spark writes as %XX in a folder's name.
+_ESCAPED = re.compile(r"""["#%'*/:=?\\{\[\]^\x00-\x1f\x7f]""")
+
+
+def _folder(name: str, value: str | None) -> str:
+    """A partition's folder, as Spark names it."""
+    return f"{name}={_ESCAPED.sub(lambda m: f'%{ord(m[0]):02X}', value) if value is not None else '__HIVE_DEFAULT_PARTITION__'}"
+
+
+def _texts(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """One task's part of write_text(): its chapters, sorted by file and id."""
+    fs, root = place(path)
+    now, part, sink, n, after = None, None, None, 0, b""
+
+    def done():
+        sink.write(b"\n")
+        sink.close()
+        fs.move(part, f"{now}/text.txt")
+
+    for b in batches:
+        for book, file, data in zip(*[b.column(k).to_pylist() for k in ("book", "file", "data")], strict=True):
+            at = f"{root}/{_folder('book', book)}/{_folder('file', file)}"
+            if at != now:
+                if now is not None:
+                    done()
+                fs.create_dir(at)
+                now, part, n, after = at, f"{at}/.{uuid.uuid4().hex}", n + 1, b""
+                sink = fs.open_output_stream(part)
+            if data is not None:
+                sink.write(after + data)
+                after = b"\n"
+    if now is not None:
+        done()
+    yield pa.RecordBatch.from_pydict({"n": [n]})
+
+
+def write_text(exported: DataFrame, path: str, text: str = "text") -> int:
+    """One folder for each book and file, one text file in each: exported (book, file, id, text), chapters in id order, null texts left out; earlier files go. How many files were written.
+
+    Tasks write the files themselves, each under a hidden name until it is whole: Spark's writer takes ten milliseconds and more for a file on a local disk, as each gets a check sum and has
+    its rights set by a process of its own. A task holds a batch of chapters, and no file as a whole.
+    """
+    scratch.text_batches(exported.sparkSession)
+    scratch.delete(exported.sparkSession, path)
+    fs, root = place(path)
+    fs.create_dir(root)
+    rows = exported.select("book", "file", "id", F.col(text).cast("binary").alias("data"))
+    dealt = rows.repartition("book", "file").sortWithinPartitions("book", "file", "id", "data")
+    return dealt.mapInArrow(lambda batches: _texts(batches, path), "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def needs_numbers(chapters: DataFrame, text: str, title: str | None = None) -> DataFrame:

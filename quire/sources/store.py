@@ -5,11 +5,15 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as X
+from quire.sources.books import place
 
 CHAPTER = "id long, title string, url string, body string, fetched_at double"
 BOOK = (
@@ -196,10 +200,61 @@ def cached(work: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     return work.join(cache, "fingerprint"), work.join(cache, "fingerprint", "left_anti")
 
 
+#: Bytes of texts that a task hands on at a time, and how many texts.
+HELD, MANY = 8 << 20, 1000
+
+
+def _hidden(path: str) -> bool:
+    """Below a folder that is read: has any step a name that Spark's readers leave out?"""
+    return any(p.startswith(".") or (p.startswith("_") and "=" not in p) for p in path.split("/"))
+
+
+def _listed(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """Files at and below entries of a folder, by their names in it."""
+    fs, root = place(path)
+    root = root.rstrip("/")
+    for b in batches:
+        for name, folder in zip(b.column("file").to_pylist(), b.column("folder").to_pylist(), strict=True):
+            below = fs.get_file_info(arrow_fs.FileSelector(f"{root}/{name}", recursive=True)) if folder else []
+            names = [f.path[len(root) + 1 :] for f in below if f.is_file] if folder else [name]
+            names = [n for n in names if not _hidden(n)]
+            for k in range(0, len(names), 10_000):
+                yield pa.RecordBatch.from_pydict({"file": names[k : k + 10_000]}, pa.schema({"file": pa.string()}))
+
+
+def _whole(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    fs, root = place(path)
+    shown, root = path.rstrip("/"), root.rstrip("/")
+    kind = pa.schema({"file": pa.string(), "value": pa.binary()})
+    names, held = [], []
+    out = lambda: pa.RecordBatch.from_pydict({"file": names, "value": held}, kind)
+    size = 0
+    for b in batches:
+        for name in b.column("file").to_pylist():
+            with fs.open_input_file(f"{root}/{name}") as f:
+                held.append(f.read())
+            names.append(f"{shown}/{name}")
+            size += len(held[-1])
+            if size >= HELD or len(held) >= MANY:
+                yield out()
+                names, held, size = [], [], 0
+    yield out()
+
+
 def raw_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(file, text) of whole files, without a byte-order mark."""
-    t = spark.read.text(path, wholetext=True)
-    return t.select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^﻿", "").alias("text"))
+    """(file, text) of a file or of a folder's whole files, at any depth, without a byte-order mark; hidden files and folders are left out, as Spark's readers do.
+
+    The driver lists the folder itself and tasks what is below each entry: Spark's index runs jobs of a task for each folder, one after the other for each folder above them.
+    """
+    fs, root = place(path.rstrip("/"))
+    if fs.get_file_info(root).is_file:
+        path, top = path.rpartition("/")[0], [(root.rpartition("/")[2], False)]
+    else:
+        top = [(f.base_name, not f.is_file) for f in fs.get_file_info(arrow_fs.FileSelector(root)) if not _hidden(f.base_name)]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = spark.createDataFrame(top, "file string, folder boolean").repartition(max(1, min(len(top), parts)), "file").mapInArrow(lambda b: _listed(b, path), "file string")
+    t = files.repartition(parts, "file").mapInArrow(lambda b: _whole(b, path), "file string, value binary")
+    return t.select("file", F.regexp_replace(F.col("value").cast("string"), "^\ufeff", "").alias("text"))
 
 
 def read_log_stream(spark: SparkSession, path: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 
 from quire.plans import catalog
+from quire.sources import store
 from quire.streaming import jobs
 
 WORDS = ["a", "a\n", "A", "is\n", "Straße", "STRASSE", "strasse", "Ære", "aere", "ære", "b1", "\nc", "ÿ", "×", "é", "É"]
@@ -68,6 +69,34 @@ def test_a_library_has_few_folders(spark, tmp_path, monkeypatch):
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000  # documents go to Python by so many rows
 
 
+def test_text_files_are_written_and_listed_by_tasks(spark, tmp_path, monkeypatch):
+    """Against the SQL, with names that are escaped in folders and a book without one; no index of Spark's lists the folders, and what was there before goes."""
+    names = ["a", "a b", "c/d:e=%f", "é+", "", ".x", None]
+    rows = [(k, names[k % 7], f"t{k}\nÜ" if k % 5 else "") for k in range(0, 700, 3)] + [(k, "a", "same number") for k in (0, 300)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    folder = tmp_path / "texts"
+    (folder / "book=old" / "file=0001-0100").mkdir(parents=True)
+    (folder / "book=old" / "file=0001-0100" / "text.txt").write_text("old")
+    monkeypatch.setattr(catalog, "shared_folder", lambda *_: str(folder))
+    d = catalog.text_files(spark, str(tmp_path))
+    assert not d.inputFiles()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(f"SELECT {', '.join(d.columns)} FROM ({catalog.oracle_sql()['text_files'].replace('ORDER BY doc_id', 'ORDER BY doc_id, text')})").fetchall()
+    assert sorted(map(tuple, d.collect()), key=str) == sorted(want, key=str) and len(want) == 49
+    assert len(list(folder.glob("book=*/file=*/text.txt"))) == len(want)
+
+
+def test_hidden_texts_are_left_out(spark, tmp_path):
+    for name, data in {"a.txt": b"\xef\xbb\xbfA", "x/y/b.txt": b"B\r\n", "x/empty.txt": b"", "_SUCCESS": b"", ".c.txt": b"C", "x/_temporary/d.txt": b"D", "_k=1/e.txt": b"E"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    got = {r["file"].removeprefix(f"file:{tmp_path}/"): r["text"] for r in store.raw_texts(spark, f"file:{tmp_path}").collect()}
+    assert got == {"a.txt": "A", "x/y/b.txt": "B\r\n", "x/empty.txt": "", "_k=1/e.txt": "E"}
+    assert [tuple(r) for r in store.raw_texts(spark, f"{tmp_path}/a.txt").collect()] == [(f"{tmp_path}/a.txt", "A")]
+    assert store.raw_texts(spark, f"{tmp_path}/x/_temporary/").count() == 1
+
+
 class Kept:
     """A value and a list as the state's store has them, and the messages that it got."""
 
